@@ -99,3 +99,14 @@ def slices(offsets: np.ndarray, most: int):
         b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
         yield a, min(b, n)
         a = min(b, n)
+
+
+def once_a_worker(key, make):
+    """make(), kept for later tasks of the same Python worker process."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_tidewright_kept", types.ModuleType("_tidewright_kept")).__dict__.setdefault("kept", {})
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
