@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from .decontamination import SQL_OP6, op6_decontamination
+from .language_id import op10_language_id
 from .mixing import SQL_OP2, op2_mixing
+from .quality_classifier import op4_quality_classifier
 from .quality_rules import SQL_OP8, op8_quality_rules
 from .token_counts import op3_token_counts
+from .toxicity import op9_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_token_counts, op6_decontamination, op8_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_token_counts, op4_quality_classifier, op6_decontamination, op8_quality_rules, op9_toxicity, op10_language_id)}
 SQL = {"op2_mixing": SQL_OP2, "op6_decontamination": SQL_OP6, "op8_quality_rules": SQL_OP8}
