@@ -9,6 +9,7 @@ from .quality_classifier import op4_quality_classifier
 from .quality_rules import SQL_OP8, op8_quality_rules
 from .token_counts import op3_token_counts
 from .toxicity import op9_toxicity
+from .warc import SQL_OP1, op1_warc
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_token_counts, op4_quality_classifier, op6_decontamination, op8_quality_rules, op9_toxicity, op10_language_id)}
-SQL = {"op2_mixing": SQL_OP2, "op6_decontamination": SQL_OP6, "op8_quality_rules": SQL_OP8}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_mixing, op3_token_counts, op4_quality_classifier, op6_decontamination, op8_quality_rules, op9_toxicity, op10_language_id)}
+SQL = {"op1_warc": SQL_OP1, "op2_mixing": SQL_OP2, "op6_decontamination": SQL_OP6, "op8_quality_rules": SQL_OP8}
