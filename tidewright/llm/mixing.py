@@ -79,19 +79,23 @@ def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     return open_.withColumnRenamed("prefix", "at")
 
 
-def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=(3, 1, 2), shares=(1.5,), most: float = 2.0) -> DataFrame:
-    """doc_id, source, size, source_size and, for each share, target and taken (target_1, taken_1, ... for the further ones)."""
+def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=(3, 1, 2), shares=(1.5,), most: float = 2.0, carry: bool = False) -> DataFrame:
+    """doc_id, source, (with carry: all columns of df; those named like a result are replaced) size, source_size and, for each share, target and taken (target_1, taken_1, ... for the further ones)."""
     docs = materialize(df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), hash60(F.col(key)).alias("hash")), "sizes")
     sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = docs
+    if carry:
+        taken = {x + (f"_{n}" if n else "") for x in ("target", "taken") for n in range(len(shares))} | {"size", "hash", "source_size", "sk", "z", "rounds", "rest", "at", "left", "held"}
+        docs = df.drop(*taken).withColumns({"size": n_words(F.col(text)), "hash": hash60(F.col(key))})
     for n, share in enumerate(shares):
         tail = f"_{n}" if n else ""
         t = targets(sources, weights, share, most)
         per = t.withColumn("rounds", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.greatest("source_size", F.lit(1)))).otherwise(F.lit(0)).cast("long"))
         per = materialize(per.withColumn("rest", (F.round("target").cast("long") - F.col("rounds") * F.col("source_size"))), "budgets")
-        b = thresholds(docs.select("source", "size", "hash"), per.filter("rest > 0"))
+        b = thresholds(sizes.select("source", "size", "hash"), per.filter("rest > 0"))
         plan = per.join(b.select(F.col("source").alias("s"), "at", "left", "held"), F.col("source").eqNullSafe(F.col("s")), "left")
         plan = materialize(plan.select(F.struct("source").alias("sk"), F.col("source_size").alias("z"), "target", "rounds", "at", "left", "held"), "plan")
-        docs = sized_join(docs.withColumn("sk", F.struct("source")), plan, ["sk"], "inner", F.coalesce(F.octet_length("sk.source"), F.lit(0)) + 80)
+        docs = sized_join(docs.withColumn("sk", F.struct(F.col(source if carry else "source").alias("source"))), plan, ["sk"], "inner", F.coalesce(F.octet_length("sk.source"), F.lit(0)) + 80)
         extra = F.when(F.col("hash") < F.col("at"), F.col("size")).when(F.col("hash") == F.col("at"), F.expr("CAST((`left` * size) div held AS BIGINT)")).otherwise(F.lit(0))
         docs = docs.withColumn("taken" + tail, F.col("rounds") * F.col("size") + F.coalesce(extra, F.lit(0))).withColumnRenamed("target", "target" + tail)
         docs = docs.withColumn("source_size", F.col("z")).drop("sk", "z", "rounds", "at", "left", "held")
