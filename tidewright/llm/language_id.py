@@ -132,7 +132,7 @@ def identify(docs: DataFrame, prototypes: dict[str, list[float]], key: str = "do
         import pyarrow as pa
 
         e = _encoder()
-        p = np.array([prototypes[n] for n in names], np.float32).reshape(len(names), -1)
+        p = np.array([prototypes[n] for n in names], np.float32).reshape(len(names), DIM)
         for b in batches:
             pred, score = [], []
             for t in b.column(1):
