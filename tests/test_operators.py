@@ -129,3 +129,33 @@ def test_store_round_trip(spark, tmp_path):
     got = scan_bars(spark, path, "X", lo + 60_000, lo + 120_000)
     assert got.count() == 2 and "PartitionFilters: [isnotnull(symbol" in got._jdf.queryExecution().executedPlan().toString()
     assert upsert_bars(bars(spark, 3), bars(spark, 5).withColumn("close", F.lit(0.0))).filter("close = 0").count() == 2
+
+
+def test_hac_ols_against_numpy(spark):
+    from tidewright.operators.regress import hac_ols
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 1, 400)
+    y = 1 + 0.5 * x + rng.normal(0, 1, 400)
+    d = spark.createDataFrame([("s", i, float(b), 1.0, float(a)) for i, (a, b) in enumerate(zip(x, y))], "symbol string, idx long, y double, x0 double, x1 double")
+    got = hac_ols(d, ["x0", "x1"], 3)
+    m = np.column_stack([np.ones(400), x])
+    b = np.linalg.lstsq(m, y, rcond=None)[0]
+    g = m * (y - m @ b)[:, None]
+    meat = g.T @ g + sum((1 - k / 4) * (g[k:].T @ g[:-k] + g[:-k].T @ g[k:]) for k in (1, 2, 3))
+    inv = np.linalg.inv(m.T @ m)
+    assert got["beta"] == pytest.approx(b) and got["cov"] == pytest.approx(inv @ meat @ inv * 400 / 398)
+    assert hac_ols(d.withColumn("x2", F.col("x1")), ["x0", "x1", "x2"])["beta"] is None
+
+
+def test_admission_stream_equals_batch(spark, tmp_path):
+    from tidewright.streaming.online import admission
+
+    ok = [True, True, True, False, False, True]
+    for part in (0, 3):
+        spark.createDataFrame([("s", i, ok[i]) for i in range(part, part + 3)], "symbol string, idx long, ok boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    src = spark.readStream.schema("symbol string, idx long, ok boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = admission(src).writeStream.format("memory").queryName("states").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = [r["state"] for r in spark.sql("SELECT * FROM states ORDER BY idx").collect()]
+    assert got == ["warmup", "non_admitted", "admissible", "admissible", "revoked", "revoked"]
