@@ -283,9 +283,9 @@ WITH i AS (
 ), n AS (
   SELECT DISTINCT n FROM win
 ), p AS (
-  SELECT rid, n.n, unnest(range(1, len(ws) - n.n + 2)) AS k, ws FROM d, n WHERE len(ws) >= n.n
+  SELECT rid, n.n, unnest(range(1, len(ws) - n.n + 2)) AS k, unnest(list_transform(range(1, len(ws) - n.n + 2), lambda k: array_to_string(ws[k:k+n.n-1], ' '))) AS w FROM d, n WHERE len(ws) >= n.n
 ), hit AS (
-  SELECT p.rid, p.k, p.n, win.item FROM p JOIN win ON p.n = win.n AND array_to_string(p.ws[p.k:p.k+p.n-1], ' ') = win.w
+  SELECT p.rid, p.k, p.n, win.item FROM p JOIN win ON p.n = win.n AND p.w = win.w
 ), places AS (
   SELECT rid, count(DISTINCT place)::BIGINT AS n_hit FROM (SELECT DISTINCT rid, unnest(range(k, k + n)) AS place FROM hit) GROUP BY rid
 ), its AS (

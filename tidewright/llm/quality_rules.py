@@ -149,9 +149,9 @@ WITH d AS (
   SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d
 ), g AS (
-  SELECT rid, unnest(range(1, len(ws) - 6)) AS i, ws FROM w WHERE len(ws) >= 9
+  SELECT rid, unnest(range(1, len(ws) - 6)) AS i, unnest(list_transform(range(1, len(ws) - 6), lambda i: ws[i:i+7])) AS win FROM w WHERE len(ws) >= 9
 ), k AS (
-  SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i:i+7]) AS c FROM g
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, win) AS c FROM g
 ), s AS (
   SELECT rid, least(8, coalesce(lead(i) OVER (PARTITION BY rid ORDER BY i) - i, 8)) AS step FROM k WHERE c > 1
 ), r AS (
