@@ -8,12 +8,12 @@
 2. Pivots. In a small neighbourhood all pairs are candidates. In a large one the first set of each size class is a
    pivot, its Voronoi region is the class, and sets of the class below, which may lie within r, join the region.
    Only distances to pivots are computed: as many as there are members. Equal sets count as one throughout.
-3. Candidates first meet a lower bound of their difference (parities of 1,024 shingle counters), then the sets.
+3. Candidates first meet a lower bound of their difference (parities of shingle counters), then the sets.
    What is within r is a link; links make components.
 4. Regions that still hold several components recurse: more pivots (of other components), each member goes to the
-   cell of its nearest pivot and, by the triangle inequality, to every cell no more than 2r farther. In cells of
-   few members the pairs of different components whose distances to their pivots differ by at most r are
-   computed. Pairs within a component need no look: they can add no component. Thus no link between
+   cell of its nearest pivot and, by the triangle inequality, to every cell no more than 2r farther. Once members
+   times those outside the largest component are few, pairs of different components meet whose sizes and whose
+   distances to the pivot (by at most r) allow a link. Pairs within a component need no look: they can add no component. Thus no link between
    different components is lost, and no group is paired with itself.
 
 Sets are identified by 128 bits of commutative hashes, shingles by 64.
@@ -28,14 +28,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MASK64, column_buffers, materialize, once_a_worker, sized_join, slices, splitmix, text_key
+from .common import MASK64, arrow_rows, column_buffers, materialize, once_a_worker, sized_join, slices, splitmix, text_key
 
 WORDS, NUM, DEN = 5, 4, 5  # five words, threshold 4/5
 RADIUS = 1 - NUM / DEN
 #: Neighbourhoods up to PAIRED members are paired, larger ones get pivots; in a batch, above HOT.
-PAIRED, HOT, CELL, PIVOTS = 12, 128, 48, 8
-BITS = 1024
-SLICE = 3 << 20
+PAIRED, HOT, PIVOTS = 12, 128, 8
+#: A region whose members times those outside its largest component are more than this splits before its pairs meet.
+DIRECT = 2_000_000
+#: Parity counters of a set: a power of two from LEAST to MOST bits, as many as shingles or more up to that.
+LEAST_BITS, MOST_BITS = 512, 1 << 16
+SLICE = 1 << 20
 
 
 class Shingler:
@@ -164,6 +167,24 @@ def _stars(np, h, size, ref, order):
     return np.concatenate(member), np.concatenate(pivot)
 
 
+def _parities(np, t, h, n, base: int, out: list) -> None:
+    """Puts the parity bits of each text's shingle counters into out. Counters fold: those of half as many bits are the
+    two halves' exclusive or."""
+    bits = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    cut = np.searchsorted(t, np.arange(len(n) + 1))
+    for size in np.unique(bits[n > 0]).tolist():
+        who = np.flatnonzero((bits == size) & (n > 0))
+        step = max(1, (1 << 21) // size)
+        for k in range(0, len(who), step):
+            w = who[k : k + step]
+            rows = np.repeat(np.arange(len(w)), n[w])
+            at = np.arange(len(rows)) - np.repeat(np.cumsum(n[w]) - n[w], n[w]) + np.repeat(cut[w], n[w])
+            place = rows * size + (h[at] & np.uint64(size - 1)).astype(np.int64)
+            p = np.packbits((np.bincount(place, minlength=len(w) * size) & 1).astype(np.uint8).reshape(len(w), size), axis=1)
+            for i, row in zip(w.tolist(), p):
+                out[base + i] = row.tobytes()
+
+
 def listing(docs: DataFrame, heavy, buckets: int) -> DataFrame:
     """Kind 0: a row for each text (ref, id, k1, k2, n, s1, s2, parity); kind 1: packed entries (bucket, ref of the
     batch's first row, entries); kind 2: stars of groups that are hot within a batch (packed refs of member, pivot)."""
@@ -187,7 +208,7 @@ def listing(docs: DataFrame, heavy, buckets: int) -> DataFrame:
             kind_of_id = big.schema.field(0).type
             for b in (big.slice(k, 20_000) for k in range(0, big.num_rows, 20_000)):
                 data, offs = column_buffers(b.column(3))
-                rows, sizes, s1, s2, parity, listed = b.num_rows, np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), np.zeros((b.num_rows, BITS // 8), np.uint8), []
+                rows, sizes, s1, s2, parity, listed = b.num_rows, np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), [b""] * b.num_rows, []
                 for x, y in slices(offs, SLICE):
                     t, h = s.sets(data[offs[x] : offs[y]], offs[x : y + 1] - offs[x])
                     if not len(t):
@@ -198,11 +219,7 @@ def listing(docs: DataFrame, heavy, buckets: int) -> DataFrame:
                     sizes[x:y] = n
                     s1[x + at] = splitmix(np.add.reduceat(h, lead) + n[at].astype(np.uint64))
                     s2[x + at] = splitmix(np.add.reduceat(splitmix(h ^ np.uint64(0x5DEECE66D)), lead))
-                    for u in range(0, y - x, 512):
-                        z = slice(*np.searchsorted(t, (u, u + 512)))
-                        m = min(512, y - x - u)
-                        p = np.bincount((t[z] - u) * BITS + (h[z] % np.uint64(BITS)).astype(np.int64), minlength=m * BITS) & 1
-                        parity[x + u : x + u + m] = np.packbits(p.astype(np.uint8).reshape(m, BITS), axis=1)
+                    _parities(np, t, h, n, x, parity)
                     if len(heavy):
                         f = heavy[np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)] == h
                         order = np.lexsort((h, f, t))
@@ -214,7 +231,7 @@ def listing(docs: DataFrame, heavy, buckets: int) -> DataFrame:
                     e["size"] = np.floor(64 * np.log2(n[t[use]])).astype(np.uint16)
                     listed.append(e)
                 ref = base + np.arange(rows)
-                yield emit(0, None, ref, b.column(0), b.column(1), b.column(2), sizes, s1.view(np.int64), s2.view(np.int64), [p.tobytes() for p in parity])
+                yield emit(0, None, ref, b.column(0), b.column(1), b.column(2), sizes, s1.view(np.int64), s2.view(np.int64), parity)
                 if listed:
                     e = np.concatenate(listed)
                     # of equal sets in a batch, one lists
@@ -283,9 +300,12 @@ def neighbours(listed: DataFrame) -> DataFrame:
     return listed.filter("kind = 1").groupBy("bucket").applyInPandas(run, schema).unionByName(within)
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(node, comp) of all nodes in edges (a, b), comp the smallest node reached: large-star and small-star by turns."""
+def components(edges: DataFrame, most_rounds: int = 60, one_task: int = 500_000) -> DataFrame:
+    """(node, comp) of all nodes in edges (a, b), comp the smallest node reached. Up to one_task edges (8 MB) are joined
+    in one task; beyond, large-star and small-star by turns, each round spread over all."""
     e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if e.count() <= one_task:
+        return e.coalesce(1).mapInArrow(_union_find, "node long, comp long")
     before = None
     for _ in range(most_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -301,6 +321,25 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("comp"))).distinct()
 
 
+def _union_find(batches):
+    import pyarrow as pa
+
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            p, q = (top(z) if z in up else up.setdefault(z, z) for z in (x, y))
+            up[max(p, q)] = min(p, q)
+    nodes = sorted(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "comp"])
+
+
 class Verifier:
     """Distances of pairs of nodes; texts are read again for the sets that are needed."""
 
@@ -319,10 +358,15 @@ class Verifier:
             import pyarrow as pa
 
             for b in batches:
-                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (4, 5))
-                total = b.column(2).to_numpy() + b.column(3).to_numpy()
-                most = total - 2 * -(-NUM * total // (NUM + DEN))
-                yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(np.bitwise_count(x ^ y).sum(1) <= most))
+                keep = []
+                for na, nb, pa_, pb_ in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5))):
+                    x, y = np.frombuffer(pa_, np.uint64), np.frombuffer(pb_, np.uint64)
+                    while len(x) > len(y):
+                        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                    while len(y) > len(x):
+                        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                    keep.append(int(np.bitwise_count(x ^ y).sum()) <= na + nb - 2 * -(-NUM * (na + nb) // (NUM + DEN)))
+                yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return p.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
 
@@ -332,68 +376,68 @@ class Verifier:
         need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
         need = materialize(need.join(self.nodes.select("node", "k1", "k2", "rid").hint("merge"), "node"), "need")
         texts = sized_join(self.docs.withColumn("rid", F.xxhash64("id")), need, ["k1", "k2", "rid"], "inner", 64).select("node", "data")
+        texts = materialize(texts, "texts")
+        p = pairs.join(texts.select(F.col("node").alias("a"), F.col("data").alias("ta")).hint("merge"), "a").join(texts.select(F.col("node").alias("b"), F.col("data").alias("tb")).hint("merge"), "b")
 
-        def run(batches):
+        def meet(batches):
             import numpy as np
             import pyarrow as pa
 
-            s = _shingler()
-            for b in batches:
-                data, offs = column_buffers(b.column(1))
-                for x, y in slices(offs, SLICE):
-                    t, h = s.sets(data[offs[x] : offs[y]], offs[x : y + 1] - offs[x])
-                    cut = np.searchsorted(t, np.arange(y - x + 1))
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(x, y - x), pa.array([h[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary())], ["node", "set"])
-
-        sets = materialize(texts.mapInArrow(run, "node long, set binary"), "sets")
-        p = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")).hint("merge"), "b")
+            s, last = _shingler(), (None, None)
 
-        def meet(batches):
-            import numpy as np
-            import pyarrow as pa
+            def shingles(data: bytes):
+                x = np.frombuffer(data, np.uint8)
+                return s.sets(x, np.array([0, len(x)]))[1]
 
             for b in batches:
                 common, total = [], []
-                for x, y in zip(b.column(2), b.column(3)):
-                    u, v = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                    c = len(np.intersect1d(u, v, assume_unique=True))
+                for k in range(b.num_rows):
+                    pivot = b.column(1)[k].as_py()
+                    if pivot != last[0]:  # rows come in order of b
+                        last = pivot, shingles(b.column(3)[k].as_py())
+                    u = shingles(b.column(2)[k].as_py())
+                    c = len(np.intersect1d(u, last[1], assume_unique=True))
                     common.append(c)
-                    total.append(len(u) + len(v) - c)
+                    total.append(len(u) + len(last[1]) - c)
                 yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "common", "total"])
 
         # a text that several equal rows bring gives the same figures again
-        return materialize(p.select("a", "b", "sa", "sb").mapInArrow(meet, "a long, b long, common long, total long").distinct(), "distances")
+        with arrow_rows(p.sparkSession, 256):  # rows hold two texts each
+            return materialize(p.select("a", "b", "ta", "tb").mapInArrow(meet, "a long, b long, common long, total long").distinct(), "distances")
 
 
 def _is_link():
     return (DEN * F.col("common") >= NUM * F.col("total")) & (F.col("total") > 0)
 
 
-def _recurse(v: Verifier, regions: DataFrame, edges: DataFrame, comp: DataFrame, most_levels: int = 8) -> tuple[DataFrame, DataFrame]:
-    """Joins regions (cell, node, d: distance to the cell's pivot, or null) until none holds two components."""
+def _recurse(v: Verifier, regions: DataFrame, edges: DataFrame, comp: DataFrame, most_levels: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Joins regions (cell, node, n, d: distance to the cell's pivot, or null) until none holds two components. A region is
+    done when the members outside its largest component have met the others; if that takes too many pairs, it splits."""
     for level in range(most_levels + 1):
         labelled = regions.join(comp.withColumnRenamed("comp", "c").hint("merge"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        stat = labelled.groupBy("cell").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi")
-        todo = materialize(labelled.join(stat.select("cell", "m").hint("merge"), "cell"), "regions")
+        per = labelled.groupBy("cell", "c").agg(F.count("*").alias("k")).groupBy("cell").agg(F.sum("k").alias("m"), F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("comps"))
+        per = per.filter("comps > 1").select("cell", "m", F.col("top.c").alias("main"), (F.col("m") - F.col("top.k")).alias("out"))
+        todo = materialize(labelled.join(per.hint("merge"), "cell"), "regions")
         if todo.isEmpty():
             break
-        few = todo.filter((F.col("m") <= CELL) | F.lit(level == most_levels))
-        x, y = few.select("cell", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("d").alias("da")), few.select("cell", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("d").alias("db"))
-        window = F.coalesce(F.abs(F.col("da") - F.col("db")) <= RADIUS + 1e-9, F.lit(True))
-        pairs = x.join(y.hint("merge"), "cell").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & window).select("a", "b")
+        direct = F.lit(level == most_levels) | (F.col("m") * F.col("out") <= DIRECT)
+        few, many = todo.filter(direct), todo.filter(~direct)
+        x = few.filter("c <> main").select("cell", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("d").alias("da"), F.col("n").alias("na"))
+        y = few.select("cell", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("d").alias("db"), F.col("n").alias("nb"))
+        window = F.coalesce(F.abs(F.col("da") - F.col("db")) <= RADIUS + 1e-9, F.lit(True)) & (DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb"))
+        pairs = x.join(y.hint("merge"), "cell").filter((F.col("ca") != F.col("cb")) & window).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         new = v.distances(v.near(pairs)).filter(_is_link()).select("a", "b")
-        many = todo.filter((F.col("m") > CELL) & F.lit(level < most_levels))
-        lead = many.groupBy("cell", "c").agg(F.min("node").alias("q"))
-        lead = lead.withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("q"), "q"))).filter(F.col("k") <= PIVOTS).select("cell", "q")
-        ask = materialize(many.select("cell", "node").join(lead.hint("merge"), "cell"), "asked")
         regions = None
-        if not ask.isEmpty():
+        if level < most_levels and not many.isEmpty():
+            lead = many.groupBy("cell", "c").agg(F.min("node").alias("q"))
+            lead = lead.withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("q"), "q"))).filter(F.col("k") <= PIVOTS).select("cell", "q")
+            ask = materialize(many.select("cell", "node", "n").join(lead.hint("merge"), "cell"), "asked")
             d = v.distances(ask.filter("node <> q").select(F.col("node").alias("a"), F.col("q").alias("b")))
             new = new.unionByName(d.filter(_is_link()).select("a", "b"))
             at = ask.join(d.select(F.col("a").alias("node"), F.col("b").alias("q"), (1 - F.col("common") / F.col("total")).alias("d")).hint("merge"), ["node", "q"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
             best = at.groupBy("cell", "node").agg(F.min("d").alias("best"))
             cells = at.join(best.hint("merge"), ["cell", "node"]).filter(F.col("d") <= F.col("best") + 2 * RADIUS + 1e-9)
-            regions = materialize(cells.select(F.xxhash64("cell", "q").alias("cell"), "node", "d"), "cells")
+            regions = materialize(cells.select(F.xxhash64("cell", "q").alias("cell"), "node", "n", "d"), "cells")
         edges = materialize(edges.unionByName(new), "links")
         comp = materialize(components(edges), "components")
         if regions is None:
@@ -406,7 +450,8 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFr
     those found, enough to connect all that any link connects."""
     docs = keyed(df, key, text)
     total = docs.agg(F.sum(F.octet_length("data")).alias("n")).first()["n"] or 0
-    listed = materialize(listing(docs, frequent(docs), max(12, total // (40 << 20))), "listing")
+    with arrow_rows(df.sparkSession, 2_500):
+        listed = materialize(listing(docs, frequent(docs), max(12, total // (16 << 20))), "listing")
     rows = listed.filter("kind = 0")
     full = rows.filter("n > 0")
     # the first ref of equal sets is their node
@@ -428,6 +473,7 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFr
         regions = stars.unionByName(stars.select("cell", F.col("cell").alias("node"))).distinct()
         d = found.select(F.col("a").alias("node"), F.col("b").alias("cell"), (1 - F.col("common") / F.col("total")).alias("d"))
         regions = regions.join(d.hint("merge"), ["cell", "node"], "left").withColumn("d", F.when(F.col("cell") == F.col("node"), 0.0).otherwise(F.col("d")))
+        regions = regions.join(nodes.select("node", "n").hint("merge"), "node")
         edges, comp = _recurse(v, materialize(regions, "regions"), edges, comp)
     member = rows.select("id", "ref", F.col("n").alias("n_shingles")).join(where.hint("merge"), "ref", "left").join(comp.hint("merge"), "node", "left")
     member = materialize(member.withColumn("comp", F.coalesce("comp", "node", "ref")), "members")
