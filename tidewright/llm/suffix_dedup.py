@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import MASK64, column_buffers, materialize, sized_join, slices, splitmix, text_key
 
-LENGTH, GRAM, SLICE = 200, 40, 3 << 20
+LENGTH, GRAM, SLICE = 200, 40, 1 << 20
 #: A bucket of more undecided entries is split before it is sorted.
 MOST_ENTRIES = 4_000
 
@@ -66,6 +66,12 @@ class Cover:
         np.cumsum(self.byte[i][data] * self.power[i][: len(data)], out=out[1:])
         return out
 
+    def windows(self, data, starts):
+        """Hashes of the windows at starts."""
+        self._powers(len(data))
+        s = self.sums(data, 0)
+        return splitmix((s[starts + self.length] - s[starts]) * self.inverse[0][starts])
+
     def entries(self, data, offsets):
         """For the texts data[offsets[k] : offsets[k + 1]]: text number, first and last window start (in data), place
         of the sample, sample hash and span hash of every entry."""
@@ -252,9 +258,9 @@ class DifferenceCover:
 
 
 def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Entries (k1, k2, gram, first, last, place) with the bytes that their windows span. docs: k1, k2, row, data; one
+    """Entries (k1, k2, gram, first, last, place, kind) with the bytes that their windows span. docs: k1, k2, row, data; one
     row of each text is asked."""
-    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "first", "last", "place")).alias("e"))
+    lists = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("gram", "first", "last", "place", "kind")).alias("e"))
 
     def pack(batches):
         import numpy as np
@@ -286,14 +292,14 @@ def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 data, e = b.column(2)[k].as_py(), np.frombuffer(b.column(3)[k].as_py(), PACKED)
                 n = len(e)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, b.column(0)[k].as_py())), pa.array(np.full(n, b.column(1)[k].as_py())), *(pa.array(e[c].copy()) for c in ("gram", "first", "last", "place")), pa.array([data[x : y + LENGTH] for x, y in zip(e["first"].tolist(), e["last"].tolist())], pa.binary())],
-                    ["k1", "k2", "gram", "first", "last", "place", "bytes"],
+                    [pa.array(np.full(n, b.column(0)[k].as_py())), pa.array(np.full(n, b.column(1)[k].as_py())), *(pa.array(e[c].copy()) for c in ("gram", "first", "last", "place", "kind")), pa.array([data[x : y + LENGTH] for x, y in zip(e["first"].tolist(), e["last"].tolist())], pa.binary())],
+                    ["k1", "k2", "gram", "first", "last", "place", "kind", "bytes"],
                 )
 
-    return joined.mapInArrow(cut, "k1 long, k2 long, gram long, first int, last int, place int, bytes binary")
+    return joined.mapInArrow(cut, "k1 long, k2 long, gram long, first int, last int, place int, kind byte, bytes binary")
 
 
-PACKED = [("gram", "<i8"), ("first", "<i4"), ("last", "<i4"), ("place", "<i4")]
+PACKED = [("gram", "<i8"), ("first", "<i4"), ("last", "<i4"), ("place", "<i4"), ("kind", "<i1")]
 NO_ROW = -(1 << 63)
 PART = 20
 
@@ -314,7 +320,7 @@ def decide(entries: DataFrame) -> DataFrame:
     high = F.least(F.col("last"), F.col("place") - w + (F.col("part") + 1) * PART - 1).cast("int")
     at = F.col("place") - w + (F.col("part") + 1) * PART - 1 - F.col("first")
     core = F.substring(F.col("bytes"), (F.greatest(at, F.lit(0)) + 1).cast("int"), F.lit(LENGTH - PART + 1))
-    parts = parts.select("k1", "k2", "gram", low.alias("first"), high.alias("last"), "place", F.substring(F.col("bytes"), (low - F.col("first") + 1).cast("int"), (high - low + LENGTH).cast("int")).alias("bytes"), F.col("part").cast("int").alias("part"), F.when(F.col("part") * PART + PART - 1 <= w, F.xxhash64(core)).otherwise(F.lit(0)).alias("core"))
+    parts = parts.select("k1", "k2", "gram", low.alias("first"), high.alias("last"), "place", "kind", F.substring(F.col("bytes"), (low - F.col("first") + 1).cast("int"), (high - low + LENGTH).cast("int")).alias("bytes"), F.col("part").cast("int").alias("part"), F.when(F.col("part") * PART + PART - 1 <= w, F.xxhash64(core)).otherwise(F.lit(0)).alias("core"))
     parts = materialize(parts, "parts")
     group = ["gram", "part", "core"]
     still = materialize(parts.groupBy(*group).count().filter(F.col("count") > MOST_ENTRIES).select(*group), "still-large")
@@ -333,12 +339,23 @@ def _sorted(entries: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         def block(rows):
-            contexts = [r[5] for r in rows]
+            contexts = [r[6] for r in rows]
             lead = np.cumsum([0, *map(len, contexts)])[:-1]
             n = np.array([r[4] - r[3] + 1 for r in rows])
             who = np.repeat(np.arange(len(rows)), n)
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            found = DifferenceCover(b"".join(contexts)).repeats(lead[who] + step)
+            text, at = b"".join(contexts), lead[who] + step
+            # a start matters if its window's hash occurs again, with an undecided entry among the holders
+            h = cover.windows(np.frombuffer(text, np.uint8), at)
+            order = np.argsort(h)
+            new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+            group = np.cumsum(new) - 1
+            open_ = np.array([r[5] == 0 for r in rows])[who]
+            use = np.zeros(len(at), bool)
+            use[order] = ((np.bincount(group) > 1) & (np.bincount(group, open_[order]) > 0))[group]
+            use = np.flatnonzero(use)
+            found = np.zeros(len(at), bool)
+            found[use] = DifferenceCover(text).repeats(at[use])
             starts = np.flatnonzero(found & ~(np.concatenate([[False], found[:-1]]) & (step > 0)))
             ends = np.flatnonzero(found & ~(np.concatenate([found[1:], [False]]) & np.concatenate([step[1:] > 0, [False]])))
             w = who[starts]
@@ -346,7 +363,7 @@ def _sorted(entries: DataFrame) -> DataFrame:
             first = take(3)
             return pa.RecordBatch.from_arrays([pa.array(take(1)), pa.array(take(2)), pa.array((first + step[starts]).astype(np.int32)), pa.array((first + step[ends]).astype(np.int32))], ["k1", "k2", "first", "last"])
 
-        rows, size, last = [], 0, None
+        cover, rows, size, last = Cover(), [], 0, None
         for b in batches:
             for key, *r in zip(*(c.to_pylist() for c in b.columns)):
                 if size > 2 << 20 and key != last:
@@ -354,12 +371,12 @@ def _sorted(entries: DataFrame) -> DataFrame:
                     rows, size = [], 0
                 last = key
                 rows.append((key, *r))
-                size += len(r[4])
+                size += len(r[5])
         if rows:
             yield block(rows)
 
     key = F.xxhash64("gram", "part", "core")
-    rows = entries.select(key.alias("key"), "k1", "k2", "first", "last", "bytes")
+    rows = entries.select(key.alias("key"), "k1", "k2", "first", "last", "kind", "bytes")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "k1 long, k2 long, first int, last int")
 
 
@@ -370,7 +387,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """Rows (k1, k2, spans) for the texts that lose bytes; spans: packed pairs of int32, sorted and apart. docs: k1, k2,
     row, data."""
     total = docs.agg(F.sum(F.octet_length("data")).alias("n")).first()["n"] or 0
-    buckets = max(12, total // (40 << 20))
+    buckets = max(12, total // (16 << 20))
     rows = docs.select("k1", "k2", "data").filter(F.octet_length("data") >= LENGTH)
     ranked = materialize(rank(cover(rows, buckets), buckets), "ranked")
     runs = decide(materialize(contexts(docs, ranked.filter("kind <> 1")), "contexts"))
