@@ -224,6 +224,28 @@ def test_components_equal_brute_force(spark, odd, tight, monkeypatch):
     assert Counter(map(tuple, got)) == brute_components(rows(spark, odd))
 
 
+@pytest.mark.parametrize("first", ["base", "variants"])
+def test_stars_over_batches(spark, first):
+    """Variants that are linked with their base and with no other variant; all list the same shingles of the base."""
+    base = [f"b{k}" for k in range(100)]
+    s = jaccard_join.Shingler()
+    hashes = [s.sets(d, np.array([0, len(d)]))[1][0] for d in (np.frombuffer(" ".join(base[k : k + 5]).encode(), np.uint8) for k in range(96))]
+    listed = np.argsort(hashes)[:10]
+    free = [p for p in range(4, 96) if not any(p - 4 <= k <= p for k in listed)]
+    places = [(p, q) for p in free for q in free if q - p >= 5][:300]
+    variants = [[f"x{k}" if j in at else w for j, w in enumerate(base)] for k, at in enumerate(places)]
+    parts = [[base], variants[::2], variants[1::2]]
+    assert min(map(len, parts[1:])) > jaccard_join.HOT
+    rows = [(k, " ".join(w)) for k, w in enumerate(w for part in parts for w in part)]
+    parts = [rows[:1], rows[1 : 1 + len(parts[1])], rows[1 + len(parts[1]) :]]
+    rdd = spark.sparkContext.parallelize(parts if first == "base" else parts[::-1], 3).flatMap(lambda part: part)
+    docs = spark.createDataFrame(rdd, "doc_id long, text string")
+    assert docs.select(F.spark_partition_id()).distinct().count() == 3
+    members, _ = jaccard_join.join(docs)
+    got = Counter(map(tuple, members.select("doc_id", "n_shingles", "component_id").collect()))
+    assert got == brute_components(docs.collect()) and {c for _, _, c in got} == {0}
+
+
 # 6
 
 

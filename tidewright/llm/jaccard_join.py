@@ -146,6 +146,8 @@ def frequent(docs: DataFrame, sample: int = 12_000, least: int = 3, most: int =
 
 
 ENTRY = [("h", "<u8"), ("row", "<u2"), ("size", "<u2")]
+#: This bit of an entry's size marks a pivot whose batch holds further members, known by its star only.
+STAR = 1 << 15
 
 
 def _stars(np, h, size, ref, order):
@@ -248,6 +250,7 @@ def listing(docs: DataFrame, heavy, buckets: int) -> DataFrame:
                         stays = np.ones(len(e), bool)
                         stays[o] = False
                         stays[np.unique(pivot)] = True
+                        e["size"][np.unique(pivot)] |= STAR
                         e = e[stays]
                     bucket = (e["h"] >> np.uint64(20)) % np.uint64(buckets)
                     order = np.argsort(bucket, kind="stable")
@@ -268,17 +271,19 @@ def neighbours(listed: DataFrame) -> DataFrame:
 
         e = np.concatenate([np.frombuffer(x, ENTRY) for x in pdf["packed"]])
         ref = np.concatenate([np.frombuffer(x, ENTRY)["row"].astype(np.int64) + r for x, r in zip(pdf["packed"], pdf["ref"])])
-        h, size = e["h"], e["size"]
+        h, size, star = e["h"], e["size"] & np.uint16(STAR - 1), e["size"] >= STAR
         order = np.lexsort((ref, size // 22, h))
-        _, m = np.unique(h[order], return_counts=True)
+        _, first, m = np.unique(h[order], return_index=True, return_counts=True)
+        # a group that stands for hidden members makes a region, as large ones do
+        large = np.repeat((m > PAIRED) | (np.maximum.reduceat(star[order], first) & (m > 1)), m)
         m = np.repeat(m, m)
         out = []
-        o = order[(m > 1) & (m <= PAIRED)]
+        o = order[(m > 1) & ~large]
         for k in range(1, PAIRED):
             i, j = o[:-k], o[k:]
             ok = (h[i] == h[j]) & (np.abs(size[i].astype(np.int64) - size[j]) <= 22)
             out.append(np.stack([np.minimum(ref[i], ref[j])[ok], np.maximum(ref[i], ref[j])[ok], np.zeros(ok.sum(), np.int64)], 1))
-        o = order[m > PAIRED]
+        o = order[large]
         if len(o):
             member, pivot = _stars(np, h, size, ref, o)
             out.append(np.stack([ref[member], ref[pivot], np.ones(len(member), np.int64)], 1))
