@@ -39,6 +39,13 @@ def vr_rolling(spark, sf):
     return rounded(v.select("symbol", F.col("q").cast("long").alias("q"), "end_idx", "vr_dev", "z"), "vr_dev", "z")
 
 
+@query()
+def vr_rolling_all(spark, sf):
+    """Every rolling window of every symbol; vr_rolling holds the twin's part of them."""
+    v = VR.rolling(panel(spark, sf), 60, (2, 5), 200).filter("vr_dev IS NOT NULL")
+    return rounded(v.select("symbol", F.col("q").cast("long").alias("q"), "end_idx", "vr_dev", "z"), "vr_dev", "z")
+
+
 @query(VRS + """, m AS (SELECT symbol, q, median(z) AS z FROM vr GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY abs(z) DESC, q) AS k FROM m),
 o AS (SELECT *, abs(z) > [2.497705474412374, 2.3939797998185104, 2.241402727604947, 1.959963984540054][k] AS ok FROM k), r AS (SELECT *, min(ok::INT) OVER (PARTITION BY symbol ORDER BY k) = 1 AS rejected FROM o)
 SELECT symbol, max((rejected AND z > 0)::INT) = 1 AS fired, sum(rejected::INT)::BIGINT AS n_rejected FROM r GROUP BY symbol""")
