@@ -36,3 +36,21 @@ def test_every_rolling_window(spark, lines):
             for q in (2, 5):
                 v, z = kernel(close[s][e - 59 : e + 1][None], q)
                 assert got[s, q, e] == pytest.approx((v[0], z[0]), abs=2e-6)
+
+
+def test_volume_bars_of_every_symbol(spark, lines):
+    d, _, volume = lines
+    want = []
+    for s, v in volume.items():
+        amount, bar = 0.0, 0
+        for i, x in enumerate(v):
+            amount += x
+            if amount >= 500:
+                want.append((s, bar, 1_609_459_200_000 + i * 60_000, amount))
+                amount, bar = 0.0, bar + 1
+    assert sorted(map(tuple, QUERIES["volume_bars"](spark, d).collect())) == want
+
+
+def test_scan_of_every_symbol(spark, lines):
+    got = {r["symbol"]: r["n"] for r in QUERIES["scan_years"](spark, lines[0]).collect()}
+    assert got == {s: BARS for s in range(1, SYMBOLS + 1)}

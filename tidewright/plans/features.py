@@ -16,7 +16,7 @@ HOURS = event_bars_sql(HOUR)
 
 @query(f"WITH {PANEL_SQL} SELECT symbol, year, count(*) AS n, round(sum(volume), 6) AS volume FROM panel WHERE year BETWEEN 1996 AND 1998 AND symbol <= 20 GROUP BY ALL")
 def scan_years(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(panel(spark, sf).filter(F.col("year").between(1996, 1998) & (F.col("symbol") <= 20)).groupBy("symbol", "year").agg(F.count("*").alias("n"), F.sum("volume").alias("volume")), "volume")
+    return rounded(panel(spark, sf).filter(F.col("year").between(1996, 1998)).groupBy("symbol", "year").agg(F.count("*").alias("n"), F.sum("volume").alias("volume")), "volume")
 
 
 @query(f"WITH {BARS} SELECT symbol, ts, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume FROM bars")
@@ -207,7 +207,7 @@ def max_drawdown(spark, sf):
  UNION ALL SELECT p.symbol, p.idx, p.ts, CASE WHEN s.closed THEN p.volume ELSE s.amount + p.volume END, s.bar + s.closed::INT, CASE WHEN s.closed THEN p.volume ELSE s.amount + p.volume END >= 500 FROM s JOIN panel p ON p.symbol = s.symbol AND p.idx = s.idx + 1)
 SELECT symbol, bar::BIGINT AS idx, ts, round(amount, 6) AS amount FROM s WHERE closed""")
 def volume_bars(spark, sf):
-    return rounded(rebar.volume_bars(panel(spark, sf).filter("symbol <= 20"), 500).select("symbol", "idx", "ts", "amount"), "amount")
+    return rounded(rebar.volume_bars(panel(spark, sf), 500).select("symbol", "idx", "ts", "amount"), "amount")
 
 
 @query()
