@@ -54,3 +54,14 @@ def test_volume_bars_of_every_symbol(spark, lines):
 def test_scan_of_every_symbol(spark, lines):
     got = {r["symbol"]: r["n"] for r in QUERIES["scan_years"](spark, lines[0]).collect()}
     assert got == {s: BARS for s in range(1, SYMBOLS + 1)}
+
+
+def test_backtest_of_whole_series(spark, lines):
+    d, close, _ = lines
+    got = {r["symbol"]: r for r in QUERIES["backtest_trades"](spark, d).collect()}
+    for s, c in close.items():
+        o, c = 100 + np.array([c[0], *c[:-1]]) / 100, 100 + c / 100
+        signal = [0.1 * np.sign(c[i] - c[i - 19 : i + 1].mean()) if i >= 19 else 0.0 for i in range(BARS)]
+        trades, _ = run_account(1_609_459_200_000 + np.arange(BARS) * 60_000, o, c, signal, [False] * BARS)
+        assert got[s]["n"] == len(trades) and got[s]["pnl"] == pytest.approx(sum(t[-1] for t in trades), abs=1e-3)
+    assert len(got) == SYMBOLS

@@ -214,7 +214,7 @@ def injection_power(spark, sf):
 def backtest_trades(spark, sf):
     from ..operators.strategy import backtest
 
-    b = panel(spark, sf).filter("idx < 200").withColumn("close", 100 + F.col("close") / 100).withColumn("open", 100 + F.col("open") / 100).withColumn("signal", 0.1 * F.signum(F.col("close") - W.full(F.avg, F.col("close"), 20)))
+    b = panel(spark, sf).withColumn("close", 100 + F.col("close") / 100).withColumn("open", 100 + F.col("open") / 100).withColumn("signal", 0.1 * F.signum(F.col("close") - W.full(F.avg, F.col("close"), 20)))
     trades, _ = backtest(b.withColumn("signal", F.coalesce("signal", F.lit(0.0))), "signal")
     return trades.groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.sum("pnl"), 4).alias("pnl"), F.round(F.avg((F.col("pnl") > 0).cast("int")), 6).alias("win_rate"))
 
