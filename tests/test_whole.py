@@ -65,3 +65,27 @@ def test_backtest_of_whole_series(spark, lines):
         trades, _ = run_account(1_609_459_200_000 + np.arange(BARS) * 60_000, o, c, signal, [False] * BARS)
         assert got[s]["n"] == len(trades) and got[s]["pnl"] == pytest.approx(sum(t[-1] for t in trades), abs=1e-3)
     assert len(got) == SYMBOLS
+
+
+def test_bootstrap_replicates(spark, lines):
+    d, close, _ = lines
+    got = {r["symbol"]: r for r in QUERIES["block_bootstrap_all"](spark, d).collect()}
+    assert len(got) == SYMBOLS and {r["reps"] for r in got.values()} == {200}
+    for s in (1, 30):
+        r, means = np.diff(np.log(close[s]), prepend=np.log(close[s][0])), []  # the first is 0
+        for rep in range(200):
+            starts = [int(hashlib.sha256(f"{s}|{rep}|{b}".encode()).hexdigest()[:15], 16) % len(r) for b in range(math.ceil(len(r) / 20))]
+            means.append(np.mean([r[(a + k) % len(r)] for a in starts for k in range(20)][: len(r)]))
+        assert (got[s]["lo"], got[s]["hi"]) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])), abs=2e-6)
+
+
+def test_power_draws_and_lengths(spark):
+    got = {r["phi"]: r for r in QUERIES["injection_power"](spark, None).collect()}
+    assert {r["n"] for r in got.values()} == {200} and len(got) == 3
+    fires = 0
+    for draw in range(200):
+        close = np.exp(np.cumsum(np.random.default_rng([43, draw, 0]).normal(0, 1e-3, 50_000)))[: 50_000 // 120 * 120].reshape(-1, 120)
+        z = sorted((float(np.nanmedian(kernel(close, q)[1])) for q in (2, 5, 15, 60)), key=lambda v: -abs(v))
+        n = next((k for k, v in enumerate(z) if abs(v) <= CRITICAL[k]), 4)
+        fires += any(v > 0 for v in z[:n])
+    assert got[0.0]["fires"] == fires

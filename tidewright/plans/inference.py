@@ -196,6 +196,15 @@ def block_bootstrap(spark, sf):
     return rounded(block_bootstrap_ci(b, "r", block=20, reps=8).select("symbol", "lo", "hi"), "lo", "hi")
 
 
+@query()
+def block_bootstrap_all(spark, sf):
+    """The interval from the operator's default of 200 replicates; block_bootstrap holds the twin's eight."""
+    from ..operators.resample import block_bootstrap_ci
+
+    b = panel(spark, sf).select("symbol", "idx", W.log_return().alias("r"))
+    return rounded(block_bootstrap_ci(b, "r").select("symbol", "reps", "lo", "hi"), "lo", "hi")
+
+
 @query()
 def permutation_null(spark, sf):
     from ..operators.resample import permutation_p
@@ -207,7 +216,7 @@ def permutation_null(spark, sf):
 def injection_power(spark, sf):
     from ..operators.resample import power_grid
 
-    return power_grid(spark, (0.0, 0.3, 0.6), n_mc=12, n_bars=6000, w=120)
+    return power_grid(spark, (0.0, 0.3, 0.6))
 
 
 @query()
