@@ -246,6 +246,15 @@ def test_stars_over_batches(spark, first):
     assert got == brute_components(docs.collect()) and {c for _, _, c in got} == {0}
 
 
+def test_one_row_of_a_component_with_null_and_repeated_keys(spark):
+    a, b = _words(120, 31), _words(120, 32)
+    near = lambda w: " ".join([*w[:60], "x", *w[61:]])
+    rows = [(None, " ".join(a)), (None, near(a)), (5, " ".join(b)), (5, near(b)), (5, near(b)), (5, ""), (5, " "), (None, "")]
+    got = [r["text"] for r in jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == 5 and sorted(x for x in got if not x.strip()) == ["", "", " "]
+    assert sum(x in (" ".join(a), near(a)) for x in got) == 1 and sum(x in (" ".join(b), near(b)) for x in got) == 1
+
+
 # 6
 
 

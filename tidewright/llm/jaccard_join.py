@@ -451,7 +451,7 @@ def _recurse(v: Verifier, regions: DataFrame, edges: DataFrame, comp: DataFrame,
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Membership (key, n_shingles, node, component_id) of every row, and links (a, b, common, total) between nodes:
+    """Membership (key, n_shingles, node, component_id, k1, k2) of every row, and links (a, b, common, total) between nodes:
     those found, enough to connect all that any link connects."""
     docs = keyed(df, key, text)
     total = docs.agg(F.sum(F.octet_length("data")).alias("n")).first()["n"] or 0
@@ -480,20 +480,22 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFr
         regions = regions.join(d.hint("merge"), ["cell", "node"], "left").withColumn("d", F.when(F.col("cell") == F.col("node"), 0.0).otherwise(F.col("d")))
         regions = regions.join(nodes.select("node", "n").hint("merge"), "node")
         edges, comp = _recurse(v, materialize(regions, "regions"), edges, comp)
-    member = rows.select("id", "ref", F.col("n").alias("n_shingles")).join(where.hint("merge"), "ref", "left").join(comp.hint("merge"), "node", "left")
+    member = rows.select("id", "ref", "k1", "k2", F.col("n").alias("n_shingles")).join(where.hint("merge"), "ref", "left").join(comp.hint("merge"), "node", "left")
     member = materialize(member.withColumn("comp", F.coalesce("comp", "node", "ref")), "members")
     least = member.groupBy("comp").agg(F.min("id").alias("component_id"))
-    out = member.join(least.hint("merge"), "comp").select(F.col("id").alias(key), "n_shingles", "ref", F.coalesce("node", "ref").alias("node"), F.col("comp").alias("component"), "component_id")
+    out = member.join(least.hint("merge"), "comp").select(F.col("id").alias(key), "n_shingles", "ref", F.coalesce("node", "ref").alias("node"), F.col("comp").alias("component"), "component_id", "k1", "k2")
     return out, edges
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component: that with the smallest key; of repeated rows one. Rows with empty sets all stay."""
     members, _ = join(docs, key, text)
-    ids = members.filter((F.col("n_shingles") == 0) | F.col(key).eqNullSafe(F.col("component_id"))).groupBy(F.struct(key).alias("sk")).agg(F.max(F.col("n_shingles") > 0).alias("__full"))
-    kept = docs.withColumn("sk", F.struct(key)).join(ids.hint("merge"), "sk").drop("sk")
-    # rows that share their key: one of each text
+    # key and text name a row up to repetition, the key alone doesn't
+    least = members.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "k1", "k2")).alias("x"))
+    ids = least.select(F.struct(F.col("x.id").alias(key), F.col("x.k1").alias("k1"), F.col("x.k2").alias("k2")).alias("sk"), F.lit(True).alias("__full"))
+    ids = ids.unionByName(members.filter("n_shingles = 0").select(F.struct(key, "k1", "k2").alias("sk"), F.lit(False).alias("__full")).distinct())
     t = F.coalesce(F.col(text), F.lit(""))
+    kept = docs.withColumn("sk", F.struct(key, *text_key(t))).join(ids.hint("merge"), "sk").drop("sk")
     n = Window.partitionBy(key, *text_key(t)).orderBy(F.lit(0))
     return kept.withColumn("__n", F.row_number().over(n)).filter((F.col("__n") == 1) | ~F.col("__full")).select(docs.columns)
 
