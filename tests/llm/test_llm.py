@@ -176,7 +176,7 @@ def test_isotonic_never_falls():
 
 
 def test_folding_and_exceptions():
-    m = toxicity.ToxicityModel({"=idiot": 2.0, "=trash": 1.0, "^lowei": 3.0}).matcher()
+    m = toxicity.ToxicityModel({"=idiot": 2.0, "=trash": 1.0, "^lowei": 3.0}, exceptions=("trash can",)).matcher()
     assert m("An 1d10t, an іdiot​, IDIOT$$$ here")[0] == 6.0
     assert m("the trash can and trash")[0] == 1.0
     assert m("loweischaft flowei idiots")[0] == 3.0
@@ -215,35 +215,93 @@ def brute_components(docs):
 
 @pytest.mark.parametrize("tight", [False, True])
 def test_components_equal_brute_force(spark, odd, tight, monkeypatch):
-    if tight:  # every neighbourhood gets pivots, every region splits
-        monkeypatch.setattr(jaccard_join, "PAIRED", 2)
-        monkeypatch.setattr(jaccard_join, "HOT", 4)
-        monkeypatch.setattr(jaccard_join, "DIRECT", 20)
-        monkeypatch.setattr(jaccard_join.components, "__defaults__", (60, 0))
+    if tight:  # neighbourhoods are split over tasks, those that regions don't halve in blocks; components go by rounds
+        monkeypatch.setattr(jaccard_join, "CELL_NODES", 6)
+        monkeypatch.setattr(jaccard_join, "CELL_SHINGLES", 300)
+        monkeypatch.setattr(jaccard_join, "PIVOTS", 2)
+        monkeypatch.setattr(jaccard_join.components, "__defaults__", (0,))
     got = QUERIES["op5_jaccard_join"](spark, odd).collect()
     assert Counter(map(tuple, got)) == brute_components(rows(spark, odd))
 
 
+def _deal(spark, parts):
+    """Documents, one partition for each of parts."""
+    docs = [[(k, t) for k, t in part] for part in parts]
+    rdd = spark.sparkContext.parallelize(docs, len(docs)).flatMap(lambda part: part)
+    return spark.createDataFrame(rdd, "doc_id long, text string")
+
+
+def _components(docs):
+    members, links = jaccard_join.join(docs)
+    assert links.filter("5 * common < 4 * total OR a = b").isEmpty()
+    return Counter(map(tuple, members.select("doc_id", "n_shingles", "component_id").collect()))
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_links_over_batches(spark, parts, batch):
+    """300 groups of three texts that begin alike; within a group the last word differs (similarity 0.8 exactly)."""
+    texts = []
+    for g in range(300):
+        w = ["one", "two", "three", "four", "five", *(f"g{g}w{k}" for k in range(7))]
+        texts += [" ".join([*w, f"last{k}"]) for k in range(3)]
+    every = list(enumerate(texts))
+    dealt = [[r for r in every if r[0] % 3 == 0], [r for r in every if r[0] % 3 > 0]] if parts == 2 else [every[k::parts] for k in range(parts)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = _components(_deal(spark, dealt))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == brute_components([{"doc_id": k, "text": t} for k, t in every]) and len({c for _, _, c in got}) == 300
+
+
 @pytest.mark.parametrize("first", ["base", "variants"])
-def test_stars_over_batches(spark, first):
-    """Variants that are linked with their base and with no other variant; all list the same shingles of the base."""
+@pytest.mark.parametrize("nodes", [2_048, 40])
+def test_stars(spark, first, nodes, monkeypatch):
+    """Variants that are linked with their base and with no other variant, in one task and in several."""
+    monkeypatch.setattr(jaccard_join, "CELL_NODES", nodes)
     base = [f"b{k}" for k in range(100)]
-    s = jaccard_join.Shingler()
-    hashes = [s.sets(d, np.array([0, len(d)]))[1][0] for d in (np.frombuffer(" ".join(base[k : k + 5]).encode(), np.uint8) for k in range(96))]
-    listed = np.argsort(hashes)[:10]
-    free = [p for p in range(4, 96) if not any(p - 4 <= k <= p for k in listed)]
-    places = [(p, q) for p in free for q in free if q - p >= 5][:300]
-    variants = [[f"x{k}" if j in at else w for j, w in enumerate(base)] for k, at in enumerate(places)]
-    parts = [[base], variants[::2], variants[1::2]]
-    assert min(map(len, parts[1:])) > jaccard_join.HOT
-    rows = [(k, " ".join(w)) for k, w in enumerate(w for part in parts for w in part)]
-    parts = [rows[:1], rows[1 : 1 + len(parts[1])], rows[1 + len(parts[1]) :]]
-    rdd = spark.sparkContext.parallelize(parts if first == "base" else parts[::-1], 3).flatMap(lambda part: part)
-    docs = spark.createDataFrame(rdd, "doc_id long, text string")
-    assert docs.select(F.spark_partition_id()).distinct().count() == 3
-    members, _ = jaccard_join.join(docs)
-    got = Counter(map(tuple, members.select("doc_id", "n_shingles", "component_id").collect()))
-    assert got == brute_components(docs.collect()) and {c for _, _, c in got} == {0}
+    places = [(p, q) for p in range(4, 96) for q in range(4, 96) if q - p >= 5][::11][:300]
+    variants = [" ".join(f"x{k}" if j in at else w for j, w in enumerate(base)) for k, at in enumerate(places)]
+    rows = list(enumerate([" ".join(base), *variants]))
+    parts = [rows[:1], rows[1:150], rows[150:]]
+    got = _components(_deal(spark, parts if first == "base" else parts[::-1]))
+    assert got == brute_components([{"doc_id": k, "text": t} for k, t in rows]) and {c for _, _, c in got} == {0}
+
+
+@pytest.mark.parametrize("leaf", [2, 32])
+def test_regions_equal_brute_force(leaf, monkeypatch):
+    """Clouds of sets around centres, at all distances about the threshold; every link's ends are connected, no more."""
+    monkeypatch.setattr(jaccard_join, "LEAF", leaf)
+    rng = np.random.default_rng(6)
+    sets = []
+    for c in range(12):
+        centre = np.arange(80) + 1_000 * (c // 2) + 12 * (c % 2)
+        for k in range(14):
+            gone = rng.choice(80, rng.integers(0, 16), replace=False)
+            sets.append(np.unique(np.concatenate([np.delete(centre, gone), 10**6 + rng.integers(0, 10**6, rng.integers(0, 8))])).astype(np.uint64))
+    found = jaccard_join.Region(sets).links()
+    up = list(range(len(sets)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j, common, total in found:
+        assert common == len(np.intersect1d(sets[i], sets[j])) and 5 * common >= 4 * total and total == len(np.union1d(sets[i], sets[j]))
+        assert top(i) != top(j)
+        up[top(i)] = top(j)
+    linked = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    assert len(linked) > 100 and all(top(i) == top(j) for i, j in linked)
+
+
+def test_columns_of_the_users_survive(spark):
+    names = ["doc_id", "text", "id", "k1", "k2", "whole", "y", "n", "node", "a.b"]
+    docs = spark.createDataFrame([(k, " ".join(_words(40, 50 + k // 2)), *[k] * 8) for k in range(6)]).toDF(*names)
+    out = jaccard_join.keep_one(docs)
+    assert out.columns == names and sorted(map(tuple, out.collect())) == [(k, " ".join(_words(40, 50 + k // 2)), *[k] * 8) for k in (0, 2, 4)]
 
 
 def test_one_row_of_a_component_with_null_and_repeated_keys(spark):

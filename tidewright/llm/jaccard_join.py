@@ -1,22 +1,26 @@
 """Exact Jaccard join of documents' word shingles, as a metric-space join.
 
-1 - Jaccard is a metric. The join looks for all pairs of sets within r = 1 - threshold of each other:
-
-1. Every set orders its shingles by a common order (frequent ones, found in a sample, last) and lists the first
-   n - ceil(threshold * n) + 1. Sets within r of each other share a listed shingle, so lists are the neighbourhoods
-   in which partners are looked for; without one in common, the distance is above r.
-2. Pivots. In a small neighbourhood all pairs are candidates. In a large one the first set of each size class is a
-   pivot, its Voronoi region is the class, and sets of the class below, which may lie within r, join the region.
-   Only distances to pivots are computed: as many as there are members. Equal sets count as one throughout.
-3. Candidates first meet a lower bound of their difference (parities of shingle counters), then the sets.
-   What is within r is a link; links make components.
-4. Regions that still hold several components recurse: more pivots (of other components), each member goes to the
-   cell of its nearest pivot and, by the triangle inequality, to every cell no more than 2r farther. Once members
-   times those outside the largest component are few, pairs of different components meet whose sizes and whose
-   distances to the pivot (by at most r) allow a link. Pairs within a component need no look: they can add no component. Thus no link between
-   different components is lost, and no group is paired with itself.
-
-Sets are identified by 128 bits of commutative hashes, shingles by 64.
+1 - Jaccard is a metric. The join looks for all that pairs of sets within r = 1 - threshold of each other connect:
+
+1. Survey. A set can only have a partner if at most n - ceil(threshold * n) of its shingles occur in no other set. Half
+   of the shingles (by a bit of their hash) are counted over the whole corpus; sets with more unshared ones than that,
+   nearly all, are alone. Shingles that recur in a batch are counted there and travel once a batch.
+2. Neighbourhoods. The others order their shingles by a common order (frequent ones, found in a sample, last) and list
+   the first n - ceil(threshold * n) + 1. Sets within r of each other share a listed shingle and differ in size by no
+   more than the threshold; sets that are connected so make a neighbourhood. Most documents are at distance 1 from any
+   pivot, where triangle windows exclude nothing: neighbourhoods are where the metric tells documents apart.
+3. Regions. A neighbourhood is a metric join of its own: pivots, of different components, meet all members; a member
+   goes to the region of its nearest pivot and, by the triangle inequality, to each whose pivot is no more than 2r
+   farther; members at distance 1 of all pivots, and those by no more than r nearer, are a region too. Regions recurse.
+   In a last region a set meets those of other components whose distances to all pivots so far differ by at most r from
+   its own. Pairs within a component need no look: they add no component.
+4. A neighbourhood of more than CELL_NODES sets or CELL_SHINGLES shingles first splits over tasks in the same way, its
+   members dealt out and its pivots sent to each part. One that regions don't halve is dealt in blocks: the
+   sets outside its largest component meet all, one pair of blocks a task. So no task holds more than a region's bound
+   (a single set larger than that apart), and no link between different components is lost, however rows are dealt.
+
+Rows of pairs are never made: a task gives the links that connect. Sets are identified by 128 bits of commutative
+hashes, shingles by 64; the survey takes 32 bits and the bucket's number, where a collision only keeps a set in.
 
 Defined cases: null, empty and blank texts have the empty set, linked with nothing, each its own component; fewer
 words than a shingle make one shingle; repeated rows and equal sets share a component; a null doc_id is never a
@@ -25,20 +29,20 @@ smallest id unless all ids of a component are null; further columns are not read
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MASK64, arrow_rows, column_buffers, materialize, once_a_worker, sized_join, slices, splitmix, text_key
+from .common import MASK64, arrow_rows, column_buffers, materialize, once_a_worker, sized_join, small_enough, slices, splitmix, text_key
 
 WORDS, NUM, DEN = 5, 4, 5  # five words, threshold 4/5
-RADIUS = 1 - NUM / DEN
-#: Neighbourhoods up to PAIRED members are paired, larger ones get pivots; in a batch, above HOT.
-PAIRED, HOT, PIVOTS = 12, 128, 8
-#: A region whose members times those outside its largest component are more than this splits before its pairs meet.
-DIRECT = 2_000_000
-#: Parity counters of a set: a power of two from LEAST to MOST bits, as many as shingles or more up to that.
-LEAST_BITS, MOST_BITS = 512, 1 << 16
-SLICE = 1 << 20
+RADIUS, EPS = 1 - NUM / DEN, 1e-9
+#: A neighbourhood or region up to both is joined in one task.
+CELL_NODES, CELL_SHINGLES = 2_048, 1 << 21
+#: Pivots of a region; a region of up to LEAF sets has none.
+PIVOTS, LEAF = 8, 32
+SLICE, BLOCK = 1 << 20, 1 << 20
+#: 64 * log2 of sizes whose ratio is at the threshold differ by no more than this, rounding included.
+SIZES_APART = 22
 
 
 class Shingler:
@@ -113,13 +117,135 @@ def keyed(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(F.col(key).alias("id"), *text_key(t), t.cast("binary").alias("data"))
 
 
-def frequent(docs: DataFrame, sample: int = 12_000, least: int = 3, most: int = 200_000):
-    """Hashes, sorted, of shingles that several texts of a sample of about sample rows hold. They only set the order in
-    which shingles are listed; results don't depend on it."""
+# Step 1
+
+#: Entries of the survey: 32 bits of a shingle's hash, and the row in the block that asks whether another set holds it.
+#: Two values of row ask nothing: once for a shingle that one set of the block holds, and more for several.
+ASK, ONCE, SEVERAL = [("h", "<u4"), ("row", "<u2")], 65534, 65535
+
+
+def survey(docs: DataFrame, buckets: int) -> DataFrame:
+    """Kind 0: a row for each text (ref, id, k1, k2, n, s1, s2, short). short: how many of its shingles, unshared within
+    the block, must be found elsewhere; without any, it stays. Kind 1: entries (bucket, block's first ref, packed). Kind 2:
+    (block's first ref, packed rows and short of those that ask)."""
+    id_kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        s, base = _shingler(), TaskContext.get().partitionId() << 36
+        names = ["kind", "bucket", "ref", "id", "k1", "k2", "n", "s1", "s2", "short", "packed"]
+
+        def emit(kind, ref, bucket=None, ids=None, k=(None,) * 6, packed=None):
+            m = len(ref)
+            full = lambda v, t: pa.nulls(m, t) if v is None else pa.array(v, t)
+            return pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.int8()), full(bucket, pa.int32()), full(ref, pa.int64()), ids if ids is not None else pa.nulls(m, kind_of_id), *(full(v, pa.int64()) for v in k), full(packed, pa.binary())], names)
+
+        def block(part, ts, hs):
+            """part: rows of a batch; ts, hs: their shingles."""
+            rows = part.num_rows
+            t, h = np.concatenate(ts), np.concatenate(hs)
+            n = np.bincount(t, minlength=rows)
+            at = np.flatnonzero(n)
+            s1, s2 = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
+            if len(at):
+                lead = np.concatenate([[0], np.cumsum(n[at])])[:-1]
+                s1[at] = splitmix(np.add.reduceat(h, lead) + n[at].astype(np.uint64))
+                s2[at] = splitmix(np.add.reduceat(splitmix(h ^ np.uint64(0x5DEECE66D)), lead))
+            half = (h & np.uint64(1)) == 0
+            t, h = t[half], h[half]
+            order = np.argsort(h)
+            t, h = t[order], h[order]
+            lead = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+            one = np.diff(np.append(lead, len(h))) == 1
+            t, h = t[lead], h[lead]
+            alone = np.bincount(t[one], minlength=rows)
+            short = alone - (n - (NUM * n + DEN - 1) // DEN)
+            yield emit(0, base + np.arange(rows), None, part.column(0), (part.column(1), part.column(2), n, s1.view(np.int64), s2.view(np.int64), short))
+            asks = np.flatnonzero(short > 0)
+            if len(asks):
+                e = np.zeros(len(asks), [("row", "<u2"), ("short", "<i4")])
+                e["row"], e["short"] = asks, short[asks]
+                yield emit(2, [base], packed=[e.tobytes()])
+            e = np.zeros(len(h), ASK)
+            e["h"] = (h >> np.uint64(32)).astype(np.uint32)
+            e["row"] = np.where(one, np.where(short[t] > 0, t, ONCE), SEVERAL)
+            bucket = (h & np.uint64(0xFFFFFFFF)) // np.uint64(2) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            e, cuts = e[order], np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
+            full = np.flatnonzero(np.diff(cuts)).tolist()
+            if full:
+                yield emit(1, [base] * len(full), full, packed=[e[cuts[k] : cuts[k + 1]].tobytes() for k in full])
+
+        for big in batches:
+            kind_of_id = big.schema.field(0).type
+            for b in (big.slice(k, 20_000) for k in range(0, big.num_rows, 20_000)):
+                data, offs = column_buffers(b.column(3))
+                first, ts, hs, held = 0, [], [], 0
+                for x, y in slices(offs, SLICE):
+                    t, h = s.sets(data[offs[x] : offs[y]], offs[x : y + 1] - offs[x])
+                    ts.append(t + (x - first))
+                    hs.append(h)
+                    held += len(t)
+                    if held > BLOCK or y == b.num_rows:
+                        yield from block(b.slice(first, y - first), ts, hs)
+                        base += y - first
+                        first, ts, hs, held = y, [], [], 0
+
+    return docs.select("id", "k1", "k2", "data").mapInArrow(run, f"kind byte, bucket int, ref long, id {id_kind}, k1 long, k2 long, n long, s1 long, s2 long, short long, packed binary")
+
+
+def survivors(listed: DataFrame) -> DataFrame:
+    """Refs of the sets of survey() that may have a partner."""
+
+    def count(pdf):
+        import numpy as np
+        import pandas as pd
+
+        e = np.concatenate([np.frombuffer(x, ASK) for x in pdf["packed"]])
+        who = np.repeat(np.arange(len(pdf)), [len(x) // 6 for x in pdf["packed"]])
+        _, back, m = np.unique(e["h"], return_inverse=True, return_counts=True)
+        m = m + np.bincount(back, e["row"] == SEVERAL).astype(np.int64)
+        found = np.flatnonzero((m[back] > 1) & (e["row"] < ONCE))
+        key, k = np.unique(who[found] << 16 | e["row"][found], return_counts=True)
+        out = np.zeros(len(key), [("row", "<u2"), ("found", "<u4")])
+        out["row"], out["found"] = key & 0xFFFF, k
+        cuts = np.searchsorted(key >> 16, np.arange(len(pdf) + 1))
+        full = np.flatnonzero(np.diff(cuts))
+        return pd.DataFrame({"ref": pdf["ref"].to_numpy()[full], "kind": np.ones(len(full), np.int8), "packed": [out[cuts[k] : cuts[k + 1]].tobytes() for k in full]})
+
+    def decide(key, pdf):
+        import numpy as np
+        import pandas as pd
+
+        short = np.zeros(1 << 16, np.int64)
+        for kind, x in zip(pdf["kind"], pdf["packed"]):
+            if kind == 2:
+                e = np.frombuffer(x, [("row", "<u2"), ("short", "<i4")])
+                asks = e["row"].astype(np.int64)
+                short[e["row"]] += e["short"]
+            else:
+                e = np.frombuffer(x, [("row", "<u2"), ("found", "<u4")])
+                short[e["row"]] -= e["found"]
+        return pd.DataFrame({"ref": key[0] + asks[short[asks] <= 0]})
+
+    replies = listed.filter("kind = 1").groupBy("bucket").applyInPandas(count, "ref long, kind byte, packed binary")
+    asked = listed.filter("kind = 2").select("ref", "kind", "packed").unionByName(replies).groupBy("ref").applyInPandas(decide, "ref long")
+    return listed.filter("kind = 0 AND n > 0 AND short <= 0").select("ref").unionByName(asked)
+
+
+# Step 2
+
+
+def frequent(texts: DataFrame, sample: int = 12_000, least: int = 3, most: int = 200_000):
+    """Hashes, sorted, of shingles that several of about sample texts hold. They only set the order in which shingles are
+    listed, and so the size of neighbourhoods; results don't depend on it."""
     import numpy as np
 
-    n = docs.count()
-    part = docs.filter(F.pmod(F.xxhash64("k1", "id"), F.lit(1_000_000)) < min(1.0, sample / max(n, 1)) * 1_000_000).select("data")
+    n = texts.count()
+    part = texts.filter(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < min(1.0, sample / max(n, 1)) * 1_000_000).select("data")
 
     def run(batches):
         import pyarrow as pa
@@ -141,178 +267,229 @@ def frequent(docs: DataFrame, sample: int = 12_000, least: int = 3, most: int =
         keep = np.argsort(-c, kind="stable")[: most // 8]
         return pd.DataFrame({"hashes": [np.sort(h[keep]).tobytes()]})
 
-    rows = part.coalesce(12).mapInArrow(run, "bucket int, hashes binary").groupBy("bucket").applyInPandas(count, "hashes binary").collect()
+    rows = part.mapInArrow(run, "bucket int, hashes binary").groupBy("bucket").applyInPandas(count, "hashes binary").collect()
     return np.sort(np.concatenate([np.frombuffer(r["hashes"], "<u8") for r in rows])) if rows else np.zeros(0, np.uint64)
 
 
-ENTRY = [("h", "<u8"), ("row", "<u2"), ("size", "<u2")]
-#: This bit of an entry's size marks a pivot whose batch holds further members, known by its star only.
-STAR = 1 << 15
-
-
-def _stars(np, h, size, ref, order):
-    """Member and pivot places of the groups of equal h (all large), given their order by h, size class and ref."""
-    c = size.astype(np.int64) // 22
-    ho, co = h[order], c[order]
-    new = np.concatenate([[True], (ho[1:] != ho[:-1]) | (co[1:] != co[:-1])])
-    head = np.flatnonzero(new)[np.cumsum(new) - 1]
-    member, pivot = [order], [order[head]]
-    # the next class of the same group, if it is the adjacent one, takes this class in as its boundary
-    starts = np.flatnonzero(new)
-    nxt = np.concatenate([starts[1:], [-1]])
-    follows = np.zeros(len(starts), bool)
-    follows[:-1] = (ho[starts[1:]] == ho[starts[:-1]]) & (co[starts[1:]] == co[starts[:-1]] + 1)
-    g = np.cumsum(new) - 1
-    use = follows[g]
-    member.append(order[use])
-    pivot.append(order[nxt[g[use]]])
-    return np.concatenate(member), np.concatenate(pivot)
-
-
-def _parities(np, t, h, n, base: int, out: list) -> None:
-    """Puts the parity bits of each text's shingle counters into out. Counters fold: those of half as many bits are the
-    two halves' exclusive or."""
-    bits = np.clip(1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
-    cut = np.searchsorted(t, np.arange(len(n) + 1))
-    for size in np.unique(bits[n > 0]).tolist():
-        who = np.flatnonzero((bits == size) & (n > 0))
-        step = max(1, (1 << 21) // size)
-        for k in range(0, len(who), step):
-            w = who[k : k + step]
-            rows = np.repeat(np.arange(len(w)), n[w])
-            at = np.arange(len(rows)) - np.repeat(np.cumsum(n[w]) - n[w], n[w]) + np.repeat(cut[w], n[w])
-            place = rows * size + (h[at] & np.uint64(size - 1)).astype(np.int64)
-            p = np.packbits((np.bincount(place, minlength=len(w) * size) & 1).astype(np.uint8).reshape(len(w), size), axis=1)
-            for i, row in zip(w.tolist(), p):
-                out[base + i] = row.tobytes()
-
-
-def listing(docs: DataFrame, heavy, buckets: int) -> DataFrame:
-    """Kind 0: a row for each text (ref, id, k1, k2, n, s1, s2, parity); kind 1: packed entries (bucket, ref of the
-    batch's first row, entries); kind 2: stars of groups that are hot within a batch (packed refs of member, pivot)."""
-    id_kind = docs.schema["id"].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)  # at most 200,000 hashes
+#: A listed shingle, a set that lists it, and the least and largest size of the sets that it stands for.
+ENTRY = [("h", "<u8"), ("node", "<i8"), ("lo", "<u2"), ("hi", "<u2")]
+
+
+def _chain(np, e):
+    """Entries of a shingle whose sizes allow a link, one after the other, are connected. Returns the entries that stand
+    for these runs, and packed pairs of nodes that connect each run."""
+    e = e[np.lexsort((e["lo"], e["h"]))]
+    new = np.concatenate([[True], e["h"][1:] != e["h"][:-1]])
+    group = np.cumsum(new) << 16
+    top = np.maximum.accumulate(group | e["hi"]) & 0xFFFF
+    new[1:] |= e["lo"][1:].astype(np.int64) > top[:-1] + SIZES_APART
+    head = np.flatnonzero(new)
+    runs = e[head]
+    runs["hi"] = top[np.append(head[1:], len(e)) - 1]
+    a, b = e["node"][head][np.cumsum(new) - 1], e["node"]
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
+    return runs, pairs.astype("<i8").tobytes()
+
+
+def neighbourhoods(texts: DataFrame, shingles: int) -> DataFrame:
+    """(node, comp) of all sets that have neighbours among texts (node, n, data), comp the neighbourhood."""
+    shared, buckets = texts.sparkSession.sparkContext.broadcast(frequent(texts)), max(12, shingles // (4 << 20))
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        s, base, heavy = _shingler(), TaskContext.get().partitionId() << 36, shared.value
-        names = ["kind", "bucket", "ref", "id", "k1", "k2", "n", "s1", "s2", "packed"]
+        s, heavy = _shingler(), shared.value
 
-        def emit(kind, bucket, ref, ids, k1, k2, n, s1, s2, packed):
-            m = len(ref)
-            full = lambda v, t: pa.nulls(m, t) if v is None else pa.array(v, t)
-            return pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.int8()), full(bucket, pa.int32()), full(ref, pa.int64()), ids if ids is not None else pa.nulls(m, kind_of_id), full(k1, pa.int64()), full(k2, pa.int64()), full(n, pa.int64()), full(s1, pa.int64()), full(s2, pa.int64()), pa.array(packed, pa.binary())], names)
+        def block(found):
+            runs, pairs = _chain(np, np.concatenate(found))
+            bucket = (runs["h"] >> np.uint64(20)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            runs, cuts = runs[order], np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
+            full = np.flatnonzero(np.diff(cuts)).tolist()
+            return pa.RecordBatch.from_arrays([pa.array([*full, -1], pa.int32()), pa.array([*(runs[cuts[k] : cuts[k + 1]].tobytes() for k in full), pairs], pa.binary())], ["bucket", "packed"])
 
-        for big in batches:
-            kind_of_id = big.schema.field(0).type
-            for b in (big.slice(k, 20_000) for k in range(0, big.num_rows, 20_000)):
-                data, offs = column_buffers(b.column(3))
-                rows, sizes, s1, s2, parity, listed = b.num_rows, np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), [b""] * b.num_rows, []
-                for x, y in slices(offs, SLICE):
-                    t, h = s.sets(data[offs[x] : offs[y]], offs[x : y + 1] - offs[x])
-                    if not len(t):
-                        continue
-                    n = np.bincount(t, minlength=y - x)
-                    at = np.flatnonzero(n)
-                    lead = np.concatenate([[0], np.cumsum(n[at])])[:-1]
-                    sizes[x:y] = n
-                    s1[x + at] = splitmix(np.add.reduceat(h, lead) + n[at].astype(np.uint64))
-                    s2[x + at] = splitmix(np.add.reduceat(splitmix(h ^ np.uint64(0x5DEECE66D)), lead))
-                    _parities(np, t, h, n, x, parity)
-                    if len(heavy):
-                        f = heavy[np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)] == h
-                        order = np.lexsort((h, f, t))
-                        t, h = t[order], h[order]
-                    place = np.arange(len(t)) - np.repeat(lead, n[at])
-                    use = place < n[t] - (NUM * n[t] + DEN - 1) // DEN + 1
-                    e = np.zeros(use.sum(), ENTRY)
-                    e["h"], e["row"] = h[use], (x + t[use]).astype(np.uint16)
-                    e["size"] = np.floor(64 * np.log2(n[t[use]])).astype(np.uint16)
-                    listed.append(e)
-                ref = base + np.arange(rows)
-                yield emit(0, None, ref, b.column(0), b.column(1), b.column(2), sizes, s1.view(np.int64), s2.view(np.int64), parity)
-                if listed:
-                    e = np.concatenate(listed)
-                    # of equal sets in a batch, one lists
-                    _, lead, back = np.unique(np.stack([s1, s2], 1), axis=0, return_index=True, return_inverse=True)
-                    e = e[lead[back.ravel()[e["row"]]] == e["row"]]
-                    order = np.lexsort((e["row"], e["size"] // 22, e["h"]))
-                    _, first, m = np.unique(e["h"][order], return_index=True, return_counts=True)
-                    hot = np.repeat(m > HOT, m)
-                    if hot.any():
-                        o = order[hot]
-                        member, pivot = _stars(np, e["h"], e["size"], e["row"], o)
-                        pairs = np.unique(np.stack([e["row"][member], e["row"][pivot]], 1).astype(np.int64), axis=0) + base
-                        yield emit(2, [0], [base], None, None, None, None, None, None, [pairs[pairs[:, 0] != pairs[:, 1]].tobytes()])
-                        stays = np.ones(len(e), bool)
-                        stays[o] = False
-                        stays[np.unique(pivot)] = True
-                        e["size"][np.unique(pivot)] |= STAR
-                        e = e[stays]
-                    bucket = (e["h"] >> np.uint64(20)) % np.uint64(buckets)
-                    order = np.argsort(bucket, kind="stable")
-                    e, cuts = e[order], np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
-                    full = [k for k in range(buckets) if cuts[k + 1] > cuts[k]]
-                    yield emit(1, full, [base] * len(full), None, None, None, None, None, None, [e[cuts[k] : cuts[k + 1]].tobytes() for k in full])
-                base += rows
-
-    return docs.select("id", "k1", "k2", "data").mapInArrow(run, f"kind byte, bucket int, ref long, id {id_kind}, k1 long, k2 long, n long, s1 long, s2 long, packed binary")
-
-
-def neighbours(listed: DataFrame) -> DataFrame:
-    """Rows (a, b, star): candidate pairs of refs, and members a with pivots b."""
-
-    def run(pdf):
+        found, held = [], 0
+        for b in batches:
+            node = b.column(0).to_numpy()
+            data, offs = column_buffers(b.column(1))
+            for x, y in slices(offs, SLICE):
+                t, h = s.sets(data[offs[x] : offs[y]], offs[x : y + 1] - offs[x])
+                if not len(t):
+                    continue
+                n = np.bincount(t, minlength=y - x)
+                lead = np.cumsum(n) - n
+                if len(heavy):
+                    f = heavy[np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)] == h
+                    order = np.lexsort((h, f, t))
+                    t, h = t[order], h[order]
+                use = np.arange(len(t)) - lead[t] < n[t] - (NUM * n[t] + DEN - 1) // DEN + 1
+                e = np.zeros(use.sum(), ENTRY)
+                e["h"], e["node"] = h[use], node[x + t[use]]
+                e["lo"] = e["hi"] = np.floor(64 * np.log2(n[t[use]])).astype(np.uint16)
+                found.append(e)
+                held += len(e)
+                if held > BLOCK:
+                    yield block(found)
+                    found, held = [], 0
+        if found:
+            yield block(found)
+
+    def meet(pdf):
         import numpy as np
         import pandas as pd
 
-        e = np.concatenate([np.frombuffer(x, ENTRY) for x in pdf["packed"]])
-        ref = np.concatenate([np.frombuffer(x, ENTRY)["row"].astype(np.int64) + r for x, r in zip(pdf["packed"], pdf["ref"])])
-        h, size, star = e["h"], e["size"] & np.uint16(STAR - 1), e["size"] >= STAR
-        order = np.lexsort((ref, size // 22, h))
-        _, first, m = np.unique(h[order], return_index=True, return_counts=True)
-        # a group that stands for hidden members makes a region, as large ones do
-        large = np.repeat((m > PAIRED) | (np.maximum.reduceat(star[order], first) & (m > 1)), m)
-        m = np.repeat(m, m)
-        out = []
-        o = order[(m > 1) & ~large]
-        for k in range(1, PAIRED):
-            i, j = o[:-k], o[k:]
-            ok = (h[i] == h[j]) & (np.abs(size[i].astype(np.int64) - size[j]) <= 22)
-            out.append(np.stack([np.minimum(ref[i], ref[j])[ok], np.maximum(ref[i], ref[j])[ok], np.zeros(ok.sum(), np.int64)], 1))
-        o = order[large]
-        if len(o):
-            member, pivot = _stars(np, h, size, ref, o)
-            out.append(np.stack([ref[member], ref[pivot], np.ones(len(member), np.int64)], 1))
-        rows = np.unique(np.concatenate(out), axis=0)
-        rows = rows[rows[:, 0] != rows[:, 1]]
-        return pd.DataFrame({"a": rows[:, 0], "b": rows[:, 1], "star": rows[:, 2] == 1})
+        return pd.DataFrame({"packed": [_chain(np, np.concatenate([np.frombuffer(x, ENTRY) for x in pdf["packed"]]))[1]]})
 
     def unpack(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            for x in b.column(0):
-                p = np.frombuffer(x.as_py(), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), pa.array(np.ones(len(p), bool))], ["a", "b", "star"])
+            p = np.concatenate([np.frombuffer(x.as_py(), "<i8") for x in b.column(0)]).reshape(-1, 2) if b.num_rows else np.zeros((0, 2), np.int64)
+            p = np.unique(p, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
+
+    listed = materialize(texts.select("node", "data").mapInArrow(run, "bucket int, packed binary"), "listed")
+    pairs = listed.filter("bucket >= 0").groupBy("bucket").applyInPandas(meet, "packed binary").unionByName(listed.filter("bucket < 0").select("packed"))
+    return materialize(components(pairs.mapInArrow(unpack, "a long, b long")), "neighbourhoods")
+
+
+# Step 3
+
+
+class Region:
+    """The join of the sets of one region, in memory."""
+
+    def __init__(self, sets: list):
+        import numpy as np
+
+        self.np, self.n = np, np.array([len(x) for x in sets])
+        who = np.repeat(np.arange(len(sets)), self.n)
+        _, back, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        shared = held[back] > 1  # what a single set holds is in no intersection
+        who, back = who[shared], back[shared]
+        _, back, self.held = np.unique(back, return_inverse=True, return_counts=True)
+        self.first = np.cumsum(self.held) - self.held
+        self.holders = who[np.argsort(back, kind="stable")]
+        self.own = np.split(back, np.cumsum(np.bincount(who, minlength=len(sets)))[:-1])
+        self.label, self.found = np.arange(len(sets)), []
+
+    def common(self, i: int):
+        """Sizes of the intersections of set i with all."""
+        np, own = self.np, self.own[i]
+        m = self.held[own]
+        at = np.arange(m.sum()) + np.repeat(self.first[own] - (np.cumsum(m) - m), m)
+        return np.bincount(self.holders[at], minlength=len(self.n))
+
+    def meet(self, i: int, others):
+        """Distances of others to i. A link that connects is noted."""
+        np = self.np
+        common = self.common(i)[others]
+        total = self.n[i] + self.n[others] - common
+        near = np.flatnonzero((DEN * common >= NUM * total) & (self.label[others] != self.label[i]))
+        for label, k in zip(*np.unique(self.label[others[near]], return_index=True)):
+            k = near[k]
+            self.found.append((i, int(others[k]), int(common[k]), int(total[k])))
+            self.label[self.label == label] = self.label[i]
+        return 1 - common / total
+
+    def links(self) -> list[tuple[int, int, int, int]]:
+        """(i, j, common, total): links that connect all that any link connects."""
+        np = self.np
+        todo = [(np.arange(len(self.n)), np.zeros((0, len(self.n))))]
+        while todo:
+            members, seen = todo.pop()
+            names, first, k = np.unique(self.label[members], return_index=True, return_counts=True)
+            if len(names) < 2:
+                continue
+            if len(members) <= LEAF:
+                self._last(members, seen)
+                continue
+            pivots = members[first[np.argsort(-k, kind="stable")[:PIVOTS]]]
+            d = np.stack([self.meet(p, members) for p in pivots])
+            rest = ~np.isin(members, pivots)
+            members, d, seen = members[rest], d[:, rest], np.vstack([seen, d])[:, rest]
+            parts = regions(np, d)
+            if sum(int(p.sum()) ** 2 for p in parts) > len(members) ** 2 / 2:
+                self._last(members, seen)
+            else:
+                todo += [(members[p], seen[:, p]) for p in parts]
+        return self.found
+
+    def _last(self, members, seen):
+        np = self.np
+        names, k = np.unique(self.label[members], return_counts=True)
+        main = names[np.argmax(k)] if len(names) else -1
+        for i in np.flatnonzero(self.label[members] != main):
+            x, n = members[i], self.n[members]
+            may = (self.label[members] != self.label[x]) & (DEN * np.minimum(n, n[i]) >= NUM * np.maximum(n, n[i]))
+            may &= (np.abs(seen - seen[:, i : i + 1]) <= RADIUS + EPS).all(0)
+            if may.any():
+                self.meet(x, members[may])
+
+
+def regions(np, d) -> list:
+    """Which members (columns) go to each region, by their distances to the pivots (rows). Sets within RADIUS of each other
+    share a region."""
+    best = d.min(0, initial=1)
+    return [*((row <= best + 2 * RADIUS + EPS) & (best < 1) for row in d), best >= 1 - RADIUS - EPS]
 
-    schema = "a long, b long, star boolean"
-    within = listed.filter("kind = 2").select("packed").mapInArrow(unpack, schema)
-    return listed.filter("kind = 1").groupBy("bucket").applyInPandas(run, schema).unionByName(within)
+
+def _sets(b, column: int):
+    """The shingle sets of a batch's texts."""
+    import numpy as np
+
+    data, offs = column_buffers(b.column(column))
+    for x, y in slices(offs, SLICE):
+        t, h = _shingler().sets(data[offs[x] : offs[y]], offs[x : y + 1] - offs[x])
+        yield from np.split(h, np.searchsorted(t, np.arange(1, y - x)))
 
 
-def components(edges: DataFrame, most_rounds: int = 60, one_task: int = 500_000) -> DataFrame:
+LINK = "a long, b long, common long, total long"
+
+
+def _link_batch(rows):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array([int(r[k]) for r in rows], pa.int64()) for k in range(4)], ["a", "b", "common", "total"])
+
+
+def join_regions(cells: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links (a, b, common, total) that connect the sets of each of the regions cells (cell, node), one region a task."""
+
+    def run(batches):
+        cell, nodes, sets = None, [], []
+
+        def links():
+            if len(nodes) > 1:
+                return [(nodes[i], nodes[j], c, t) for i, j, c, t in Region(sets).links()]
+            return []
+
+        for b in batches:
+            out = []
+            for c, node, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _sets(b, 2)):
+                if c != cell:
+                    out += links()
+                    cell, nodes, sets = c, [], []
+                nodes.append(node)
+                sets.append(h)
+            yield _link_batch(out)
+        yield _link_batch(links())
+
+    rows = sized_join(texts.select("node", "data"), cells, ["node"], "inner", 40).select("cell", "node", "data")
+    with arrow_rows(cells.sparkSession, 256):
+        return materialize(rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, LINK), "region-links")
+
+
+def components(edges: DataFrame, one_task: int = 500_000) -> DataFrame:
     """(node, comp) of all nodes in edges (a, b), comp the smallest node reached. Up to one_task edges (8 MB) are joined
-    in one task; beyond, large-star and small-star by turns, each round spread over all."""
+    in one task; beyond, large-star and small-star by turns until nothing changes, each round spread over all."""
     e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     if e.count() <= one_task:
         return e.coalesce(1).mapInArrow(_union_find, "node long, comp long")
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -345,159 +522,156 @@ def _union_find(batches):
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["node", "comp"])
 
 
-class Verifier:
-    """Distances of pairs of nodes; texts are read again for the sets that are needed."""
-
-    def __init__(self, docs: DataFrame, nodes: DataFrame):
-        self.docs, self.nodes = docs, nodes
-
-    def near(self, pairs: DataFrame) -> DataFrame:
-        """The distinct pairs (a, b) whose sizes and parities allow a distance within the radius."""
-        n = self.nodes
-        p = pairs.distinct().join(n.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")).hint("merge"), "a")
-        p = p.join(n.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb")).hint("merge"), "b")
-        p = p.filter((DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")) & (F.col("na") > 0))
-
-        def run(batches):
-            import numpy as np
-            import pyarrow as pa
-
-            for b in batches:
-                keep = []
-                for na, nb, pa_, pb_ in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5))):
-                    x, y = np.frombuffer(pa_, np.uint64), np.frombuffer(pb_, np.uint64)
-                    while len(x) > len(y):
-                        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-                    while len(y) > len(x):
-                        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-                    keep.append(int(np.bitwise_count(x ^ y).sum()) <= na + nb - 2 * -(-NUM * (na + nb) // (NUM + DEN)))
-                yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-        return p.select("a", "b", "na", "nb", "pa", "pb").mapInArrow(run, "a long, b long")
-
-    def distances(self, pairs: DataFrame) -> DataFrame:
-        """(a, b, common, total): sizes of intersection and union."""
-        pairs = materialize(pairs.distinct(), "pairs")
-        need = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        need = materialize(need.join(self.nodes.select("node", "k1", "k2", "rid").hint("merge"), "node"), "need")
-        texts = sized_join(self.docs.withColumn("rid", F.xxhash64("id")), need, ["k1", "k2", "rid"], "inner", 64).select("node", "data")
-        texts = materialize(texts, "texts")
-        p = pairs.join(texts.select(F.col("node").alias("a"), F.col("data").alias("ta")).hint("merge"), "a").join(texts.select(F.col("node").alias("b"), F.col("data").alias("tb")).hint("merge"), "b")
-
-        def meet(batches):
-            import numpy as np
-            import pyarrow as pa
-
-            s, last = _shingler(), (None, None)
-
-            def shingles(data: bytes):
-                x = np.frombuffer(data, np.uint8)
-                return s.sets(x, np.array([0, len(x)]))[1]
-
-            for b in batches:
-                common, total = [], []
-                for k in range(b.num_rows):
-                    pivot = b.column(1)[k].as_py()
-                    if pivot != last[0]:  # rows come in order of b
-                        last = pivot, shingles(b.column(3)[k].as_py())
-                    u = shingles(b.column(2)[k].as_py())
-                    c = len(np.intersect1d(u, last[1], assume_unique=True))
-                    common.append(c)
-                    total.append(len(u) + len(last[1]) - c)
-                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(common, pa.int64()), pa.array(total, pa.int64())], ["a", "b", "common", "total"])
-
-        # a text that several equal rows bring gives the same figures again
-        with arrow_rows(p.sparkSession, 256):  # rows hold two texts each
-            return materialize(p.select("a", "b", "ta", "tb").mapInArrow(meet, "a long, b long, common long, total long").distinct(), "distances")
-
-
-def _is_link():
-    return (DEN * F.col("common") >= NUM * F.col("total")) & (F.col("total") > 0)
-
-
-def _recurse(v: Verifier, regions: DataFrame, edges: DataFrame, comp: DataFrame, most_levels: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Joins regions (cell, node, n, d: distance to the cell's pivot, or null) until none holds two components. A region is
-    done when the members outside its largest component have met the others; if that takes too many pairs, it splits."""
-    for level in range(most_levels + 1):
-        labelled = regions.join(comp.withColumnRenamed("comp", "c").hint("merge"), "node", "left").withColumn("c", F.coalesce("c", "node"))
-        per = labelled.groupBy("cell", "c").agg(F.count("*").alias("k")).groupBy("cell").agg(F.sum("k").alias("m"), F.max(F.struct("k", "c")).alias("top"), F.count("*").alias("comps"))
-        per = per.filter("comps > 1").select("cell", "m", F.col("top.c").alias("main"), (F.col("m") - F.col("top.k")).alias("out"))
-        todo = materialize(labelled.join(per.hint("merge"), "cell"), "regions")
-        if todo.isEmpty():
-            break
-        direct = F.lit(level == most_levels) | (F.col("m") * F.col("out") <= DIRECT)
-        few, many = todo.filter(direct), todo.filter(~direct)
-        x = few.filter("c <> main").select("cell", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("d").alias("da"), F.col("n").alias("na"))
-        y = few.select("cell", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("d").alias("db"), F.col("n").alias("nb"))
-        window = F.coalesce(F.abs(F.col("da") - F.col("db")) <= RADIUS + 1e-9, F.lit(True)) & (DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb"))
-        pairs = x.join(y.hint("merge"), "cell").filter((F.col("ca") != F.col("cb")) & window).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        new = v.distances(v.near(pairs)).filter(_is_link()).select("a", "b")
-        regions = None
-        if level < most_levels and not many.isEmpty():
-            lead = many.groupBy("cell", "c").agg(F.min("node").alias("q"))
-            lead = lead.withColumn("k", F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("q"), "q"))).filter(F.col("k") <= PIVOTS).select("cell", "q")
-            ask = materialize(many.select("cell", "node", "n").join(lead.hint("merge"), "cell"), "asked")
-            d = v.distances(ask.filter("node <> q").select(F.col("node").alias("a"), F.col("q").alias("b")))
-            new = new.unionByName(d.filter(_is_link()).select("a", "b"))
-            at = ask.join(d.select(F.col("a").alias("node"), F.col("b").alias("q"), (1 - F.col("common") / F.col("total")).alias("d")).hint("merge"), ["node", "q"], "left").withColumn("d", F.coalesce("d", F.lit(0.0)))
-            best = at.groupBy("cell", "node").agg(F.min("d").alias("best"))
-            cells = at.join(best.hint("merge"), ["cell", "node"]).filter(F.col("d") <= F.col("best") + 2 * RADIUS + 1e-9)
-            regions = materialize(cells.select(F.xxhash64("cell", "q").alias("cell"), "node", "n", "d"), "cells")
-        edges = materialize(edges.unionByName(new), "links")
-        comp = materialize(components(edges), "components")
-        if regions is None:
-            break
-    return edges, comp
+# Step 4
+
+
+def _sized(cells: DataFrame, texts: DataFrame) -> DataFrame:
+    """cells (cell, node, n) with m and w, the region's sets and shingles."""
+    if "n" not in cells.columns:
+        cells = sized_join(texts.select("node", "n"), cells, ["node"], "inner", 40)
+    size = cells.groupBy("cell").agg(F.count("*").alias("m"), F.sum("n").alias("w")).filter("m > 1")
+    return materialize(cells.join(size.hint("merge"), "cell").select("cell", "node", "n", "m", "w"), "cells")
+
+
+def meet_pivots(cells: DataFrame, texts: DataFrame) -> DataFrame:
+    """(cell, node, q, common, total, goes) of members of large regions and the pivots of these; goes: the member goes to
+    the pivot's region (q null: to the region that is far from all pivots). Parts of a region meet the pivots in
+    different tasks."""
+    parts = F.greatest(F.lit(1), F.ceil(F.greatest(2 * F.col("w") / CELL_SHINGLES, 2 * F.col("m") / CELL_NODES))).cast("int")
+    k = F.pmod(F.xxhash64("node", "cell"), F.lit(PIVOTS))
+    pivots = cells.groupBy("cell", k.alias("k")).agg(F.min("node").alias("node"), F.max(parts).alias("parts"))
+    pivots = pivots.select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"), "node")
+    asked = cells.select("cell", F.pmod(F.xxhash64("node"), parts).cast("int").alias("part"), F.lit(True).alias("member"), "node").unionByName(pivots)
+    asked = texts.select("node", "data").join(asked.hint("merge"), "node").select("cell", "part", "member", "node", "data")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        at, pivots, sets, index = None, [], [], None
+        for b in batches:
+            out = []
+            for cell, part, member, node, h in zip(*(b.column(k).to_pylist() for k in range(4)), _sets(b, 4)):
+                if (cell, part) != at:
+                    at, pivots, sets, index = (cell, part), [], [], None
+                if not member:
+                    pivots.append(node)
+                    sets.append(h)
+                    continue
+                if index is None:
+                    sizes = np.array([len(x) for x in sets])
+                    every, who = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                    order = np.argsort(every, kind="stable")
+                    index = every[order], who[order]
+                lo, hi = (np.searchsorted(index[0], h, side) for side in ("left", "right"))
+                m = hi - lo
+                common = np.bincount(index[1][np.arange(m.sum()) + np.repeat(lo - (np.cumsum(m) - m), m)], minlength=len(pivots))
+                total = len(h) + sizes - common
+                own = node in pivots  # a pivot has met all
+                goes = [bool(p[0]) and not own for p in regions(np, (1 - common / total)[:, None])]
+                out += [(cell, node, q, c, t, g) for q, c, t, g in zip([*pivots, None], [*common.tolist(), 0], [*total.tolist(), 1], goes) if (g or DEN * c >= NUM * t) and q != node]
+            kinds = [pa.int64()] * 5 + [pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["cell", "node", "q", "common", "total", "goes"])
+
+    with arrow_rows(cells.sparkSession, 256):
+        rows = asked.repartition("cell", "part").sortWithinPartitions("cell", "part", "member")
+        return materialize(rows.mapInArrow(run, "cell long, node long, q long, common long, total long, goes boolean"), "met")
+
+
+def split_regions(large: DataFrame, texts: DataFrame) -> DataFrame:
+    """All links that connect the sets of large regions (cell, node, n, m, w)."""
+    spark = texts.sparkSession
+    links = spark.createDataFrame([], LINK)
+    while not large.isEmpty():
+        met = meet_pivots(large, texts)
+        links = materialize(links.unionByName(met.filter((DEN * F.col("common") >= NUM * F.col("total")) & F.col("q").isNotNull()).select(F.col("node").alias("a"), F.col("q").alias("b"), "common", "total")), "links")
+        comp = components(links.select("a", "b"))
+        child = met.filter("goes").select("node", F.col("cell").alias("parent"), F.xxhash64("cell", "q").alias("cell"))
+        child = sized_join(texts.select("node", "n"), child, ["node"], "inner", 40)
+        size = child.groupBy("parent", "cell").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+        whole = large.groupBy("cell").agg(F.max("m").alias("pm"))
+        fair = size.groupBy("parent").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("work")).join(whole.withColumnRenamed("cell", "parent"), "parent", "right")
+        fair = materialize(fair.select("parent", (F.coalesce("work", F.lit(0.0)) <= F.col("pm") * F.col("pm") / 2).alias("halves")), "halves")
+        goes = child.join(fair.filter("halves").select("parent").hint("merge"), "parent", "left_semi").select("cell", "node", "n")
+        stays = large.join(fair.filter("NOT halves").select(F.col("parent").alias("cell")).hint("merge"), "cell", "left_semi").select("cell", "node", "n")
+        tagged = goes.withColumn("last", F.lit(False)).unionByName(stays.withColumn("last", F.lit(True)))
+        tagged = tagged.join(comp.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        per = tagged.groupBy("cell", "last", "comp").agg(F.count("*").alias("k"), F.sum("n").alias("kw")).groupBy("cell", "last")
+        per = per.agg(F.sum("k").alias("m"), F.sum("kw").alias("w"), F.max(F.struct("k", "kw", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1")
+        todo = materialize(tagged.join(per.hint("merge"), ["cell", "last"]), "regions")
+        fits = (F.col("m") <= CELL_NODES) & (F.col("w") <= CELL_SHINGLES)
+        ready = todo.filter(fits).select("cell", "node")
+        # blocks: the sets outside the largest component meet all
+        blocks = lambda m, w: F.greatest(F.lit(1), F.ceil(F.greatest(2 * w / CELL_SHINGLES, 2 * m / CELL_NODES))).cast("int")
+        still = todo.filter(~fits & F.col("last")).withColumns({"nb": blocks(F.col("m"), F.col("w")), "no": blocks(F.col("m") - F.col("top.k"), F.col("w") - F.col("top.kw"))})
+        i, j = F.pmod(F.xxhash64("node", F.lit(1)), F.col("nb")), F.pmod(F.xxhash64("node", F.lit(2)), F.col("no"))
+        every = still.select("cell", "node", i.alias("i"), F.explode(F.sequence(F.lit(0), F.col("no") - 1)).alias("j"))
+        out = still.filter(F.col("comp") != F.col("top.comp")).select("cell", "node", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), j.alias("j"))
+        paired = every.unionByName(out).select(F.xxhash64("cell", "i", "j").alias("cell"), "node").distinct()
+        links = materialize(links.unionByName(join_regions(ready.unionByName(paired), texts)), "links")
+        large = materialize(todo.filter(~fits & ~F.col("last")).select("cell", "node", "n", "m", "w"), "large")
+    return links
 
 
 def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Membership (key, n_shingles, node, component_id, k1, k2) of every row, and links (a, b, common, total) between nodes:
-    those found, enough to connect all that any link connects."""
+    """Membership (key, n_shingles, ref, node, component, component_id, k1, k2) of every row, and links (a, b, common, total)
+    between nodes: those found, enough to connect all that any link connects."""
     docs = keyed(df, key, text)
     total = docs.agg(F.sum(F.octet_length("data")).alias("n")).first()["n"] or 0
     with arrow_rows(df.sparkSession, 2_500):
-        listed = materialize(listing(docs, frequent(docs), max(12, total // (16 << 20))), "listing")
-    rows = listed.filter("kind = 0")
-    full = rows.filter("n > 0")
+        listed = materialize(survey(docs, max(12, total // (16 << 20))), "survey")
+    rows = listed.filter("kind = 0").select("ref", "id", "k1", "k2", "n", "s1", "s2")
     # the first ref of equal sets is their node
-    nodes = full.groupBy("s1", "s2").agg(F.min(F.struct("ref", "id", "k1", "k2", "n", "packed")).alias("x"))
-    nodes = materialize(nodes.select("s1", "s2", F.col("x.ref").alias("node"), F.col("x.k1").alias("k1"), F.col("x.k2").alias("k2"), F.xxhash64("x.id").alias("rid"), F.col("x.n").alias("n"), F.col("x.packed").alias("parity")), "nodes")
-    where = materialize(full.select("ref", "s1", "s2").join(nodes.select("s1", "s2", "node").hint("merge"), ["s1", "s2"]).select("ref", "node"), "where")
-    near = neighbours(listed)
-    to = lambda c: where.select(F.col("ref").alias(c), F.col("node").alias("n" + c)).hint("merge")
-    near = near.join(to("a"), "a").join(to("b"), "b").select(F.col("na").alias("a"), F.col("nb").alias("b"), "star").filter("a <> b")
-    near = materialize(near.groupBy("a", "b").agg(F.max("star").alias("star")), "neighbours")
-    v = Verifier(docs, nodes)
-    found = v.distances(v.near(near.select("a", "b")))
-    edges = materialize(found.filter(_is_link()).select("a", "b"), "links")
-    comp = materialize(components(edges), "components")
-    stars = near.filter("star").select(F.col("b").alias("cell"), F.col("a").alias("node"))
-    if not stars.isEmpty():
-        up = stars.select(F.col("node").alias("cell"), F.col("cell").alias("root"))
-        stars = stars.unionByName(stars.join(up.hint("merge"), "cell").select(F.col("root").alias("cell"), "node"))
-        regions = stars.unionByName(stars.select("cell", F.col("cell").alias("node"))).distinct()
-        d = found.select(F.col("a").alias("node"), F.col("b").alias("cell"), (1 - F.col("common") / F.col("total")).alias("d"))
-        regions = regions.join(d.hint("merge"), ["cell", "node"], "left").withColumn("d", F.when(F.col("cell") == F.col("node"), 0.0).otherwise(F.col("d")))
-        regions = regions.join(nodes.select("node", "n").hint("merge"), "node")
-        edges, comp = _recurse(v, materialize(regions, "regions"), edges, comp)
-    member = rows.select("id", "ref", "k1", "k2", F.col("n").alias("n_shingles")).join(where.hint("merge"), "ref", "left").join(comp.hint("merge"), "node", "left")
-    member = materialize(member.withColumn("comp", F.coalesce("comp", "node", "ref")), "members")
-    least = member.groupBy("comp").agg(F.min("id").alias("component_id"))
-    out = member.join(least.hint("merge"), "comp").select(F.col("id").alias(key), "n_shingles", "ref", F.coalesce("node", "ref").alias("node"), F.col("comp").alias("component"), "component_id", "k1", "k2")
-    return out, edges
+    nodes = rows.filter("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("ref", "k1", "k2", F.xxhash64("id").alias("rid"), "n")).alias("x"), F.min("id").alias("least"))
+    nodes = materialize(nodes.select("s1", "s2", F.col("x.ref").alias("node"), "x.k1", "x.k2", "x.rid", "x.n", "least"), "nodes")
+    may = materialize(nodes.join(survivors(listed).withColumnRenamed("ref", "node").hint("merge"), "node", "left_semi").select("node", "k1", "k2", "rid", "n"), "candidates")
+    texts = sized_join(docs.withColumn("rid", F.xxhash64("id")), may, ["k1", "k2", "rid"], "inner", 64)
+    texts = materialize(texts.groupBy("node").agg(F.first("n").alias("n"), F.first("data").alias("data")), "texts")
+    with arrow_rows(df.sparkSession, 2_500):
+        cells = neighbourhoods(texts, may.agg(F.sum("n")).first()[0] or 0).withColumnRenamed("comp", "cell")
+    cells = _sized(cells, texts)
+    fits = (F.col("m") <= CELL_NODES) & (F.col("w") <= CELL_SHINGLES)
+    links = join_regions(cells.filter(fits).select("cell", "node"), texts)
+    large = cells.filter(~fits)
+    if not large.isEmpty():
+        links = links.unionByName(split_regions(large, texts))
+    comp = components(links.select("a", "b"))
+    linked = materialize(comp.join(nodes.select("node", "least").hint("merge"), "node"), "linked")
+    least = linked.groupBy("comp").agg(F.min("least").alias("all_least"))
+    linked = linked.join(least.hint("merge"), "comp").select("node", "comp", "all_least")
+    nodes = nodes.join(linked.hint("merge"), "node", "left")
+    nodes = nodes.select("s1", "s2", "node", F.coalesce("comp", "node").alias("component"), F.when(F.col("comp").isNull(), F.col("least")).otherwise(F.col("all_least")).alias("component_id"))
+    full = rows.filter("n > 0").join(nodes.hint("merge"), ["s1", "s2"])
+    out = [F.col("id").alias(key), F.col("n").alias("n_shingles"), "ref"]
+    empty = rows.filter("n = 0").select(*out, F.col("ref").alias("node"), F.col("ref").alias("component"), F.col("id").alias("component_id"), "k1", "k2")
+    return full.select(*out, "node", "component", "component_id", "k1", "k2").unionByName(empty), links
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each component: that with the smallest key; of repeated rows one. Rows with empty sets all stay."""
-    members, _ = join(docs, key, text)
-    # key and text name a row up to repetition, the key alone doesn't
-    least = members.filter("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), "k1", "k2")).alias("x"))
-    ids = least.select(F.struct(F.col("x.id").alias(key), F.col("x.k1").alias("k1"), F.col("x.k2").alias("k2")).alias("sk"), F.lit(True).alias("__full"))
-    ids = ids.unionByName(members.filter("n_shingles = 0").select(F.struct(key, "k1", "k2").alias("sk"), F.lit(False).alias("__full")).distinct())
+    """docs with one row of each component: that with the smallest key, null last (of several texts under it, that with
+    the smallest hashes); of repeated rows one. Rows with empty sets all stay. Columns keep their names and values, whatever they are called."""
     t = F.coalesce(F.col(text), F.lit(""))
-    kept = docs.withColumn("sk", F.struct(key, *text_key(t))).join(ids.hint("merge"), "sk").drop("sk")
-    n = Window.partitionBy(key, *text_key(t)).orderBy(F.lit(0))
-    return kept.withColumn("__n", F.row_number().over(n)).filter((F.col("__n") == 1) | ~F.col("__full")).select(docs.columns)
+    whole = docs.select(F.col(key).alias("id"), *text_key(t), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+    members, _ = join(docs, key, text)
+    members = members.withColumnRenamed(key, "id")
+    # key and text name a row up to repetition
+    names = members.groupBy("id", "k1", "k2").agg(F.count("*").alias("rows"), F.first("n_shingles").alias("n"), F.first("component").alias("component"))
+    names = materialize(names, "names")
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2", "rows")
+    one = names.filter("n > 0").groupBy("component").agg(F.min(first).alias("x")).select("x.id", "x.k1", "x.k2", (F.col("x.rows") > 1).alias("many"))
+    kept = materialize(one.unionByName(names.filter("n = 0").select("id", "k1", "k2", F.lit(False).alias("many"))), "kept")
+
+    def rows_of(kept: DataFrame) -> DataFrame:
+        y = kept.select(F.col("id").alias("y"), F.col("k1").alias("y1"), F.col("k2").alias("y2"))
+        y = F.broadcast(y) if small_enough(y, 48) else y.hint("merge")
+        return whole.join(y, F.col("id").eqNullSafe(F.col("y")) & (F.col("k1") == F.col("y1")) & (F.col("k2") == F.col("y2")))
+
+    out = rows_of(kept.filter("NOT many")).select("whole.*")
+    many = kept.filter("many")
+    if many.isEmpty():
+        return out
+    again = rows_of(many).groupBy("id", "k1", "k2").agg(F.first("whole").alias("whole"))
+    return out.unionByName(again.select("whole.*"))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
