@@ -20,7 +20,7 @@ def norm(df: pd.DataFrame) -> list[tuple]:
     cols = sorted(df.columns)
     rows = []
     for r in df[cols].itertuples(index=False, name=None):
-        rows.append(tuple(None if v is None or v != v else (round(float(v), 5) + 0.0 if isinstance(v, float) or hasattr(v, "dtype") and v.dtype.kind == "f" else v) for v in r))
+        rows.append(tuple(None if pd.isna(v) else (round(float(v), 5) + 0.0 if isinstance(v, float) or hasattr(v, "dtype") and v.dtype.kind == "f" else v) for v in r))
     return sorted(rows, key=lambda r: tuple((v is not None, str(type(v)) if isinstance(v, str) else "", v if v is not None else 0) for v in r))
 
 
