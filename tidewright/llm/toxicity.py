@@ -2,8 +2,8 @@
 
 Folding lower-cases, maps look-alike letters of other scripts and full-width letters to plain ones, drops
 invisible characters, and reads digits and signs inside words as the letters they stand for. Lexicon entries
-are whole words or word beginnings with weights learned from labels; a match inside an exception phrase does
-not count. The weighted sum, as such and per 100 words, goes through a logistic curve.
+are whole words or word beginnings with weights learned from labels; a match inside an exception phrase, two words
+that occur with an entry in clean rows far more often than in toxic ones, does not count. The weighted sum, as such and per 100 words, goes through a logistic curve.
 
 Defined cases: null and empty texts have no match and get the curve's value for none; texts of any length
 are matched whole; repeated rows score alike; without labels of both kinds the lexicon is empty and the
@@ -17,8 +17,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fold
+from .common import fold, materialize
 
 #: Letters of other scripts that look like plain ones.
 HOMOGLYPHS = {
@@ -28,7 +29,6 @@ HOMOGLYPHS = {
 #: What digits and signs stand for inside words.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 INVISIBLE = "­​‌‍⁠﻿"
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum", "sore loser")
 SHORTEST, LONGEST = 4, 8
 
 
@@ -65,7 +65,7 @@ class ToxicityModel:
 
     weights: dict[str, float] = field(default_factory=dict)
     curve: tuple[float, float, float] = (-30.0, 0.0, 0.0)
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
 
     def matcher(self):
         import ahocorasick
@@ -82,13 +82,10 @@ class ToxicityModel:
             a.make_automaton()
         fold_text = folder()
 
-        def match(text: str | None) -> tuple[float, int]:
-            """Weighted matches and number of words."""
-            if not text or not entries:
-                return 0.0, len((text or "").split())
-            t = fold_text(text)
+        def places(t: str) -> dict[int, float]:
+            """Weight by place of the matches in folded text."""
             n, hits, safe = len(t), {}, []
-            for end, (size, what) in a.iter(t):
+            for end, (size, what) in a.iter(t) if entries else ():
                 at = end - size + 1
                 if at and t[at - 1].isalpha():
                     continue
@@ -101,8 +98,16 @@ class ToxicityModel:
                         hits[at] = max(hits.get(at, 0.0), w)  # a word counts once, by its weightiest entry
             if safe:
                 hits = {at: w for at, w in hits.items() if not any(x <= at <= y for x, y in safe)}
-            return math.fsum(hits.values()), len(t.split())
+            return hits
+
+        def match(text: str | None) -> tuple[float, int]:
+            """Weighted matches and number of words."""
+            if not text or not entries:
+                return 0.0, len((text or "").split())
+            t = fold_text(text)
+            return math.fsum(places(t).values()), len(t.split())
 
+        match.places, match.fold = places, fold_text
         return match
 
     def score(self, total: float, n_words: int) -> float:
@@ -115,26 +120,56 @@ def features(total: float, n_words: int) -> tuple[float, float]:
     return math.log1p(total), math.log1p(100 * total / max(n_words, 20))
 
 
-def _count_terms(docs: DataFrame, only: set[str] | None) -> DataFrame:
+def _count_by_label(texts: DataFrame, name: str, found) -> DataFrame:
+    """(name, a, b): in how many texts of label 1 and of label 0 found() has it. found: made once a task, text to a set."""
+
     def run(batches):
-        import re
         from collections import Counter
 
         import pandas as pd
 
-        fold_text, words, n = folder(), re.compile(r"[^\W\d_]+").findall, Counter()
+        of, n = found(), (Counter(), Counter())
+        table = lambda: pd.DataFrame({name: [*n[1], *n[0]], "a": [*n[1].values(), *[0] * len(n[0])], "b": [*[0] * len(n[1]), *n[0].values()]})
         for b in batches:
-            for t in b["text"]:
+            for t, y in zip(b["text"], b["y"], strict=True):
                 if isinstance(t, str):
-                    found = _terms(fold_text(t), words)
-                    n.update(found if only is None else found & only)
-            if len(n) > 200_000:
-                yield pd.DataFrame({"term": list(n), "n": list(n.values())})
-                n.clear()
-        if n:
-            yield pd.DataFrame({"term": list(n), "n": list(n.values())})
+                    n[y].update(of(t))
+            if len(n[0]) + len(n[1]) > 200_000:
+                yield table()
+                n[0].clear()
+                n[1].clear()
+        if n[0] or n[1]:
+            yield table()
 
-    return docs.select("text").mapInPandas(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return texts.select("text", "y").mapInPandas(run, f"{name} string, a long, b long").groupBy(name).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def _term_finder():
+    import re
+
+    fold_text, words = folder(), re.compile(r"[^\W\d_]+").findall
+    return lambda t: _terms(fold_text(t), words)
+
+
+def _phrase_finder(model: ToxicityModel):
+    """Pairs of words, one blank apart, of which one begins a match."""
+
+    def make():
+        import re
+
+        match, word = model.matcher(), re.compile(r"[^\W\d_]+")
+
+        def phrases(text: str) -> set[str]:
+            t = match.fold(text)
+            hits = match.places(t)
+            if not hits:
+                return set()
+            w = [(m.start(), m.end(), m[0]) for m in word.finditer(t)]
+            return {f"{x[2]} {y[2]}" for x, y in zip(w, w[1:]) if t[x[1] : y[0]] == " " and (x[0] in hits or y[0] in hits)}
+
+        return phrases
+
+    return make
 
 
 def _logistic(rows: list[tuple[float, float, float]]) -> tuple[float, float, float]:
@@ -153,9 +188,10 @@ def _logistic(rows: list[tuple[float, float, float]]) -> tuple[float, float, flo
     return tuple(float(v) for v in w)
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", most: tuple[int, int] = (6_000, 12_000), most_terms: int = 200_000, entries: int = 2_000) -> ToxicityModel:
-    """A model from a sample by hash of at most about most[0] rows of label 1 and most[1] of label 0; of most_terms
-    candidate terms the entries are chosen whose counts could hardly come about by chance."""
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "toxic", most: tuple[int, int] = (6_000, 12_000), least: int = 3, ratio: float = 4.0) -> ToxicityModel:
+    """A model from a sample by hash of at most about most[0] rows of label 1 and most[1] of label 0. Entries are all
+    terms of at least least toxic texts, ratio times as frequent there as in clean ones, whose counts could hardly come
+    about by chance; exceptions are all phrases with an entry for which the same holds the other way round."""
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).filter("k IS NOT NULL AND y IN (0, 1)")
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
@@ -163,13 +199,18 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
         return ToxicityModel(curve=(math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0))
     cut = F.when(F.col("y") == 1, min(1.0, most[0] / n[1])).otherwise(min(1.0, most[1] / n[0])) * 1_000_000
     sample = known.filter(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < cut)
-    texts = docs.select(F.col(key).alias("k"), "text").join(F.broadcast(sample), "k").select("text", "y").repartition(12)
-    toxic, clean = texts.filter("y = 1"), texts.filter("y = 0")
+    texts = docs.select(F.col(key).alias("k"), "text").join(F.broadcast(sample), "k").select("text", "y")
+    texts = materialize(texts.repartition(F.xxhash64("text")), "labelled")
     sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     nt, nn = sizes.get(1, 0), sizes.get(0, 0)
-    tox = {r["term"]: r["n"] for r in _count_terms(toxic, None).filter("n >= 3").orderBy(F.desc("n"), "term").limit(most_terms).collect()}
-    non = {r["term"]: r["n"] for r in _count_terms(clean, set(tox)).collect()} if tox else {}
-    model = ToxicityModel(_choose(tox, non, nt, nn, entries))
+    if not nt or not nn:
+        return ToxicityModel(curve=(math.log(max(nt, 1e-9) / max(nn, 1e-9)), 0.0, 0.0))
+    terms = materialize(_count_by_label(texts, "term", _term_finder).filter(F.col("a") >= least), "terms")
+    chance = math.log(terms.count() + 2) + 2
+    good = terms.filter(_stands_out("a", nt, "b", nn, ratio, chance)).orderBy("term").collect()
+    model = ToxicityModel(_choose([(r["term"], r["a"], r["b"]) for r in good], nt, nn))
+    phrases = _count_by_label(texts, "phrase", _phrase_finder(model)).filter(F.col("b") >= least)
+    model.exceptions = tuple(r["phrase"] for r in phrases.filter(_stands_out("b", nn, "a", nt, ratio, chance)).orderBy("phrase").collect())
 
     def run(batches):
         import pandas as pd
@@ -179,35 +220,32 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
             f = [features(*match(t if isinstance(t, str) else None)) for t in b["text"]]
             yield pd.DataFrame({"a": [x for x, _ in f], "b": [x for _, x in f], "y": b["y"].astype(float)})
 
-    model.curve = _logistic([(r["a"], r["b"], r["y"]) for r in texts.mapInPandas(run, "a double, b double, y double").orderBy("a", "b", "y").collect()])
+    model.curve = _logistic(sorted((r["a"], r["b"], r["y"]) for r in texts.mapInPandas(run, "a double, b double, y double").collect()))
     return model
 
 
-def _choose(tox: dict[str, int], non: dict[str, int], nt: int, nn: int, entries: int) -> dict[str, float]:
-    base, chance = nt / max(nt + nn, 1), math.log(len(tox) + 2) + 2
-    good = []
-    for term, a in tox.items():
-        b = non.get(term, 0)
-        if a / nt < 4 * (b + 0.5) / nn:
-            continue
-        surprise = a * math.log(a / ((a + b) * base)) + (b * math.log(b / ((a + b) * (1 - base))) if b else 0)
-        if surprise > chance:
-            good.append((term, a, min(6.0, math.log((a + 0.5) / (nt + 1)) - math.log((b + 0.5) / (nn + 1)))))
+def _stands_out(a: str, na: int, b: str, nb: int, ratio: float, chance: float) -> Column:
+    """Whether a of na texts against b of nb is ratio times as frequent, and more surprising than chance."""
+    x, y, base = F.col(a), F.col(b), na / (na + nb)
+    surprise = x * F.log(x / ((x + y) * base)) + F.when(y > 0, y * F.log(y / ((x + y) * (1 - base)))).otherwise(0.0)
+    return (x / na >= ratio * (y + 0.5) / nb) & (surprise > chance)
+
+
+def _choose(good: list[tuple[str, int, int]], nt: int, nn: int) -> dict[str, float]:
+    """Weights by term of (term, toxic texts, clean texts), without terms that a shorter beginning covers as well."""
     chosen: dict[str, float] = {}
-    # the shortest beginnings first: what they cover needs no entry of its own, if it isn't much weightier
-    for term, _, w in sorted(good, key=lambda x: (x[0][0] == "=", len(x[0]), x[0])):
+    for term, a, b in sorted(good, key=lambda x: (x[0][0] == "=", len(x[0]), x[0])):
+        w = min(6.0, math.log((a + 0.5) / (nt + 1)) - math.log((b + 0.5) / (nn + 1)))
         covered = [chosen[p] for k in range(SHORTEST, len(term)) if (p := "^" + term[1 : k + 1]) in chosen]
         if not covered or w > max(covered) + 0.7:
             chosen[term] = w
-    support = {t: a for t, a, _ in good}
-    return dict(sorted(chosen.items(), key=lambda x: (-support[x[0]] * x[1], x[0]))[:entries])
+    return chosen
 
 
-def score_texts(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
-    """docs with score; all columns come back."""
-    name = "score"
-    schema = docs.drop(name).schema.add(name, "double")
-    at = docs.drop(name).columns.index(text)
+def score_texts(docs: DataFrame, model: ToxicityModel, text: str = "text", name: str = "score") -> DataFrame:
+    """docs with the score under name; all other columns come back."""
+    rows = docs.drop(name)
+    at = rows.columns.index(text)
 
     def run(batches):
         import pyarrow as pa
@@ -217,7 +255,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text: str = "text") -> Da
             scores = [model.score(*match(t.as_py())) for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, name])
 
-    return docs.drop(name).mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
 
 
 def train_split(key: str = "doc_id") -> Column:
@@ -225,10 +263,9 @@ def train_split(key: str = "doc_id") -> Column:
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without those that score threshold or more."""
+    """docs without those that score threshold or more; all columns stay as they are, one named score too."""
     model = learn(docs, labels.filter(train_split()))
-    columns = docs.columns
-    return score_texts(docs, model).filter(F.col("score") < threshold).select(columns)
+    return score_texts(docs, model, name="__toxicity").filter(F.col("__toxicity") < threshold).drop("__toxicity")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
