@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, once_a_worker
+from .common import fold, once_a_worker, sized_join
 
 DIM, GRAM, MOST_KEPT = 1024, 3, 40_000
 UND = "und"
@@ -91,10 +91,11 @@ def _encoder() -> Encoder:
 
 
 def learn_prototypes(docs: DataFrame, text: str = "text", lang: str = "lang", most: int = 1_500) -> dict[str, list[float]]:
-    """Prototype by language, from a sample by hash of at most about most texts of each."""
+    """Prototype by language, from a sample by hash of at most about most texts of each. The driver holds one vector a
+    language, however many documents there are."""
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), "k").filter("lang IS NOT NULL AND text IS NOT NULL")
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    cut = rows.join(F.broadcast(counts.limit(10_000)), "lang").filter(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < F.lit(float(most)) / F.col("n") * 1_000_000)
+    cut = sized_join(rows, counts, ["lang"], "inner", F.octet_length("lang") + 24).filter(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < F.lit(float(most)) / F.col("n") * 1_000_000)
 
     def run(batches):
         import numpy as np
