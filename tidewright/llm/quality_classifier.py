@@ -108,7 +108,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         share = 0.5 if not n["n"] else n["m"]
         return QualityModel([0.0] * d, [1.0] * d, 1, seed, [0.0, 0.0], [0.0], [share])
     sample = known.filter(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < min(1.0, most / n["n"]) * 1_000_000)
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k").repartition(8, "k")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k").repartition("k")
 
     def stats(batches):
         import pyarrow as pa
@@ -117,7 +117,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             s = np.array([statistics(t.as_py()) for t in b.column(1)], float).reshape(-1, d)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(s[:, i]) for i in range(d)]], ["k", "y", *NAMES])
 
-    table = materialize(rows.select("k", "t", "y").mapInArrow(stats, "k long, y int, " + ", ".join(f"{c} double" for c in NAMES)), "statistics")
+    table = materialize(rows.select("k", "t", "y").mapInArrow(stats, f"k {rows.schema['k'].dataType.simpleString()}, y int, " + ", ".join(f"{c} double" for c in NAMES)), "statistics")
     m = table.agg(*[F.avg(c).alias("m_" + c) for c in NAMES], *[F.stddev_pop(c).alias("s_" + c) for c in NAMES]).first()
     model = QualityModel([m["m_" + c] for c in NAMES], [max(m["s_" + c], 1e-6) for c in NAMES], dim, seed, [], [], [])
     held = F.pmod(F.xxhash64(F.lit(3), "k"), F.lit(4)) == 3
@@ -132,7 +132,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             a, c, n = a + f.T @ f, c + f.T @ b.column(0).to_numpy(), n + len(f)
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([a.tobytes()], pa.binary()), pa.array([c.tobytes()], pa.binary())], ["n", "a", "c"])
 
-    parts = table.filter(~held).select("y", *NAMES).coalesce(8).mapInArrow(sums, "n long, a binary, c binary").collect()
+    parts = table.filter(~held).select("y", *NAMES).mapInArrow(sums, "n long, a binary, c binary").collect()
     model.weights = _ridge([(np.frombuffer(r["a"]).reshape(dim + 1, -1), np.frombuffer(r["c"]), r["n"]) for r in parts], ridge)
 
     def raw(batches):
