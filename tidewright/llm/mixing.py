@@ -80,13 +80,17 @@ def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
 
 
 def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", weights=(3, 1, 2), shares=(1.5,), most: float = 2.0, carry: bool = False) -> DataFrame:
-    """doc_id, source, (with carry: all columns of df; those named like a result are replaced) size, source_size and, for each share, target and taken (target_1, taken_1, ... for the further ones)."""
+    """doc_id, source, (with carry: all columns of df) size, source_size and, for each share, target and taken (target_1,
+    taken_1, ... for the further ones). With carry, columns of df named like a result are replaced, no other."""
     docs = materialize(df.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), hash60(F.col(key)).alias("hash")), "sizes")
     sources = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sizes = docs
+    sizes, own = docs, {c: f"__mix_{c}" for c in ("source", "size", "hash", "z", "target", "rounds", "at", "left", "held")}
+    kept = ["doc_id", "source"]
     if carry:
-        taken = {x + (f"_{n}" if n else "") for x in ("target", "taken") for n in range(len(shares))} | {"size", "hash", "source_size", "sk", "z", "rounds", "rest", "at", "left", "held"}
-        docs = df.drop(*taken).withColumns({"size": n_words(F.col(text)), "hash": hash60(F.col(key))})
+        results = {"size", "source_size"} | {x + (f"_{n}" if n else "") for x in ("target", "taken") for n in range(len(shares))}
+        kept, docs = [c for c in df.columns if c not in results], df
+    numbers = (n_words(F.col(text)), hash60(F.col(key))) if carry else (F.col("size"), F.col("hash"))
+    docs = docs.select(*(F.col(f"`{c}`") for c in kept), F.struct(F.col(source if carry else "source").alias("source")).alias(own["source"]), numbers[0].alias(own["size"]), numbers[1].alias(own["hash"]))
     for n, share in enumerate(shares):
         tail = f"_{n}" if n else ""
         t = targets(sources, weights, share, most)
@@ -94,12 +98,17 @@ def mix(df: DataFrame, key: str = "doc_id", source: str = "source", text: str =
         per = materialize(per.withColumn("rest", (F.round("target").cast("long") - F.col("rounds") * F.col("source_size"))), "budgets")
         b = thresholds(sizes.select("source", "size", "hash"), per.filter("rest > 0"))
         plan = per.join(b.select(F.col("source").alias("s"), "at", "left", "held"), F.col("source").eqNullSafe(F.col("s")), "left")
-        plan = materialize(plan.select(F.struct("source").alias("sk"), F.col("source_size").alias("z"), "target", "rounds", "at", "left", "held"), "plan")
-        docs = sized_join(docs.withColumn("sk", F.struct(F.col(source if carry else "source").alias("source"))), plan, ["sk"], "inner", F.coalesce(F.octet_length("sk.source"), F.lit(0)) + 80)
-        extra = F.when(F.col("hash") < F.col("at"), F.col("size")).when(F.col("hash") == F.col("at"), F.expr("CAST((`left` * size) div held AS BIGINT)")).otherwise(F.lit(0))
-        docs = docs.withColumn("taken" + tail, F.col("rounds") * F.col("size") + F.coalesce(extra, F.lit(0))).withColumnRenamed("target", "target" + tail)
-        docs = docs.withColumn("source_size", F.col("z")).drop("sk", "z", "rounds", "at", "left", "held")
-    return docs.drop("hash")
+        plan = plan.select(F.struct("source").alias(own["source"]), F.col("source_size").alias(own["z"]), *(F.col(c).alias(own[c]) for c in ("target", "rounds", "at", "left", "held")))
+        plan = materialize(plan, "plan")
+        docs = sized_join(docs, plan, [own["source"]], "inner", F.coalesce(F.octet_length(f"{own['source']}.source"), F.lit(0)) + 80)
+        size, hash_, at = (F.col(own[c]) for c in ("size", "hash", "at"))
+        extra = F.when(hash_ < at, size).when(hash_ == at, F.expr(f"CAST(({own['left']} * {own['size']}) div {own['held']} AS BIGINT)")).otherwise(F.lit(0))
+        made = [*(["source_size"] if n == 0 else []), "target" + tail, "taken" + tail]
+        values = [*([F.col(own["z"])] if n == 0 else []), F.col(own["target"]), F.col(own["rounds"]) * size + F.coalesce(extra, F.lit(0))]
+        docs = docs.select("*", *(v.alias(c) for v, c in zip(values, made))).drop(*(own[c] for c in ("z", "target", "rounds", "at", "left", "held")))
+        kept += made
+    first = kept.index("source_size")
+    return docs.select(*(F.col(f"`{c}`") for c in kept[:first]), F.col(own["size"]).alias("size"), *kept[first:])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
