@@ -75,8 +75,12 @@ def _covered(words: Column, n: Column) -> Column:
     return steps.cast("long")
 
 
+#: Names of the counts that signals() makes in one projection; ratios and verdicts follow.
+SIGNALS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_shouts", "n_stop_words", "__repeats")
+
+
 def signals(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the counts and ratios that the rules speak of."""
+    """df with the counts and ratios that the rules speak of; columns of these names are replaced."""
     t = F.coalesce(F.col(text), F.lit(""))
     core = F.btrim(t, F.lit(WHITE))
     df = df.withColumn("__words", F.when(core == "", F.array().cast("array<string>")).otherwise(F.split(core, BLANKS)))
@@ -89,7 +93,7 @@ def signals(df: DataFrame, text: str = "text") -> DataFrame:
         df = df.withColumn("__hashes", F.zip_with(F.slice(h, F.lit(1), left), F.slice(h, F.lit(1 + step), left), lambda x, y: F.xxhash64(x, y)))
     forms = sorted({f for w in STOP_WORDS for f in (w, w.capitalize())})
     df = df.select(
-        *[c for c in df.columns if c not in ("__lines", "__hashes")],
+        *[F.col(f"`{c}`") for c in df.columns if c not in ("__lines", "__hashes", *SIGNALS)],
         F.size(words).cast("long").alias("n_words"),
         F.length(_without(t, WHITE)).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
