@@ -215,45 +215,51 @@ class DifferenceCover:
     #: Fixed value: differences of these numbers give every number modulo 13.
     COVER, V = (0, 1, 3, 9), 13
 
-    def __init__(self, text: bytes, length: int = LENGTH):
+    def __init__(self, text, starts, length: int = LENGTH):
+        """text: an array of bytes; starts: the window starts that will be asked for, to which the sample is confined."""
         import numpy as np
 
-        self.np, self.length, self.depth = np, length, length - self.V + 1
-        self.text = np.frombuffer(text, np.uint8)
-        n = len(self.text)
-        places = np.flatnonzero(np.isin(np.arange(max(0, n - self.depth + 1)) % self.V, self.COVER))
-        self.rank = np.full(n + self.V, -1, np.int64)
-        self.rank[places] = self._ranks(places, np.zeros(len(places), np.int64), 0, self.depth)
-
-    def _ranks(self, places, rank, at: int, end: int):
-        """Ranks of places by rank, then by their bytes from at to end; equal only where all that is equal."""
+        self.np, self.length, v = np, length, self.V
+        self.depth = (length - v + 1) // v * v  # what ranks compare: from any shift below v on, it stays in the window
+        self.text, n = text, len(text)
+        self.words = np.ndarray(max(0, n - 7), ">u8", text, strides=(1,)) if n >= 8 else np.zeros(0, ">u8")
+        inside = np.zeros(n + 1, np.int32)
+        np.add.at(inside, starts, 1)
+        np.add.at(inside, starts + (length - v + 1), -1)
+        places = np.flatnonzero((np.cumsum(inside[:n]) > 0) & np.isin(np.arange(n) % v, self.COVER))
+        self.rank, step = np.full(n + length, -1, np.int64), v
+        self.rank[places] = self._first(places)
+        while step < self.depth:
+            more = min(step, self.depth - step)
+            places = places[self.rank[places + more] >= 0]
+            longer = self._dense(self.rank[places] << 32 | self.rank[places + more])
+            self.rank[:] = -1
+            self.rank[places] = longer
+            step += more
+
+    def _dense(self, key):
+        """Ranks of keys, from 0 on; equal keys share one."""
+        return self.np.unique(key, return_inverse=True)[1].astype(self.np.int64)
+
+    def _first(self, places):
+        """Ranks of places by their first v bytes: eight, then the five to which byte v is the last."""
         np = self.np
-        while at < end and len(places):
-            step = min(8, end - at)
-            word = np.zeros(len(places), np.uint64)
-            for k in range(step):
-                word = word << np.uint64(8) | self.text[places + (at + k)]
-            order = np.lexsort((word, rank))
-            r, w = rank[order], word[order]
-            rank = np.empty_like(rank)
-            rank[order] = np.cumsum(np.concatenate([[False], (r[1:] != r[:-1]) | (w[1:] != w[:-1])]))
-            at += step
-        return rank
+        head = self._dense(self.words[places].astype(np.uint64))
+        return self._dense(head << 40 | (self.words[places + self.V - 8] & np.uint64((1 << 40) - 1)).astype(np.int64))
 
     def repeats(self, places):
-        """Which of the places share their first length bytes with another. Ties on the first v and the last v - 1
-        bytes are settled, for each shift below v, by the ranks of the places that reach the cover by it: any two
-        places reach it together by one of the shifts."""
+        """Which of the places share their first length bytes with another. Ties on the first v and on the bytes from depth
+        on are settled, for each shift below v, by the ranks of the places that reach the cover by it: any two places
+        reach it together by one of the shifts."""
         np, out = self.np, self.np.zeros(len(places), bool)
-        group = self._ranks(places, np.zeros(len(places), np.int64), 0, self.V)
-        group = self._ranks(places, group, self.depth, self.length)
+        group = self._first(places)
+        for at in range(self.depth, self.length, 8):
+            group = self._dense(group << 32 | self._dense(self.words[places + min(at, self.length - 8)].astype(np.uint64)))
         tied = np.flatnonzero(np.bincount(group, minlength=1)[group] > 1)
         for d in range(self.V):
             use = tied[np.isin((places[tied] + d) % self.V, self.COVER)]
-            g, r = group[use], self.rank[places[use] + d]
-            order = np.lexsort((r, g))
-            same = (g[order][1:] == g[order][:-1]) & (r[order][1:] == r[order][:-1])
-            out[use[order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]] if len(order) else use] = True
+            _, back, m = np.unique(group[use] << 32 | self.rank[places[use] + d], return_inverse=True, return_counts=True)
+            out[use[m[back] > 1]] = True
         return out
 
 
@@ -333,51 +339,63 @@ def decide(entries: DataFrame) -> DataFrame:
     return runs.unionByName(one.join(often.hint("merge"), ["h1", "h2"], "left_semi").select("k1", "k2", F.col("at").alias("first"), F.col("at").alias("last")))
 
 
+#: Bytes of entries in a block, which is sorted at once, and in a task.
+BLOCK, TASK = 2 << 20, 8 << 20
+
+
 def _sorted(entries: DataFrame) -> DataFrame:
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def block(rows):
-            contexts = [r[6] for r in rows]
-            lead = np.cumsum([0, *map(len, contexts)])[:-1]
-            n = np.array([r[4] - r[3] + 1 for r in rows])
-            who = np.repeat(np.arange(len(rows)), n)
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            text, at = b"".join(contexts), lead[who] + step
+        def block(held):
+            k1, k2, first, last, kind = (np.concatenate([x[k] for x in held]) for k in range(5))
+            text = np.concatenate([x[5] for x in held])
+            size = np.concatenate([x[6] for x in held])
+            lead, n = np.cumsum(size) - size, last - first + 1
+            who = np.repeat(np.arange(len(n)), n)
+            step = np.arange(len(who)) - np.repeat(np.cumsum(n) - n, n)
+            at = lead[who] + step
             # a start matters if its window's hash occurs again, with an undecided entry among the holders
-            h = cover.windows(np.frombuffer(text, np.uint8), at)
-            order = np.argsort(h)
-            new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-            group = np.cumsum(new) - 1
-            open_ = np.array([r[5] == 0 for r in rows])[who]
-            use = np.zeros(len(at), bool)
-            use[order] = ((np.bincount(group) > 1) & (np.bincount(group, open_[order]) > 0))[group]
-            use = np.flatnonzero(use)
+            _, group, m = np.unique(cover.windows(text, at), return_inverse=True, return_counts=True)
+            use = np.flatnonzero(((m > 1) & (np.bincount(group, kind[who] == 0) > 0))[group])
             found = np.zeros(len(at), bool)
-            found[use] = DifferenceCover(text).repeats(at[use])
+            if len(use):
+                found[use] = DifferenceCover(text, at[use]).repeats(at[use])
             starts = np.flatnonzero(found & ~(np.concatenate([[False], found[:-1]]) & (step > 0)))
             ends = np.flatnonzero(found & ~(np.concatenate([found[1:], [False]]) & np.concatenate([step[1:] > 0, [False]])))
             w = who[starts]
-            take = lambda i: np.array([r[i] for r in rows], np.int64)[w]
-            first = take(3)
-            return pa.RecordBatch.from_arrays([pa.array(take(1)), pa.array(take(2)), pa.array((first + step[starts]).astype(np.int32)), pa.array((first + step[ends]).astype(np.int32))], ["k1", "k2", "first", "last"])
+            return pa.RecordBatch.from_arrays([pa.array(k1[w]), pa.array(k2[w]), pa.array((first[w] + step[starts]).astype(np.int32)), pa.array((first[w] + step[ends]).astype(np.int32))], ["k1", "k2", "first", "last"])
 
-        cover, rows, size, last = Cover(), [], 0, None
+        cover, held, size, last = Cover(), [], 0, None
         for b in batches:
-            for key, *r in zip(*(c.to_pylist() for c in b.columns)):
-                if size > 2 << 20 and key != last:
-                    yield block(rows)
-                    rows, size = [], 0
-                last = key
-                rows.append((key, *r))
-                size += len(r[5])
-        if rows:
-            yield block(rows)
-
+            if not b.num_rows:
+                continue
+            key, *numbers = (b.column(k).to_numpy() for k in range(6))
+            data, offs = column_buffers(b.column(6))
+            ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))  # where a bucket ends in this batch
+            if size > BLOCK and key[0] != last:
+                yield block(held)
+                held, size = [], 0
+            x = 0
+            while x < len(key):
+                over = np.flatnonzero((ends > x) & (offs[ends] - offs[x] + size > BLOCK))
+                y = int(ends[over[0]]) if len(over) else len(key)
+                held.append((*(v[x:y] for v in numbers), data[offs[x] : offs[y]], np.diff(offs[x : y + 1])))
+                size += int(offs[y] - offs[x])
+                if y < len(key):
+                    yield block(held)
+                    held, size = [], 0
+                x = y
+            last = key[-1]
+        if held:
+            yield block(held)
+
+    # tasks by bytes: entries are unequal, and equal bytes shrink in a shuffle
+    total = entries.agg(F.sum(F.col("last") - F.col("first") + LENGTH).alias("n")).first()["n"] or 0
     key = F.xxhash64("gram", "part", "core")
     rows = entries.select(key.alias("key"), "k1", "k2", "first", "last", "kind", "bytes")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "k1 long, k2 long, first int, last int")
+    return rows.repartition(max(12, total // TASK), "key").sortWithinPartitions("key").mapInArrow(run, "k1 long, k2 long, first int, last int")
 
 
 # Step 4
