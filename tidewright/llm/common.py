@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -14,30 +13,25 @@ from pyspark.sql import functions as F
 #: ASCII white space, as in the pattern [\x20\x09-\x0D].
 WHITE = " \t\n\x0b\x0c\r"
 MASK64 = (1 << 64) - 1
-_LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only a local session without one gets a folder of its own."""
+    """The folder of spark.checkpoint.dir; a local session without one uses its warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not base and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tidewright-")
-    return _LOCAL[app]
+    return (base or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, removed when the driver's Python ends."""
     path = f"{shared_dir(spark)}/tidewright/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(discard, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a path of scratch() that nothing will read again."""
     try:
         jvm = spark.sparkContext._jvm
         place = jvm.org.apache.hadoop.fs.Path(path)

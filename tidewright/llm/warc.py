@@ -5,8 +5,9 @@ content type and length; version 2 adds result code, checksum, location, offset
 header line, as many bytes as declared, and a line end. The converter makes of each an equivalent WARC record:
 a name-based UUID, an ISO date from the 14 digits, a type by content, and SHA-1 digests of block and payload.
 
-Archives are rolled at a bounded size and written by Spark's text writer, one row a file, so that they may lie
-in any store; they are read whole by the binaryFile reader.
+Each record of both formats is a gzip member of its own. Archives are rolled at a bounded size and written by Spark's
+text writer, one row a file, so that they may lie in any store; they are read by the binaryFile reader, member by
+member. Payloads go from archive to archive within a task: only digests and identifiers are shuffled to find revisits.
 
 Defined cases: a null payload is empty; a null URL becomes urn:x-page:ID; blanks and non-ASCII bytes in URLs are
 percent-encoded; a record larger than the rolling size is a file of its own; of equal payloads the row with the
@@ -20,18 +21,19 @@ import base64
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch
+from .common import discard, materialize, scratch, sized_join
 
 ROLL_BYTES = 16 << 20
 V1 = b"URL IP-address Archive-date Content-type Archive-length"
 V2 = b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
-RECORD = "page_id long, uri string, date string, kind string, mime string, record_id string, digest string, payload_bytes long, http binary, payload binary"
+RECORD = "archive string, number long, page_id long, uri string, date string, kind string, mime string, record_id string, digest string, payload_bytes long, http binary, payload binary"
 
 
 def digest(data: bytes) -> str:
@@ -39,6 +41,29 @@ def digest(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def member(data: bytes) -> bytes:
+    """data as a gzip member, the same for the same data."""
+    z = zlib.compressobj(5, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
+def members(data: bytes) -> Iterator[bytes]:
+    """What the gzip members of data hold, one after the other; data that isn't compressed is one."""
+    if not data.startswith(b"\x1f\x8b"):
+        yield data
+        return
+    at, view = 0, memoryview(data)
+    while at < len(data):
+        z, out = zlib.decompressobj(31), []
+        while not z.eof:
+            piece = view[at : at + (1 << 16)]
+            if not len(piece):
+                raise ValueError("a gzip member is cut short")
+            out.append(z.decompress(piece))
+            at += len(piece) - len(z.unused_data)
+        yield b"".join(out)
+
+
 # ARC
 
 
@@ -56,52 +81,57 @@ def arc_version_block(version: int, filename: str, date: str) -> bytes:
 
 
 def parse_arc(data: bytes) -> Iterator[dict]:
-    """The records of an ARC file, the version block left out. The block tells which header lines to expect."""
-    at, fields = 0, None
-    while at < len(data):
-        if data[at] in b"\r\n":
-            at += 1
-            continue
-        end = data.index(b"\n", at)
-        line = data[at:end].rstrip(b"\r")
-        length = int(line[line.rindex(b" ") + 1 :])
-        content = data[end + 1 : end + 1 + length]
-        if len(content) < length:
-            raise ValueError(f"a record at byte {at} declares {length} bytes, of which {len(content)} are there")
-        at = end + 1 + length
-        if fields is None:
-            version = content[: content.index(b" ")]
-            if version not in (b"1", b"2"):
-                raise ValueError(f"unknown ARC version {version!r}")
-            fields = content.split(b"\n")[1].decode().split(" ")
-            continue
-        values = line.decode("latin-1").rsplit(" ", len(fields) - 1)  # an old URL may hold blanks
-        if len(values) != len(fields):
-            raise ValueError(f"a header line has {len(values)} of {len(fields)} fields: {line[:200]!r}")
-        yield dict(zip(fields, values)) | {"content": content}
-
-
-def _blobs(parts: Iterator[bytes], head, glue: bytes) -> Iterator[bytes]:
-    """Archives of about ROLL_BYTES; head(n) opens the n-th. The last record's end is left to the writer."""
+    """The records of an ARC file, compressed or not, the version block left out. The block tells which header lines to
+    expect."""
+    fields = None
+    for part in members(data):
+        at = 0
+        while at < len(part):
+            if part[at] in b"\r\n":
+                at += 1
+                continue
+            end = part.index(b"\n", at)
+            line = part[at:end].rstrip(b"\r")
+            length = int(line[line.rindex(b" ") + 1 :])
+            content = part[end + 1 : end + 1 + length]
+            if len(content) < length:
+                raise ValueError(f"a record declares {length} bytes, of which {len(content)} are there: {line[:200]!r}")
+            at = end + 1 + length
+            if fields is None:
+                version = content[: content.index(b" ")]
+                if version not in (b"1", b"2"):
+                    raise ValueError(f"unknown ARC version {version!r}")
+                fields, name = content.split(b"\n")[1].decode().split(" "), line.split(b" ", 1)[0].decode("latin-1")
+                continue
+            values = line.decode("latin-1").rsplit(" ", len(fields) - 1)  # an old URL may hold blanks
+            if len(values) != len(fields):
+                raise ValueError(f"a header line has {len(values)} of {len(fields)} fields: {line[:200]!r}")
+            yield dict(zip(fields, values)) | {"content": content, "archive": name}
+
+
+def _blobs(parts: Iterator[bytes], head) -> Iterator[bytes]:
+    """Archives of about ROLL_BYTES, each part a gzip member; head(n) opens the n-th."""
     n, size, rows = 0, 0, []
-    for p in parts:
+    for p in map(member, parts):
         if rows and size + len(p) > ROLL_BYTES:
-            yield glue.join(rows)
+            yield b"".join(rows)
             n, size, rows = n + 1, 0, []
         if not rows:
-            rows, size = [head(n)], 0
+            rows, size = [member(head(n))], 0
         rows.append(p)
         size += len(p)
     if rows:
-        yield glue.join(rows)
+        yield b"".join(rows)
 
 
-def _write(blobs: DataFrame, path: str, end: str) -> None:
-    blobs.select(F.col("archive").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).option("lineSep", end).text(path)
+def _write(blobs: DataFrame, path: str) -> None:
+    """One file a row. The text writer ends a row with a line separator, here a gzip member without content."""
+    text = blobs.select(F.col("archive").cast("string").alias("value"))
+    text.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", member(b"").decode("latin-1")).text(path)
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
 
 
 def write_arc(pages: DataFrame, path: str, date: str = "20200101000000") -> None:
@@ -120,12 +150,12 @@ def write_arc(pages: DataFrame, path: str, date: str = "20200101000000") -> None
             for b in batches:
                 for page_id, url, html in zip(*(c.to_pylist() for c in b.columns)):
                     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\nX-Page-Id: {'' if page_id is None else page_id}\r\n\r\n".encode()
-                    yield arc_record(version, url or f"urn:x-page:{page_id}", "0.0.0.0", date, "text/html", http + html, 0, f"{part}.arc")
+                    yield arc_record(version, url or f"urn:x-page:{page_id}", "0.0.0.0", date, "text/html", http + html, 0, f"{part}.arc") + b"\n"
 
-        for blob in _blobs(records(), lambda n: arc_version_block(version, f"{part}-{n}.arc", date), b"\n"):
+        for blob in _blobs(records(), lambda n: arc_version_block(version, f"{part}-{n}.arc", date) + b"\n"):
             yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["archive"])
 
-    _write(rows.mapInArrow(run, "archive binary"), path, "\n")
+    _write(rows.mapInArrow(run, "archive binary"), path)
 
 
 # conversion
@@ -152,21 +182,25 @@ def convert(record: dict, place: str = "") -> dict:
     }
 
 
+def converted(data: bytes) -> Iterator[dict]:
+    """The converted records of an ARC file, with their number in it."""
+    for k, r in enumerate(parse_arc(data)):
+        yield convert(r, f"{r['archive']} {k}") | {"number": k}
+
+
 def read_arc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """The converted records of all ARC files under path."""
+    """The converted records of all ARC files under path. archive and number tell where each lies."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            for data in b.column(0):
+            for place, data in zip(b.column(0).to_pylist(), b.column(1)):
                 rows, size = [], 0
-                content = data.as_py()
-                for k, r in enumerate(parse_arc(content)):
-                    x = convert(r, f"{content[: content.index(b' ')].decode('latin-1')} {k}")
+                for x in converted(data.as_py()):
                     if not payload:
                         x["http"] = x["payload"] = None
-                    rows.append(x)
+                    rows.append(x | {"archive": place})
                     size += len(x["payload"] or b"") + 400
                     if size > 4 << 20:
                         yield from pa.Table.from_pylist(rows, _SCHEMA()).to_batches()
@@ -183,15 +217,13 @@ def _SCHEMA():
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in RECORD.split(", "))])
 
 
-def mark_revisits(records: DataFrame, keys: DataFrame) -> DataFrame:
-    """records with first_id and first_page of the record they revisit, null for responses. keys: the same records
-    without payload. Counts are made before rows move; groups of one need no partner; AQE splits large groups."""
+def mark_revisits(keys: DataFrame) -> DataFrame:
+    """(archive, number, first) of the records of read_arc() that revisit another, first. Counts are made before rows
+    move; groups of one need no partner; AQE splits large groups."""
     last = F.max(F.struct("page_id", "record_id", "uri", "date")).alias("first")
-    groups = keys.groupBy("digest", "payload_bytes").agg(F.count("*").alias("n"), last).filter("n > 1")
-    groups = groups.select(F.col("digest").alias("g_digest"), F.col("payload_bytes").alias("g_bytes"), "first")
-    out = records.join(groups.hint("merge"), (F.col("digest") == F.col("g_digest")) & (F.col("payload_bytes") == F.col("g_bytes")), "left")
-    other = F.col("first").isNotNull() & ~(F.col("first.record_id") == F.col("record_id"))
-    return out.withColumn("first", F.when(other, F.col("first"))).drop("g_digest", "g_bytes")
+    groups = keys.groupBy("digest", "payload_bytes").agg(F.count("*").alias("n"), last).filter("n > 1").drop("n")
+    out = keys.select("archive", "number", "record_id", "digest", "payload_bytes").join(groups.hint("merge"), ["digest", "payload_bytes"])
+    return out.filter(F.col("first.record_id") != F.col("record_id")).select("archive", "number", "first")
 
 
 # WARC
@@ -219,36 +251,47 @@ def warcinfo(name: str) -> bytes:
     return f"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>\r\nWARC-Filename: {name}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block
 
 
-def write_warc(records: DataFrame, path: str) -> None:
-    """records of mark_revisits() as WARC files under path."""
+def write_warc(spark: SparkSession, arcs: str, marks: DataFrame, path: str) -> None:
+    """The ARC files under arcs as WARC files under path, revisits as mark_revisits() has them. An archive's marks are no
+    more than its records; they join the compressed archive, by broadcast if all marks are few."""
+    lists = materialize(marks.groupBy("archive").agg(F.collect_list(F.struct("number", "first")).alias("marks")).withColumnRenamed("archive", "path"), "marks")
+    joined = sized_join(_read(spark, arcs), lists, ["path"], "left", 300 * F.size("marks") + 200).select("content", "marks")
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        parts = (warc_record(x, x["first"]) for b in batches for k in range(0, b.num_rows, 64) for x in b.slice(k, 64).to_pylist())
-        for blob in _blobs(parts, lambda n: warcinfo(f"{part}-{n}.warc"), b"\r\n\r\n"):
+
+        def records():
+            for b in batches:
+                for data, marks in zip(b.column(0), b.column(1)):
+                    first = {m["number"]: m["first"] for m in marks.as_py() or []}
+                    for x in converted(data.as_py()):
+                        yield warc_record(x, first.get(x["number"])) + b"\r\n\r\n"
+
+        for blob in _blobs(records(), lambda n: warcinfo(f"{part}-{n}.warc") + b"\r\n\r\n"):
             yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["archive"])
 
-    _write(records.mapInArrow(run, "archive binary"), path, "\r\n\r\n")
+    _write(joined.mapInArrow(run, "archive binary"), path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Header fields (names in lower case) and block of each record."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}: {lines[0][:80]!r}")
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        n = int(head["content-length"])
-        block = data[end + 4 : end + 4 + n]
-        if len(block) < n:
-            raise ValueError(f"a record at byte {at} is cut short")
-        at = end + 4 + n + 4
-        yield head, block
+    """Header fields (names in lower case) and block of each record of a WARC file, compressed or not."""
+    for part in members(data):
+        at = 0
+        while at < len(part):
+            end = part.index(b"\r\n\r\n", at)
+            lines = part[at:end].decode().split("\r\n")
+            if not lines[0].startswith("WARC/"):
+                raise ValueError(f"no WARC record at byte {at}: {lines[0][:80]!r}")
+            head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+            n = int(head["content-length"])
+            block = part[end + 4 : end + 4 + n]
+            if len(block) < n:
+                raise ValueError(f"a record at byte {at} is cut short")
+            at = end + 4 + n + 4
+            yield head, block
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -260,7 +303,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
         number = lambda v: int(v) if v else None
         for b in batches:
-            for data in b.column(0):
+            for data in b.column(1):
                 rows = []
                 for h, block in parse_warc(data.as_py()):
                     if h["warc-type"] == "warcinfo":
@@ -283,7 +326,8 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arcs, warcs = scratch(spark, "arc"), scratch(spark, "warc")
     write_arc(spark.read.parquet(f"{sf_dir}/pages.parquet"), arcs)
     keys = materialize(read_arc(spark, arcs, payload=False).drop("http", "payload"), "arc-keys")
-    write_warc(mark_revisits(read_arc(spark, arcs), keys), warcs)
+    write_warc(spark, arcs, mark_revisits(keys), warcs)
+    discard(spark, arcs)
     return read_warc(spark, warcs).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
