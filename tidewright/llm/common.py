@@ -108,6 +108,19 @@ def slices(offsets: np.ndarray, most: int):
         a = min(b, n)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: idle workers share an executor's memory with those at work."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def once_a_worker(key, make):
     """make(), kept for later tasks of the same Python worker process."""
     import sys

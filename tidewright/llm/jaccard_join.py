@@ -32,15 +32,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MASK64, arrow_rows, column_buffers, materialize, once_a_worker, sized_join, small_enough, slices, splitmix, text_key
+from .common import MASK64, arrow_rows, column_buffers, give_back, materialize, once_a_worker, sized_join, small_enough, slices, splitmix, text_key
 
 WORDS, NUM, DEN = 5, 4, 5  # five words, threshold 4/5
 RADIUS, EPS = 1 - NUM / DEN, 1e-9
 #: A neighbourhood or region up to both is joined in one task.
-CELL_NODES, CELL_SHINGLES = 2_048, 1 << 21
+CELL_NODES, CELL_SHINGLES = 2_048, 1 << 20
 #: Pivots of a region; a region of up to LEAF sets has none.
 PIVOTS, LEAF = 8, 32
-SLICE, BLOCK = 1 << 20, 1 << 20
+#: Bytes of text and shingles that a worker has in hand at once.
+SLICE, BLOCK = 1 << 19, 1 << 18
 #: 64 * log2 of sizes whose ratio is at the threshold differ by no more than this, rounding included.
 SIZES_APART = 22
 
@@ -193,6 +194,7 @@ def survey(docs: DataFrame, buckets: int) -> DataFrame:
                         yield from block(b.slice(first, y - first), ts, hs)
                         base += y - first
                         first, ts, hs, held = y, [], [], 0
+        give_back()
 
     return docs.select("id", "k1", "k2", "data").mapInArrow(run, f"kind byte, bucket int, ref long, id {id_kind}, k1 long, k2 long, n long, s1 long, s2 long, short long, packed binary")
 
@@ -334,12 +336,14 @@ def neighbourhoods(texts: DataFrame, shingles: int) -> DataFrame:
                     found, held = [], 0
         if found:
             yield block(found)
+        give_back()
 
     def meet(pdf):
         import numpy as np
         import pandas as pd
 
-        return pd.DataFrame({"packed": [_chain(np, np.concatenate([np.frombuffer(x, ENTRY) for x in pdf["packed"]]))[1]]})
+        p = np.frombuffer(_chain(np, np.concatenate([np.frombuffer(x, ENTRY) for x in pdf["packed"]]))[1], "<i8").reshape(-1, 2)
+        return pd.DataFrame({"a": p[:, 0], "b": p[:, 1]})
 
     def unpack(batches):
         import numpy as np
@@ -351,8 +355,8 @@ def neighbourhoods(texts: DataFrame, shingles: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
 
     listed = materialize(texts.select("node", "data").mapInArrow(run, "bucket int, packed binary"), "listed")
-    pairs = listed.filter("bucket >= 0").groupBy("bucket").applyInPandas(meet, "packed binary").unionByName(listed.filter("bucket < 0").select("packed"))
-    return materialize(components(pairs.mapInArrow(unpack, "a long, b long")), "neighbourhoods")
+    pairs = listed.filter("bucket >= 0").groupBy("bucket").applyInPandas(meet, "a long, b long")
+    return materialize(components(pairs.unionByName(listed.filter("bucket < 0").select("packed").mapInArrow(unpack, "a long, b long"))), "neighbourhoods")
 
 
 # Step 3
@@ -476,6 +480,7 @@ def join_regions(cells: DataFrame, texts: DataFrame) -> DataFrame:
                 sets.append(h)
             yield _link_batch(out)
         yield _link_batch(links())
+        give_back()
 
     rows = sized_join(texts.select("node", "data"), cells, ["node"], "inner", 40).select("cell", "node", "data")
     with arrow_rows(cells.sparkSession, 256):

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MASK64, column_buffers, materialize, sized_join, slices, splitmix, text_key
+from .common import MASK64, column_buffers, give_back, materialize, sized_join, slices, splitmix, text_key
 
 LENGTH, GRAM, SLICE = 200, 40, 1 << 20
 #: A bucket of more undecided entries is split before it is sorted.
@@ -390,6 +390,7 @@ def _sorted(entries: DataFrame) -> DataFrame:
             last = key[-1]
         if held:
             yield block(held)
+        give_back()
 
     # tasks by bytes: entries are unequal, and equal bytes shrink in a shuffle
     total = entries.agg(F.sum(F.col("last") - F.col("first") + LENGTH).alias("n")).first()["n"] or 0

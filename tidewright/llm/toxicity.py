@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import fold, materialize
+from .common import fold, give_back, materialize
 
 #: Letters of other scripts that look like plain ones.
 HOMOGLYPHS = {
@@ -140,6 +140,9 @@ def _count_by_label(texts: DataFrame, name: str, found) -> DataFrame:
                 n[1].clear()
         if n[0] or n[1]:
             yield table()
+        n[0].clear()
+        n[1].clear()
+        give_back()
 
     return texts.select("text", "y").mapInPandas(run, f"{name} string, a long, b long").groupBy(name).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
@@ -254,6 +257,7 @@ def score_texts(docs: DataFrame, model: ToxicityModel, text: str = "text", name:
         for b in batches:
             scores = [model.score(*match(t.as_py())) for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, name])
+        give_back()
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, DoubleType())]))
 
