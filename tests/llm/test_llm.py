@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("tidewright.llm")
 import oracle  # noqa: E402
-from tidewright.llm import decontamination, jaccard_join, mixing, quality_classifier, suffix_dedup, token_counts, toxicity, warc  # noqa: E402
+from tidewright.llm import decontamination, jaccard_join, language_id, mixing, quality_classifier, quality_rules, suffix_dedup, token_counts, toxicity, warc  # noqa: E402
 from tidewright.llm.queries import QUERIES, SQL  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -183,6 +184,110 @@ def test_folding_and_exceptions():
     assert m(None) == (0.0, 0) and m("") == (0.0, 0)
 
 
+def test_normal_equations_and_calibration_by_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_classifier.learn(docs, labels, dim=40)
+    rows = docs.join(labels, "doc_id").withColumn("held", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(4)) == 3).collect()
+    stats = np.array([quality_classifier.statistics(r["text"]) for r in rows])
+    assert model.mean == pytest.approx(stats.mean(0)) and model.scale == pytest.approx(np.maximum(stats.std(0), 1e-6))
+    w, b = model.projection()
+    x = np.clip((stats - model.mean) / model.scale, -6, 6)
+    f = np.array([[math.sqrt(2 / 40) * math.cos(sum(p * q for p, q in zip(r, w[:, k])) + b[k]) for k in range(40)] + [1.0] for r in x])
+    y, held = np.array([r["quality"] for r in rows], float), np.array([r["held"] for r in rows])
+    n = (~held).sum()
+    want = np.linalg.solve(f[~held].T @ f[~held] + np.diag([1e-3 * n] * 40 + [0.0]) + 1e-9 * np.eye(41), f[~held].T @ y[~held])
+    assert model.weights == pytest.approx(want, rel=1e-6, abs=1e-8)
+    raw = (f[held] @ want).round(9)
+    order = np.argsort(raw, kind="stable")
+    # the isotonic fit at each place is the largest of the least means over intervals that hold it
+    fit = lambda v, i: max(min(v[a : c + 1].mean() for c in range(i, len(v))) for a in range(i + 1))
+    if len(np.unique(raw)) == len(raw):
+        v = y[held][order]
+        means = sorted({round(fit(v, i), 9) for i in range(len(v))})
+        xs, ys = quality_classifier.isotonic(raw.tolist(), y[held].tolist())
+        assert len(xs) - 2 == len(means)
+    assert model.xs == pytest.approx(quality_classifier.isotonic(raw.tolist(), y[held].tolist())[0], abs=1e-6)
+
+
+def test_matcher_by_brute_force():
+    rng = np.random.default_rng(12)
+    letters = "abcd"
+    vocabulary = ["".join(rng.choice(list(letters), rng.integers(1, 6))) for _ in range(60)]
+    weights = {("=" if rng.random() < 0.5 else "^") + v: float(rng.integers(1, 9)) for v in vocabulary[:25] if len(v) > 1}
+    exceptions = tuple(f"{a} {b}" for a, b in zip(vocabulary[10:20], vocabulary[30:40]))
+    match = toxicity.ToxicityModel(weights, exceptions=exceptions).matcher()
+    for _ in range(200):
+        t = "".join(w + s for w, s in zip(rng.choice(vocabulary, 30), rng.choice([" ", ", ", "  ", "-"], 30, p=[0.7, 0.1, 0.1, 0.1])))
+        words = [(m.start(), m.group()) for m in re.finditer(r"[^\W\d_]+", t)]
+        safe = {k for e in exceptions for m in re.finditer(rf"(?<![a-z])(?={re.escape(e)}(?![a-z]))", t) for k in range(m.start(), m.start() + len(e))}
+        want = sum(max([w for k, w in weights.items() if k[1:] == x and k[0] == "=" or x.startswith(k[1:]) and k[0] == "^"], default=0.0) for at, x in words if at not in safe)
+        assert match(t) == (want, len(t.split()))
+
+
+def test_exception_phrases_are_learned(spark):
+    toxic = [f"you are pure scum {k}" for k in range(120)]
+    clean = [f"there is pond scum on water {k}" for k in range(60)] + [f"nothing to see here {k}" for k in range(400)]
+    texts = [(k, t) for k, t in enumerate(toxic + clean)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 120)) for k, _ in texts], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert "=scum" in model.weights or any("scum".startswith(k[1:]) for k in model.weights)
+    assert "pond scum" in model.exceptions and not {"pure scum"} & set(model.exceptions)
+    match = model.matcher()
+    assert match("old pond scum there")[0] == 0 < match("you scum there")[0]
+    kept = toxicity.reject_toxic(docs.withColumn("score", F.lit(7.0)), labels)
+    assert kept.columns == ["doc_id", "text", "score"] and {r["score"] for r in kept.collect()} == {7.0} and kept.filter("doc_id >= 120").count() == 460
+
+
+def test_profiles_by_brute_force(spark):
+    e = language_id.Encoder(dim=64)
+
+    def slow(text):
+        c = [0]
+        for x in text.lower():
+            code = ord(x) if x.isalpha() else 0
+            if code or c[-1]:
+                c.append(code)
+        c += [0] if c[-1] else []
+        v = np.zeros(64)
+        for i in range(len(c) - 2):
+            g = np.ones(64)
+            for k in range(3):
+                g = g * np.roll(e.letter(c[i + 2 - k]), k)
+            v += g
+        return v if len(c) > 2 else None
+
+    texts = ["Hello,  World!", "ab", "a", "Äpfel und Öl 123 und", "日本語 テキスト"]
+    for t in texts:
+        assert np.allclose(e.bundle(t), slow(t))
+    assert e.bundle("123 !") is None and slow("123 !") is None
+    big = language_id.Encoder()
+    docs = spark.createDataFrame([(k, "the house and the garden " * 3 if k % 2 else "das haus und der garten " * 3, "en" if k % 2 else "de") for k in range(12)], "k long, text string, lang string")
+    p = language_id.learn_prototypes(docs)
+    for lang in ("en", "de"):
+        v = sum(big.bundle(r["text"]) / np.linalg.norm(big.bundle(r["text"])) for r in docs.filter(F.col("lang") == lang).collect())
+        assert p[lang] == pytest.approx((v / np.linalg.norm(v)).tolist(), abs=1e-6)
+
+
+def test_clashing_columns_of_rules_and_mixing(spark):
+    names = ["doc_id", "text", "source", "n_words", "kept", "hash", "sk", "z", "rest", "at", "left", "held", "rounds", "a.b"]
+    rows = [(k, "word " * (k + 1), "ab"[k % 2], *[k] * 11) for k in range(8)]
+    docs = spark.createDataFrame(rows).toDF(*names)
+    out = {r["doc_id"]: r for r in quality_rules.apply_rules(docs).collect()}
+    assert all(out[k]["n_words"] == k + 1 and out[k]["hash"] == k and out[k]["kept"] in (True, False) for k in range(8))
+    mixed = mixing.mix(docs, carry=True)
+    assert mixed.columns == [*names, "size", "source_size", "target", "taken"]
+    plain = {r["doc_id"]: (r["size"], r["source_size"], r["target"], r["taken"]) for r in mixing.mix(docs).collect()}
+    for r in mixed.collect():
+        assert tuple(r)[:14] == rows[r["doc_id"]] and tuple(r)[14:] == plain[r["doc_id"]]
+
+
+def test_string_keys(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet").withColumn("doc_id", F.concat(F.lit("d"), "doc_id")) for t in ("documents", "labels"))
+    model = quality_classifier.learn(docs, labels)
+    assert quality_classifier.score_texts(docs, model).filter("score BETWEEN 0 AND 1").count() == docs.count()
+
+
 # 5
 
 
@@ -322,6 +427,15 @@ def test_cut_until_clean(spark, odd):
     assert again.filter("n_hit > 0").count() == 0 and out.filter("doc_id < 2").count() == 2
 
 
+def test_passes_agree(spark, odd, monkeypatch):
+    docs, items = (spark.read.parquet(f"{odd}/{t}.parquet") for t in ("documents", "benchmark"))
+    key = lambda d: sorted(map(str, d.collect()))
+    one = key(decontamination.find_matches(docs, items)), key(decontamination.decontaminate(docs, items))
+    monkeypatch.setattr(decontamination, "PASS_WORDS", 30)
+    assert len(list(decontamination.passes(items))) > 1
+    assert (key(decontamination.find_matches(docs, items)), key(decontamination.decontaminate(docs, items))) == one
+
+
 def test_automaton_blocks_agree(spark, odd):
     items = spark.read.parquet(f"{odd}/benchmark.parquet")
     texts = [decontamination.words_of((r["text"] or "").encode()) for r in rows(spark, odd)]

@@ -1,7 +1,8 @@
 """Benchmark decontamination by a generalised suffix automaton over the words of the test items.
 
-The automaton of all items (blocks of bounded size, each document passes every block) is built on the driver;
-documents stream through it word by word, tracking the longest match. Where ten words or more match, the last
+Automata of blocks of items are built on the driver, at most PASS_WORDS words of items at a time; that is what is
+broadcast. More items go in further passes over the documents, whose matches add up. Documents stream through an
+automaton word by word, tracking the longest match. Where ten words or more match, the last
 ten are a window of an item; items of fewer words are one window. A run of words that no item has, or that is
 shorter than the shortest window, can hold no match and resets the automaton.
 
@@ -16,8 +17,13 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-WINDOW, BLOCK_WORDS = 10, 1_000_000
+from .common import materialize
+
+WINDOW = 10
+#: Words of items in an automaton, and in all automata of one pass (about a kilobyte a word on the driver and in each worker).
+BLOCK_WORDS, PASS_WORDS = 100_000, 200_000
 
 
 def _table() -> bytes:
@@ -42,6 +48,7 @@ class SuffixAutomaton:
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
         self.window, self.vocabulary = window, {}
+        self.n_words = sum(len(words) for _, words in items)
         self.next: list[dict[int, int]] = [{}]
         self.link, self.len = [-1], [0]
         coded = []
@@ -187,12 +194,24 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def passes(items: DataFrame, window: int = WINDOW, most: int | None = None) -> Iterator[list[SuffixAutomaton]]:
+    """The automata, as many at a time as have up to most words (or one item)."""
+    group, n, most = [], 0, most or PASS_WORDS
+    for a in automata(items, window=window, block_words=min(BLOCK_WORDS, most)):
+        if group and n + a.n_words > most:
+            yield group
+            group, n = [], 0
+        group.append(a)
+        n += a.n_words
+    yield group
+
+
 def _matcher(models):
     def match(data: bytes):
         words = words_of(data)
         spans, found = [], set()
         for m in models:
-            s, f = m.value.match(words)
+            s, f = m.match(words)
             spans += s
             found |= f
         return words, _union(spans) if len(models) > 1 else spans, found
@@ -200,68 +219,89 @@ def _matcher(models):
     return match
 
 
-def find_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """key, n_words, n_hit, spans (word ranges) and items (sorted ids) of every row of docs."""
-    models = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(items, window=window)]
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("data"))
-    kind = rows.schema["key"].dataType.simpleString()
+SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))
+
 
-    def run(batches):
-        import pyarrow as pa
+def _add_matches(rows: DataFrame, items: DataFrame, text: str, window: int) -> DataFrame:
+    """rows with __n (words), __spans (word ranges) and __items; a pass over rows for each group of automata."""
+    schema = StructType([*rows.schema.fields, StructField("__n", LongType()), StructField("__spans", SPANS), StructField("__items", ArrayType(StringType()))])
+    at, width, before = rows.columns.index(text), len(rows.columns), None
+    for group in passes(items, window):
+        if before is not None:
+            rows = materialize(rows, "matches")
+            before.destroy()
+        before = shared = rows.sparkSession.sparkContext.broadcast(group)
 
-        match = _matcher(models)
-        for b in batches:
-            n_words, n_hit, all_spans, all_items = [], [], [], []
-            for data in b.column(1):
-                words, spans, found = match(data.as_py() or b"")
-                n_words.append(len(words))
-                n_hit.append(sum(y - x for x, y in spans))
-                all_spans.append([{"start": x, "end": y} for x, y in spans])
-                all_items.append(sorted(found))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(all_spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(all_items, pa.list_(pa.string()))], ["key", "n_words", "n_hit", "spans", "items"])
+        def run(batches, shared=shared):
+            import pyarrow as pa
 
-    return rows.mapInArrow(run, f"key {kind}, n_words long, n_hit long, spans array<struct<start: long, end: long>>, items array<string>").withColumnRenamed("key", key)
+            match, kind_of_spans = _matcher(shared.value), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            for b in batches:
+                n, all_spans, all_items = [], [], []
+                for k, value in enumerate(b.column(at)):
+                    t = value.as_py() or b""
+                    words, spans, found = match(t if isinstance(t, bytes) else t.encode())
+                    if b.num_columns > width:
+                        spans = _union(spans + [(x["start"], x["end"]) for x in b.column(width + 1)[k].as_py()])
+                        found |= set(b.column(width + 2)[k].as_py())
+                    n.append(len(words))
+                    all_spans.append([{"start": x, "end": y} for x, y in spans])
+                    all_items.append(sorted(found))
+                yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(n, pa.int64()), pa.array(all_spans, kind_of_spans), pa.array(all_items, pa.list_(pa.string()))], [*b.schema.names[:width], "__n", "__spans", "__items"])
+
+        rows = rows.mapInArrow(run, schema)
+    return rows
+
+
+def find_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """key, n_words, n_hit, spans (word ranges) and items (sorted ids) of every row of docs."""
+    rows = _add_matches(docs.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("data")), items, "data", window)
+    hit = F.aggregate("__spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return rows.select(F.col("key").alias(key), F.col("__n").alias("n_words"), hit.alias("n_hit"), F.col("__spans").alias("spans"), F.col("__items").alias("items"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, most: float = 0.5) -> DataFrame:
     """docs with the hit spans cut out of text, until no window is left; rows of which more than the share most is
-    hit are dropped whole, and so are those that hold no word any more. Rows without hits stay as they are."""
+    hit at first are dropped whole, and so are those that hold no word any more. Rows without hits stay as they are."""
     import re
 
-    models = [docs.sparkSession.sparkContext.broadcast(a) for a in automata(items, window=window)]
-    at, schema = docs.columns.index(text), docs.schema
-
-    def run(batches):
-        import pyarrow as pa
-
-        match = _matcher(models)
-        word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-        for b in batches:
-            keep, texts = [], []
-            for k, value in enumerate(b.column(at)):
-                t = value.as_py()
-                words, spans, _ = match(t.encode()) if t else ([], [], set())
-                if spans:
-                    if sum(y - x for x, y in spans) > most * len(words):
-                        continue
-                    while spans:
+    schema, at, width = docs.schema, docs.columns.index(text), len(docs.columns)
+    word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+    def cut(most: float):
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                keep, texts = [], []
+                for k, (value, n, ranges) in enumerate(zip(b.column(at), b.column(width).to_pylist(), b.column(width + 1).to_pylist())):
+                    t, spans = value.as_py(), [(x["start"], x["end"]) for x in ranges]
+                    if spans:
+                        hit = sum(y - x for x, y in spans)
+                        if hit > most * n or hit == n:
+                            continue
                         data = t.encode()
-                        places = [m.span() for m in word.finditer(data)]
-                        cut, last = [], 0
+                        places, parts, last = [m.span() for m in word.finditer(data)], [], 0
                         for x, y in spans:
-                            cut.append(data[last : places[x][0]])
+                            parts.append(data[last : places[x][0]])
                             last = places[y - 1][1]
-                        t = b"".join([*cut, data[last:]]).decode()
-                        words, spans, _ = match(t.encode())
-                    if not words:
-                        continue
-                keep.append(k)
-                texts.append(t)
-            columns = [c.take(pa.array(keep, pa.int64())) for c in b.columns]
-            columns[at] = pa.array(texts, b.column(at).type)
-            yield pa.RecordBatch.from_arrays(columns, b.schema.names)
-
-    return docs.mapInArrow(run, schema)
+                        t = b"".join([*parts, data[last:]]).decode()
+                    keep.append(k)
+                    texts.append(t)
+                columns = [c.take(pa.array(keep, pa.int64())) for c in b.columns[:width]]
+                columns[at] = pa.array(texts, b.column(at).type)
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+        return run
+
+    found = materialize(_add_matches(docs, items, text, window), "matches")
+    clean, hits = found.filter(F.size("__spans") == 0), found.filter(F.size("__spans") > 0)
+    out, share = clean.select(*(F.col(f"`{c}`") for c in docs.columns)), most
+    while not hits.isEmpty():  # a cut may bring the ends of a window together: what was cut is looked at again
+        again = materialize(_add_matches(hits.mapInArrow(cut(share), schema), items, text, window), "matches")
+        out = out.unionByName(again.filter(F.size("__spans") == 0).select(*(F.col(f"`{c}`") for c in docs.columns)))
+        hits, share = again.filter(F.size("__spans") > 0), 1.0
+    return out
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
