@@ -29,9 +29,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MASK64, column_buffers, give_back, materialize, sized_join, slices, splitmix, text_key
+from .common import MASK64, arrow_rows, column_buffers, give_back, materialize, sized_join, slices, splitmix, text_key
 
-LENGTH, GRAM, SLICE = 200, 40, 1 << 20
+LENGTH, GRAM, SLICE = 200, 40, 1 << 19
 #: A bucket of more undecided entries is split before it is sorted.
 MOST_ENTRIES = 4_000
 
@@ -168,6 +168,7 @@ def cover(docs: DataFrame, buckets: int) -> DataFrame:
             rows = [(int(bucket[i]), e[i:j].tobytes()) for i, j in zip([0, *cuts], [*cuts, len(e)]) if j > i]
             rows += [(-1 - int(rest["gram"][0] % np.uint64(buckets)), rest.tobytes())] if len(rest) else []
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "entries"])
+        give_back()
 
     return docs.mapInArrow(run, "bucket int, entries binary")
 
@@ -340,7 +341,7 @@ def decide(entries: DataFrame) -> DataFrame:
 
 
 #: Bytes of entries in a block, which is sorted at once, and in a task.
-BLOCK, TASK = 2 << 20, 8 << 20
+BLOCK, TASK = 1 << 20, 8 << 20
 
 
 def _sorted(entries: DataFrame) -> DataFrame:
@@ -440,7 +441,8 @@ def _keyed(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def _with_spans(df: DataFrame, key: str, text: str) -> DataFrame:
     keyed = _keyed(df.select(key, text), key, text).select("k1", "k2", "row", "data")
-    spans = repeated_spans(keyed)
+    with arrow_rows(df.sparkSession, 2_500):
+        spans = repeated_spans(keyed)
     t = F.coalesce(F.col(text), F.lit(""))
     out = df.withColumns({"__k1": text_key(t)[0], "__k2": text_key(t)[1]})
     spans = spans.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans"))
