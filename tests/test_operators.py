@@ -14,10 +14,14 @@ from tidewright.operators.variance_ratio import kernel, rolling, strided
 from tidewright.sources.bars import scan_bars, upsert_bars, write_bars
 
 
+START = 1_654_041_600_000  # the first of June 2022
+
+
 def bars(spark, n=50, volume=100.0, step=60_000, close=None):
-    c = close if close is not None else [100 + 0.01 * i for i in range(n)]
-    rows = [("X", i, 1_700_000_000_000 + i * step, float(c[i]), float(c[i]) + 0.5, float(c[i]) - 0.5, float(c[i]), volume) for i in range(n)]
-    return spark.createDataFrame(rows, "symbol string, idx long, ts long, open double, high double, low double, close double, volume double")
+    """A series of n bars; without prices it rises by a cent a bar, with a wave on top."""
+    price = [float(x) for x in close] if close is not None else [80 + 0.01 * i + math.sin(i / 5) for i in range(n)]
+    rows = [Row(symbol="X", idx=i, ts=START + i * step, open=p, high=p + 0.25, low=p - 0.25, close=p, volume=volume) for i, p in enumerate(price[:n])]
+    return spark.createDataFrame(rows)
 
 
 def test_holm_and_p_values():
@@ -38,7 +42,7 @@ def test_pchip_is_monotone_and_exact():
 
 def test_volume_bars(spark):
     out = rebar.volume_bars(bars(spark), 500).orderBy("idx").collect()
-    assert len(out) == 10 and out[0]["ts"] == 1_700_000_000_000 + 4 * 60_000
+    assert len(out) == 10 and out[0]["ts"] == START + 4 * 60_000
     assert rebar.volume_bars(bars(spark, 13), 500).count() == 2
     assert rebar.volume_bars(bars(spark), 1000).count() == 5
 
@@ -51,9 +55,9 @@ def test_gap_fill(spark):
 
 
 def test_vr_kernel_by_definition():
-    y = np.exp(np.cumsum(np.random.default_rng(42).normal(0, 0.001, 240)))
+    y = np.exp(np.cumsum(np.random.default_rng(2024).standard_t(6, 180) * 0.004))
     for q in (2, 5, 15):
-        n, mu = 239, (y[-1] - y[0]) / 239
+        n, mu = 179, (y[-1] - y[0]) / 179
         d = np.diff(y) - mu
         s1 = (d**2).sum() / (n - 1)
         sq = sum((y[i + q] - y[i] - q * mu) ** 2 for i in range(n - q + 1)) / (q * (n - q + 1) * (1 - q / n))
@@ -125,7 +129,7 @@ def test_agreement_of_permuted_labels(spark):
 def test_store_round_trip(spark, tmp_path):
     path = str(tmp_path / "bars")
     write_bars(bars(spark), path)
-    lo = 1_700_000_000_000
+    lo = START
     got = scan_bars(spark, path, "X", lo + 60_000, lo + 120_000)
     assert got.count() == 2 and "PartitionFilters: [isnotnull(symbol" in got._jdf.queryExecution().executedPlan().toString()
     assert upsert_bars(bars(spark, 3), bars(spark, 5).withColumn("close", F.lit(0.0))).filter("close = 0").count() == 2

@@ -29,7 +29,7 @@ def lines(spark, tmp_path_factory):
 
 def test_every_rolling_window(spark, lines):
     d, close, _ = lines
-    got = {(r["symbol"], r["q"], r["end_idx"]): (r["vr_dev"], r["z"]) for r in QUERIES["vr_rolling_all"](spark, d).collect()}
+    got = {(r["symbol"], r["q"], r["end_idx"]): (r["vr_dev"], r["z"]) for r in QUERIES["vr_rolling"](spark, d).collect()}
     assert len(got) == SYMBOLS * 2 * (BARS - 59)
     for s in (1, 21, 30):
         for e in range(59, BARS):
@@ -69,7 +69,7 @@ def test_backtest_of_whole_series(spark, lines):
 
 def test_bootstrap_replicates(spark, lines):
     d, close, _ = lines
-    got = {r["symbol"]: r for r in QUERIES["block_bootstrap_all"](spark, d).collect()}
+    got = {r["symbol"]: r for r in QUERIES["block_bootstrap"](spark, d).collect()}
     assert len(got) == SYMBOLS and {r["reps"] for r in got.values()} == {200}
     for s in (1, 30):
         r, means = np.diff(np.log(close[s]), prepend=np.log(close[s][0])), []  # the first is 0

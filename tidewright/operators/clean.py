@@ -69,3 +69,10 @@ def in_session(ts: str = "ts", first: int = 12, end: int = 20) -> Column:
     """UTC hour in [first, end) on Monday to Friday."""
     t = F.timestamp_millis(ts)
     return (F.hour(t) >= first) & (F.hour(t) < end) & (F.weekday(t) < 5)
+
+
+def holdout(bars: DataFrame, year: int) -> DataFrame:
+    """By symbol: bars before the held-out year and from it on; clean if none is held out, partial if both kinds are there."""
+    held = F.year(F.timestamp_millis("ts")) if "year" not in bars.columns else F.col("year")
+    g = bars.groupBy("symbol").agg(F.sum((held < year).cast("long")).alias("n_in"), F.sum((held >= year).cast("long")).alias("n_held"))
+    return g.withColumns({"clean": F.col("n_held") == 0, "partial": (F.col("n_held") > 0) & (F.col("n_in") > 0)})

@@ -47,11 +47,32 @@ def volume_bars(bars: DataFrame, threshold: float) -> DataFrame:
     return accumulated(bars, "volume", threshold)
 
 
-def intrinsic_bars(bars: DataFrame, threshold: float) -> DataFrame:
-    """Bars of equal realised variance."""
-    from .windows import log_return
+def intrinsic_bars(bars: DataFrame, threshold: float, window: int = 60) -> DataFrame:
+    """Bars of equal realised variance: what a bar adds is the sum of squared returns over the last window bars, as many
+    as there are."""
+    from .windows import frame, log_return
 
-    return accumulated(bars.withColumn("rv_part", log_return() * log_return()), "rv_part", threshold)
+    b = bars.withColumn("__sq", log_return() * log_return())
+    return accumulated(b.withColumn("rv_part", F.sum("__sq").over(frame(window))), "rv_part", threshold)
+
+
+def gauge(name: str, bars: DataFrame, volume: float | None = None, variance: float | None = None) -> DataFrame:
+    """Bars by a clock: 'clock' as they are, 'volume' or 'intrinsic' by their threshold."""
+    if name == "clock":
+        return bars
+    if name == "volume":
+        return volume_bars(bars, volume)
+    if name == "intrinsic":
+        return intrinsic_bars(bars, variance)
+    raise ValueError(f"unknown clock {name!r}")
+
+
+def threshold_sweep(bars: DataFrame, thresholds: list[float]) -> DataFrame:
+    """symbol, threshold, n, median_min: how many volume bars each threshold makes, and how long they are."""
+    from functools import reduce
+
+    one = lambda t: durations(volume_bars(bars, t)).select("symbol", F.lit(t).alias("threshold"), F.col("n") + 1, "median_min").toDF("symbol", "threshold", "n", "median_min")
+    return reduce(DataFrame.unionByName, map(one, thresholds))
 
 
 def overshoot(bars: DataFrame, threshold: float) -> DataFrame:
@@ -77,6 +98,18 @@ def compacted(df: DataFrame, w: int, value: str) -> DataFrame:
     return d.filter(F.col("__n") % w == 0).drop("__n")
 
 
+def impulses(df: DataFrame, value: str, share: float = 0.9) -> DataFrame:
+    """df with impulse: whether |value| is in the top of its size, over the table."""
+    q = df.filter(F.col(value).isNotNull()).agg(F.percentile(F.abs(value), F.lit(share)).alias("__q"))
+    return df.crossJoin(F.broadcast(q)).withColumn("impulse", F.abs(value) >= F.col("__q")).drop("__q")  # one row
+
+
+def enough_events(kept: DataFrame, up: str, down: str, least: int = 50) -> DataFrame:
+    """By symbol: thinned events of either kind, and whether one kind is too rare for a test."""
+    g = kept.groupBy("symbol").agg(F.sum(F.col(up).cast("long")).alias("n_up"), F.sum(F.col(down).cast("long")).alias("n_down"))
+    return g.withColumn("under_powered", F.least("n_up", "n_down") < least)
+
+
 def thinned(df: DataFrame, w: int, flag: str) -> DataFrame:
     """Flagged rows at least w bars apart, taken greedily in order."""
     def run(pdf):

@@ -90,3 +90,11 @@ def first_reaching(df: DataFrame, x: str, y: str, level: float, *by: str) -> Dat
     d = df.withColumn("px", F.lag(x).over(w)).withColumn("py", F.lag(y).over(w))
     cross: Column = F.when(F.col(y) >= level, F.when(F.col("py").isNull() | (F.col("py") >= level), F.col(x)).otherwise(F.col("px") + (F.col(x) - F.col("px")) * (level - F.col("py")) / (F.col(y) - F.col("py"))))
     return d.groupBy(*by).agg(F.min(cross).alias("at"))
+
+
+def disposition(tests: list[tuple[str, float, bool]], alpha: float = 0.05, primary: str = "primary") -> str:
+    """Verdict on specifications (name, p after Holm, degenerate): supported if the primary one passes and two in all do."""
+    ok = {name: p < alpha and not degenerate for name, p, degenerate in tests}
+    if all(degenerate for _, _, degenerate in tests):
+        return "inconclusive"
+    return "supported" if ok.get(primary) and sum(ok.values()) >= 2 else "not_supported"

@@ -3,22 +3,36 @@ retry draws the same; simulated paths come from one numpy generator a task, seed
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.bars import by_symbol
 from .measures import joint
 
 
+def seed_of(*parts) -> Column:
+    """A seed from the text of parts: the first 16 hexadecimal digits of their SHA-256, as an unsigned number."""
+    text = F.concat(*[F.col(p).cast("string") if isinstance(p, str) else p.cast("string") for p in parts])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)")
+
+
 def block_bootstrap_ci(df: DataFrame, value: str, block: int = 20, reps: int = 200, alpha: float = 0.05) -> DataFrame:
-    """Circular block bootstrap of a mean, by symbol: n, lo, hi. Replicates are rows; values are joined by place."""
+    """Circular block bootstrap of a mean, by symbol: n, reps, lo, hi; series shorter than two blocks have no interval. The
+    sums of all blocks are made once; a replicate is a sum of as many as it has blocks."""
     d = df.filter(F.col(value).isNotNull()).withColumn("i", (F.row_number().over(by_symbol()) - 1).cast("long"))
     n = d.groupBy("symbol").agg(F.count("*").alias("n"))
+    ring = d.select("symbol", "i", F.col(value).alias("v")).join(n, "symbol")
+    ring = ring.unionByName(ring.filter(F.col("i") < block).withColumn("i", F.col("i") + F.col("n")))
+    ahead = lambda m: F.sum("v").over(by_symbol("i").rowsBetween(0, m - 1))
+    rest = (F.col("n") - 1) % block + 1  # rows that the last block gives
+    tails = F.array(*[ahead(m) for m in range(1, block + 1)])
+    sums = ring.select("symbol", F.col("i").alias("start"), "n", ahead(block).alias("full"), F.element_at(tails, rest.cast("int")).alias("tail")).filter(F.col("start") < F.col("n")).drop("n")
     s = n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") + block - 1) / block) - 1)))
     start = F.conv(F.substring(F.sha2(F.concat_ws("|", "symbol", "rep", "blk"), 256), 1, 15), 16, 10).cast("long") % F.col("n")
-    g = s.withColumn("start", start).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).filter(F.col("blk") * block + F.col("k") < F.col("n"))
-    m = g.select("symbol", "rep", ((F.col("start") + F.col("k")) % F.col("n")).alias("i")).join(d.select("symbol", "i", value), ["symbol", "i"]).groupBy("symbol", "rep").agg(F.avg(value).alias("m"))
-    return m.groupBy("symbol").agg(F.count("*").alias("reps"), F.percentile("m", F.lit(alpha / 2)).alias("lo"), F.percentile("m", F.lit(1 - alpha / 2)).alias("hi"))
+    last = F.col("blk") == F.floor((F.col("n") - 1) / block)
+    m = s.withColumn("start", start).join(sums, ["symbol", "start"]).groupBy("symbol", "n", "rep").agg((F.sum(F.when(last, F.col("tail")).otherwise(F.col("full"))) / F.first("n")).alias("m"))
+    m = m.withColumn("m", F.when(F.col("n") >= 2 * block, F.col("m")))
+    return m.groupBy("symbol", "n").agg(F.count("*").alias("reps"), F.percentile("m", F.lit(alpha / 2)).alias("lo"), F.percentile("m", F.lit(1 - alpha / 2)).alias("hi"))
 
 
 def permutation_p(df: DataFrame, x: str, y: str, reps: int = 1000, seed: int = 7) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict, dataclass
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TRADE = "symbol {kind}, trade int, entry_time long, exit_time long, side string, qty double, entry_price double, exit_price double, entry_fee double, exit_fee double, pnl double"
 FUNDING_MS = 8 * 3_600_000
 
 
@@ -39,56 +41,122 @@ class Account:
         self.cash -= fee
 
 
-def run_account(ts, open_, close, signal, disabled, capital: float = 10_000.0, slippage: float = 1e-4, fee: float = 4e-4, leverage: bool = True, size: float = 1.0, funding=None) -> tuple[list[tuple], list[float]]:
+def uniform(ts: int, i: int) -> float:
+    """A number in [0, 1) that a bar's time and place fix, by the splitmix64 generator."""
+    golden, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
+    x = (int(ts) ^ (int(i) + 1) * golden & mask) + golden & mask
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> shift) * factor & mask
+    return ((x ^ x >> 31) >> 11) / (1 << 53)
+
+
+def run_account(ts, open_, close, signal, disabled, capital: float = 10_000.0, slippage: float = 1e-4, fee: float = 4e-4, leverage: bool = True, size: float = 1.0, funding=None, limit=None, maker_fee: float = 0.0, maker_slippage: float = 0.0, fill_chance: float = 1.0, fill_share: float = 1.0) -> tuple[list[tuple], list[float]]:
     """Trades and equity by bar: a bar's signal fills at the next open, slipped against the side; what is open at the end
-    closes at the last close, unslipped."""
+    closes at the last close, unslipped. Bars flagged in limit send limit orders: these fill by a chance that the bar fixes,
+    for a share of the change, at maker's terms."""
     a, equity, n = Account(capital, fee), [], len(ts)
+    chance, share = (min(1.0, max(0.0, x)) for x in (fill_chance, fill_share))
     for i in range(n):
-        if funding and i and a.position and int(ts[i]) // FUNDING_MS != int(ts[i - 1]) // FUNDING_MS:
+        if funding and i and a.position and int(ts[i]) // FUNDING_MS > int(ts[i - 1]) // FUNDING_MS:
             a.cash -= a.position * close[i] * funding(int(ts[i]))
         worth = a.cash + a.position * (close[i] - a.price)
         equity.append(worth)
         target = a.position if disabled[i] else signal[i] * worth / close[i] if leverage else signal[i] * size
         if target == a.position or i == n - 1:
             continue
+        slip, rate = slippage, fee
+        if limit is not None and limit[i]:
+            if chance <= 0 or chance < 1 and uniform(ts[i], i) > chance:
+                continue
+            target = a.position + (target - a.position) * share
+            if target == a.position:
+                continue
+            slip, rate = maker_slippage, maker_fee
         qty = target - a.position
-        price, when = open_[i + 1] * (1 + slippage if qty > 0 else 1 - slippage), int(ts[i + 1])
+        price, when = open_[i + 1] * (1 + slip if qty > 0 else 1 - slip), int(ts[i + 1])
         if a.position and target * a.position <= 0:
-            a.close(price, when, fee)
+            a.close(price, when, rate)
             if target:
-                a.open(target, price, when, fee)
+                a.open(target, price, when, rate)
         elif a.position:
-            a.change(qty, price, fee)
+            a.change(qty, price, rate)
         else:
-            a.open(target, price, when, fee)
+            a.open(target, price, when, rate)
     if n and a.position:
         a.close(close[n - 1], int(ts[n - 1]), fee)
         equity[-1] = a.cash
     return a.trades, equity
 
 
-def backtest(bars: DataFrame, signal: str, **config) -> tuple[DataFrame, DataFrame]:
-    """Trades, and equity by bar, of every symbol."""
+@dataclass(frozen=True)
+class Terms:
+    """An account's terms. A rebate in basis points is an older name for the maker's fee."""
+
+    capital: float = 10_000.0
+    slippage: float = 1e-4
+    fee: float = 4e-4
+    maker_fee: float | None = None
+    maker_rebate_bps: float = 0.0
+    maker_slippage: float = 0.0
+    fill_chance: float = 1.0
+    fill_share: float = 1.0
+    leverage: bool = True
+    size: float = 1.0
+
+    def settings(self) -> dict:
+        d = asdict(self)
+        rebate = d.pop("maker_rebate_bps")
+        return d | {"maker_fee": rebate / 1e4 if self.maker_fee is None else self.maker_fee}
+
+
+def run_all(bars: DataFrame, signal: str = "signal", limit: str | None = None, points: list[tuple[str, Terms]] = (), funding=None) -> DataFrame:
+    """A row for each symbol and named terms: one walk gives trades, equity by bar and what they come to. Points of a cost
+    sweep are rows of different tasks."""
+    points = list(points) or [("default", Terms())]
     kind = bars.schema["symbol"].dataType.simpleString()
     has = "trading_disabled" in bars.columns
-    b = bars.select("symbol", "idx", "ts", "open", "close", signal, *(["trading_disabled"] if has else []))
-
-    def go(pdf):
-        pdf = pdf.sort_values("idx")
-        disabled = pdf["trading_disabled"].to_numpy() if has else [False] * len(pdf)
-        return pdf, *run_account(pdf["ts"].to_numpy(), pdf["open"].to_numpy(), pdf["close"].to_numpy(), pdf[signal].to_numpy(), disabled, **config)
+    b = bars.select("symbol", "idx", "ts", "open", "close", signal, *(["trading_disabled"] if has else []), *([limit] if limit else []))
+    b = b.withColumn("point", F.explode(F.array(*[F.lit(n) for n, _ in points])))
+    terms = {n: t.settings() for n, t in points}
+    fields = "trade int, entry_time long, exit_time long, side string, qty double, entry_price double, exit_price double, entry_fee double, exit_fee double, pnl double"
+    schema = f"symbol {kind}, point string, trades array<struct<{fields.replace(' ', ':').replace(',:', ',')}>>, ts array<long>, equity array<double>"
 
-    def trades(pdf):
+    def run(key, pdf):
         import pandas as pd
 
-        _, t, _ = go(pdf)
-        return pd.DataFrame([(pdf["symbol"].iloc[0], k, *x) for k, x in enumerate(t)], columns=[c.split()[0] for c in TRADE.split(", ")])
+        pdf = pdf.sort_values("idx")
+        off = pdf["trading_disabled"].to_numpy() if has else [False] * len(pdf)
+        cols = [pdf[c].tolist() for c in ("ts", "open", "close", signal)]
+        trades, equity = run_account(*cols, off, funding=funding, limit=pdf[limit].tolist() if limit else None, **terms[key[1]])
+        names = [x.split()[0] for x in fields.split(", ")]
+        return pd.DataFrame({"symbol": [key[0]], "point": [key[1]], "trades": [[dict(zip(names, (k, *t))) for k, t in enumerate(trades)]], "ts": [cols[0]], "equity": [equity]})
+
+    return b.groupBy("symbol", "point").applyInPandas(run, schema)
+
+
+def report(runs: DataFrame, points: list[tuple[str, Terms]]) -> DataFrame:
+    """By symbol and point: round-trip cost, final equity, return, drawdown, trades, win rate, turnover, fee drag, and the
+    mean duration of a trade in minutes."""
+    cost = F.create_map(*[x for n, t in points for x in (F.lit(n), F.lit(2e4 * (abs(t.slippage) + t.fee)))])
+    capital = F.create_map(*[x for n, t in points for x in (F.lit(n), F.lit(t.capital))])
+    r = runs.withColumns({"cost": cost[F.col("point")], "__c": capital[F.col("point")]})
+    last = F.element_at("equity", -1)
+    fall = F.aggregate("equity", F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("d")), lambda a, e: F.struct(F.greatest(a["p"], e).alias("p"), F.greatest(a["d"], F.when(F.greatest(a["p"], e) > 0, 1 - e / F.greatest(a["p"], e)).otherwise(0.0)).alias("d")))["d"]
+    total = lambda f: F.aggregate(F.transform("trades", f), F.lit(0.0), lambda a, x: a + x)
+    n = F.size("trades")
+    return r.select(
+        "symbol", "point", "cost", last.alias("final_equity"), (last / F.col("__c") - 1).alias("total_return"), fall.alias("max_drawdown"), n.alias("n_trades"),
+        F.try_divide(F.size(F.filter("trades", lambda t: t["pnl"] > 0)), n).alias("win_rate"), total(lambda t: t["qty"]).alias("turnover"),
+        (total(lambda t: t["entry_fee"] + t["exit_fee"]) / F.col("__c")).alias("fee_drag"), F.try_divide(total(lambda t: (t["exit_time"] - t["entry_time"]) / 60000.0), n).alias("mean_minutes"),
+    )
 
-    def equity(pdf):
-        p, _, e = go(pdf)
-        return p[["symbol", "idx", "ts"]].assign(equity=e)
 
-    return b.groupBy("symbol").applyInPandas(trades, TRADE.format(kind=kind)), b.groupBy("symbol").applyInPandas(equity, f"symbol {kind}, idx long, ts long, equity double")
+def backtest(bars: DataFrame, signal: str, **config) -> tuple[DataFrame, DataFrame]:
+    """Trades, and equity by bar, of every symbol, both from one walk that is written down."""
+    runs = run_all(bars, signal, points=[("default", Terms(**config))])
+    t = runs.select("symbol", F.explode("trades").alias("t")).select("symbol", "t.*")
+    e = runs.select("symbol", F.posexplode(F.arrays_zip("ts", "equity")).alias("idx", "e")).select("symbol", F.col("idx").cast("long").alias("idx"), "e.ts", "e.equity")
+    return t, e
 
 
 class Admission:

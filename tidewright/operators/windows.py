@@ -36,10 +36,14 @@ def forward_return(h: int = 1, log: bool = False) -> Column:
     return F.ln(r) if log else r - 1
 
 
-def realized_vol(bars: DataFrame, w: int = 60, name: str = "rv") -> DataFrame:
-    """Root mean square of log returns (the first is 0) over w bars."""
+def realized_vol(bars: DataFrame, w: int = 60, name: str = "rv", ewma: bool = False) -> DataFrame:
+    """Root mean square of log returns (the first is 0) over w bars; with ewma, of all so far with 2 / (w + 1) as weight of
+    the newest."""
     b = bars.withColumn("__r", log_return())
-    return b.withColumn(name, rms(F.col("__r"), w)).drop("__r")
+    if not ewma:
+        return b.withColumn(name, rms(F.col("__r"), w)).drop("__r")
+    b = b.withColumn("__sq", F.col("__r") * F.col("__r"))
+    return ema(b, "__sq", w).withColumn(name, F.sqrt("ema")).drop("__r", "__sq", "ema")
 
 
 def vwap(w: int) -> Column:
@@ -73,6 +77,18 @@ def rank_average(x: Column, *by: str) -> Column:
     return F.rank().over(w.orderBy(x)) + (F.count("*").over(Window.partitionBy(*by, x)) - 1) / 2
 
 
+def table_ranks(df: DataFrame, value: str, bins: int = 4096) -> DataFrame:
+    """value and rank of each distinct value over the table, ties at their mean rank. Values are counted first; bins between
+    the least and the largest have their counts summed up, and only within a bin values are put in order."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("__c"))
+    ends = counts.agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    place = F.coalesce(F.floor((F.col(value) - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)) * bins), F.lit(0))
+    c = counts.crossJoin(F.broadcast(ends)).withColumn("__b", place).drop("__lo", "__hi")  # one row
+    below = c.groupBy("__b").agg(F.sum("__c").alias("n")).withColumn("__below", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a bin
+    upto = F.sum("__c").over(Window.partitionBy("__b").orderBy(value))
+    return c.join(F.broadcast(below.select("__b", "__below")), "__b").select(value, (F.col("__below") + upto - (F.col("__c") - 1) / 2).alias("rank"))
+
+
 def drawdown(equity: Column) -> Column:
     peak = F.max(equity).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
     return F.when(peak > 0, (peak - equity) / peak).otherwise(0.0)
@@ -119,8 +135,8 @@ def ema(bars: DataFrame, column: str, span: int, chunk: int = 50_000) -> DataFra
     return _chunked(bars, column, 2 / (span + 1), chunk, True)
 
 
-def rolling_quantile(bars: DataFrame, column: str, w: int, qs: dict[str, float], chunk: int | None = None, min_rows: int | None = None) -> DataFrame:
-    """bars with linear-interpolated rolling quantiles over w rows. Chunks of rows take w - 1 rows of halo along, so a
+def rolling_quantile(bars: DataFrame, column: str, w: int, qs: dict[str, float], chunk: int | None = None, min_rows: int | None = None, interpolation: str = "linear") -> DataFrame:
+    """bars with interpolated rolling quantiles over w rows. Chunks of rows take w - 1 rows of halo along, so a
     long window neither sits in one task nor costs w steps a row."""
     size = chunk or max(20 * w, 10_000)
     k = F.floor(F.col("idx") / size)
@@ -131,7 +147,20 @@ def rolling_quantile(bars: DataFrame, column: str, w: int, qs: dict[str, float],
     def run(key, pdf):
         pdf = pdf.sort_values("idx")
         r = pdf[column].rolling(w, min_periods=min_rows or w)
-        pdf = pdf.assign(**{n: r.quantile(q, interpolation="linear") for n, q in qs.items()})
+        pdf = pdf.assign(**{n: r.quantile(q, interpolation=interpolation) for n, q in qs.items()})
         return pdf[pdf["idx"] // size == key[1]].drop(columns="__chunk")
 
     return b.groupBy("symbol", "__chunk").applyInPandas(run, schema)
+
+
+def expanding_quantile(bars: DataFrame, column: str, least: int, qs: dict[str, float]) -> DataFrame:
+    """bars with quantiles of all rows so far, from least rows with a value on. Each depends on the whole past: a symbol
+    is one task."""
+    schema = T.StructType([*bars.schema.fields, *[T.StructField(n, T.DoubleType()) for n in qs]])
+
+    def run(pdf):
+        pdf = pdf.sort_values("idx")
+        x = pdf[column].expanding(min_periods=least)
+        return pdf.assign(**{n: x.quantile(q) for n, q in qs.items()})
+
+    return bars.groupBy("symbol").applyInPandas(run, schema)

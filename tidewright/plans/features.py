@@ -14,7 +14,7 @@ BARS = event_bars_sql(FIVE)
 HOURS = event_bars_sql(HOUR)
 
 
-@query(f"WITH {PANEL_SQL} SELECT symbol, year, count(*) AS n, round(sum(volume), 6) AS volume FROM panel WHERE year BETWEEN 1996 AND 1998 AND symbol <= 20 GROUP BY ALL")
+@query(f"WITH {PANEL_SQL} SELECT symbol, year, count(*) AS n, round(sum(volume), 6) AS volume FROM panel WHERE year BETWEEN 1996 AND 1998 GROUP BY ALL")
 def scan_years(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(panel(spark, sf).filter(F.col("year").between(1996, 1998)).groupBy("symbol", "year").agg(F.count("*").alias("n"), F.sum("volume").alias("volume")), "volume")
 
@@ -203,7 +203,7 @@ def max_drawdown(spark, sf):
 
 
 @query(f"""WITH RECURSIVE {PANEL_SQL}, s(symbol, idx, ts, amount, bar, closed) AS (
- SELECT symbol, idx, ts, volume, 0, volume >= 500 FROM panel WHERE idx = 0 AND symbol <= 20
+ SELECT symbol, idx, ts, volume, 0, volume >= 500 FROM panel WHERE idx = 0
  UNION ALL SELECT p.symbol, p.idx, p.ts, CASE WHEN s.closed THEN p.volume ELSE s.amount + p.volume END, s.bar + s.closed::INT, CASE WHEN s.closed THEN p.volume ELSE s.amount + p.volume END >= 500 FROM s JOIN panel p ON p.symbol = s.symbol AND p.idx = s.idx + 1)
 SELECT symbol, bar::BIGINT AS idx, ts, round(amount, 6) AS amount FROM s WHERE closed""")
 def volume_bars(spark, sf):
@@ -212,7 +212,7 @@ def volume_bars(spark, sf):
 
 @query()
 def intrinsic_bars(spark, sf):
-    return rebar.overshoot(rebar.intrinsic_bars(panel(spark, sf), 2.0), 2.0)
+    return rebar.overshoot(rebar.intrinsic_bars(panel(spark, sf), 2000.0), 2000.0)
 
 
 @query()
@@ -225,15 +225,26 @@ def bar_durations(spark, sf):
     return rounded(rebar.durations(event_bars(spark, sf, HOUR)), "median_min", "max_min")
 
 
-@query("""SELECT ts, min(k) AS slice FROM (SELECT unnest(generate_series(1704067200000, 1735689600000, 2592000000)) AS ts) , (SELECT 0 AS k) GROUP BY ts""")
+PLAN = (1704067200000, 1709251200000)
+
+
+@query(f"""WITH {event_bars_sql(HOUR, 'event_type')}, g AS (SELECT symbol, min(ts) AS lo, max(ts) AS hi FROM bars WHERE symbol <> 'error' OR ts >= 1704499200000 GROUP BY symbol),
+s AS (SELECT symbol, CASE WHEN lo > {PLAN[0]} + 60000 THEN {PLAN[0]} ELSE greatest({PLAN[0]}, hi + 60000) END AS start, lo > {PLAN[0]} + 60000 AS backfill FROM g WHERE NOT (hi >= {PLAN[1]} - 60000 AND lo <= {PLAN[0]} + 60000)),
+c AS (SELECT symbol, backfill, unnest(range(start, {PLAN[1]}, 2592060000)) AS a FROM s) SELECT symbol, backfill, a AS slice_start, least(a + 2592000000, {PLAN[1]}) AS slice_end FROM c""")
 def resume_plan(spark, sf):
-    return spark.range(1).select(F.explode(F.sequence(F.lit(1704067200000), F.lit(1735689600000), F.lit(2592000000))).alias("ts")).groupBy("ts").agg(F.min(F.lit(0)).alias("slice"))
+    """What is left to load of each symbol: all if its early history is missing, the tail else, in slices of 30 days."""
+    from ..sources.files import load_plan
+
+    b = event_bars(spark, sf, HOUR, F.col("event_type")).filter("symbol <> 'error' OR ts >= 1704499200000")
+    return load_plan(b, *PLAN)
 
 
-@query("SELECT event_id, ('0x' || substr(sha256(concat_ws('|', event_id::VARCHAR, event_type)), 1, 15))::BIGINT AS seed FROM events")
+@query("SELECT event_id, (('0x' || substr(sha256('43' || event_id || user_id), 1, 16))::UBIGINT)::VARCHAR AS seed FROM events")
 def seed_combiner(spark, sf):
+    from ..operators.resample import seed_of
+
     e = spark.read.parquet(f"{sf}/events.parquet")
-    return e.select("event_id", F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), "event_type"), 256), 1, 15), 16, 10).cast("long").alias("seed"))
+    return e.select("event_id", seed_of(F.lit(43), "event_id", "user_id").cast("string").alias("seed"))
 
 
 @query(f"WITH {PANEL_SQL} SELECT symbol, idx, round(-0.5 * ln(1 - least(abs(close / 1000 - 1) / (2 * (1 - 1.0 / 5)), 1 - 1e-12) ** 2), 6) AS nats, round(2 * 1e4 * (abs(volume / 1e5) + 4e-4), 6) AS round_trip_bps, round(0.5 * (volume / 100) ** -0.5, 6) AS e_value, round(2 / pi() * asin(sqrt(1 / (1 + volume))), 6) AS survival FROM panel")
@@ -251,12 +262,10 @@ def sign_pairs(spark, sf):
     return b.groupBy(F.signum("r").cast("long").alias("a"), F.signum("f").cast("long").alias("b")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {PANEL_SQL}, s AS (SELECT symbol, idx // 60 AS seg, idx % 60 AS k, ln(close / first_value(close) OVER (PARTITION BY symbol, idx // 60 ORDER BY idx)) AS rel FROM panel),
-t AS (SELECT symbol, seg, k, rel, max(CASE WHEN k = 1 THEN sign(rel) END) OVER (PARTITION BY symbol, seg) AS side FROM s)
-SELECT symbol, seg, coalesce(min(CASE WHEN k > 1 AND sign(rel) <> side THEN k END), 60) AS passage FROM t GROUP BY ALL HAVING count(*) = 60""")
+@query(f"""WITH {PANEL_SQL}, sg AS (SELECT symbol, idx // 60 AS seg, idx % 60 AS k, close FROM panel UNION ALL SELECT symbol, idx // 60 - 1, 60, close FROM panel WHERE idx % 60 = 0 AND idx > 0),
+sr AS (SELECT symbol, seg, k, sign(ln(close / first_value(close) OVER (PARTITION BY symbol, seg ORDER BY k))) AS s FROM sg), sf AS (SELECT *, max(CASE WHEN k = 1 THEN s END) OVER (PARTITION BY symbol, seg) AS f FROM sr)
+SELECT symbol, seg, coalesce(min(CASE WHEN s <> f OR s = 0 THEN k END), 61) AS passage FROM sf WHERE k > 0 GROUP BY ALL HAVING count(*) = 60""")
 def first_passage(spark, sf):
-    w = Window.partitionBy("symbol", "seg")
-    b = panel(spark, sf).select("symbol", F.floor(F.col("idx") / 60).alias("seg"), (F.col("idx") % 60).alias("k"), "close")
-    b = b.withColumn("rel", F.ln(F.col("close") / F.first("close").over(w.orderBy("k")))).withColumn("side", F.max(F.when(F.col("k") == 1, F.signum("rel"))).over(w))
-    g = b.groupBy("symbol", "seg").agg(F.min(F.when((F.col("k") > 1) & (F.signum("rel") != F.col("side")), F.col("k"))).alias("p"), F.count("*").alias("n"))
-    return g.filter("n = 60").select("symbol", "seg", F.coalesce("p", F.lit(60)).cast("long").alias("passage"))
+    from ..operators.studies import first_passages
+
+    return first_passages(panel(spark, sf), 60)

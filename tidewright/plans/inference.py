@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import two_sided_p, two_sided_p_sql
 from ..operators import joins, measures as M, variance_ratio as VR, windows as W
 from ..sources.bars import MINUTE, PANEL_SQL, by_symbol, event_bars, event_bars_sql, label_pair, panel
 from .common import query, rounded
@@ -32,17 +33,11 @@ def vr_by_year(spark, sf):
     return rounded(VR.significance(v, "year").select("year", "q", "n", "median_dev", "mean_dev"), "median_dev", "mean_dev")
 
 
-@query(f"""WITH {PANEL_SQL}, few AS (SELECT symbol * 1000 + k AS symbol, idx - k AS idx, ts, close FROM panel, (SELECT unnest(range(0, 20)) AS k) WHERE symbol <= 20 AND idx >= k AND idx < 60 + k), {VR.vr_sql(60, (2, 5), 'few')}
-SELECT symbol // 1000 AS symbol, q, end_idx + symbol % 1000 AS end_idx, round(vr_dev, 6) AS vr_dev, round(z, 6) AS z FROM vr""")
+@query(f"""WITH {PANEL_SQL}, shifted AS (SELECT symbol * 100 + k AS symbol, idx - k AS idx, ts, close FROM panel, (SELECT unnest(range(0, 60)) AS k) WHERE idx >= k), {VR.vr_sql(60, (2, 5), 'shifted')}
+SELECT symbol // 100 AS symbol, q, end_idx + symbol % 100 AS end_idx, round(vr_dev, 6) AS vr_dev, round(z, 6) AS z FROM vr""")
 def vr_rolling(spark, sf):
-    v = VR.rolling(panel(spark, sf).filter("symbol <= 20 AND idx < 79"), 60, (2, 5), 50).filter("vr_dev IS NOT NULL")
-    return rounded(v.select("symbol", F.col("q").cast("long").alias("q"), "end_idx", "vr_dev", "z"), "vr_dev", "z")
-
-
-@query()
-def vr_rolling_all(spark, sf):
-    """Every rolling window of every symbol; vr_rolling holds the twin's part of them."""
-    v = VR.rolling(panel(spark, sf), 60, (2, 5), 200).filter("vr_dev IS NOT NULL")
+    """The window that ends at every bar of every symbol."""
+    v = VR.rolling(panel(spark, sf), 60, (2, 5)).filter("vr_dev IS NOT NULL")
     return rounded(v.select("symbol", F.col("q").cast("long").alias("q"), "end_idx", "vr_dev", "z"), "vr_dev", "z")
 
 
@@ -53,12 +48,13 @@ def vr_cascade(spark, sf):
     return M.cascade(VR.significance(VR.strided(panel(spark, sf), 60, (2, 5, 15)), "symbol"), "symbol")
 
 
-@query(VRS + """, k AS (SELECT *, row_number() OVER (PARTITION BY symbol, win ORDER BY abs(z) DESC, q) AS k FROM vr), o AS (SELECT *, abs(z) > [2.497705474412374, 2.3939797998185104, 2.241402727604947, 1.959963984540054][k] AS ok FROM k),
+@query(VRS + """, c3 AS (SELECT *, count(z) OVER (PARTITION BY symbol, win) AS c FROM vr), k AS (SELECT *, row_number() OVER (PARTITION BY symbol, win ORDER BY abs(z) DESC, q) AS k FROM c3 WHERE c = 3), o AS (SELECT *, abs(z) > [2.3939797998185104, 2.241402727604947, 1.959963984540054][k] AS ok FROM k),
 r AS (SELECT *, min(ok::INT) OVER (PARTITION BY symbol, win ORDER BY k) = 1 AS rej FROM o) SELECT q, count(*) AS n, sum((rej AND z > 0)::INT)::BIGINT AS triggers FROM r GROUP BY q""")
 def local_triggers(spark, sf):
     v = VR.strided(panel(spark, sf), 60, (2, 5, 15)).filter("z IS NOT NULL")
     w = Window.partitionBy("symbol", "win")
-    v = v.withColumn("k", F.row_number().over(w.orderBy(F.abs("z").desc(), "q"))).withColumn("ok", (F.abs("z") > F.element_at(F.array(*map(F.lit, M.CRITICAL)), F.col("k"))).cast("int"))
+    v = v.withColumn("n", F.count("z").over(w)).filter("n = 3")  # all horizons finite
+    v = v.withColumn("k", F.row_number().over(w.orderBy(F.abs("z").desc(), "q"))).withColumn("ok", (F.abs("z") > F.element_at(F.array(*map(F.lit, M.CRITICAL[1:])), F.col("k"))).cast("int"))
     v = v.withColumn("rej", F.min("ok").over(w.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)) == 1)
     return v.groupBy(F.col("q").cast("long").alias("q")).agg(F.count("*").alias("n"), F.sum((F.col("rej") & (F.col("z") > 0)).cast("long")).alias("triggers"))
 
@@ -153,54 +149,46 @@ def join_pairs(spark, sf):
     return rounded(joins.ordered_pairs(d, "name", ["m"]).select("name_1", "name_2", (F.col("m_1") - F.col("m_2")).alias("diff")), "diff")
 
 
-@query("WITH g AS (SELECT * FROM (SELECT unnest(['view', 'click', 'error', 'login']) AS t), (SELECT unnest(range(0, 24)) AS h)) SELECT t, h FROM g ANTI JOIN (SELECT DISTINCT event_type AS t, hour(ts) AS h FROM events WHERE user_id % 7 = 0 AND value > 12) e USING (t, h)")
+@query("WITH g AS (SELECT * FROM (SELECT unnest(['view', 'click', 'error', 'login']) AS t), (SELECT unnest(range(0, 24)) AS h)) SELECT t, h FROM g ANTI JOIN (SELECT DISTINCT event_type AS t, hour(ts) AS h FROM events) e USING (t, h)")
 def missing_cells(spark, sf):
+    """Planned cells that no event has; one planned type never occurs."""
     g = spark.range(1).select(F.explode(F.array(*map(F.lit, ("view", "click", "error", "login")))).alias("t")).crossJoin(spark.range(24).select(F.col("id").alias("h")))  # a grid of fixed size
-    e = spark.read.parquet(f"{sf}/events.parquet").filter("user_id % 7 = 0 AND value > 12").select(F.col("event_type").alias("t"), F.hour(F.col("ts").cast("timestamp")).cast("long").alias("h"))
+    e = spark.read.parquet(f"{sf}/events.parquet").select(F.col("event_type").alias("t"), F.hour(F.col("ts").cast("timestamp")).cast("long").alias("h"))
     return joins.missing(g, e, ["t", "h"])
 
 
-@query("""WITH p AS (SELECT event_type, least(1, avg(value) / 40) AS p FROM events GROUP BY event_type), k AS (SELECT *, row_number() OVER (ORDER BY p, event_type) AS k, count(*) OVER () AS m FROM p)
-SELECT event_type, round(p, 6) AS p, round(least(1, max(p * (m - k + 1)) OVER (ORDER BY k)), 6) AS p_holm FROM k""")
-def holm(spark, sf):
-    p = spark.read.parquet(f"{sf}/events.parquet").groupBy("event_type").agg(F.least(F.lit(1.0), F.avg("value") / 40).alias("p")).withColumn("all", F.lit(0))
-    return rounded(M.holm(p, "p", "all").select("event_type", "p", "p_holm"), "p", "p_holm")
+SYMBOLS = VRS + f", sm AS (SELECT symbol, q, count(*) AS n, median(z) AS mz, median(abs(vr_dev)) AS dev FROM vr GROUP BY ALL), sp AS (SELECT *, {two_sided_p_sql('mz')} AS p FROM sm)"
 
 
-@query("""SELECT c_custkey % 64 AS k, CASE WHEN c_custkey % 2 = 0 THEN 'instrument_failure' WHEN c_custkey % 3 = 0 THEN 'size_failure' WHEN c_custkey % 5 = 0 THEN 'power_failure' WHEN c_custkey % 7 = 0 THEN 'incomplete' ELSE 'admissible' END AS disposition, count(*) AS n FROM customer GROUP BY ALL""")
-def certificate(spark, sf):
-    k = F.col("c_custkey")
-    g = spark.read.parquet(f"{sf}/customer.parquet").select((k % 64).alias("k"), (k % 2 != 0).alias("instrument"), F.lit(True).alias("target"), (k % 3 != 0).alias("size"), F.lit(True).alias("transport"), (k % 5 != 0).alias("power"), F.when(k % 7 != 0, F.lit(True)).alias("value"))
-    return M.certificate(g).groupBy("k", "disposition").agg(F.count("*").alias("n"))
+@query(SYMBOLS + ", k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY p, q) AS k FROM sp) SELECT symbol, q::BIGINT AS q, round(p, 6) AS p, round(least(1, max(p * (4 - k)) OVER (PARTITION BY symbol ORDER BY k)), 6) AS p_holm FROM k")
+def holm(spark, sf):
+    """p of each symbol's median z by horizon, after Holm."""
+    s = VR.significance(VR.strided(panel(spark, sf), 60, (2, 5, 15)), "symbol")
+    s = s.select("symbol", F.col("q").cast("long").alias("q"), two_sided_p(F.col("median_z")).alias("p"))
+    return rounded(M.holm(s, "p", "symbol"), "p", "p_holm")
 
 
-DAILY = "d AS (SELECT epoch_ms(date_trunc('day', o_orderdate)) // 86400000 AS day, 1e6 + sum(o_totalprice) AS equity FROM orders GROUP BY ALL), r AS (SELECT day, equity / lag(equity) OVER (ORDER BY day) - 1 AS r FROM d)"
+GATES = QUANT + f", {VR.vr_sql(60, (2, 5, 15))}, sm AS (SELECT symbol, q, count(*) AS n, median(z) AS mz, median(abs(vr_dev)) AS dev FROM vr GROUP BY ALL), sp AS (SELECT *, {two_sided_p_sql('mz')} AS p FROM sm)" + """, lb AS (SELECT symbol, count(DISTINCT label) = 3 AS instrument FROM l WHERE label >= 0 GROUP BY symbol),
+g AS (SELECT symbol, bool_or(q = 5) AS target, bool_and(p > 0.001) AS size, max(dev) - min(dev) < 0.3 AS transport, min(n) >= 9 AS power, max(CASE WHEN q = 15 AND p < 0.9 THEN p > 0.05 END) AS value FROM sp GROUP BY symbol)"""
 
 
-@query(f"WITH {DAILY} SELECT count(r) AS n, round(sqrt(365) * avg(r) / stddev_samp(r), 6) AS sharpe, round(sqrt(365) * avg(r) / (SELECT stddev_samp(r) FROM r WHERE r < 0), 6) AS sortino FROM r WHERE r IS NOT NULL")
-def performance(spark, sf):
-    d = spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.floor(F.unix_millis(F.col("o_orderdate").cast("timestamp")) / 86400000).alias("day")).agg((1e6 + F.sum("o_totalprice")).alias("equity")).withColumn("symbol", F.lit("all"))
-    r = d.withColumn("r", F.col("equity") / F.lag("equity").over(by_symbol("day")) - 1).filter("r IS NOT NULL")
-    s = r.agg(F.count("*").alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("s"), F.stddev_samp(F.when(F.col("r") < 0, F.col("r"))).alias("down"))
-    return rounded(s.select("n", (F.sqrt(F.lit(365.0)) * F.col("m") / F.col("s")).alias("sharpe"), (F.sqrt(F.lit(365.0)) * F.col("m") / F.col("down")).alias("sortino")), "sharpe", "sortino")
+@query(GATES + " SELECT g.symbol, CASE WHEN NOT coalesce(instrument, true) THEN 'instrument_failure' WHEN NOT target THEN 'target_failure' WHEN NOT size THEN 'size_failure' WHEN NOT transport THEN 'transport_failure' WHEN NOT power THEN 'power_failure' WHEN NOT value THEN 'value_failure' WHEN instrument IS NULL OR value IS NULL THEN 'incomplete' ELSE 'admissible' END AS disposition FROM g LEFT JOIN lb USING (symbol)")
+def certificate(spark, sf):
+    """Each symbol's disposition from what its labels and variance ratios show."""
+    s = VR.significance(VR.strided(panel(spark, sf), 60, (2, 5, 15)), "symbol").withColumn("p", two_sided_p(F.col("median_z")))
+    of = F.when((F.col("q") == 15) & (F.col("p") < 0.9), F.col("p") > 0.05)
+    g = s.groupBy("symbol").agg(F.bool_or(F.col("q") == 5).alias("target"), F.bool_and(F.col("p") > 0.001).alias("size"), (F.max("median_dev") - F.min("median_dev") < 0.3).alias("transport"), (F.min("n") >= 9).alias("power"), F.max(of).alias("value"))
+    lb = labels(spark, sf).filter("label >= 0").groupBy("symbol").agg((F.count_distinct("label") == 3).alias("instrument"))
+    return M.certificate(g.join(lb, "symbol", "left")).select("symbol", "disposition")
 
 
-@query(RET + """, x AS (SELECT symbol, idx, r, row_number() OVER (PARTITION BY symbol ORDER BY idx) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM r), b AS (SELECT unnest(range(0, 8)) AS rep),
+@query(RET + """, x AS (SELECT symbol, idx, r, row_number() OVER (PARTITION BY symbol ORDER BY idx) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM r), b AS (SELECT unnest(range(0, 200)) AS rep),
 s AS (SELECT DISTINCT symbol, rep, blk, (('0x' || substr(sha256(symbol || '|' || rep || '|' || blk), 1, 15))::BIGINT) % n AS start, n FROM x, b, LATERAL (SELECT unnest(range(0, (n + 19) // 20)) AS blk)),
 g AS (SELECT symbol, rep, (start + k) % n AS i FROM s, (SELECT unnest(range(0, 20)) AS k) WHERE blk * 20 + k < n), m AS (SELECT g.symbol, rep, avg(r) AS m FROM g JOIN x USING (symbol, i) GROUP BY ALL)
-SELECT symbol, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m GROUP BY symbol""")
+SELECT symbol, count(*) AS reps, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m GROUP BY symbol""")
 def block_bootstrap(spark, sf):
     from ..operators.resample import block_bootstrap_ci
 
-    b = panel(spark, sf).select("symbol", "idx", W.log_return().alias("r"))
-    return rounded(block_bootstrap_ci(b, "r", block=20, reps=8).select("symbol", "lo", "hi"), "lo", "hi")
-
-
-@query()
-def block_bootstrap_all(spark, sf):
-    """The interval from the operator's default of 200 replicates; block_bootstrap holds the twin's eight."""
-    from ..operators.resample import block_bootstrap_ci
-
     b = panel(spark, sf).select("symbol", "idx", W.log_return().alias("r"))
     return rounded(block_bootstrap_ci(b, "r").select("symbol", "reps", "lo", "hi"), "lo", "hi")
 
@@ -209,7 +197,7 @@ def block_bootstrap_all(spark, sf):
 def permutation_null(spark, sf):
     from ..operators.resample import permutation_p
 
-    return permutation_p(label_pair(spark, sf), "x", "y", reps=200)
+    return permutation_p(label_pair(spark, sf), "x", "y")
 
 
 @query()

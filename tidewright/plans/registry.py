@@ -1,6 +1,6 @@
 """All queries and their SQL twins."""
 
-from . import features, inference, nested  # noqa: F401
+from . import benchmark, features, inference, nested, simulation, studies  # noqa: F401
 from .common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
