@@ -13,13 +13,14 @@ judged alike; further columns come back unchanged from decontaminate(), and are
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from .common import materialize
+from .common import give_back, materialize
 
 WINDOW = 10
 #: Words of items in an automaton, and in all automata of one pass (about a kilobyte a word on the driver and in each worker).
@@ -248,6 +249,7 @@ def _add_matches(rows: DataFrame, items: DataFrame, text: str, window: int) -> D
                     all_spans.append([{"start": x, "end": y} for x, y in spans])
                     all_items.append(sorted(found))
                 yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(n, pa.int64()), pa.array(all_spans, kind_of_spans), pa.array(all_items, pa.list_(pa.string()))], [*b.schema.names[:width], "__n", "__spans", "__items"])
+            give_back()
 
         rows = rows.mapInArrow(run, schema)
     return rows
@@ -260,47 +262,83 @@ def find_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     return rows.select(F.col("key").alias(key), F.col("__n").alias("n_words"), hit.alias("n_hit"), F.col("__spans").alias("spans"), F.col("__items").alias("items"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, most: float = 0.5) -> DataFrame:
-    """docs with the hit spans cut out of text, until no window is left; rows of which more than the share most is
-    hit at first are dropped whole, and so are those that hold no word any more. Rows without hits stay as they are."""
-    import re
+_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+
+def _cut(text: str, spans: list[tuple[int, int]]) -> str:
+    """text without the words of spans and what stands between them."""
+    data = text.encode()
+    places, parts, last = [m.span() for m in _WORD.finditer(data)], [], 0
+    for x, y in spans:
+        parts.append(data[last : places[x][0]])
+        last = places[y - 1][1]
+    return b"".join([*parts, data[last:]]).decode()
+
+
+def _rewrite(b, at: int, schema, edit):
+    """The batch with edit(k, text) in place of its texts; rows for which that is DROP go."""
+    import pyarrow as pa
+
+    texts = [edit(k, v.as_py()) for k, v in enumerate(b.column(at))]
+    keep = pa.array([k for k, t in enumerate(texts) if t is not DROP], pa.int64())
+    columns = [c.take(keep) for c in b.columns[: len(schema)]]
+    columns[at] = pa.array([t for t in texts if t is not DROP], b.column(at).type)
+    return pa.RecordBatch.from_arrays(columns, schema.names)
+
+
+DROP = object()
+
 
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window: int = WINDOW, most: float = 0.5) -> DataFrame:
+    """docs with the hit spans cut out of text, until no window is left (a cut may bring the ends of one together); rows of
+    which more than the share most is hit at first are dropped whole, and so are those that hold no word any more. Rows
+    without hits stay as they are."""
     schema, at, width = docs.schema, docs.columns.index(text), len(docs.columns)
-    word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+    groups = passes(items, window)
+    first, more = next(groups), next(groups, None)
+    if more is None:  # all automata fit: a task cuts until a text is clean
+        shared = docs.sparkSession.sparkContext.broadcast(first)
+
+        def clean(batches):
+            match = _matcher(shared.value)
+
+            def edit(k, t):
+                words, spans, _ = match(t.encode()) if t else ([], [], None)
+                if sum(y - x for x, y in spans) > most * len(words):
+                    return DROP
+                was = bool(spans)
+                while spans:
+                    t = _cut(t, spans)
+                    words, spans, _ = match(t.encode())
+                return DROP if was and not words else t
+
+            for b in batches:
+                yield _rewrite(b, at, schema, edit)
+            give_back()
+
+        return docs.mapInArrow(clean, schema)
 
     def cut(most: float):
         def run(batches):
-            import pyarrow as pa
-
             for b in batches:
-                keep, texts = [], []
-                for k, (value, n, ranges) in enumerate(zip(b.column(at), b.column(width).to_pylist(), b.column(width + 1).to_pylist())):
-                    t, spans = value.as_py(), [(x["start"], x["end"]) for x in ranges]
-                    if spans:
-                        hit = sum(y - x for x, y in spans)
-                        if hit > most * n or hit == n:
-                            continue
-                        data = t.encode()
-                        places, parts, last = [m.span() for m in word.finditer(data)], [], 0
-                        for x, y in spans:
-                            parts.append(data[last : places[x][0]])
-                            last = places[y - 1][1]
-                        t = b"".join([*parts, data[last:]]).decode()
-                    keep.append(k)
-                    texts.append(t)
-                columns = [c.take(pa.array(keep, pa.int64())) for c in b.columns[:width]]
-                columns[at] = pa.array(texts, b.column(at).type)
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
+                n, ranges = b.column(width).to_pylist(), b.column(width + 1).to_pylist()
+
+                def edit(k, t, n=n, ranges=ranges):
+                    spans = [(x["start"], x["end"]) for x in ranges[k]]
+                    hit = sum(y - x for x, y in spans)
+                    return DROP if hit > most * n[k] or hit == n[k] else _cut(t, spans)
+
+                yield _rewrite(b, at, schema, edit)
+            give_back()
 
         return run
 
     found = materialize(_add_matches(docs, items, text, window), "matches")
-    clean, hits = found.filter(F.size("__spans") == 0), found.filter(F.size("__spans") > 0)
-    out, share = clean.select(*(F.col(f"`{c}`") for c in docs.columns)), most
-    while not hits.isEmpty():  # a cut may bring the ends of a window together: what was cut is looked at again
+    untouched = lambda d: d.filter(F.size("__spans") == 0).select(*(F.col(f"`{c}`") for c in docs.columns))
+    out, hits, share = untouched(found), found.filter(F.size("__spans") > 0), most
+    while not hits.isEmpty():
         again = materialize(_add_matches(hits.mapInArrow(cut(share), schema), items, text, window), "matches")
-        out = out.unionByName(again.filter(F.size("__spans") == 0).select(*(F.col(f"`{c}`") for c in docs.columns)))
-        hits, share = again.filter(F.size("__spans") > 0), 1.0
+        out, hits, share = out.unionByName(untouched(again)), again.filter(F.size("__spans") > 0), 1.0
     return out
 
 

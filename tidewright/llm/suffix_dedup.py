@@ -302,6 +302,7 @@ def contexts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     [pa.array(np.full(n, b.column(0)[k].as_py())), pa.array(np.full(n, b.column(1)[k].as_py())), *(pa.array(e[c].copy()) for c in ("gram", "first", "last", "place", "kind")), pa.array([data[x : y + LENGTH] for x, y in zip(e["first"].tolist(), e["last"].tolist())], pa.binary())],
                     ["k1", "k2", "gram", "first", "last", "place", "kind", "bytes"],
                 )
+        give_back()
 
     return joined.mapInArrow(cut, "k1 long, k2 long, gram long, first int, last int, place int, kind byte, bytes binary")
 
@@ -485,6 +486,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             out = [c.take(pa.array(keep, pa.int64())) for c in b.columns[: len(columns)]]
             out[at] = pa.array(texts, b.column(at).type)
             yield pa.RecordBatch.from_arrays(out, columns)
+        give_back()
 
     return joined.mapInArrow(run, schema)
 
