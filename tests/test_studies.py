@@ -81,6 +81,23 @@ def test_dynamic_quantiles_are_in_the_sample(spark, walk):
         assert min(abs(got[i]["q"] - x) for x in w) < 1e-12 and abs(w.index(min(w, key=lambda x: abs(x - got[i]["q"]))) - 0.75 * (len(w) - 1)) <= 0.5 + 1e-9
 
 
+def test_filter_and_smoother_by_walking():
+    rng = np.random.default_rng(9)
+    x, mean, var = rng.normal(size=37), np.array([-1.0, 0.2, 2.0]), np.array([0.1, 1.0, 4.0])
+    move, start = rng.dirichlet([1, 2, 3], 3), np.array([0.2, 0.3, 0.5])
+    d = np.exp(markov.emissions(x, mean, var))
+    alpha, beta = [start * d[0]], [np.ones(3)]
+    for t in range(1, 37):
+        alpha.append((alpha[-1] @ move) * d[t])
+        beta.append(move @ (d[37 - t] * beta[-1]))
+    alpha, beta = np.array(alpha), np.array(beta[::-1])
+    filtered, both, moves, llf = markov.smoothed(markov.emissions(x, mean, var), start, move)
+    assert np.allclose(filtered, alpha / alpha.sum(1, keepdims=True)) and llf == pytest.approx(math.log(alpha[-1].sum()))
+    assert np.allclose(both, alpha * beta / (alpha * beta).sum(1, keepdims=True))
+    joint = sum(alpha[t][:, None] * move * (d[t + 1] * beta[t + 1]) / alpha[-1].sum() for t in range(36))
+    assert np.allclose(moves, joint) and moves.sum() == pytest.approx(36)
+
+
 def test_markov_finds_two_variances(spark):
     rng = np.random.default_rng(4)
     calm = np.repeat([0, 1, 0, 1], 150)
@@ -444,3 +461,109 @@ def test_clock_bars_and_gaps_of_a_stream(spark, tmp_path, walk):
     few = [r for r in rows if r[1] not in (4, 5, 6, 13, 14, 15, 16, 17, 18, 19)]
     got = {r["ts"]: r for r in stream(spark, tmp_path, "fill_gaps", [few[:8] + few[7:8], few[8:]], schema, lambda s: online.fill_gaps(s, 60_000, 300_000))}
     assert len(got) == 60 and got[T0 + 5 * 60_000]["close"] == walk[3] and not got[T0 + 5 * 60_000]["trading_disabled"] and got[T0 + 15 * 60_000]["trading_disabled"]
+
+
+# chunks
+
+
+@pytest.mark.parametrize("size", [7, 25, 1_000])
+def test_chunks_change_nothing(spark, walk, size):
+    b = series(spark, walk[:120]).withColumn("label", (F.col("idx") / 9).cast("int") % 3)
+    b = b.unionByName(b.withColumns({"symbol": F.lit("T"), "close": F.lit(200.0) - F.col("close"), "label": F.when(F.col("idx") % 50 < 30, F.lit(1))})).filter("symbol = 'S' OR idx % 11 <> 3")
+    key = lambda d: sorted(map(str, d.collect()))
+    got = {(r["symbol"], r["idx"]): r for r in windows.islands(windows.drawdowns(b, "close", size), "label", size).collect()}
+    for symbol in "ST":
+        rows = sorted((r for r in b.collect() if r["symbol"] == symbol), key=lambda r: r["idx"])
+        peak, run = -1.0, 0
+        for k, r in enumerate(rows):
+            peak = max(peak, r["close"])
+            run += k == 0 or r["label"] != rows[k - 1]["label"]
+            x = got[symbol, r["idx"]]
+            assert x["drawdown"] == pytest.approx(1 - r["close"] / peak) and x["run"] == run
+    whole = b.filter("symbol = 'S'")
+    make = lambda d: d.select("symbol", "idx", windows.full(F.sum, F.col("volume"), 9).alias("v"), F.round(windows.zscore(F.col("close"), 9), 9).alias("z"))
+    assert key(windows.over_chunks(whole, 9, make, size)) == key(make(whole))
+
+
+def test_next_bars_over_chunks(spark):
+    from tidewright.operators import clean
+
+    ts = [0, 1, 5, 20, 21, 90]
+    b = spark.createDataFrame([("S", t) for t in ts] + [("T", 3)], "symbol string, ts long")
+    got = {(r["symbol"], r["ts"]): r["next_ts"] for r in clean.with_next(b, 10).collect()}
+    assert got == {**{("S", a): c for a, c in zip(ts, [*ts[1:], None])}, ("T", 3): None}
+
+
+def test_exact_quantiles(spark):
+    from tidewright.operators.measures import exact_quantiles
+
+    rng = np.random.default_rng(3)
+    groups = {"a": np.round(rng.standard_cauchy(3_001), 3), "b": np.repeat([1.0, 2.0], [700, 701]), "c": np.array([5.0]), "d": rng.integers(0, 3, 10).astype(float)}
+    d = spark.createDataFrame([(g, float(x)) for g, v in groups.items() for x in v] + [("a", float("nan")), ("b", None)], "g string, x double")
+    ps = {"lo": 0.0, "q": 0.27, "m": 0.5, "hi": 1.0}
+    for accuracy in (20, 10_000):
+        for r in exact_quantiles(d, F.col("x"), ps, "g", accuracy=accuracy).collect():
+            v = groups[r["g"]]
+            assert r["n"] == len(v) and [r[k] for k in ps] == pytest.approx(np.quantile(v, list(ps.values())).tolist())
+    r = exact_quantiles(d, F.col("x"), {"m": 0.5}).first()
+    assert r["m"] == pytest.approx(np.median(np.concatenate(list(groups.values()))))
+
+
+def test_delta_star(spark):
+    d = spark.createDataFrame([("a", 0.01, 0.0), ("a", 0.1, 0.5), ("a", 1.0, 1.0), ("b", 0.01, 0.0), ("b", 1.0, 0.8), ("c", 0.5, 1.0)], "cell string, delta double, p_det double")
+    got = {r["cell"]: r["delta"] for r in studies.delta_star(d).collect()}
+    assert 0.1 < got["a"] < 1.0 and got["b"] is None and got["c"] == pytest.approx(0.5)
+    f = numerics.pchip([0.01, 0.1, 1.0], [0.0, 0.5, 1.0])
+    assert f(got["a"]) >= 0.9 > f(got["a"] * 0.99)
+
+
+def test_strides_agree(spark, walk):
+    from tidewright.operators.variance_ratio import by_stride
+
+    b = series(spark, walk)
+    key = lambda d: sorted((r["end_idx"], r["q"], round(r["z"], 9)) for r in d.collect())
+    every = key(by_stride(b, 40, (2, 5)))
+    assert len(every) == 361 * 2
+    for stride in (40, 10):
+        assert key(by_stride(b, 40, (2, 5), stride)) == [x for x in every if (x[0] - 39) % stride == 0]
+
+
+# causality and stores
+
+
+def test_a_later_bar_changes_nothing_before(spark, walk):
+    """Every operator of the past on a series, and on the series with a spike after its end."""
+    spiked = np.append(walk[:150], 1e4)
+
+    def made(c):
+        b = series(spark, c)
+        d = windows.islands(windows.drawdowns(b.withColumn("label", (F.col("close") > 50).cast("int")), "close", 40), "label", 40)
+        d = detectors.volatility_ratio(windows.realized_vol(d, 20), 10, 30)
+        up, low = windows.donchian(10)
+        d = d.withColumns({"vwap": windows.vwap(15), "up": up, "low": low, "z": windows.zscore(F.col("close"), 12)})
+        d = windows.rolling_quantile(windows.ema(d, "rv", 10, 50), "rv", 40, {"q": 0.9}, chunk=60)
+        return {r["idx"]: r.asDict() for r in d.collect()}
+
+    a, b = made(walk[:150]), made(spiked)
+    assert len(b) == 151 and all(str(a[i]) == str(b[i]) for i in range(150))
+
+
+def test_store(spark, tmp_path):
+    from tidewright.sources.bars import load_bars, upsert_store, write_bars
+    from tidewright.operators.clean import assert_ordered
+
+    year = 365 * 86_400_000
+    b = series(spark, [10, 11, 12]).unionByName(series(spark, [5]).withColumn("ts", F.lit(T0 + year)))
+    write_bars(b, str(tmp_path / "s"))
+    before = {f.name for f in (tmp_path / "s").rglob("*.parquet") if "2023" in str(f)}
+    new = series(spark, [99, 98, 97]).withColumn("ts", F.col("ts") + 120_000)
+    upsert_store(spark, str(tmp_path / "s"), new)
+    got = sorted((r["ts"] - T0, r["close"]) for r in spark.read.parquet(str(tmp_path / "s")).collect())
+    assert got == [(0, 10), (60_000, 11), (120_000, 12), (180_000, 98), (240_000, 97), (year, 5)]
+    assert before == {f.name for f in (tmp_path / "s").rglob("*.parquet") if "2023" in str(f)} and not (tmp_path / "s-staging").exists()
+    assert [r["close"] for r in load_bars(spark, str(tmp_path / "s"), "S", T0, T0 + 180_000).orderBy("ts").collect()] == [10, 11, 12, 98]
+    write_bars(series(spark, [1, -5]), str(tmp_path / "bad"))
+    with pytest.raises(Exception, match="bad bar at"):
+        load_bars(spark, str(tmp_path / "bad"), "S", T0, T0 + year).collect()
+    with pytest.raises(Exception, match="out of order"):
+        assert_ordered(series(spark, [1, 2]).withColumn("ts", -F.col("ts"))).collect()

@@ -37,10 +37,22 @@ def assert_ordered(bars: DataFrame) -> DataFrame:
     return bars.withColumn("ts", F.when(bad, F.raise_error(F.lit("bars out of order")).cast("long")).otherwise(F.col("ts")))
 
 
+def with_next(bars: DataFrame, chunk_ms: int = 30 * 86_400_000) -> DataFrame:
+    """bars with next_ts, the time of the symbol's next bar. Bars meet by chunk of time; the last of a chunk looks at where the
+    next chunk that has bars begins."""
+    from pyspark.sql import Window
+
+    b = bars.withColumn("__k", F.floor(F.col("ts") / chunk_ms))
+    starts = b.groupBy("symbol", "__k").agg(F.min("ts").alias("__s"))
+    starts = starts.withColumn("__s", F.lead("__s").over(by_symbol("__k")))  # a row a chunk
+    inside = F.lead("ts").over(Window.partitionBy("symbol", "__k").orderBy("ts"))
+    return b.withColumn("__in", inside).join(starts, ["symbol", "__k"]).withColumn("next_ts", F.coalesce("__in", "__s")).drop("__k", "__in", "__s")
+
+
 def gap_fill(bars: DataFrame, step: int = MINUTE, max_gap: int = 10 * MINUTE) -> DataFrame:
     """bars with flat ones (last close, no volume) in every gap; trading_disabled where the gap is over max_gap. Each
     bar makes its own fillers from the distance to the next, so no state runs through the series."""
-    b = bars.withColumn("gap", F.coalesce(F.lead("ts").over(by_symbol("ts")) - F.col("ts"), F.lit(step)))
+    b = with_next(bars).withColumn("gap", F.coalesce(F.col("next_ts") - F.col("ts"), F.lit(step)))
     gap = F.col("gap")
     n = F.when(gap > step, F.floor(gap / step) - 1).otherwise(F.lit(0)).cast("int")
     b = b.select("symbol", "ts", *OHLCV, "gap", F.explode(F.sequence(F.lit(0), n)).alias("k"))

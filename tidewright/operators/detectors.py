@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
+from .measures import exact_quantiles
 from .variance_ratio import rolling
 
 
@@ -57,8 +58,8 @@ def rolling_states(bars: DataFrame, vol: int = 60, w: int = 43_200, low: float =
 
 def global_states(df: DataFrame, value: str, low: float = 0.75, high: float = 0.95) -> DataFrame:
     """df with label by the value's quantiles over the whole table: below low, between, above high."""
-    q = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).agg(F.percentile(value, F.lit(low)).alias("__lo"), F.percentile(value, F.lit(high)).alias("__hi"))
-    return df.crossJoin(F.broadcast(q)).withColumn("label", by_threshold(F.col(value), F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")  # one row
+    q = exact_quantiles(df, F.col(value), {"__lo": low, "__hi": high}).drop("n")
+    return df.join(F.broadcast(q), F.lit(True), "left").withColumn("label", by_threshold(F.col(value), F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")  # one row
 
 
 def variance_ratio_states(bars: DataFrame, w: int = 120, q: int = 5) -> DataFrame:

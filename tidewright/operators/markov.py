@@ -16,38 +16,61 @@ def emissions(x, mean, var):
     return -0.5 * (np.log(2 * np.pi * var) + (x[:, None] - mean) ** 2 / var)
 
 
-def forward(logp, start, move):
-    """Filtered probabilities, predicted ones, and the log likelihood. Densities are scaled by their largest in a row."""
+def products(m):
+    """The products m_0 m_1 ... m_t of a row of small matrices for every t, scaled to a largest entry of 1, and the logarithms
+    of the scales. Spans double, so the work is a few passes over arrays instead of a walk."""
+    import numpy as np
+
+    p = m.copy()
+    scale = np.maximum(p.max((1, 2)), 1e-300)
+    p /= scale[:, None, None]
+    logs, step = np.log(scale), 1
+    while step < len(p):
+        q = p[:-step] @ p[step:]
+        total = logs[:-step] + logs[step:]
+        scale = np.maximum(q.max((1, 2)), 1e-300)
+        p[step:], logs[step:] = q / scale[:, None, None], total + np.log(scale)
+        step *= 2
+    return p, logs
+
+
+def _steps(logp, move):
+    """What takes the states from one row to the next; densities are scaled by the largest in a row."""
     import numpy as np
 
     top = logp.max(1)
     d = np.exp(logp - top[:, None])
-    n, k = d.shape
-    filtered, predicted, total = np.empty((n, k)), np.empty((n, k)), 0.0
-    p = start
-    for t in range(n):
-        predicted[t] = p
-        f = p * d[t]
-        s = f.sum()
-        filtered[t] = f / s
-        total += np.log(s)
-        p = filtered[t] @ move
-    return filtered, predicted, total + top.sum()
-
-
-def backward(filtered, predicted, move):
-    """Smoothed probabilities, and expected transitions."""
+    m = move * d[:, None, :]
+    m[0] = np.diag(d[0])
+    return m, d, top
+
+
+def forward(logp, start, move):
+    """Filtered probabilities and the log likelihood."""
+    import numpy as np
+
+    m, _, top = _steps(logp, move)
+    p, logs = products(m)
+    f = start @ p
+    total = np.maximum(f.sum(1, keepdims=True), 1e-300)
+    return f / total, float(logs[-1] + np.log(total[-1, 0]) + top.sum())
+
+
+def smoothed(logp, start, move):
+    """Filtered and smoothed probabilities, expected transitions, and the log likelihood."""
     import numpy as np
 
-    n, k = filtered.shape
-    smooth, moves = np.empty((n, k)), np.zeros((k, k))
-    smooth[-1] = filtered[-1]
-    for t in range(n - 2, -1, -1):
-        ratio = smooth[t + 1] / np.maximum(predicted[t + 1], 1e-300)
-        joint = filtered[t][:, None] * move * ratio
-        moves += joint
-        smooth[t] = joint.sum(1)
-    return smooth, moves
+    filtered, llf = forward(logp, start, move)
+    m, d, _ = _steps(logp, move)
+    n, k = d.shape
+    ahead = np.ones((n, k))  # how well each state explains what comes, up to a scale
+    if n > 1:
+        ahead[:-1] = products(m[:0:-1].transpose(0, 2, 1))[0][::-1].sum(1)
+    both = filtered * ahead
+    both /= np.maximum(both.sum(1, keepdims=True), 1e-300)
+    joint = filtered[:-1, :, None] * move * (d[1:] * ahead[1:])[:, None, :]
+    joint /= np.maximum(joint.sum((1, 2), keepdims=True), 1e-300)
+    return filtered, both, joint.sum(0), llf
 
 
 def fit(x, states: int = 3, steps: int = 100, seed: int = 42, switching_mean: bool = True, tol: float = 1e-6) -> dict:
@@ -65,12 +88,11 @@ def fit(x, states: int = 3, steps: int = 100, seed: int = 42, switching_mean: bo
     if not switching_mean:
         mean[:] = x.mean()
     for _ in range(steps):
-        filtered, predicted, llf = forward(emissions(x, mean, var), start, move)
+        _, g, moves, llf = smoothed(emissions(x, mean, var), start, move)
         if abs(llf - last) < tol * n:
             converged = True
             break
         last = llf
-        g, moves = backward(filtered, predicted, move)
         weight = np.maximum(g.sum(0), 1e-9)
         mean = (g * x[:, None]).sum(0) / weight if switching_mean else np.full(states, ((g / var) * x[:, None]).sum() / (g / var).sum())
         var = np.maximum((g * (x[:, None] - mean) ** 2).sum(0) / weight, 1e-10)

@@ -15,6 +15,30 @@ def spearman(df: DataFrame, x: str, y: str, *by: str, least: int = 10) -> DataFr
     return d.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("ic")).withColumn("ic", F.when(F.col("n") >= least, F.col("ic")))
 
 
+def exact_quantiles(df: DataFrame, value: Column, ps: dict[str, float], *by: str, accuracy: int = 10_000) -> DataFrame:
+    """By by, groups few and large: n, and the interpolated quantiles ps by name, exactly. A sketch of bounded size brackets
+    each quantile; values below a bracket are counted, those inside are put in order, a few in ten thousand."""
+    d = df.select(*by, value.alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    slack, names = 2 / accuracy, list(ps)
+    ends = [min(1.0, max(0.0, p + s)) for p in ps.values() for s in (-slack, slack)]
+    sketch = d.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("__v", ends, accuracy).alias("__e"))
+    d = d.crossJoin(F.broadcast(sketch)) if not by else d.join(F.broadcast(sketch), [*by])  # a row a group
+    v, lo, hi = F.col("__v"), [F.col("__e")[2 * k] for k in range(len(ps))], [F.col("__e")[2 * k + 1] for k in range(len(ps))]
+    below = d.groupBy(*by).agg(*[F.sum((v < a).cast("long")).alias(f"__b{k}") for k, a in enumerate(lo)], F.array(*[F.max(F.when(v < a, v)) for a in lo]).alias("__under"), F.array(*[F.min(F.when(v > b, v)) for b in hi]).alias("__over"))
+    inside = F.array_compact(F.array(*[F.when((v >= a) & (v <= b), F.lit(k)) for k, (a, b) in enumerate(zip(lo, hi))]))
+    near = d.select(*by, "n", "__v", F.explode(inside).alias("__k")).groupBy(*by, "n", "__k", "__v").agg(F.count("*").alias("__c"))
+    near = near.crossJoin(F.broadcast(below)) if not by else near.join(F.broadcast(below), [*by])
+    upto = F.sum("__c").over(Window.partitionBy(*by, "__k").orderBy("__v")) + F.array(*[F.col(f"__b{k}") for k in range(len(ps))])[F.col("__k")]
+    place = F.array(*[F.lit(p) for p in ps.values()])[F.col("__k")] * (F.col("n") - 1)
+    near = near.withColumns({"__u": upto, "__p": place})
+    at = lambda r: F.max(F.when((r >= F.col("__u") - F.col("__c")) & (r < F.col("__u")), F.col("__v")))
+    g = near.groupBy(*by, "n", "__k").agg(at(F.floor("__p")).alias("__x"), at(F.ceil("__p")).alias("__y"), F.max(F.col("__p") - F.floor("__p")).alias("__f"), F.max(F.col("__under")[F.col("__k")]).alias("__under"), F.max(F.col("__over")[F.col("__k")]).alias("__over"))
+    # of a few values, the neighbour that a quantile lies next to may be the one outside the bracket
+    x, y = F.coalesce("__x", "__under"), F.coalesce("__y", "__over")
+    g = g.withColumn("__q", x + F.col("__f") * (y - x))
+    return g.groupBy(*by, "n").agg(*[F.max(F.when(F.col("__k") == k, F.col("__q"))).alias(name) for k, name in enumerate(names)])
+
+
 def joint(df: DataFrame, x: str, y: str) -> DataFrame:
     """Counts of value pairs with their margins and total."""
     j = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
@@ -56,6 +80,20 @@ def agreement(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
+def agreement_by_state(df: DataFrame, x: str, y: str) -> DataFrame:
+    """state, n, share: of the rows to which x gives the state, those to which y does, too."""
+    j = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return j.groupBy(F.col(x).alias("state")).agg(F.count("*").alias("n"), F.avg((F.col(x) == F.col(y)).cast("int")).alias("share"))
+
+
+def zero_filled(counts: DataFrame, keys: dict[str, int], n: str = "n") -> DataFrame:
+    """counts with a row for every combination of the keys' values from 0 up, 0 where there was none. A few states."""
+    grid = counts.sparkSession.range(1).select()
+    for k, m in keys.items():
+        grid = grid.withColumn(k, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    return grid.join(counts, list(keys), "left").withColumn(n, F.coalesce(n, F.lit(0)))
+
+
 def degeneracy(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Spread of a value in [0, 1]: std, coefficient of variation, interquartile range, shares at the rails."""
     v = F.col(value)

@@ -82,7 +82,9 @@ def overshoot(bars: DataFrame, threshold: float) -> DataFrame:
 
 
 def durations(bars: DataFrame) -> DataFrame:
-    d = bars.withColumn("d", (F.col("ts") - F.lag("ts").over(by_symbol("ts"))) / 60000)
+    from .clean import with_next
+
+    d = with_next(bars).withColumn("d", (F.col("next_ts") - F.col("ts")) / 60000)
     return d.groupBy("symbol").agg(F.count("d").alias("n"), F.percentile("d", F.lit(0.5)).alias("median_min"), F.max("d").alias("max_min"))
 
 
@@ -100,8 +102,10 @@ def compacted(df: DataFrame, w: int, value: str) -> DataFrame:
 
 def impulses(df: DataFrame, value: str, share: float = 0.9) -> DataFrame:
     """df with impulse: whether |value| is in the top of its size, over the table."""
-    q = df.filter(F.col(value).isNotNull()).agg(F.percentile(F.abs(value), F.lit(share)).alias("__q"))
-    return df.crossJoin(F.broadcast(q)).withColumn("impulse", F.abs(value) >= F.col("__q")).drop("__q")  # one row
+    from .measures import exact_quantiles
+
+    q = exact_quantiles(df, F.abs(value), {"__q": share}).drop("n")
+    return df.join(F.broadcast(q), F.lit(True), "left").withColumn("impulse", F.abs(value) >= F.col("__q")).drop("__q")  # one row
 
 
 def enough_events(kept: DataFrame, up: str, down: str, least: int = 50) -> DataFrame:

@@ -177,3 +177,27 @@ def replay_windows(bars: DataFrame, start_ms: int, end_ms: int, window_ms: int,
     inside = spans.join(b, ["symbol", "bin"]).filter(F.col("ts").between(F.col("decision") - window_ms, F.col("decision")))
     g = inside.groupBy("symbol", "decision").agg(F.min("idx").alias("window_start"), F.max("idx").alias("decision_idx"), F.max("ts").alias("decision_ts"))
     return g.withColumn("matured_end", F.col("decision_idx") - matured).filter((F.col("window_start") <= F.col("matured_end")) & (F.col("matured_end") >= 0))
+
+
+def delta_star(curves: DataFrame, level: float = 0.9, points: int = 1000) -> DataFrame:
+    """By cell: the smallest delta at which a monotone cubic through (delta, p_det) reaches level, on a logarithmic grid; null
+    if no point does. A cell's curve is a few points."""
+    import math
+
+    kind = curves.schema["cell"].dataType.simpleString()
+
+    def run(pdf):
+        import pandas as pd
+
+        from ..functions.numerics import pchip
+
+        pdf = pdf.sort_values("delta")
+        xs, ys, at = pdf["delta"].tolist(), pdf["p_det"].tolist(), None
+        if max(ys) >= level:
+            f = pchip(xs, ys) if len(xs) > 1 else lambda x: ys[0]
+            a, b = math.log(xs[0]), math.log(xs[-1])
+            grid = (math.exp(a + (b - a) * k / (points - 1)) for k in range(points))
+            at = next((x for x in grid if f(x) >= level), None)
+        return pd.DataFrame({"cell": [pdf["cell"].iloc[0]], "delta": pd.Series([at], dtype=float)})
+
+    return curves.filter("delta > 0").groupBy("cell").applyInPandas(run, f"cell {kind}, delta double")

@@ -67,6 +67,13 @@ def rolling(bars: DataFrame, w: int, horizons=HORIZONS, chunk: int = 4096) -> Da
     return b.mapInArrow(run, f"symbol {kind}, end_idx long, end_ts long, q int, vr_dev double, z double")
 
 
+def by_stride(bars: DataFrame, w: int, horizons=HORIZONS, stride: int = 1) -> DataFrame:
+    """Windows of w bars at every stride: all of them, those that don't overlap, or every stride-th of all."""
+    if stride == w:
+        return strided(bars, w, horizons).drop("win")
+    return rolling(bars, w, horizons).filter((F.col("end_idx") - (w - 1)) % stride == 0)
+
+
 def _measure(windows: DataFrame, w: int, horizons) -> DataFrame:
     kind = windows.schema["symbol"].dataType.simpleString()
 
@@ -86,9 +93,18 @@ def _measure(windows: DataFrame, w: int, horizons) -> DataFrame:
 
 
 def significance(vr: DataFrame, *by: str, closed: float = 0.001) -> DataFrame:
-    """By q (and by): windows, median and mean |VR - 1|, median z, and whether the median is as good as 0."""
+    """By q (and by): windows, median and mean |VR - 1|, median z, and whether the median is as good as 0. Without by, a
+    horizon holds all windows: its medians are found without gathering them."""
     v = vr.filter("vr_dev IS NOT NULL")
-    return v.groupBy(*by, "q").agg(F.count("*").alias("n"), F.percentile(F.abs("vr_dev"), F.lit(0.5)).alias("median_dev"), F.avg(F.abs("vr_dev")).alias("mean_dev"), F.percentile("z", F.lit(0.5)).alias("median_z")).withColumn("closed", F.col("median_dev") < closed)
+    size = F.abs("vr_dev")
+    if by:
+        s = v.groupBy(*by, "q").agg(F.count("*").alias("n"), F.percentile(size, F.lit(0.5)).alias("median_dev"), F.avg(size).alias("mean_dev"), F.percentile("z", F.lit(0.5)).alias("median_z"))
+    else:
+        from .measures import exact_quantiles
+
+        m = exact_quantiles(v, size, {"median_dev": 0.5}, "q").join(exact_quantiles(v, F.col("z"), {"median_z": 0.5}, "q").drop("n"), "q")
+        s = m.join(v.groupBy("q").agg(F.avg(size).alias("mean_dev")), "q").select("q", "n", "median_dev", "mean_dev", "median_z")
+    return s.withColumn("closed", F.col("median_dev") < closed)
 
 
 def vr_sql(w: int, horizons, source: str = "panel") -> str:

@@ -89,15 +89,49 @@ def table_ranks(df: DataFrame, value: str, bins: int = 4096) -> DataFrame:
     return c.join(F.broadcast(below.select("__b", "__below")), "__b").select(value, (F.col("__below") + upto - (F.col("__c") - 1) / 2).alias("rank"))
 
 
-def drawdown(equity: Column) -> Column:
-    peak = F.max(equity).over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))
-    return F.when(peak > 0, (peak - equity) / peak).otherwise(0.0)
+#: Rows of a series that one task takes, where a window can be cut.
+CHUNK = 500_000
 
 
-def islands(df: DataFrame, label: str) -> DataFrame:
-    """df with run, the number of the run of equal labels a row is in."""
-    change = F.when(F.col(label).eqNullSafe(F.lag(label).over(by_symbol())) & (F.row_number().over(by_symbol()) > 1), 0).otherwise(1)
-    return df.withColumn("__c", change).withColumn("run", F.sum("__c").over(by_symbol().rowsBetween(Window.unboundedPreceding, 0))).drop("__c")
+def over_chunks(bars: DataFrame, w: int, make: Callable, size: int | None = None) -> DataFrame:
+    """make(bars), which adds columns from windows that end at a row and look back fewer than w rows, on chunks of each
+    series that take w rows of the chunk before along. make sees a chunk as a symbol of its own and keeps symbol and idx."""
+    size = max(size or CHUNK, w)
+    k = F.floor(F.col("idx") / size)
+    b = bars.withColumn("__k", F.explode(F.when(F.col("idx") % size >= size - w, F.array(k, k + 1)).otherwise(F.array(k))))
+    out = make(b.withColumn("symbol", F.struct("symbol", F.col("__k").alias("k"))).drop("__k"))
+    return out.filter(F.floor(F.col("idx") / size) == F.col("symbol.k")).withColumn("symbol", F.col("symbol.symbol"))
+
+
+def _before(parts: DataFrame, value: Column, name: str) -> DataFrame:
+    """parts (symbol, __k) with value over the chunks before, as name: a row a chunk."""
+    return parts.withColumn(name, value.over(by_symbol("__k").rowsBetween(Window.unboundedPreceding, -1)))
+
+
+def drawdowns(bars: DataFrame, value: str, size: int | None = None) -> DataFrame:
+    """bars with drawdown, the fall of value from its peak so far as a share of it. The peak is carried from chunk to chunk."""
+    b = bars.withColumn("__k", F.floor(F.col("idx") / (size or CHUNK)))
+    peaks = _before(b.groupBy("symbol", "__k").agg(F.max(value).alias("__m")), F.max("__m"), "__p").drop("__m")
+    inside = F.max(value).over(Window.partitionBy("symbol", "__k").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
+    b = b.withColumn("__i", inside).join(peaks, ["symbol", "__k"])
+    peak = F.greatest("__i", "__p")  # leaves nulls out
+    return b.withColumn("drawdown", F.when(peak > 0, (peak - F.col(value)) / peak).otherwise(0.0)).drop("__k", "__i", "__p")
+
+
+def islands(df: DataFrame, label: str, size: int | None = None) -> DataFrame:
+    """df with run, the number of the run of equal labels a row is in. Rows are in order of idx, which may have holes; a
+    chunk knows the last label and the number of runs before it."""
+    b = df.withColumn("__k", F.floor(F.col("idx") / (size or CHUNK)))
+    w = Window.partitionBy("symbol", "__k").orderBy("idx")
+    ends = b.groupBy("symbol", "__k").agg(F.max_by(F.struct(F.col(label).alias("l")), "idx").alias("__e"), F.min("idx").alias("__f"))
+    ends = _before(ends, F.last("__e"), "__b").drop("__e")
+    b = b.join(ends, ["symbol", "__k"])
+    prev = F.when(F.col("idx") == F.col("__f"), F.col("__b.l")).otherwise(F.lag(label).over(w))
+    first = (F.col("idx") == F.col("__f")) & F.col("__b").isNull()
+    b = b.withColumn("__c", F.when(first | ~F.col(label).eqNullSafe(prev), 1).otherwise(0))
+    before = _before(b.groupBy("symbol", "__k").agg(F.sum("__c").alias("__n")), F.sum("__n"), "__r").drop("__n")
+    run = F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce("__r", F.lit(0))
+    return b.join(before, ["symbol", "__k"]).withColumn("run", run).drop("__k", "__f", "__b", "__c", "__r")
 
 
 def _chunked(bars: DataFrame, column: str, alpha: float, chunk: int, hold_null: bool) -> DataFrame:

@@ -134,21 +134,25 @@ def _win(name, body):
 
 @query(_win("", "round(CASE WHEN count(*) OVER f = 60 THEN sqrt(avg(r * r) OVER f) END, 6) AS rv, round(CASE WHEN count(*) OVER g = 20 THEN sqrt(avg(r * r) OVER g) END, 6) AS fast, round(CASE WHEN count(*) OVER f = 60 THEN avg(close) OVER f END, 6) AS mean, round(CASE WHEN count(*) OVER f = 60 THEN sum(volume) OVER f END, 6) AS total, round(sum(r * r) OVER f, 6) AS rv_sum"))
 def rolling_basics(spark, sf):
-    b = panel(spark, sf).withColumn("r", W.log_return())
-    return rounded(b.select("symbol", "idx", W.rms(F.col("r"), 60).alias("rv"), W.rms(F.col("r"), 20).alias("fast"), W.full(F.avg, F.col("close"), 60).alias("mean"), W.full(F.sum, F.col("volume"), 60).alias("total"), F.sum(F.col("r") * F.col("r")).over(W.frame(60)).alias("rv_sum")), "rv", "fast", "mean", "total", "rv_sum")
+    def make(b):
+        b = b.withColumn("r", W.log_return())
+        return b.select("symbol", "idx", W.rms(F.col("r"), 60).alias("rv"), W.rms(F.col("r"), 20).alias("fast"), W.full(F.avg, F.col("close"), 60).alias("mean"), W.full(F.sum, F.col("volume"), 60).alias("total"), F.sum(F.col("r") * F.col("r")).over(W.frame(60)).alias("rv_sum"))
+
+    return rounded(W.over_chunks(panel(spark, sf), 61, make), "rv", "fast", "mean", "total", "rv_sum")
 
 
 @query(_win("", "round(CASE WHEN count(*) OVER f = 60 THEN sum((high + low + close) / 3 * volume) OVER f / nullif(sum(volume) OVER f, 0) END, 6) AS vwap, round(CASE WHEN count(*) OVER g = 20 THEN max(high) OVER g END, 6) AS upper, round(CASE WHEN count(*) OVER g = 20 THEN min(low) OVER g END, 6) AS lower"))
 def vwap_donchian(spark, sf):
     up, low = W.donchian(20)
-    return rounded(panel(spark, sf).select("symbol", "idx", W.vwap(60).alias("vwap"), up.alias("upper"), low.alias("lower")), "vwap", "upper", "lower")
+    d = W.over_chunks(panel(spark, sf), 60, lambda b: b.select("symbol", "idx", W.vwap(60).alias("vwap"), up.alias("upper"), low.alias("lower")))
+    return rounded(d, "vwap", "upper", "lower")
 
 
 @query(_win("", "round(CASE WHEN count(*) OVER f = 60 THEN (close - avg(close) OVER f) / nullif(stddev_pop(close) OVER f, 0) END, 5) AS z, round(CASE WHEN count(*) OVER f = 60 THEN (avg(close * volume) OVER f - avg(close) OVER f * avg(volume) OVER f) / nullif(avg(volume * volume) OVER f - avg(volume) OVER f * avg(volume) OVER f, 0) END, 5) AS beta"))
 def zscore_ols(spark, sf):
-    b = panel(spark, sf)
     _, beta = W.rolling_ols(F.col("close"), F.col("volume"), 60)
-    return rounded(b.select("symbol", "idx", W.zscore(F.col("close"), 60).alias("z"), beta.alias("beta")), "z", "beta", digits=5)
+    d = W.over_chunks(panel(spark, sf), 60, lambda b: b.select("symbol", "idx", W.zscore(F.col("close"), 60).alias("z"), beta.alias("beta")))
+    return rounded(d, "z", "beta", digits=5)
 
 
 QUANT = RET + """, v AS (SELECT symbol, idx, CASE WHEN count(*) OVER f = 20 THEN sqrt(avg(r * r) OVER f) END AS rv FROM r WINDOW f AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
@@ -168,10 +172,15 @@ def quantile_detector(spark, sf):
     return rounded(labels(spark, sf).select("symbol", "idx", "q75", "q95", "label"), "q75", "q95")
 
 
-@query(QUANT + " SELECT label AS state, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM l WHERE label >= 0 GROUP BY label")
+@query(QUANT + ", c AS (SELECT state, count(label) AS n FROM (SELECT unnest([0, 1, 2, 3]) AS state) LEFT JOIN l ON label = state GROUP BY state) SELECT state, n, round(n / sum(n) OVER (), 6) AS share, n / sum(n) OVER () < 0.01 AS sparse FROM c")
 def occupancy(spark, sf):
+    """Share of each state, also of those without a bar, and whether it is too small to rely on."""
+    from ..operators.measures import zero_filled
+
     d = labels(spark, sf).filter("label >= 0").groupBy(F.col("label").alias("state")).agg(F.count("*").alias("n"))
-    return rounded(d.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0)))), "share")
+    d = zero_filled(d, {"state": 4})
+    d = d.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(0))))  # four rows
+    return rounded(d.withColumn("sparse", F.col("share") < 0.01), "share")
 
 
 @query(QUANT + ", t AS (SELECT label, lag(label) OVER (PARTITION BY symbol ORDER BY idx) AS prev FROM l WHERE label >= 0) SELECT prev, label AS curr, count(*) AS n FROM t WHERE prev IS NOT NULL GROUP BY ALL")
@@ -199,7 +208,7 @@ def sample_compacted(spark, sf):
 
 @query(f"WITH {PANEL_SQL}, d AS (SELECT symbol, (max(close) OVER w - close) / max(close) OVER w AS dd FROM panel WINDOW w AS (PARTITION BY symbol ORDER BY idx)) SELECT symbol, round(max(dd), 6) AS max_drawdown FROM d GROUP BY symbol")
 def max_drawdown(spark, sf):
-    return rounded(panel(spark, sf).select("symbol", W.drawdown(F.col("close")).alias("dd")).groupBy("symbol").agg(F.max("dd").alias("max_drawdown")), "max_drawdown")
+    return rounded(W.drawdowns(panel(spark, sf), "close").groupBy("symbol").agg(F.max("drawdown").alias("max_drawdown")), "max_drawdown")
 
 
 @query(f"""WITH RECURSIVE {PANEL_SQL}, s(symbol, idx, ts, amount, bar, closed) AS (

@@ -59,9 +59,15 @@ def local_triggers(spark, sf):
     return v.groupBy(F.col("q").cast("long").alias("q")).agg(F.count("*").alias("n"), F.sum((F.col("rej") & (F.col("z") > 0)).cast("long")).alias("triggers"))
 
 
-@query("SELECT quality AS x, toxic AS y, count(*) AS n FROM labels GROUP BY ALL")
+@query("SELECT x, y, count(quality) AS n FROM (SELECT unnest([0, 1, 2]) AS x), (SELECT unnest([0, 1, 2]) AS y) LEFT JOIN labels ON quality = x AND toxic = y GROUP BY x, y")
 def confusion(spark, sf):
-    return M.joint(label_pair(spark, sf), "x", "y").select("x", "y", "n")
+    """Counts of all pairs of three states, 0 where there is none."""
+    return M.zero_filled(M.joint(label_pair(spark, sf), "x", "y").select("x", "y", "n"), {"x": 3, "y": 3})
+
+
+@query("SELECT quality AS state, count(*) AS n, round(avg((quality = toxic)::INT), 6) AS share FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL GROUP BY quality")
+def agreement_by_state(spark, sf):
+    return rounded(M.agreement_by_state(label_pair(spark, sf), "x", "y"), "share")
 
 
 AGREE = """WITH j AS (SELECT quality AS x, toxic AS y, count(*)::DOUBLE AS n FROM labels GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY x) AS nx, sum(n) OVER (PARTITION BY y) AS ny, sum(n) OVER () AS t FROM j),

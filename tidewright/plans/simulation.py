@@ -243,3 +243,13 @@ def _mean(x):
 
 
 
+
+
+@query()
+def delta_star(spark, sf):
+    """Detection limits from the shares that injected phi reach on all symbols."""
+    from ..operators.studies import delta_star
+
+    d = J.cell_power(returns(spark, sf), "r", (0.05, 0.3, 0.6, 0.9), n_mc=10, w=60, horizons=(2, 5, 15))
+    c = d.groupBy((F.col("symbol") % 4).alias("cell"), F.col("phi").alias("delta")).agg(F.avg("p_det").alias("p_det"))
+    return rounded(delta_star(c, 0.5), "delta")

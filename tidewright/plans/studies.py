@@ -157,12 +157,12 @@ def risk_report(spark, sf):
 EVAL = f"WITH {PANEL_SQL}, {VR.vr_sql(60, (2, 5))}, pv AS (SELECT symbol, q, {two_sided_p_sql('z')} AS p FROM vr)"
 
 
-@query(EVAL + " SELECT symbol, round(exp(sum(ln(0.5 * p ** -0.5))), 5) AS e_product, round(avg(0.5 * p ** -0.5), 5) AS e_average FROM pv WHERE p > 0 GROUP BY symbol")
+@query(EVAL + " SELECT symbol, round(sum(ln(0.5 * greatest(p, 1e-6) ** -0.5)), 5) AS log_e_product, round(avg(0.5 * greatest(p, 1e-6) ** -0.5), 5) AS e_average FROM pv GROUP BY symbol")
 def e_values(spark, sf):
-    """e-values of a symbol's windows, multiplied and averaged."""
-    p = VR.strided(panel(spark, sf), 60, (2, 5)).filter("z IS NOT NULL").withColumn("p", two_sided_p(F.col("z"))).filter("p > 0")
+    """e-values of a symbol's windows, multiplied (as a logarithm) and averaged; a p under a millionth counts as that."""
+    p = VR.strided(panel(spark, sf), 60, (2, 5)).filter("z IS NOT NULL").withColumn("p", F.greatest(two_sided_p(F.col("z")), F.lit(1e-6)))
     e = M.e_value(F.col("p"))
-    return rounded(p.groupBy("symbol").agg(F.exp(F.sum(F.ln(e))).alias("e_product"), F.avg(e).alias("e_average")), "e_product", "e_average", digits=5)
+    return rounded(p.groupBy("symbol").agg(F.sum(F.ln(e)).alias("log_e_product"), F.avg(e).alias("e_average")), "log_e_product", "e_average", digits=5)
 
 
 GRID = [(60, 2), (120, 5), (240, 15), (480, 60)]

@@ -50,6 +50,31 @@ def upsert_bars(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n", "__src")
 
 
+def upsert_store(spark: SparkSession, path: str, new: DataFrame) -> None:
+    """Adds bars to a store: years that new touches are read, merged and overwritten, no others. The merged years are written
+    beside the store first, as a table can't be overwritten while it is read."""
+    new = new.select("symbol", year_of("ts").alias("year"), "ts", *OHLCV)
+    staging = path.rstrip("/") + "-staging"
+    old = spark.read.parquet(path)
+    new = new.select(*[F.col(c).cast(old.schema[c].dataType).alias(c) for c in new.columns])
+    merged = upsert_bars(old.join(new.select("symbol", "year").distinct(), ["symbol", "year"], "left_semi").select(new.columns), new)
+    merged.repartition("symbol", "year").sortWithinPartitions("symbol", "year", "ts").write.mode("overwrite").partitionBy("symbol", "year").parquet(staging)
+    out = spark.read.schema(merged.schema).parquet(staging)
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "year").parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(staging)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def load_bars(spark: SparkSession, path: str, symbol: str, start_ms: int, end_ms: int, max_gap: int = 10 * MINUTE) -> DataFrame:
+    """A store's bars of a symbol and range, ready for use: the first of each time, gaps filled; a bar that breaks the
+    invariants fails."""
+    from ..operators.clean import bar_ok, gap_fill, keep_first
+
+    b = keep_first(scan_bars(spark, path, symbol, start_ms, end_ms))
+    b = b.withColumn("ts", F.when(bar_ok(), F.col("ts")).otherwise(F.raise_error(F.concat(F.lit("bad bar at "), F.col("ts").cast("string"))).cast("long")))
+    return gap_fill(b, MINUTE, max_gap)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
