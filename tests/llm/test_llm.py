@@ -41,7 +41,7 @@ def odd(spark, tmp_path_factory):
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     labels = [(k, int(k % 3 > 0), int(k % 5 == 0)) for k in range(60)] + [(None, 1, 1), (4, None, None), (4, 0, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
-    pages = [(1, "http://a/ b", "x", 1), (2, None, "x", 1), (2, None, "x", 2), (3, "http://é", None, 1), (None, "http://q", "", 1), (7, "u", "y\r\n\r\nWARC/1.0\r\n", 1), (8, "v", "z" * 3_000_000, 1)]
+    pages = [(1, "http://a/ b", "x", 1), (2, None, "x", 1), (2, None, "x", 2), (3, "http://é", None, 1), (None, "http://q", "", 1), (7, "u", "y\r\n\r\nWARC/1.0\r\n", 1), (8, "v", "z" * 3_000_000, 1), (9, "v2", "z" * 3_000_000, 1)]
     spark.createDataFrame(pages, "page_id long, url string, html string, digest int").write.parquet(f"{d}/pages.parquet")
     return d
 
@@ -90,6 +90,19 @@ def test_warc_round_trip(spark, odd):
     assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"]) for r in got) == want
     kinds = Counter((r["record_type"], r["refers_to"]) for r in got if r["payload_bytes"] == 1)
     assert kinds == {("response", None): 1, ("revisit", 2): 2}
+    assert {(r["page_id"], r["record_type"], r["refers_to"]) for r in got if r["payload_bytes"] == 3_000_000} == {(9, "response", None), (8, "revisit", 9)}
+
+
+def test_archives_are_chains_of_gzip_members(spark, odd, tmp_path):
+    import gzip
+    import pathlib
+
+    warc.write_arc(spark.read.parquet(f"{odd}/pages.parquet"), f"{tmp_path}/arc")
+    for f in pathlib.Path(f"{tmp_path}/arc").glob("part-*"):
+        data = f.read_bytes()
+        assert gzip.decompress(data) == b"".join(warc.members(data)) and len(list(warc.parse_arc(gzip.decompress(data)))) == len(list(warc.parse_arc(data)))
+    with pytest.raises(ValueError):
+        list(warc.members(data[:-30]))
 
 
 def test_arc_versions():
@@ -342,6 +355,13 @@ def _components(docs):
     return Counter(map(tuple, members.select("doc_id", "n_shingles", "component_id").collect()))
 
 
+def test_recall_on_the_test_tables(spark):
+    """All links of the synthetic documents, near copies in large groups among them, with the constants of production."""
+    d = "/root/testdata/sf0.01"
+    got = QUERIES["op5_jaccard_join"](spark, d).collect()
+    assert Counter(map(tuple, got)) == brute_components(rows(spark, d))
+
+
 @pytest.mark.parametrize("batch", [7, 10_000])
 @pytest.mark.parametrize("parts", [1, 2, 5])
 def test_links_over_batches(spark, parts, batch):
@@ -499,5 +519,6 @@ def test_pipeline(spark, odd):
         if name == "suffix_array_dedup":
             cut = {r["doc_id"]: r for r in docs.collect()}
             assert all(r["n_chars"] == len(r["text"]) for r in cut.values() if r["text"] is not None and r["doc_id"] is not None)
+    assert set(columns) <= set(docs.columns) and docs.filter("doc_id = 9 AND (hash <> 'h' OR key <> 1 OR node <> 7)").isEmpty()
     assert docs.filter("taken <= 0").count() == 0 and {"target", "taken", "source_size"} <= set(docs.columns)
     assert docs.agg(F.max(F.col("taken") - 2 * F.col("size"))).first()[0] <= 0
