@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.bars import by_symbol
-from .measures import joint
+from .measures import CRITICAL, joint
+from .variance_ratio import kernel
 
 
 def seed_of(*parts) -> Column:
@@ -85,9 +86,6 @@ def power_grid(spark: SparkSession, phis, n_mc: int = 200, n_bars: int = 50_000,
         import numpy as np
         import pandas as pd
 
-        from tidewright.operators.measures import CRITICAL
-        from tidewright.operators.variance_ratio import kernel
-
         for b in batches:
             fired = []
             for phi, draw in zip(b["phi"], b["draw"]):
