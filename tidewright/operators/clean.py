@@ -49,10 +49,12 @@ def with_next(bars: DataFrame, chunk_ms: int = 30 * 86_400_000) -> DataFrame:
     return b.withColumn("__in", inside).join(starts, ["symbol", "__k"]).withColumn("next_ts", F.coalesce("__in", "__s")).drop("__k", "__in", "__s")
 
 
-def gap_fill(bars: DataFrame, step: int = MINUTE, max_gap: int = 10 * MINUTE) -> DataFrame:
+def gap_fill(bars: DataFrame, step: int = MINUTE, max_gap: int = 10 * MINUTE, until: int | None = None) -> DataFrame:
     """bars with flat ones (last close, no volume) in every gap; trading_disabled where the gap is over max_gap. Each
-    bar makes its own fillers from the distance to the next, so no state runs through the series."""
-    b = with_next(bars).withColumn("gap", F.coalesce(F.col("next_ts") - F.col("ts"), F.lit(step)))
+    bar makes its own fillers from the distance to the next, so no state runs through the series. With until, a symbol
+    whose last bar is more than max_gap before that time has flat bars up to it."""
+    silent = F.lit(step) if until is None else F.when(until - F.col("ts") > max_gap, until - F.col("ts")).otherwise(step)
+    b = with_next(bars).withColumn("gap", F.coalesce(F.col("next_ts") - F.col("ts"), silent))
     gap = F.col("gap")
     n = F.when(gap > step, F.floor(gap / step) - 1).otherwise(F.lit(0)).cast("int")
     b = b.select("symbol", "ts", *OHLCV, "gap", F.explode(F.sequence(F.lit(0), n)).alias("k"))

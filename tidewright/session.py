@@ -13,6 +13,7 @@ def session(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.ui.enabled": "false",
         "spark.driver.memory": "12g",
         "spark.executorEnv.OMP_NUM_THREADS": "1",
