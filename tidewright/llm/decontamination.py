@@ -1,7 +1,7 @@
 """Benchmark decontamination by a generalised suffix automaton over the words of the test items.
 
 Automata of blocks of items are built on the driver, at most PASS_WORDS words of items at a time; that is what is
-broadcast. More items go in further passes over the documents, whose matches add up. Documents stream through an
+broadcast. More items go in further passes over the documents, whose matches (no texts) are added up. Documents stream through an
 automaton word by word, tracking the longest match. Where ten words or more match, the last
 ten are a window of an item; items of fewer words are one window. A run of words that no item has, or that is
 shorter than the shortest window, can hold no match and resets the automaton.
@@ -207,7 +207,16 @@ def passes(items: DataFrame, window: int = WINDOW, most: int | None = None) -> I
     yield group
 
 
-def _matcher(models):
+def _revived(state: dict) -> SuffixAutomaton:
+    """An automaton from its attributes: those are broadcast, so that workers need no copy of the class."""
+    a = SuffixAutomaton.__new__(SuffixAutomaton)
+    a.__dict__.update(state)
+    return a
+
+
+def _matcher(states: list[dict]):
+    models = list(map(_revived, states))
+
     def match(data: bytes):
         words = words_of(data)
         spans, found = [], set()
@@ -224,35 +233,61 @@ SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end
 
 
 def _add_matches(rows: DataFrame, items: DataFrame, text: str, window: int) -> DataFrame:
-    """rows with __n (words), __spans (word ranges) and __items; a pass over rows for each group of automata."""
+    """rows with __n (words), __spans (word ranges) and __items. One group of automata is one pass. With more, rows are
+    written down once, under a number; each pass writes number, spans and items of the rows it hits, no text, and these are
+    joined to the rows in the end."""
+    groups = passes(items, window)
+    first, second = next(groups), next(groups, None)
+    if second is None:
+        return _one_pass(rows, first, text)
+    found = [StructField("__spans", SPANS), StructField("__items", ArrayType(StringType()))]
+    numbered = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    hits = None
+    for group in (g for part in ([first, second], groups) for g in part):
+        p = _one_pass(numbered.select("__row", F.col(f"`{text}`").alias("data")), group, "data").filter(F.size("__spans") > 0)
+        p = materialize(p.select("__row", *[f.name for f in found]), "hits")
+        hits = p if hits is None else hits.unionByName(p)
+    parts = hits.groupBy("__row").agg(F.flatten(F.collect_list("__spans")).alias("__spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__items")))).alias("__items"))
+    joined = _one_pass(numbered, [], text).drop("__spans", "__items").join(parts, "__row", "left").drop("__row")
+    nothing = {f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in found}
+    return joined.withColumns(nothing).withColumn("__spans", _united("__spans"))
+
+
+def _united(spans: str):
+    """Ranges in order, overlapping ones and neighbours as one."""
+    start = F.array().cast(SPANS)
+
+    def add(done, x):
+        last = F.try_element_at(done, F.lit(-1))
+        apart = (F.size(done) == 0) | (x["start"] > last["end"])
+        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when(apart, F.concat(done, F.array(x))).otherwise(F.concat(F.slice(done, 1, F.size(done) - 1), F.array(joined)))
+
+    return F.when(F.size(spans) < 2, F.col(spans)).otherwise(F.aggregate(F.array_sort(spans), start, add))
+
+
+def _one_pass(rows: DataFrame, group: list[SuffixAutomaton], text: str) -> DataFrame:
+    """rows with __n, __spans and __items by a group of automata, which is broadcast (bounded by PASS_WORDS)."""
     schema = StructType([*rows.schema.fields, StructField("__n", LongType()), StructField("__spans", SPANS), StructField("__items", ArrayType(StringType()))])
-    at, width, before = rows.columns.index(text), len(rows.columns), None
-    for group in passes(items, window):
-        if before is not None:
-            rows = materialize(rows, "matches")
-            before.destroy()
-        before = shared = rows.sparkSession.sparkContext.broadcast(group)
+    at = rows.columns.index(text)
+    shared = rows.sparkSession.sparkContext.broadcast([a.__dict__ for a in group])
 
-        def run(batches, shared=shared):
-            import pyarrow as pa
+    def run(batches):
+        import pyarrow as pa
 
-            match, kind_of_spans = _matcher(shared.value), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            for b in batches:
-                n, all_spans, all_items = [], [], []
-                for k, value in enumerate(b.column(at)):
-                    t = value.as_py() or b""
-                    words, spans, found = match(t if isinstance(t, bytes) else t.encode())
-                    if b.num_columns > width:
-                        spans = _union(spans + [(x["start"], x["end"]) for x in b.column(width + 1)[k].as_py()])
-                        found |= set(b.column(width + 2)[k].as_py())
-                    n.append(len(words))
-                    all_spans.append([{"start": x, "end": y} for x, y in spans])
-                    all_items.append(sorted(found))
-                yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(n, pa.int64()), pa.array(all_spans, kind_of_spans), pa.array(all_items, pa.list_(pa.string()))], [*b.schema.names[:width], "__n", "__spans", "__items"])
-            give_back()
+        match, kind_of_spans = _matcher(shared.value), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for b in batches:
+            n, all_spans, all_items = [], [], []
+            for value in b.column(at):
+                t = value.as_py() or b""
+                words, spans, found = match(t if isinstance(t, bytes) else t.encode())
+                n.append(len(words))
+                all_spans.append([{"start": x, "end": y} for x, y in spans])
+                all_items.append(sorted(found))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(all_spans, kind_of_spans), pa.array(all_items, pa.list_(pa.string()))], [*b.schema.names, "__n", "__spans", "__items"])
+        give_back()
 
-        rows = rows.mapInArrow(run, schema)
-    return rows
+    return rows.mapInArrow(run, schema)
 
 
 def find_matches(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -297,7 +332,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", window:
     groups = passes(items, window)
     first, more = next(groups), next(groups, None)
     if more is None:  # all automata fit: a task cuts until a text is clean
-        shared = docs.sparkSession.sparkContext.broadcast(first)
+        shared = docs.sparkSession.sparkContext.broadcast([a.__dict__ for a in first])
 
         def clean(batches):
             match = _matcher(shared.value)

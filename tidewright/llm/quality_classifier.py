@@ -118,7 +118,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *[pa.array(s[:, i]) for i in range(d)]], ["k", "y", *NAMES])
 
     table = materialize(rows.select("k", "t", "y").mapInArrow(stats, f"k {rows.schema['k'].dataType.simpleString()}, y int, " + ", ".join(f"{c} double" for c in NAMES)), "statistics")
-    m = table.agg(*[F.avg(c).alias("m_" + c) for c in NAMES], *[F.stddev_pop(c).alias("s_" + c) for c in NAMES]).first()
+    m = table.agg(F.count("*").alias("n"), *[F.avg(c).alias("m_" + c) for c in NAMES], *[F.stddev_pop(c).alias("s_" + c) for c in NAMES]).first()
+    if not m["n"]:  # labels, but none of a document that is there
+        return QualityModel([0.0] * d, [1.0] * d, 1, seed, [0.0, 0.0], [0.0], [float(n["m"])])
     model = QualityModel([m["m_" + c] for c in NAMES], [max(m["s_" + c], 1e-6) for c in NAMES], dim, seed, [], [], [])
     held = F.pmod(F.xxhash64(F.lit(3), "k"), F.lit(4)) == 3
 
