@@ -5,14 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+from .order_statistics import ranks
 from .windows import rank_average, table_ranks
 
 
-def spearman(df: DataFrame, x: str, y: str, *by: str, least: int = 10) -> DataFrame:
-    """Rank correlation of pairs without nulls, null for fewer than least."""
+def spearman(df: DataFrame, x: str, y: str, *by: str, least: int = 10, few: bool = False) -> DataFrame:
+    """Rank correlation of pairs without nulls, null for fewer than least. few: the groups are few and large, so that none of
+    them is put in order in one task; pairs move as counts then."""
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
-    d = d.withColumn("__x", rank_average(F.col(x), *by)).withColumn("__y", rank_average(F.col(y), *by))
-    return d.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("ic")).withColumn("ic", F.when(F.col("n") >= least, F.col("ic")))
+    if few:
+        pairs = materialize(d.groupBy(*by, x, y).agg(F.count("*").alias("__c")), "pairs")
+        for v, name in ((x, "__x"), (y, "__y")):
+            pairs = pairs.join(ranks(pairs, v, *by, weight="__c").select(*by, v, F.col("rank").alias(name), F.col("n").alias("__n")), [*by, v]).drop(*(["__n"] if name == "__x" else []))
+        m = (F.col("__n") + 1) / 2
+        part = lambda a, b: F.sum(F.col("__c") * (F.col(a) - m) * (F.col(b) - m))
+        ic = part("__x", "__y") / F.sqrt(part("__x", "__x") * part("__y", "__y"))
+        out = pairs.groupBy(*by).agg(F.sum("__c").alias("n"), ic.alias("ic"))
+    else:
+        d = d.withColumn("__x", rank_average(F.col(x), *by)).withColumn("__y", rank_average(F.col(y), *by))
+        out = d.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("ic"))
+    return out.withColumn("ic", F.when(F.col("n") >= least, F.col("ic")))
 
 
 def exact_quantiles(df: DataFrame, value: Column, ps: dict[str, float], *by: str, accuracy: int = 10_000) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.bars import OHLCV, by_symbol
+from .greedy import greedy_events
 
 
 def resample(bars: DataFrame, freq_ms: int) -> DataFrame:
@@ -14,33 +15,16 @@ def resample(bars: DataFrame, freq_ms: int) -> DataFrame:
     return b.groupBy("symbol", "b").agg(F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume")).withColumnRenamed("b", "ts")
 
 
-def accumulated(bars: DataFrame, contribution: str, threshold: float) -> DataFrame:
+def accumulated(bars: DataFrame, contribution: str, threshold: float, size: int | None = None) -> DataFrame:
     """Bars that close as soon as the sum of contribution since the last close reaches the threshold. Rows without a
-    contribution are skipped, overshoot stays in the bar, an open tail goes. ts is the closing row's. A symbol's bars
-    depend on each other, so a symbol is one task."""
-    kind = bars.schema["symbol"].dataType.simpleString()
-
-    def run(pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf[pdf[contribution] > 0].sort_values("idx")
-        total = np.cumsum(pdf[contribution].to_numpy(float))
-        first, ends, done = 0, [], 0.0
-        while first < len(total):
-            # the sum is rebuilt for each bar, as a running one would round otherwise
-            end = int(np.searchsorted(total, done + threshold * (1 - 1e-12)))
-            if end >= len(total):
-                break
-            ends.append(end)
-            done, first = total[end], end + 1
-        starts = [0, *[e + 1 for e in ends[:-1]]] if ends else []
-        o, h, low, c, v, t, x = (pdf[k].to_numpy() for k in ("open", "high", "low", "close", "volume", "ts", contribution))
-        rows = [(pdf["symbol"].iloc[0], k, t[b], o[a], h[a : b + 1].max(), low[a : b + 1].min(), c[b], v[a : b + 1].sum(), float(x[a : b + 1].sum())) for k, (a, b) in enumerate(zip(starts, ends))]
-        return pd.DataFrame(rows, columns=["symbol", "idx", "ts", *OHLCV, "amount"])
-
+    contribution are skipped, overshoot stays in the bar, an open tail goes. ts is the closing row's."""
     columns = list(dict.fromkeys(["symbol", "idx", "ts", *OHLCV, contribution]))
-    return bars.select(columns).groupBy("symbol").applyInPandas(run, f"symbol {kind}, idx long, ts long, open double, high double, low double, close double, volume double, amount double")
+    e = greedy_events(bars.select(columns).filter(F.col(contribution) > 0), threshold, contribution, size)
+    bar = e.groupBy("symbol", F.col("before").alias("bar")).agg(
+        F.max(F.when(F.col("event"), F.col("ts"))).alias("ts"), F.min_by("open", "idx").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max_by("close", "idx").alias("close"), F.sum("volume").alias("volume"), F.sum(F.col(contribution).cast("double")).alias("amount"),
+    )
+    return bar.filter("ts IS NOT NULL").withColumnRenamed("bar", "idx").select("symbol", "idx", "ts", *OHLCV, "amount")
 
 
 def volume_bars(bars: DataFrame, threshold: float) -> DataFrame:
@@ -114,14 +98,6 @@ def enough_events(kept: DataFrame, up: str, down: str, least: int = 50) -> DataF
     return g.withColumn("under_powered", F.least("n_up", "n_down") < least)
 
 
-def thinned(df: DataFrame, w: int, flag: str) -> DataFrame:
+def thinned(df: DataFrame, w: int, flag: str, size: int | None = None) -> DataFrame:
     """Flagged rows at least w bars apart, taken greedily in order."""
-    def run(pdf):
-        keep, last = [], None
-        for i in pdf.sort_values("idx")["idx"]:
-            if last is None or i - last >= w:
-                keep.append(i)
-                last = i
-        return pdf[pdf["idx"].isin(keep)]
-
-    return df.filter(flag).groupBy("symbol").applyInPandas(run, df.schema)
+    return greedy_events(df.filter(flag), w, size=size).filter("event").drop("event", "before")

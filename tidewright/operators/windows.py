@@ -185,16 +185,3 @@ def rolling_quantile(bars: DataFrame, column: str, w: int, qs: dict[str, float],
         return pdf[pdf["idx"] // size == key[1]].drop(columns="__chunk")
 
     return b.groupBy("symbol", "__chunk").applyInPandas(run, schema)
-
-
-def expanding_quantile(bars: DataFrame, column: str, least: int, qs: dict[str, float]) -> DataFrame:
-    """bars with quantiles of all rows so far, from least rows with a value on. Each depends on the whole past: a symbol
-    is one task."""
-    schema = T.StructType([*bars.schema.fields, *[T.StructField(n, T.DoubleType()) for n in qs]])
-
-    def run(pdf):
-        pdf = pdf.sort_values("idx")
-        x = pdf[column].expanding(min_periods=least)
-        return pdf.assign(**{n: x.quantile(q) for n, q in qs.items()})
-
-    return bars.groupBy("symbol").applyInPandas(run, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.columns import two_sided_p, two_sided_p_sql
-from ..operators import benchmark as B, detectors as D, measures as M, rebar, variance_ratio as VR, windows as W
+from ..operators import benchmark as B, detectors as D, measures as M, order_statistics as O, rebar, variance_ratio as VR, windows as W
 from ..sources.bars import PANEL_SQL, panel
 from .common import query, rounded
 from .features import QUANT, RET, labels
@@ -78,7 +78,7 @@ def peak_rank(spark, sf):
 @query(RET + RATIO + ", v AS (SELECT symbol, idx, ratio FROM ra) SELECT symbol, idx, CASE WHEN count(ratio) OVER g >= 120 THEN round(quantile_cont(ratio, 0.75) OVER g, 6) END AS q75 FROM v WINDOW g AS (PARTITION BY symbol ORDER BY idx ROWS UNBOUNDED PRECEDING)")
 def expanding_quantile(spark, sf):
     r = D.volatility_ratio(panel(spark, sf), 20, 60).select("symbol", "idx", "ratio")
-    return rounded(W.expanding_quantile(r, "ratio", 120, {"q75": 0.75}).select("symbol", "idx", "q75"), "q75")
+    return rounded(O.expanding_quantile(r, "ratio", 120, {"q75": 0.75}).select("symbol", "idx", "q75"), "q75")
 
 
 @query()

@@ -82,7 +82,7 @@ def ic_by_mask(spark, sf):
     x = labels(spark, sf).withColumns({"r": W.log_return(), "f": W.forward_return(5)})
     masks = {"all": F.lit(True), "low": F.col("label") == 0, "high": F.col("label") == 1, "late": F.col("idx") >= 300}
     d = x.withColumn("name", F.explode(F.array_compact(F.array(*[F.when(m, n) for n, m in masks.items()]))))
-    return rounded(M.spearman(d, "r", "f", "name"), "ic")
+    return rounded(M.spearman(d, "r", "f", "name", few=True), "ic")
 
 
 LEAD = f"WITH {TWO}, j AS (SELECT ts, ln(x / lag(x) OVER w) AS rx, ln(y / lag(y) OVER w) AS ry FROM a JOIN b USING (ts) WINDOW w AS (ORDER BY ts)), k AS (SELECT *, lead(rx) OVER w AS nx, lead(ry) OVER w AS ny FROM j WINDOW w AS (ORDER BY ts)), th AS (SELECT quantile_cont(abs(rx), 0.9) AS thr FROM k WHERE rx IS NOT NULL)"
@@ -100,7 +100,7 @@ def lead_lag(spark, sf):
     j = j.crossJoin(F.broadcast(thr))  # one row
     impulse = F.when(F.abs("rx") >= F.col("thr"), F.signum("rx"))
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), s.alias("s"), F.col(f).alias("f")) for n, s, f in (("x_leads_y", F.col("rx"), "ny"), ("y_leads_x", F.col("ry"), "nx"), ("x_impulse_leads_y", impulse, "ny"))]))
-    return rounded(M.spearman(j.select(each.alias("e")).select("e.*"), "s", "f", "name"), "ic")
+    return rounded(M.spearman(j.select(each.alias("e")).select("e.*"), "s", "f", "name", few=True), "ic")
 
 
 @query(f"""WITH {TWO}, j AS (SELECT 0 AS symbol, row_number() OVER (ORDER BY ts) - 1 AS idx, ln(x) AS lx, ln(y) AS ly FROM a JOIN b USING (ts)), o AS (SELECT *, count(*) OVER f AS n, avg(lx) OVER f AS mx, avg(ly) OVER f AS my, avg(lx * lx) OVER f - (avg(lx) OVER f) ** 2 AS v, avg(lx * ly) OVER f - avg(lx) OVER f * avg(ly) OVER f AS cv FROM j WINDOW f AS (ORDER BY idx ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
@@ -131,7 +131,7 @@ def multi_horizon_ic(spark, sf):
         b = b.withColumn("vwap", W.vwap(6)).withColumn("f", W.forward_return()).filter("vwap > 0")
         b = b.select(F.lit(freq).alias("name"), (F.col("close") / F.col("vwap") - 1).alias("s"), "f")
         parts = b if parts is None else parts.unionByName(b)
-    return rounded(M.spearman(parts, "s", "f", "name"), "ic")
+    return rounded(M.spearman(parts, "s", "f", "name", few=True), "ic")
 
 
 EQUITY = f"WITH {HOURS}, eq AS (SELECT symbol, ts, close * 1e4 AS equity FROM bars), dl AS (SELECT symbol, ts // 86400000 AS day, arg_max(equity, ts) AS last FROM eq GROUP BY ALL), dr AS (SELECT *, lag(last) OVER (PARTITION BY symbol ORDER BY day) AS prev FROM dl)"
