@@ -80,7 +80,7 @@ class Store:
     def __init__(self, df: DataFrame, key: str, label: str, vector: str, anchor: Column):
         spark = df.sparkSession
         code = F.col(label).cast("long") if df.schema[label].dataType.typeName() in ("byte", "short", "integer", "long") else F.xxhash64(label)
-        rows = df.filter(F.col(label).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull())).select(F.col(key).cast("long").alias("key"), code.alias("code"), F.col(vector).cast("array<bigint>").alias("x"), F.coalesce(anchor, F.lit(False)).alias("anchor"))
+        rows = df.filter(F.col(label).isNotNull() & F.col(vector).isNotNull() & F.forall(vector, lambda x: x.isNotNull())).select(F.coalesce(F.col(key).cast("long"), F.lit(int(LAST))).alias("key"), code.alias("code"), F.col(vector).cast("array<bigint>").alias("x"), F.coalesce(anchor, F.lit(False)).alias("anchor"))
         squares = F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
         count, dim, most = rows.agg(F.count("*"), F.max(F.size("x")), F.max(squares)).first()
         self.most, self.dim, self.count = float(most or 0), int(dim or 0), count
@@ -109,10 +109,10 @@ class Store:
                 for p, g in part.groupby("pivot", sort=True):
                     for i in range(0, len(g), size):
                         h = g.iloc[i : i + size]
-                        keys = h["key"].fillna(LAST).astype("int64") if h["key"].isna().any() else h["key"].astype("int64")
-                        order = np.argsort(keys.to_numpy(), kind="stable")
+                        keys = h["key"].to_numpy(np.int64)
+                        order = np.argsort(keys, kind="stable")
                         x = _padded(h["x"].to_numpy()[order], dim)
-                        out.append((TaskContext.get().partitionId() << 32 | done, p, h["distance"].min(), h["distance"].max(), keys.to_numpy()[order].tobytes(), h["code"].to_numpy(np.int64)[order].tobytes(), h["anchor"].to_numpy(bool)[order].tobytes(), x.tobytes()))
+                        out.append((TaskContext.get().partitionId() << 32 | done, p, h["distance"].min(), h["distance"].max(), keys[order].tobytes(), h["code"].to_numpy(np.int64)[order].tobytes(), h["anchor"].to_numpy(bool)[order].tobytes(), x.tobytes()))
                         done += 1
                 return pd.DataFrame(out, columns=columns)
 
