@@ -17,28 +17,39 @@ FILLED = "symbol {kind}, ts long, open double, high double, low double, close do
 
 class _GapTimers(StatefulProcessor):
     """Bars wait until the watermark has passed them, so that they are taken in order of time; a silent symbol's flat bars
-    come from a timer. States: held (bars that wait, by time) and last (time and close of the last bar, flat bars made)."""
+    come from a timer. States: held (bars that wait), last (time and close of the last bar, flat bars made) and timer (the
+    earliest one set; one that is set anew leaves the later ones, which then find nothing to do)."""
 
     def __init__(self, step: int, most: int, forget: int | None):
         self.step, self.most, self.forget = step, most, forget
 
     def init(self, handle):
         self.handle = handle
-        self.held = handle.getMapState("held", "ts long", "open double, high double, low double, close double, volume double")
+        self.held = handle.getListState("held", "ts long, open double, high double, low double, close double, volume double")
         self.last = handle.getValueState("last", "ts long, close double, made long")
+        self.timer = handle.getValueState("timer", "ts long")
+
+    def _set(self, ts: int) -> None:
+        if not self.timer.exists() or ts < self.timer.get()[0]:
+            self.handle.registerTimer(ts)
+            self.timer.update((ts,))
 
     def handleInputRows(self, key, rows, timerValues):
         import pandas as pd
 
         now, late = timerValues.getCurrentWatermarkInMs(), []
+        held = {r[0]: tuple(r) for r in self.held.get()} if self.held.exists() else {}
+        before = len(held)
         for batch in rows:
             for r in batch.itertuples(index=False):
-                bar = (float(r.open), float(r.high), float(r.low), float(r.close), float(r.volume))
+                bar = (int(r.ts), float(r.open), float(r.high), float(r.low), float(r.close), float(r.volume))
                 if r.ts <= now:
-                    late.append((key[0], int(r.ts), *bar, False, True))
-                elif not self.held.containsKey((int(r.ts),)):
-                    self.held.updateValue((int(r.ts),), bar)
-                    self.handle.registerTimer(int(r.ts))
+                    late.append((key[0], *bar, False, True))
+                else:
+                    held.setdefault(bar[0], bar)
+        if len(held) > before:
+            self.held.put(list(held.values()))
+            self._set(min(held))
         yield self._frame(pd, late)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
@@ -46,27 +57,31 @@ class _GapTimers(StatefulProcessor):
 
         now, out, step = timerValues.getCurrentWatermarkInMs(), [], self.step
         last = self.last.get() if self.last.exists() else None
-        due = sorted(k[0] for k in self.held.keys() if k[0] <= now)
-        for ts in due:
-            bar = self.held.getValue((ts,))
-            self.held.removeKey((ts,))
+        held = sorted(tuple(r) for r in self.held.get()) if self.held.exists() else []
+        due, later = [r for r in held if r[0] <= now], [r for r in held if r[0] > now]
+        for ts, *bar in due:
             if last is not None:
                 out += self._flat(key[0], last, (ts - last[0]) // step - 1, ts - last[0] > self.most)
             out.append((key[0], ts, *bar, False, False))
             last = (ts, bar[3], 0)
+        if due and later:
+            self.held.put(later)
+        elif due:
+            self.held.clear()
+        self.timer.clear()
+        if later:
+            self._set(later[0][0])
         if last is not None:
-            n = 0
             if now > last[0] + self.most:  # whatever comes next comes after a long gap
                 upto = now if self.forget is None else min(now, last[0] + self.forget)
-                n = (upto - last[0]) // step - 1
-                made = self._flat(key[0], last, n, True)
+                made = self._flat(key[0], last, (upto - last[0]) // step - 1, True)
                 out += made
                 last = (last[0], last[1], last[2] + len(made))
             if self.forget is not None and now > last[0] + self.forget:
                 self.last.clear()
             else:
                 self.last.update(last)
-                self.handle.registerTimer(max(last[0] + self.most + 1, last[0] + (last[2] + 2) * step, now + 1))
+                self._set(max(last[0] + self.most + 1, last[0] + (last[2] + 2) * step, now + 1))
         yield self._frame(pd, out)
 
     @staticmethod
