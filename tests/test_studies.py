@@ -198,7 +198,7 @@ def test_block_places():
         steps = np.diff(at) % 50 == 1
         assert steps.mean() > 0.7
     assert all((np.diff(nulls.places("moving-block", 50, 10, rng).reshape(5, 10)) == 1).all() for _ in range(20))
-    assert nulls.methods(["wild", "Circular", "wild", "circular-block"]) == ("wild", "circular-block")
+    assert nulls.methods(["wild", "circular-block", "wild"]) == ("wild", "circular-block")
     with pytest.raises(ValueError):
         nulls.places("moving-block", 0, 5, rng)
     assert nulls.degrees_of_freedom(np.arange(5.0)) == 30 and 4.5 <= nulls.degrees_of_freedom(rng.standard_t(5, 5_000)) < 20
@@ -305,9 +305,10 @@ def test_breakout_rules_and_states():
 
 
 def test_drawdown_lock():
-    assert signals.drawdown_lock(0.9, 1.0, False, 0, 0.10, 3) == (False, 0, 1.0)  # not beyond the limit
-    assert signals.drawdown_lock(0.89, 1.0, False, 0, 0.10, 3) == (True, 2, 1.0)
-    assert signals.drawdown_lock(0.95, 1.0, True, 1, 0.10, 3) == (False, 0, 0.95)  # open again, with a new peak
+    lock = signals.Lock(cooldown=3)
+    assert [lock.step(e, 0.10) for e in (0.91, 0.89, 0.95, 0.95, 0.94)] == ["open", "shut", "shut", "opened", "open"]
+    assert lock.peak == 0.95  # equity when it opened
+    assert signals.Lock(cooldown=1).step(0.5, 0.10) == "opened"
 
 
 def test_book_marks_and_locks():
@@ -320,7 +321,7 @@ def test_book_marks_and_locks():
     barred, share = b.check(0)
     assert not barred and share == pytest.approx(math.exp(-10 * 0.04))
     barred, share = b.check(2)
-    assert barred and share == 0 and b.left == 499
+    assert barred and share == 0 and b.lock.opens - b.lock.bar == 499
     b = signals.Book(signals.Limits(streak=2, pause=3))
     for gain in (-0.1, -0.2):
         b.settle(gain, False, 0.0)

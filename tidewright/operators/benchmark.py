@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import two_sided_p, zero_filled
 from . import measures as M
 
+#: Fixed values, here and below: the names of statuses, reasons and verdicts.
 VALID, FAILED, EXCLUDED = "valid", "instrument_failure", "excluded"
 
 

@@ -7,6 +7,7 @@ entry, and, in the managed form, a proxy of equity with its locks. A series is o
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from math import exp
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -105,57 +106,62 @@ class Walk:
         return gain
 
 
-def drawdown_lock(equity: float, peak: float, locked: bool, left: int, limit: float = 0.10, cooldown: int = 500, at_limit: bool = False) -> tuple[bool, int, float]:
-    """The lock after a bar: (locked, bars left, peak). It falls shut beyond limit (at it, with at_limit) and opens when
-    the bars have run out, the peak then being where equity is."""
-    loss = 1 - equity / max(peak, 1e-12)
-    if not locked and (loss > limit or at_limit and loss == limit):
-        locked, left = True, cooldown
-    if locked:
-        left = max(0, left - 1)
-        if not left:
-            locked, peak = False, equity
-    return locked, left, max(peak, equity)
+@dataclass
+class Lock:
+    """Bars entries while equity is too far under its peak: shut for cooldown bars from the one on which the fall reaches the
+    limit, then open, with equity as the new peak."""
+
+    cooldown: int = 500
+    peak: float = 1.0
+    bar: int = -1
+    opens: int | None = None  # the bar on which a shut lock opens
+
+    def fall(self, equity: float) -> float:
+        return 1 - equity / max(self.peak, 1e-12)
+
+    def step(self, equity: float, limit: float) -> str:
+        """Takes the next bar in; "shut", "opened" (on this bar) or "open"."""
+        self.bar, self.peak = self.bar + 1, max(self.peak, equity)
+        if self.opens is None:
+            if self.fall(equity) < limit:
+                return "open"
+            self.opens = self.bar + self.cooldown - 1
+        if self.bar < self.opens:
+            return "shut"
+        self.opens, self.peak = None, equity
+        return "opened"
 
 
 @dataclass
 class Book:
-    """A proxy of equity, marked bar by bar, with its locks."""
+    """A proxy of equity, marked bar by bar, with its lock and the pause after losses."""
 
     limits: Limits
     equity: float = 1.0
-    peak: float = 1.0
-    locked: bool = False
-    left: int = 0
     losses: int = 0
     pause: int = 0
     held: list[float] = field(default_factory=lambda: [0.0, 0.0])  # signals of the last two bars
 
+    def __post_init__(self):
+        self.lock = Lock(self.limits.cooldown)
+
     def mark(self, prev_close: float, open_: float, close: float) -> None:
+        """Adds what the legs of the bar earn: one from close to close, or two that part at the open where the signal changed."""
         before, now = self.held
-        if before == now:
-            gain = now * (close / max(prev_close, 1e-12) - 1)
-        else:  # the position changed at the open
-            gain = before * (open_ / max(prev_close, 1e-12) - 1) + now * (close / max(open_, 1e-12) - 1)
-        self.equity *= 1 + gain
+        legs = [(now, prev_close, close)] if before == now else [(before, prev_close, open_), (now, open_, close)]
+        self.equity *= 1 + sum(side * (to / max(since, 1e-12) - 1) for side, since, to in legs)
 
     def check(self, label: int) -> tuple[bool, float]:
         """Whether entries are barred, and the size that the drawdown leaves."""
         limit = self.limits.drawdown + (0.0 if label == 2 else self.limits.slack)
-        self.peak = max(self.peak, self.equity)
-        loss = 1 - self.equity / max(self.peak, 1e-12)
-        was = self.locked or loss >= limit
-        self.locked, self.left, self.peak = drawdown_lock(self.equity, self.peak, self.locked, self.left, limit, self.limits.cooldown, at_limit=True)
-        if was and not self.locked:
-            loss = 0.0
-        self.pause = max(0, self.pause - 1)
-        if loss <= self.limits.soft:
-            share = 1.0
-        else:
-            from math import exp
+        state = self.lock.step(self.equity, limit)
+        self.pause -= self.pause > 0
+        return state == "shut" or self.pause > 0, self._share(self.lock.fall(self.equity), limit)
 
-            share = 0.0 if loss >= limit else exp(-10 * (loss - self.limits.soft))
-        return self.locked or self.pause > 0, share
+    def _share(self, loss: float, limit: float) -> float:
+        if loss <= self.limits.soft:
+            return 1.0
+        return 0.0 if loss >= limit else exp(-10 * (loss - self.limits.soft))
 
     def settle(self, gain: float | None, forced: bool, signal: float) -> None:
         if gain is not None:

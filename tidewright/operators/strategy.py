@@ -42,7 +42,7 @@ class Account:
 
 
 def uniform(ts: int, i: int) -> float:
-    """A number in [0, 1) that a bar's time and place fix, by the splitmix64 generator."""
+    """A number in [0, 1) that a bar's time and place fix, by the splitmix64 generator (its constants are fixed values)."""
     golden, mask = 0x9E3779B97F4A7C15, (1 << 64) - 1
     x = (int(ts) ^ (int(i) + 1) * golden & mask) + golden & mask
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):

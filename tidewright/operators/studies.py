@@ -77,6 +77,7 @@ def gaussian_information(departure: Column, q: Column | int) -> Column:
 
 
 def bound_verdict(gross_bps: Column, taker: tuple[float, float] = (9.0, 10.0)) -> Column:
+    """By the cheapest cost (costs and names are fixed values)."""
     return F.when(gross_bps < min(taker), "demon_runs_at_loss").otherwise("bound_exceeds_costs")
 
 
