@@ -50,10 +50,13 @@ def nearest_quantile(bars: DataFrame, column: str, w: int, qs: dict[str, float])
     return W.rolling_quantile(bars, column, w, qs, min_rows=1, interpolation="nearest")
 
 
-def rolling_states(bars: DataFrame, vol: int = 60, w: int = 43_200, low: float = 0.75, high: float = 0.95) -> DataFrame:
-    """The primary detector: realised volatility against its trailing quantiles over a full window."""
-    b = W.rolling_quantile(W.realized_vol(bars, vol), "rv", w, {"__lo": low, "__hi": high})
-    return b.withColumn("label", by_threshold(F.col("rv"), F.col("__lo"), F.col("__hi"))).drop("__lo", "__hi")
+def rolling_states(bars: DataFrame, vol: int = 60, w: int = 43_200, low: float = 0.75, high: float = 0.95, edges: tuple[str, str] | None = None) -> DataFrame:
+    """The primary detector: realised volatility against its trailing quantiles over a full window; edges names columns for
+    those."""
+    lo, hi = edges or ("__lo", "__hi")
+    b = W.rolling_quantile(W.realized_vol(bars, vol), "rv", w, {lo: low, hi: high})
+    b = b.withColumn("label", by_threshold(F.col("rv"), F.col(lo), F.col(hi)))
+    return b if edges else b.drop(lo, hi)
 
 
 def global_states(df: DataFrame, value: str, low: float = 0.75, high: float = 0.95) -> DataFrame:

@@ -24,6 +24,8 @@ def information(pairs: DataFrame, method: str = "raw", k: int = 5, reps: int = 5
     of least hash; a task holds one symbol's pairs and a share of the replicates."""
     if method not in ("signs", "raw"):
         raise ValueError("method is signs or raw")
+    if method == "signs":
+        return _sign_information(pairs, reps, seed)
     kind = pairs.schema["symbol"].dataType.simpleString()
     n = pairs.groupBy("symbol").agg(F.count("*").alias("n"))
     kept = pairs.join(n, "symbol").filter(F.pmod(F.xxhash64("symbol", "idx"), F.lit(1 << 40)) < F.least(F.lit(1.0), most / F.col("n")) * (1 << 40))
@@ -36,14 +38,7 @@ def information(pairs: DataFrame, method: str = "raw", k: int = 5, reps: int = 5
         import numpy as np
         import pandas as pd
 
-        def plug_in(x, y):
-            c = np.zeros((3, 3))
-            np.add.at(c, (x.astype(int) + 1, y.astype(int) + 1), 1)
-            p = c / c.sum()
-            e = p.sum(1, keepdims=True) * p.sum(0, keepdims=True)
-            return max(0.0, float((p[p > 0] * np.log(p[p > 0] / e[p > 0])).sum()))
-
-        measure = plug_in if method == "signs" else lambda x, y: ksg(x, y, k)
+        measure = lambda x, y: ksg(x, y, k)
         for b in batches:
             out = []
             for symbol, n, x, y, share in b.itertuples(index=False):
@@ -61,6 +56,39 @@ def information(pairs: DataFrame, method: str = "raw", k: int = 5, reps: int = 5
     return d.groupBy("symbol", "n").agg(F.max(F.when(F.col("rep") < 0, F.col("v"))).alias("mi"), F.stddev_samp(F.when(F.col("rep") >= 0, F.col("v"))).alias("se"))
 
 
+def _sign_information(pairs: DataFrame, reps: int, seed: int) -> DataFrame:
+    """From a symbol's table of sign pairs, all pairs counted; a resample of pairs is a multinomial draw of that table."""
+    kind = pairs.schema["symbol"].dataType.simpleString()
+    sign = lambda c: F.signum(c).cast("int")
+    cells = pairs.groupBy("symbol", (3 * sign("x") + sign("y") + 4).alias("cell")).agg(F.count("*").alias("c"))
+    rows = cells.groupBy("symbol").agg(F.sum("c").alias("n"), F.collect_list(F.struct("cell", "c")).alias("t"))
+
+    def run(batches):
+        import zlib
+
+        import numpy as np
+        import pandas as pd
+
+        def plug_in(t):
+            """Of a stack of tables."""
+            p = t.reshape(-1, 3, 3) / t.sum(-1)[:, None, None]
+            e = p.sum(2, keepdims=True) * p.sum(1, keepdims=True)
+            with np.errstate(all="ignore"):
+                return np.maximum(0.0, np.where(p > 0, p * np.log(p / e), 0.0).sum((1, 2)))
+
+        for b in batches:
+            out = []
+            for symbol, n, cells in b.itertuples(index=False):
+                t = np.zeros(9)
+                for c in cells:
+                    t[c["cell"]] = c["c"]
+                drawn = np.random.default_rng([seed, zlib.crc32(str(symbol).encode())]).multinomial(int(n), t / t.sum(), reps)
+                out.append((symbol, n, plug_in(t[None])[0], plug_in(drawn.astype(float)).std(ddof=1) if reps > 1 else None))
+            yield pd.DataFrame(out, columns=["symbol", "n", "mi", "se"])
+
+    return rows.mapInPandas(run, f"symbol {kind}, n long, mi double, se double")
+
+
 def estimator_bias(spark: SparkSession, sizes=(500, 2000), truths=(0.0, 0.05, 0.2), reps: int = 30, k: int = 5) -> DataFrame:
     """n, truth, bias and standard error of the nearest-neighbour estimate on Gaussian pairs; a draw is a row of a task."""
     cells = spark.createDataFrame([(n, float(t)) for n in sizes for t in truths], "n int, truth double")

@@ -117,9 +117,10 @@ def degeneracy(df: DataFrame, value: str, *by: str) -> DataFrame:
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     """Kruskal-Wallis H with tie correction and its effect size. Rows move as counts of (value, group)."""
     d = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(value, group).agg(F.count("*").alias("__c"))
-    ranks = table_ranks(df.filter(F.col(group).isNotNull()), value)
+    d = materialize(d, "counts")  # read three times
+    placed = ranks(d, value, weight="__c").select(value, "rank")
     ties = d.groupBy(value).agg(F.sum("__c").alias("c")).agg(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("t"))
-    g = d.join(ranks, value).groupBy(group).agg(F.sum("__c").alias("m"), F.sum(F.col("rank") * F.col("__c")).alias("s")).agg(F.sum("m").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("m")).alias("ss"), F.count("*").alias("k"))
+    g = d.join(placed, value).groupBy(group).agg(F.sum("__c").alias("m"), F.sum(F.col("rank") * F.col("__c")).alias("s")).agg(F.sum("m").alias("n"), F.sum(F.col("s") * F.col("s") / F.col("m")).alias("ss"), F.count("*").alias("k"))
     n = F.col("n")
     h = (12 / (n * (n + 1)) * F.col("ss") - 3 * (n + 1)) / (1 - F.col("t") / (n * n * n - n))
     return g.crossJoin(ties).select("n", "k", h.alias("h"), (h * (n + 1) / (n * n - 1)).alias("epsilon_sq"))  # one row each

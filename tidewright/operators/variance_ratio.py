@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import materialize
+
 HORIZONS = (2, 5, 15, 60)
 
 
@@ -102,6 +104,7 @@ def significance(vr: DataFrame, *by: str, closed: float = 0.001) -> DataFrame:
     else:
         from .measures import exact_quantiles
 
+        v = materialize(v.select("q", "vr_dev", "z"), "windows")  # quantiles read it several times
         m = exact_quantiles(v, size, {"median_dev": 0.5}, "q").join(exact_quantiles(v, F.col("z"), {"median_z": 0.5}, "q").drop("n"), "q")
         s = m.join(v.groupBy("q").agg(F.avg(size).alias("mean_dev")), "q").select("q", "n", "median_dev", "mean_dev", "median_z")
     return s.withColumn("closed", F.col("median_dev") < closed)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.bars import by_symbol
+from ..sources.shared import materialize
 
 
 def frame(w: int):
@@ -110,7 +111,7 @@ def _before(parts: DataFrame, value: Column, name: str) -> DataFrame:
 
 def drawdowns(bars: DataFrame, value: str, size: int | None = None) -> DataFrame:
     """bars with drawdown, the fall of value from its peak so far as a share of it. The peak is carried from chunk to chunk."""
-    b = bars.withColumn("__k", F.floor(F.col("idx") / (size or CHUNK)))
+    b = materialize(bars, "values").withColumn("__k", F.floor(F.col("idx") / (size or CHUNK)))  # read twice
     peaks = _before(b.groupBy("symbol", "__k").agg(F.max(value).alias("__m")), F.max("__m"), "__p").drop("__m")
     inside = F.max(value).over(Window.partitionBy("symbol", "__k").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0))
     b = b.withColumn("__i", inside).join(peaks, ["symbol", "__k"])
@@ -121,7 +122,7 @@ def drawdowns(bars: DataFrame, value: str, size: int | None = None) -> DataFrame
 def islands(df: DataFrame, label: str, size: int | None = None) -> DataFrame:
     """df with run, the number of the run of equal labels a row is in. Rows are in order of idx, which may have holes; a
     chunk knows the last label and the number of runs before it."""
-    b = df.withColumn("__k", F.floor(F.col("idx") / (size or CHUNK)))
+    b = materialize(df, "labels").withColumn("__k", F.floor(F.col("idx") / (size or CHUNK)))  # three parts of the plan read it
     w = Window.partitionBy("symbol", "__k").orderBy("idx")
     ends = b.groupBy("symbol", "__k").agg(F.max_by(F.struct(F.col(label).alias("l")), "idx").alias("__e"), F.min("idx").alias("__f"))
     ends = _before(ends, F.last("__e"), "__b").drop("__e")

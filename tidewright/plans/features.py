@@ -73,12 +73,12 @@ def keep_first_dedupe(spark, sf):
     return rounded(clean.keep_first(t, "at").select("symbol", "ts", F.col("volume").alias("value")), "value")
 
 
-@query(f"""WITH {BARS}, o AS (SELECT *, row_number() OVER (ORDER BY ts) AS k FROM bars), u AS (
- SELECT symbol, ts, close, 0 AS src FROM o WHERE k % 3 <> 0 UNION ALL SELECT symbol, ts, close + 1, 1 FROM o WHERE k % 2 = 0), d AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY src) AS n FROM u)
+@query(f"""WITH {BARS}, u AS (
+ SELECT symbol, ts, close, 0 AS src FROM bars WHERE ts < 1705708800000 UNION ALL SELECT symbol, ts, close + 1, 1 FROM bars WHERE ts >= 1704844800000), d AS (SELECT *, row_number() OVER (PARTITION BY symbol, ts ORDER BY src) AS n FROM u)
 SELECT symbol, ts, round(close, 6) AS close FROM d WHERE n = 1""")
 def upsert_partition(spark, sf):
-    b = event_bars(spark, sf, FIVE).withColumn("k", F.row_number().over(by_symbol("ts")))
-    old, new = b.filter("k % 3 <> 0").select("symbol", "ts", "close"), b.filter("k % 2 = 0").select("symbol", "ts", (F.col("close") + 1).alias("close"))
+    b = event_bars(spark, sf, FIVE)  # two loads that overlap by ten days
+    old, new = b.filter("ts < 1705708800000").select("symbol", "ts", "close"), b.filter("ts >= 1704844800000").select("symbol", "ts", (F.col("close") + 1).alias("close"))
     return rounded(upsert_bars(old, new), "close")
 
 
@@ -162,9 +162,9 @@ l AS (SELECT *, CASE WHEN q75 IS NULL THEN -1 WHEN rv > q95 THEN 2 WHEN rv > q75
 
 def labels(spark, sf):
     """The rolling-quantile detector: labels -1, 0, 1, 2 from trailing 75 % and 95 % quantiles of realised volatility."""
-    b = W.realized_vol(panel(spark, sf), 20).select("symbol", "idx", "ts", "close", "rv")
-    b = W.rolling_quantile(b, "rv", 120, {"q75": 0.75, "q95": 0.95})
-    return b.withColumn("label", F.when(F.col("q75").isNull(), -1).when(F.col("rv") > F.col("q95"), 2).when(F.col("rv") > F.col("q75"), 1).otherwise(0))
+    from ..operators.detectors import rolling_states
+
+    return rolling_states(panel(spark, sf).select("symbol", "idx", "ts", "close"), 20, 120, edges=("q75", "q95"))
 
 
 @query(QUANT + " SELECT symbol, idx, round(q75, 6) AS q75, round(q95, 6) AS q95, label FROM l")
@@ -224,7 +224,11 @@ def intrinsic_bars(spark, sf):
     return rebar.overshoot(rebar.intrinsic_bars(panel(spark, sf), 2000.0), 2000.0)
 
 
-@query()
+EMA = "e AS (SELECT symbol, idx, x AS y FROM xs WHERE idx = 0 UNION ALL SELECT xs.symbol, xs.idx, CASE WHEN xs.x IS NULL THEN e.y WHEN e.y IS NULL THEN xs.x ELSE e.y + 2 / 31 * (xs.x - e.y) END FROM e JOIN xs ON xs.symbol = e.symbol AND xs.idx = e.idx + 1)"
+RECURSIVE = RET.replace("WITH", "WITH RECURSIVE", 1)
+
+
+@query(RECURSIVE + f", xs AS MATERIALIZED (SELECT symbol, idx, CASE WHEN count(*) OVER f = 20 THEN sqrt(avg(r * r) OVER f) END AS x FROM r WINDOW f AS (PARTITION BY symbol ORDER BY idx ROWS 19 PRECEDING)), {EMA} SELECT symbol, idx, round(y, 6) AS ema FROM e")
 def ema_features(spark, sf):
     return rounded(W.ema(W.realized_vol(panel(spark, sf), 20).select("symbol", "idx", "rv"), "rv", 30, 200).select("symbol", "idx", "ema"), "ema")
 

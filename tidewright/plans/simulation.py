@@ -87,7 +87,7 @@ def _distance(r, w: int = 60):
 def bootstrap_departure(spark, sf):
     """Interval of the median |VR - 1| of a symbol's windows, made to hold the point."""
     v = VR.rolling(panel(spark, sf), 60, (5,)).filter("vr_dev IS NOT NULL").select("symbol", F.col("end_idx").alias("idx"), F.abs("vr_dev").alias("x"))
-    return rounded(N.bootstrap(v, ["x"], _median, reps=200, clamp=True), "point", "lo", "hi")
+    return rounded(N.bootstrap(v, ["x"], _median, clamp=True), "point", "lo", "hi")
 
 
 @query()
@@ -96,21 +96,21 @@ def bootstrap_effect(spark, sf):
     from .features import labels
 
     d = labels(spark, sf).filter("label >= 0").select("symbol", "idx", F.col("rv").alias("x"), F.col("label").cast("double").alias("label"))
-    return rounded(N.bootstrap(d, ["x", "label"], _effect, reps=200), "point", "lo", "hi")
+    return rounded(N.bootstrap(d, ["x", "label"], _effect), "point", "lo", "hi")
 
 
 @query()
 def bootstrap_information(spark, sf):
     """Interval of the information in sign pairs, blocks without wrapping."""
     p = I.lag_pairs(returns(spark, sf), "r", 2).select("symbol", "idx", F.col("x").alias("a"), F.col("y").alias("b"))
-    return rounded(N.bootstrap(p, ["a", "b"], _sign_information, reps=200, method="moving-block"), "point", "lo", "hi")
+    return rounded(N.bootstrap(p, ["a", "b"], _sign_information, method="moving-block"), "point", "lo", "hi")
 
 
 @query()
 def persistence_test(spark, sf):
     """Distance to the arcsine law against its block bootstrap: p is the plain share of replicates at least as far."""
     d = returns(spark, sf).filter("idx > 0").select("symbol", "idx", "r")
-    s = N.replicates(d, ["r"], _distance, block=60, reps=200)
+    s = N.replicates(d, ["r"], _distance, block=60, reps=500)
     g = s.groupBy("symbol").agg(F.max(F.when(F.col("rep") < 0, F.col("v"))).alias("ks"), F.array_agg(F.when(F.col("rep") >= 0, F.col("v"))).alias("boot"))
     p = F.size(F.filter("boot", lambda v: v >= F.col("ks"))) / F.size("boot")
     return rounded(g.select("symbol", "ks", p.alias("p"), F.when(p < 0.05, "persistence_deviation_detected").otherwise("martingale_consistent").alias("verdict")), "ks", "p")
@@ -138,7 +138,7 @@ def neighbour_information(spark, sf):
 
 @query()
 def sign_information(spark, sf):
-    return rounded(I.information(I.lag_pairs(returns(spark, sf), "r", 5, signs=True), "signs", reps=100), "mi", "se")
+    return rounded(I.information(I.lag_pairs(returns(spark, sf), "r", 5, signs=True), "signs"), "mi", "se")
 
 
 @query()
@@ -235,7 +235,7 @@ def ic_intervals(spark, sf):
 
     h = event_bars(spark, sf, 60 * MINUTE, F.col("event_type")).withColumn("idx", F.row_number().over(W.by_symbol("ts")) - 1)
     d = rank_products(h.select("symbol", "idx", W.log_return().alias("x"), W.forward_return().alias("y")), "x", "y", "symbol")
-    return rounded(N.bootstrap(d.select("symbol", "idx", F.col("rank_product").alias("x")), ["x"], _mean, reps=500), "point", "lo", "hi")
+    return rounded(N.bootstrap(d.select("symbol", "idx", F.col("rank_product").alias("x")), ["x"], _mean), "point", "lo", "hi")
 
 
 def _mean(x):

@@ -10,7 +10,7 @@ from ..operators import measures as M, rebar, studies as S, variance_ratio as VR
 from ..sources.bars import MINUTE, PANEL_SQL, by_symbol, event_bars, event_bars_sql, panel
 from .benchmark import ROLLED
 from .common import query, rounded
-from .features import QUANT, RET, labels
+from .features import EMA, QUANT, RECURSIVE, RET, labels
 from .inference import TWO, _two
 
 HOUR = 60 * MINUTE
@@ -200,10 +200,10 @@ def funding_crossings(spark, sf):
     return hours(spark, sf).withColumn("f", slot > F.lag(slot).over(by_symbol("ts"))).groupBy("symbol").agg(F.sum(F.col("f").cast("long")).alias("fundings"))
 
 
-@query(f"WITH {PANEL_SQL}, {VR.vr_sql(60, (2, 5))}, dr AS (SELECT q AS cell, win AS delta, symbol AS draw, z FROM vr WHERE z IS NOT NULL AND win < 6), fi AS (SELECT cell, avg(z) AS center, stddev_samp(z) AS sd FROM dr WHERE delta = 0 AND draw % 2 = 0 GROUP BY cell)" + " SELECT cell::BIGINT AS cell, delta, round(center, 6) AS center, round(sd, 6) AS sd, count(*) AS n, round(avg((z > 1.959963984540054)::INT), 6) AS p_raw, round(avg(((z - center) / sd > 1.6448536269514722)::INT), 6) AS p_det FROM dr JOIN fi USING (cell) WHERE delta > 0 OR draw % 2 = 1 GROUP BY ALL")
+@query(f"WITH {PANEL_SQL}, {VR.vr_sql(60, (2, 5))}, dr AS (SELECT q AS cell, win AS delta, symbol AS draw, z FROM vr WHERE z IS NOT NULL), fi AS (SELECT cell, avg(z) AS center, stddev_samp(z) AS sd FROM dr WHERE delta = 0 AND draw % 2 = 0 GROUP BY cell)" + " SELECT cell::BIGINT AS cell, delta, round(center, 6) AS center, round(sd, 6) AS sd, count(*) AS n, round(avg((z > 1.959963984540054)::INT), 6) AS p_raw, round(avg(((z - center) / sd > 1.6448536269514722)::INT), 6) AS p_det FROM dr JOIN fi USING (cell) WHERE delta > 0 OR draw % 2 = 1 GROUP BY ALL")
 def recentred_repair(spark, sf):
     """Windows as draws: the first window of each symbol is the null, the later ones are injections of growing size."""
-    v = VR.strided(panel(spark, sf), 60, (2, 5)).filter("z IS NOT NULL AND win < 6")
+    v = VR.strided(panel(spark, sf), 60, (2, 5)).filter("z IS NOT NULL")
     d = v.select(F.col("q").cast("long").alias("cell"), F.col("win").alias("delta"), F.col("symbol").alias("draw"), "z")
     return rounded(S.recentred(d, 0), "center", "sd", "p_raw", "p_det")
 
@@ -218,12 +218,12 @@ def go_no_go(spark, sf):
     return g.withColumn("verdict", F.when(F.col("stable"), "GO").otherwise("NO-GO"))
 
 
-@query(f"WITH {PANEL_SQL}, a AS (SELECT symbol, count(*)::DOUBLE AS n, sum(volume)::DOUBLE AS v FROM panel WHERE year < 1996 GROUP BY symbol), b AS (SELECT symbol, count(*)::DOUBLE AS n, sum(volume)::DOUBLE AS v FROM panel WHERE year >= 1996 AND symbol % 10 > 0 GROUP BY symbol), j AS (SELECT coalesce(a.symbol, b.symbol) AS symbol, a.n AS an, b.n AS bn, a.v AS av, b.v AS bv FROM a FULL JOIN b ON a.symbol = b.symbol), u AS (SELECT symbol, 'n' AS field, an AS a, bn AS b FROM j UNION ALL SELECT symbol, 'v', av, bv FROM j) SELECT symbol, field, round(a, 4) AS a, round(b, 4) AS b, round(abs(a - b), 4) AS abs_diff, round(abs(a - b) / abs(b) * 100, 6) AS rel_pct, coalesce(abs(a - b) <= 0.15 * abs(b), false) AS close FROM u")
+@query(f"WITH {PANEL_SQL}, a AS (SELECT symbol, count(*)::DOUBLE AS n, sum(volume)::DOUBLE AS v FROM panel WHERE year < 1996 GROUP BY symbol), b AS (SELECT symbol, count(*)::DOUBLE AS n, sum(volume)::DOUBLE AS v FROM panel WHERE year >= 1996 AND volume > 10 GROUP BY symbol), j AS (SELECT coalesce(a.symbol, b.symbol) AS symbol, a.n AS an, b.n AS bn, a.v AS av, b.v AS bv FROM a FULL JOIN b ON a.symbol = b.symbol), u AS (SELECT symbol, 'n' AS field, an AS a, bn AS b FROM j UNION ALL SELECT symbol, 'v', av, bv FROM j) SELECT symbol, field, round(a, 4) AS a, round(b, 4) AS b, round(abs(a - b), 4) AS abs_diff, round(abs(a - b) / abs(b) * 100, 6) AS rel_pct, coalesce(abs(a - b) <= 0.15 * abs(b), false) AS close FROM u")
 def parity(spark, sf):
     """Field by field, two runs' figures by symbol, and whether they are within 15 percent."""
     p = panel(spark, sf)
     side = lambda d: d.groupBy("symbol").agg(F.count("*").alias("n"), F.sum("volume").alias("v"))
-    d = S.field_differences(side(p.filter("year < 1996")), side(p.filter("year >= 1996 AND symbol % 10 > 0")), "symbol", ["n", "v"])
+    d = S.field_differences(side(p.filter("year < 1996")), side(p.filter("year >= 1996 AND volume > 10")), "symbol", ["n", "v"])
     d = d.withColumn("close", F.coalesce(F.col("abs_diff") <= 0.15 * F.abs("b"), F.lit(False)))
     return rounded(rounded(d, "a", "b", "abs_diff", digits=4), "rel_pct")
 
@@ -238,12 +238,12 @@ def interval_overlap(spark, sf):
     return p.select("q_1", "q_2", S.overlaps(F.col("lo_1"), F.col("hi_1"), F.col("lo_2"), F.col("hi_2")).alias("overlap"))
 
 
-@query(f"WITH {PANEL_SQL}, a AS (SELECT symbol, median(close) AS m FROM panel WHERE year = 1995 AND symbol % 3 > 0 GROUP BY symbol), b AS (SELECT symbol, median(close) AS m FROM panel WHERE year = 1996 AND symbol % 5 > 0 GROUP BY symbol), k AS (SELECT DISTINCT symbol FROM panel) SELECT symbol, round(coalesce(a.m, b.m), 6) AS m, CASE WHEN a.m IS NOT NULL THEN 'primary' WHEN b.m IS NOT NULL THEN 'fallback' ELSE 'none' END AS origin FROM k LEFT JOIN a USING (symbol) LEFT JOIN b USING (symbol)")
+@query(f"WITH {PANEL_SQL}, a AS (SELECT symbol, median(close) AS m FROM panel WHERE year = 1995 AND close > 1950 GROUP BY symbol), b AS (SELECT symbol, median(close) AS m FROM panel WHERE year = 1996 AND close > 1900 GROUP BY symbol), k AS (SELECT DISTINCT symbol FROM panel) SELECT symbol, round(coalesce(a.m, b.m), 6) AS m, CASE WHEN a.m IS NOT NULL THEN 'primary' WHEN b.m IS NOT NULL THEN 'fallback' ELSE 'none' END AS origin FROM k LEFT JOIN a USING (symbol) LEFT JOIN b USING (symbol)")
 def fallback_lookup(spark, sf):
-    """A symbol's cell from the primary table, else from the other."""
+    """A symbol's cell from the primary table, else from the other: medians of dear bars, which not every symbol has."""
     p = panel(spark, sf)
     side = lambda d, n: d.groupBy("symbol").agg(F.percentile("close", F.lit(0.5)).alias(n))
-    j = p.select("symbol").distinct().join(side(p.filter("year = 1995 AND symbol % 3 > 0"), "a"), "symbol", "left").join(side(p.filter("year = 1996 AND symbol % 5 > 0"), "b"), "symbol", "left")
+    j = p.select("symbol").distinct().join(side(p.filter("year = 1995 AND close > 1950"), "a"), "symbol", "left").join(side(p.filter("year = 1996 AND close > 1900"), "b"), "symbol", "left")
     origin = F.when(F.col("a").isNotNull(), "primary").when(F.col("b").isNotNull(), "fallback").otherwise("none")
     return rounded(j.select("symbol", F.coalesce("a", "b").alias("m"), origin.alias("origin")), "m")
 
@@ -390,12 +390,12 @@ def detection_curves(spark, sf):
     return c.groupBy("w", "q").agg(F.array_join(text, ",").alias("curve"))
 
 
-@query(DRAWS + " SELECT delta, round(median(z), 6) AS median_z, round(max(z), 6) AS max_z, round(avg((z > 1)::INT), 6) AS p_det FROM d WHERE q = 1 AND w = 2 GROUP BY delta")
+@query(DRAWS + " SELECT w, q, delta, round(median(z), 6) AS median_z, round(max(z), 6) AS max_z, round(avg((z > 1)::INT), 6) AS p_det FROM d GROUP BY w, q, delta")
 def z_trend(spark, sf):
-    """Median and largest z of a cell's draws, read from one nested array a delta."""
-    nested = _draws(spark, sf).filter("w = 2").groupBy("delta", F.col("draw").alias("draw")).agg(F.collect_list(F.struct("q", "z")).alias("ordered"))
-    own = nested.select("delta", F.explode("ordered").alias("x")).filter("x.q = 1").select("delta", F.col("x.z").alias("z"))
-    return rounded(own.groupBy("delta").agg(F.percentile("z", F.lit(0.5)).alias("median_z"), F.max("z").alias("max_z"), F.avg((F.col("z") > 1).cast("int")).alias("p_det")), "median_z", "max_z", "p_det")
+    """Median and largest z of each cell's draws, read from one nested array a draw."""
+    nested = _draws(spark, sf).groupBy("w", "delta", F.col("draw").alias("draw")).agg(F.collect_list(F.struct("q", "z")).alias("ordered"))
+    own = nested.select("w", "delta", F.explode("ordered").alias("x")).select("w", "x.q", "delta", "x.z")
+    return rounded(own.groupBy("w", "q", "delta").agg(F.percentile("z", F.lit(0.5)).alias("median_z"), F.max("z").alias("max_z"), F.avg((F.col("z") > 1).cast("int")).alias("p_det")), "median_z", "max_z", "p_det")
 
 
 @query(QUANT + ", t AS (SELECT label, avg(abs(r)) * 1e4 AS gross, count(*) AS n FROM l JOIN r USING (symbol, idx) WHERE label >= 0 GROUP BY label) SELECT label, round(gross, 4) AS gross_bps, round(n / sum(n) OVER (), 6) AS rate, round(gross - 9, 4) AS net_bps, round(gross - 9 * n / sum(n) OVER (), 4) AS net_per_trigger FROM t")
@@ -415,12 +415,12 @@ def trade_returns(spark, sf):
     return rounded(g.select("symbol", "seg", side.alias("side"), F.when((F.col("a") > 0) & (F.col("b") > 0), side * (F.col("b") / F.col("a") - 1)).otherwise(0.0).alias("pnl")), "pnl")
 
 
-@query(QUANT + ", ok AS (SELECT symbol FROM (SELECT symbol, count(DISTINCT label) AS k FROM l WHERE label >= 0 GROUP BY symbol) WHERE k = 3) SELECT x.symbol AS symbol_1, y.symbol AS symbol_2 FROM ok x JOIN ok y ON x.symbol < y.symbol")
+@query(f"WITH {HOURS}, ok AS (SELECT symbol FROM bars GROUP BY symbol HAVING count(*) >= 100) SELECT x.symbol AS symbol_1, y.symbol AS symbol_2 FROM ok x JOIN ok y ON x.symbol < y.symbol")
 def valid_pairs(spark, sf):
-    """Pairs of instruments, those whose labels have all states."""
+    """Pairs of kinds of events, those with enough hours; there are a few kinds."""
     from ..operators.joins import ordered_pairs
 
-    ok = labels(spark, sf).filter("label >= 0").groupBy("symbol").agg(F.count_distinct("label").alias("k")).filter("k = 3").select("symbol")
+    ok = hours(spark, sf).groupBy("symbol").agg(F.count("*").alias("k")).filter("k >= 100").select("symbol")
     return ordered_pairs(ok, "symbol", [])
 
 
@@ -432,14 +432,14 @@ def holdout_cell(spark, sf):
     return rounded(VR.significance(v).select("n", "median_dev", "median_z", two_sided_p(F.col("median_z")).alias("p")), "median_dev", "median_z", "p")
 
 
-@query("WITH a AS (SELECT l_linenumber AS q, l_suppkey % 5 AS delta, avg(l_discount) AS phi FROM lineitem WHERE l_suppkey % 5 < 4 GROUP BY ALL), b AS (SELECT l_linenumber AS q, l_suppkey % 5 AS delta, avg(l_tax) AS phi FROM lineitem WHERE l_suppkey % 5 > 1 GROUP BY ALL) SELECT q, delta, round(coalesce(a.phi, b.phi), 6) AS phi FROM a FULL JOIN b USING (q, delta)")
+@query("WITH a AS (SELECT l_linenumber AS q, l_suppkey % 5 AS delta, avg(l_discount) AS phi FROM lineitem WHERE l_linenumber <= 5 GROUP BY ALL), b AS (SELECT l_linenumber AS q, l_suppkey % 5 AS delta, avg(l_tax) AS phi FROM lineitem WHERE l_linenumber >= 3 GROUP BY ALL) SELECT q, delta, round(coalesce(a.phi, b.phi), 6) AS phi FROM a FULL JOIN b USING (q, delta)")
 def phi_lookup(spark, sf):
     """Entries of the earlier table stand, the later one adds what it lacks."""
     from ..operators.injection import phi_table
 
     li, k = spark.read.parquet(f"{sf}/lineitem.parquet"), F.col("l_suppkey") % 5
     t = lambda d, c: d.groupBy(F.col("l_linenumber").alias("q"), k.alias("delta")).agg(F.avg(c).alias("phi"))
-    return rounded(phi_table(t(li.filter(k > 1), "l_tax"), t(li.filter(k < 4), "l_discount")), "phi")
+    return rounded(phi_table(t(li.filter("l_linenumber >= 3"), "l_tax"), t(li.filter("l_linenumber <= 5"), "l_discount")), "phi")
 
 
 @query(f"WITH {HOURS}, q AS (SELECT symbol, quantile_cont(volume, 0.95) AS hi FROM bars GROUP BY symbol), c(name, a, b) AS (VALUES {', '.join(map(str, CRISES))}) SELECT name, symbol, (ts - a) // 3600000 AS hour, (volume > hi)::INT AS extreme FROM bars JOIN q USING (symbol) JOIN c ON ts BETWEEN a AND b")
@@ -472,7 +472,7 @@ def page_fields(spark, sf):
     return p.select("page_id", F.regexp_extract("html", r'charset="?([A-Za-z0-9-]+)', 1).alias("charset"), F.regexp_count("html", F.lit("<a [^>]*href=")).cast("long").alias("links"))
 
 
-@query()
+@query(RECURSIVE + f", xs AS MATERIALIZED (SELECT symbol, idx, r * r AS x FROM r), {EMA} SELECT symbol, idx, round(sqrt(y), 6) AS rv FROM e")
 def ewma_volatility(spark, sf):
     return rounded(W.realized_vol(panel(spark, sf), 30, ewma=True).select("symbol", "idx", "rv"), "rv")
 
