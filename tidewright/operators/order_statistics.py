@@ -156,6 +156,18 @@ def expanding_quantile(bars: DataFrame, column: str, least: int, qs: dict[str, f
     return b.drop("__k").join(wide, ["symbol", "idx"], "left").select(*bars.columns, *names)
 
 
+def median_interval(df: DataFrame, value: str, *by: str, z: float = 1.959963984540054, size: int | None = None) -> DataFrame:
+    """By by: n, median, and lo and hi, the order statistics between which the median of any law lies with the probability that
+    z stands for: those (n - z root n) / 2 and 1 + (n + z root n) / 2 from below."""
+    r = ranks(df, value, *by, size=size).withColumn("__to", F.col("rank") + (F.col("c") - 1) / 2)
+    n = F.col("n")
+    at = lambda k: F.min(F.when(F.col("__to") >= k, F.col(value)))
+    half = z * F.sqrt(n) / 2
+    low, high = F.greatest(F.lit(1.0), F.floor(n / 2 - half)), F.least(n, F.ceil(1 + n / 2 + half))
+    g = r.groupBy(*by).agg(F.max("n").alias("n"), ((at(F.floor((n + 1) / 2)) + at(F.ceil((n + 1) / 2))) / 2).alias("median"), at(low).alias("lo"), at(high).alias("hi"))
+    return g
+
+
 def ranks(df: DataFrame, value: str, *by: str, weight: str | None = None, size: int | None = None) -> DataFrame:
     """by, value, rank, n and c: the rank of each value in its group, ties at their mean, rows of the group and of the value.
     A row counts as often as weight says. Values are counted first. Groups of more than size values are cut at edges; the counts of their parts are summed up, and

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import normal_cdf as phi
 from ..functions.numerics import chi2_sf, normal_cdf
 from ..sources.bars import by_symbol
 
@@ -80,6 +81,15 @@ def tost(pairs: DataFrame, margin: float = 0.02) -> DataFrame:
     return d.withColumn("z_tost", F.try_divide(margin - F.abs("diff"), F.col("se"))).withColumn("equivalent", F.coalesce(inside, F.lit(False)))
 
 
+def equivalent_medians(pairs: DataFrame, *by: str, margin: float = 0.02, alpha: float = 0.05) -> DataFrame:
+    """tost() with p (the larger one-sided p), p_holm over all rows of by, and equivalent: p_holm below alpha, too."""
+    from .measures import holm
+
+    d = tost(pairs, margin)
+    d = d.withColumns({"__inside": F.col("equivalent"), "p": 1 - phi(F.coalesce("z_tost", F.lit(0.0)))}).drop("equivalent")
+    return holm(d, "p", *by).withColumn("equivalent", F.col("__inside") & (F.col("p_holm") < alpha)).drop("__inside")
+
+
 def tost_p(z: float) -> float:
     return 1 - normal_cdf(z)
 

@@ -219,11 +219,6 @@ def volume_bars(spark, sf):
     return rounded(rebar.volume_bars(panel(spark, sf), 500).select("symbol", "idx", "ts", "amount"), "amount")
 
 
-@query()
-def intrinsic_bars(spark, sf):
-    return rebar.overshoot(rebar.intrinsic_bars(panel(spark, sf), 2000.0), 2000.0)
-
-
 EMA = "e AS (SELECT symbol, idx, x AS y FROM xs WHERE idx = 0 UNION ALL SELECT xs.symbol, xs.idx, CASE WHEN xs.x IS NULL THEN e.y WHEN e.y IS NULL THEN xs.x ELSE e.y + 2 / 31 * (xs.x - e.y) END FROM e JOIN xs ON xs.symbol = e.symbol AND xs.idx = e.idx + 1)"
 RECURSIVE = RET.replace("WITH", "WITH RECURSIVE", 1)
 

@@ -1,14 +1,12 @@
-"""Queries over nested regressions, equivalence and detection limits."""
+"""Queries over nested regressions and detection limits."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import joins, regress, variance_ratio as VR
-from ..sources.bars import panel
+from ..operators import regress
 from .common import query, rounded
 from .features import QUANT, labels
-from .inference import VRS
 
 
 @query(QUANT + """, d AS (SELECT symbol, idx, rv AS y, label, lag(label) OVER (PARTITION BY symbol ORDER BY idx) AS prev FROM l)
@@ -29,17 +27,6 @@ def nested_regression(spark, sf):
     return spark.createDataFrame(rows, "test string, wald double, p double, gain double, n long")
 
 
-@query(VRS + """, g AS (SELECT q, median(abs(vr_dev)) AS m, quantile_cont(abs(vr_dev), 0.4) AS lo, quantile_cont(abs(vr_dev), 0.6) AS hi FROM vr GROUP BY q),
-p AS (SELECT a.q AS q_1, b.q AS q_2, a.m - b.m AS diff, sqrt(((a.hi - a.lo) / (2 * 1.959963984540054)) ** 2 + ((b.hi - b.lo) / (2 * 1.959963984540054)) ** 2) AS se FROM g a JOIN g b ON a.q < b.q)
-SELECT q_1, q_2, round(diff, 6) AS diff, round(se, 6) AS se, round((0.2 - abs(diff)) / se, 5) AS z_tost, abs(diff) + 1.6448536269514722 * se < 0.2 AS equivalent FROM p""")
-def equivalence(spark, sf):
-    v = VR.strided(panel(spark, sf), 60, (2, 5, 15)).filter("vr_dev IS NOT NULL")
-    a = F.abs("vr_dev")
-    g = v.groupBy(F.col("q").cast("long").alias("q")).agg(F.percentile(a, F.lit(0.5)).alias("m"), F.percentile(a, F.lit(0.4)).alias("lo"), F.percentile(a, F.lit(0.6)).alias("hi"))
-    t = regress.tost(joins.ordered_pairs(g, "q", ["m", "lo", "hi"]), 0.2).select("q_1", "q_2", "diff", "se", "z_tost", "equivalent")
-    return rounded(rounded(t, "diff", "se"), "z_tost", digits=5)
-
-
 @query("""WITH a AS (SELECT l_returnflag AS cell, l_linenumber AS x, avg(l_discount) * 10 + min(l_linenumber) / 20 AS y FROM lineitem GROUP BY ALL), p AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM a WINDOW w AS (PARTITION BY cell ORDER BY x))
 SELECT cell, round(min(CASE WHEN y >= 0.65 THEN CASE WHEN py IS NULL OR py >= 0.65 THEN x ELSE px + (x - px) * (0.65 - py) / (y - py) END END), 5) AS at FROM p GROUP BY cell""")
 def detection_limit(spark, sf):

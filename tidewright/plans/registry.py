@@ -1,6 +1,6 @@
 """All queries and their SQL twins."""
 
-from . import benchmark, features, inference, nested, platform, replay, reports, simulation, studies  # noqa: F401
+from . import benchmark, clocks, features, inference, nested, platform, replay, reports, simulation, studies  # noqa: F401
 from .common import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

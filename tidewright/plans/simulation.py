@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import normal_cdf
-from ..operators import information as I, injection as J, markov, measures as M, nulls as N, rebar, signals as G, strategy as T, variance_ratio as VR, windows as W
+from ..operators import information as I, injection as J, markov, nulls as N, signals as G, strategy as T, variance_ratio as VR, windows as W
 from ..sources.bars import MINUTE, event_bars, panel
 from .common import query, rounded
 from .studies import returns
@@ -192,35 +188,6 @@ def strategy_sweep(spark, sf):
     return rounded(r, "cost", "final_equity", "total_return", "max_drawdown", "win_rate", "turnover", "fee_drag", "mean_minutes", "break_even", digits=5)
 
 
-def transport_cells(bars: DataFrame, name: str, horizons=(2, 5), w: int = 60) -> DataFrame:
-    """The pipeline on one clock: q, gauge, n, median and its quartile interval, over all windows of all symbols."""
-    v = VR.strided(bars, w, horizons).filter("vr_dev IS NOT NULL")
-    a = F.abs("vr_dev")
-    g = v.groupBy(F.col("q").cast("long").alias("q")).agg(F.count("*").alias("n"), F.percentile(a, F.lit(0.5)).alias("m"), F.percentile(a, F.lit(0.25)).alias("lo"), F.percentile(a, F.lit(0.75)).alias("hi"))
-    return g.withColumn("gauge", F.lit(name))
-
-
-@query()
-def transport(spark, sf):
-    """Equivalence of medians between clocks: the larger one-sided p, Holm over all comparisons, 90 % interval in the margin."""
-    b, eps = panel(spark, sf), 0.2
-    clocks = {"clock": b, "volume": rebar.gauge("volume", b, volume=60), "intrinsic": rebar.gauge("intrinsic", b, variance=1000.0)}
-    cells = reduce(DataFrame.unionByName, (transport_cells(x, n) for n, x in clocks.items()))
-    # standard error of a median from its quartiles, as for a normal law
-    cells = cells.withColumn("se", F.greatest((F.col("hi") - F.col("lo")) * 0.93 / F.sqrt("n"), F.lit(1e-9)))
-    x, y = (cells.select("q", *[F.col(c).alias(f"{c}_{k}") for c in ("gauge", "m", "se", "n")]) for k in (1, 2))
-    p = x.join(y, "q").filter("gauge_1 < gauge_2").withColumns({"diff": F.col("m_1") - F.col("m_2"), "se": F.sqrt(F.col("se_1") ** 2 + F.col("se_2") ** 2), "family": F.lit(0)})
-    p = p.withColumn("p", F.greatest(1 - normal_cdf((F.col("diff") + eps) / F.col("se")), normal_cdf((F.col("diff") - eps) / F.col("se"))))
-    p = M.holm(p.select("family", "q", "gauge_1", "gauge_2", "diff", "se", "p"), "p", "family")
-    inside = F.abs("diff") + 1.6448536269514722 * F.col("se") <= eps
-    return rounded(p.select("q", "gauge_1", "gauge_2", "diff", "se", "p", "p_holm", (inside & (F.col("p_holm") < 0.05)).alias("equivalent")), "diff", "se", "p", "p_holm")
-
-
-@query()
-def threshold_sweep(spark, sf):
-    return rounded(rebar.threshold_sweep(panel(spark, sf), [250.0, 500.0, 1000.0]), "median_min")
-
-
 @query()
 def variance_ratio_detector(spark, sf):
     from ..operators.detectors import detect
@@ -242,9 +209,6 @@ def _mean(x):
     return x.mean()
 
 
-
-
-
 @query()
 def delta_star(spark, sf):
     """Detection limits from the shares that injected phi reach on all symbols."""
