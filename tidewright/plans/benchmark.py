@@ -81,7 +81,13 @@ def expanding_quantile(spark, sf):
     return rounded(O.expanding_quantile(r, "ratio", 120, {"q75": 0.75}).select("symbol", "idx", "q75"), "q75")
 
 
-@query()
+_NEAREST = lambda p: f"s[round_even({p} * (len(s) - 1), 0)::BIGINT + 1]"
+
+
+@query(RET.replace("WITH", "WITH RECURSIVE", 1) + RATIO + f""", xs AS MATERIALIZED (SELECT symbol, idx, ratio AS x FROM ra), e AS (SELECT symbol, idx, x AS y FROM xs WHERE idx = 0
+ UNION ALL SELECT xs.symbol, xs.idx, CASE WHEN xs.x IS NULL THEN e.y WHEN e.y IS NULL THEN xs.x ELSE e.y + 2 / 21 * (xs.x - e.y) END FROM e JOIN xs ON xs.symbol = e.symbol AND xs.idx = e.idx + 1),
+li AS (SELECT symbol, idx, y, list_sort(list(y) FILTER (y IS NOT NULL) OVER (PARTITION BY symbol ORDER BY idx ROWS 119 PRECEDING)) AS s FROM e),
+dl AS (SELECT symbol, CASE WHEN y IS NULL THEN -1 WHEN y <= {_NEAREST(0.75)} THEN 0 WHEN y <= {_NEAREST(0.95)} THEN 1 ELSE 2 END AS label FROM li) SELECT symbol, label, count(*) AS n FROM dl GROUP BY ALL""")
 def dynamic_detector(spark, sf):
     d = D.detect("dynamic", panel(spark, sf), fast=20, slow=60, smooth=20, w=120)
     return d.groupBy("symbol", "label").agg(F.count("*").alias("n"))

@@ -222,7 +222,10 @@ def backtest_trades(spark, sf):
     return trades.groupBy("symbol").agg(F.count("*").alias("n"), F.round(F.sum("pnl"), 4).alias("pnl"), F.round(F.avg((F.col("pnl") > 0).cast("int")), 6).alias("win_rate"))
 
 
-@query()
+@query(f"""WITH {PANEL_SQL}, {VR.vr_sql(60, (5,))}, ok AS (SELECT symbol, win AS idx, z < 0 AS ok, row_number() OVER (PARTITION BY symbol ORDER BY win) AS k FROM vr WHERE z IS NOT NULL),
+tw AS (SELECT *, lag(ok) OVER (PARTITION BY symbol ORDER BY k) AS before FROM ok), ad AS (SELECT symbol, min(k) FILTER (ok AND before AND k >= 3) AS admit FROM tw GROUP BY symbol),
+rv AS (SELECT symbol, admit, min(k) FILTER (NOT ok AND NOT before AND k >= admit + 2) AS revoke FROM tw JOIN ad USING (symbol) GROUP BY ALL)
+SELECT symbol, idx, ok, CASE WHEN k = 1 THEN 'warmup' WHEN admit IS NULL OR k < admit THEN 'non_admitted' WHEN revoke IS NULL OR k < revoke THEN 'admissible' ELSE 'revoked' END AS state FROM ok JOIN rv USING (symbol)""")
 def admission_states(spark, sf):
     from ..operators.strategy import admission_path
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import information as I, injection as J, markov, nulls as N, signals as G, strategy as T, variance_ratio as VR, windows as W
-from ..sources.bars import MINUTE, event_bars, panel
+from ..sources.bars import MINUTE, PANEL_SQL, event_bars, panel
 from .common import query, rounded
 from .studies import returns
 
@@ -188,7 +188,12 @@ def strategy_sweep(spark, sf):
     return rounded(r, "cost", "final_equity", "total_return", "max_drawdown", "win_rate", "turnover", "fee_drag", "mean_minutes", "break_even", digits=5)
 
 
-@query()
+_EVERY = VR.vr_sql(60, (5,)).split("\n), v1 AS", 1)[1]
+
+
+@query(f"""WITH {PANEL_SQL}, v0 AS (SELECT symbol, idx AS win, list(close) OVER f AS y, idx AS end_idx, ts AS end_ts FROM panel WINDOW f AS (PARTITION BY symbol ORDER BY idx ROWS 59 PRECEDING) QUALIFY count(*) OVER f = 60
+), v1 AS{_EVERY}, sc AS (SELECT p.symbol, abs(vr_dev) AS s FROM panel p LEFT JOIN vr ON p.symbol = vr.symbol AND p.idx = vr.end_idx), ed AS (SELECT quantile_cont(s, 0.75) AS lo, quantile_cont(s, 0.95) AS hi FROM sc)
+SELECT symbol, CASE WHEN s IS NULL THEN -1 WHEN s <= lo THEN 0 WHEN s <= hi THEN 1 ELSE 2 END AS label, count(*) AS n FROM sc, ed GROUP BY ALL""")
 def variance_ratio_detector(spark, sf):
     from ..operators.detectors import detect
 

@@ -9,6 +9,7 @@ from ..functions.columns import two_sided_p, two_sided_p_sql
 from ..operators import measures as M, rebar, studies as S, variance_ratio as VR, windows as W
 from ..sources.bars import MINUTE, PANEL_SQL, by_symbol, event_bars, event_bars_sql, panel
 from .benchmark import ROLLED
+from .clocks import PARTS, greedy_sql
 from .common import query, rounded
 from .features import EMA, QUANT, RECURSIVE, RET, labels
 from .inference import TWO, _two
@@ -477,7 +478,10 @@ def ewma_volatility(spark, sf):
     return rounded(W.realized_vol(panel(spark, sf), 30, ewma=True).select("symbol", "idx", "rv"), "rv")
 
 
-@query()
+_STATIC = lambda source, name: f"SELECT '{name}' AS gauge, CASE WHEN n < 60 OR slow = 0 THEN -1 WHEN fast / slow <= 0.95 THEN 0 WHEN fast / slow <= 1.1 THEN 1 ELSE 2 END AS label FROM (SELECT count(*) OVER f AS n, sqrt(avg(r * r) OVER g) AS fast, sqrt(avg(r * r) OVER f) AS slow FROM (SELECT symbol, idx, CASE WHEN lag(close) OVER w IS NULL THEN 0 ELSE ln(close) - ln(lag(close) OVER w) END AS r FROM {source} WINDOW w AS (PARTITION BY symbol ORDER BY idx)) WINDOW f AS (PARTITION BY symbol ORDER BY idx ROWS 59 PRECEDING), g AS (PARTITION BY symbol ORDER BY idx ROWS 19 PRECEDING))"
+
+
+@query(f"{PARTS}, {greedy_sql('vo', 'volume', 60)}, st AS ({_STATIC('ip', 'clock')} UNION ALL {_STATIC('vo', 'volume')}), c AS (SELECT gauge, label, count(*) AS n FROM st WHERE label >= 0 GROUP BY ALL) SELECT gauge, label, n, round(n / sum(n) OVER (PARTITION BY gauge), 6) AS share FROM c")
 def clock_populations(spark, sf):
     """How many bars each state has, by clock."""
     from ..operators.detectors import static
