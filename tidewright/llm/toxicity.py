@@ -206,8 +206,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
     texts = materialize(texts.repartition(F.xxhash64("text")), "labelled")
     sizes = {r["y"]: r["n"] for r in texts.groupBy("y").agg(F.count("*").alias("n")).collect()}
     nt, nn = sizes.get(1, 0), sizes.get(0, 0)
-    if not nt or not nn:
-        return ToxicityModel(curve=(math.log(max(nt, 1e-9) / max(nn, 1e-9)), 0.0, 0.0))
+    if not nt or not nn:  # labels of texts that aren't there: their share is all that is known
+        return ToxicityModel(curve=(math.log(n[1] / n[0]), 0.0, 0.0))
     terms = materialize(_count_by_label(texts, "term", _term_finder).filter(F.col("a") >= least), "terms")
     chance = math.log(terms.count() + 2) + 2
     good = terms.filter(_stands_out("a", nt, "b", nn, ratio, chance)).orderBy("term").collect()
