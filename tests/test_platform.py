@@ -179,6 +179,18 @@ def test_a_user_s_statistic_and_strategy_by_path(spark, tmp_path):
         catalog.found(spark, "other.py", str(tmp_path))
 
 
+def test_held_out_years_open_by_flag_and_marker(spark, tmp_path):
+    b = spark.createDataFrame([("A", 1_600_000_000_000), ("A", 1_700_000_000_000)], "symbol string, ts long")
+    marker = tmp_path / "opened"
+    for permitted in (False, True):
+        with pytest.raises(PermissionError):
+            clean.open_holdout(b, 2023, permitted, str(marker))
+    marker.write_text("")
+    with pytest.raises(PermissionError):
+        clean.open_holdout(b, 2023, False, str(marker))
+    assert [r["ts"] for r in clean.open_holdout(b, 2023, True, str(marker)).collect()] == [1_700_000_000_000]
+
+
 # replay
 
 

@@ -90,3 +90,13 @@ def holdout(bars: DataFrame, year: int) -> DataFrame:
     held = F.year(F.timestamp_millis("ts")) if "year" not in bars.columns else F.col("year")
     g = bars.groupBy("symbol").agg(F.sum((held < year).cast("long")).alias("n_in"), F.sum((held >= year).cast("long")).alias("n_held"))
     return g.withColumns({"clean": F.col("n_held") == 0, "partial": (F.col("n_held") > 0) & (F.col("n_in") > 0)})
+
+
+def open_holdout(bars: DataFrame, year: int, permitted: bool, marker: str) -> DataFrame:
+    """bars of the held-out years, if the caller says that they are permitted and the marker file, which says so for good, is
+    there; else a PermissionError."""
+    spark = bars.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(marker)
+    if not permitted or not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        raise PermissionError(f"the held-out years are closed: permitted is {permitted}, marker {marker}")
+    return bars.filter(F.year(F.timestamp_millis("ts")) >= year)

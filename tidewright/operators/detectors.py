@@ -23,9 +23,13 @@ def volatility_ratio(bars: DataFrame, fast: int = 20, slow: int = 100) -> DataFr
     """bars with ratio: realised volatility over fast bars to that over slow ones, null where the latter is 0."""
     if not 1 <= fast < slow:
         raise ValueError("1 <= fast < slow")
-    b = bars.withColumn("__r", W.log_return())
-    b = b.withColumns({"__f": W.rms(F.col("__r"), fast), "__s": W.rms(F.col("__r"), slow)})
-    return b.withColumn("ratio", F.when(F.col("__s") > 0, F.col("__f") / F.col("__s"))).drop("__r", "__f", "__s")
+
+    def make(b):
+        b = b.withColumn("__r", W.log_return())
+        b = b.withColumns({"__f": W.rms(F.col("__r"), fast), "__s": W.rms(F.col("__r"), slow)})
+        return b.withColumn("ratio", F.when(F.col("__s") > 0, F.col("__f") / F.col("__s"))).drop("__r", "__f", "__s")
+
+    return W.over_chunks(bars, slow + 1, make)
 
 
 def by_threshold(value: Column, low: Column | float, high: Column | float) -> Column:
@@ -54,7 +58,7 @@ def rolling_states(bars: DataFrame, vol: int = 60, w: int = 43_200, low: float =
     """The primary detector: realised volatility against its trailing quantiles over a full window; edges names columns for
     those."""
     lo, hi = edges or ("__lo", "__hi")
-    b = W.rolling_quantile(W.realized_vol(bars, vol), "rv", w, {lo: low, hi: high})
+    b = W.rolling_quantile(W.over_chunks(bars, vol + 1, lambda b: W.realized_vol(b, vol)), "rv", w, {lo: low, hi: high})
     b = b.withColumn("label", by_threshold(F.col("rv"), F.col(lo), F.col(hi)))
     return b if edges else b.drop(lo, hi)
 

@@ -135,3 +135,32 @@ def disposition(reports: DataFrame, high: float = 0.6, low: float = 0.2) -> Data
     """One verdict on all tasks of a run, as benchmark.classification() gives it."""
     status = reports.select(F.explode(F.map_values("detectors")).alias("d")).select("d.status")
     return B.classification(status, reports.select(F.explode(F.map_values("pairs")).alias("p")).select("p.nmi"), high, low)
+
+
+SPAN = "struct<start:string,end:string,n_bars:bigint,first_ts:bigint,last_ts:bigint,holdout_loaded:boolean,partial_holdout:boolean>"
+CELL = "struct<q:int,n:bigint,median_dev:double,median_z:double,p:double,p_holm:double,fires:boolean>"
+
+
+def spans(bars: DataFrame, holdout_year: int) -> DataFrame:
+    """symbol and span: first and last day, bars, and whether bars of the held-out years are among them, alone or not."""
+    day = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd")
+    g = bars.groupBy("symbol").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n_bars"), F.bool_or(F.col("year") >= holdout_year).alias("held"), F.bool_or(F.col("year") < holdout_year).alias("before"))
+    s = F.struct(day("first_ts").alias("start"), day("last_ts").alias("end"), "n_bars", "first_ts", "last_ts", F.col("held").alias("holdout_loaded"), (F.col("held") & F.col("before")).alias("partial_holdout"))
+    return g.select("symbol", s.cast(SPAN).alias("span"))
+
+
+def replication(bars: DataFrame, w: int = 120, horizons=(2, 5, 15, 60), primary: int = 5, holdout_year: int = 2026, alpha: float = 0.05) -> DataFrame:
+    """One nested row for each symbol: span, cells by horizon, primary (its cell, or the first that there is), and fired: whether
+    a cell whose median z is positive is rejected by Holm's procedure. bars: symbol, idx, ts, close, year."""
+    from ..functions.columns import two_sided_p
+    from .measures import holm
+    from .variance_ratio import significance, strided
+
+    s = significance(strided(bars, w, horizons), "symbol").withColumn("p", two_sided_p(F.col("median_z")))
+    s = holm(s, "p", "symbol", family=len(horizons)).withColumn("fires", (F.col("p_holm") < alpha) & (F.col("median_z") > 0))
+    cell = F.struct("q", "n", "median_dev", "median_z", "p", "p_holm", "fires").cast(CELL)
+    g = s.groupBy("symbol").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+    own = F.filter("cells", lambda c: c["q"] == primary)
+    chosen = F.coalesce(F.get(own, F.lit(0)), F.get("cells", F.lit(0)))
+    fired = F.exists(F.coalesce("cells", F.array().cast(f"array<{CELL}>")), lambda c: c["fires"])
+    return spans(bars, holdout_year).join(g, "symbol", "left").select("symbol", "span", "cells", chosen.alias("primary"), fired.alias("fired"))

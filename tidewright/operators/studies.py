@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.bars import by_symbol
-from .windows import rank_average
+from .windows import CHUNK, drawdowns, rank_average
 
 DAY = 86_400_000
 
@@ -105,8 +105,8 @@ def performance(equity: DataFrame, capital: float, years: float, per_year: float
         F.count("r").alias("n"), F.avg("r").alias("m"), F.stddev_samp("r").alias("sd"), F.stddev_samp(F.when(F.col("r") < 0, F.col("r"))).alias("down"),
         F.avg("e").alias("em"), F.stddev_pop("e").alias("es"), F.max_by("last", "day").alias("end"),
     )
-    peak = F.max("equity").over(by_symbol("ts").rowsBetween(Window.unboundedPreceding, 0))
-    dd = equity.withColumn("__d", F.when(peak > 0, (peak - F.col("equity")) / peak).otherwise(0.0)).groupBy("symbol").agg(F.max("__d").alias("max_drawdown"))
+    fall = drawdowns(equity.select("symbol", F.col("ts").alias("idx"), "equity"), "equity", CHUNK * 60_000)
+    dd = fall.groupBy("symbol").agg(F.max("drawdown").alias("max_drawdown"))
     ratio = lambda m, sd: F.when(F.col(sd) > 0, F.sqrt(F.lit(per_year)) * F.col(m) / F.col(sd)).otherwise(0.0)
     total = F.col("end") / capital - 1
     out = s.join(dd, "symbol").withColumn("total_return", total)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import detectors as D, reports as R, windows as W
-from ..sources.bars import panel
+from ..functions.columns import two_sided_p_sql
+from ..operators import detectors as D, reports as R, variance_ratio as VR, windows as W
+from ..sources.bars import PANEL_SQL, panel
 from ..sources.shared import materialize
 from .benchmark import FORWARD, NAMES, THREE, three
 from .common import query, rounded
@@ -47,3 +48,15 @@ def detector_report(spark, sf):
     stays = F.aggregate(F.sequence(F.lit(0), F.size("d.transitions") - 1), F.lit(0).cast("long"), lambda a, k: a + F.get(F.get("d.transitions", k), k))
     flat = r.select("task", "detector", "d.n", state(0).alias("n_0"), state(1).alias("n_1"), F.get(F.get("d.transitions", F.lit(0)), F.lit(1)).alias("up"), stays.alias("stays"), sums("runs", lambda a, x: a + x).alias("runs"), sums("longest", F.greatest).alias("longest"), "d.information.mi", "d.information.lo", "d.information.hi", "d.information.net_bps")
     return rounded(rounded(flat, "mi", "lo", "hi", digits=7), "net_bps", digits=3)
+
+
+@query(f"""WITH {PANEL_SQL}, {VR.vr_sql(60, (2, 5, 15))}, sp AS (SELECT symbol, min(ts) AS a, max(ts) AS b, count(*) AS n_bars, bool_or(year >= 1998) AS held, bool_or(year < 1998) AS early FROM panel GROUP BY symbol),
+md AS (SELECT symbol, q, count(*) AS n, median(abs(vr_dev)) AS m, median(z) AS mz FROM vr GROUP BY ALL), pv AS (SELECT *, {two_sided_p_sql('mz')} AS p FROM md), hk AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY p, q) AS k FROM pv),
+hm AS (SELECT *, least(1, max(p * (4 - k)) OVER (PARTITION BY symbol ORDER BY k)) AS p_holm FROM hk), fi AS (SELECT symbol, bool_or(p_holm < 0.05 AND mz > 0) AS fired FROM hm GROUP BY symbol)
+SELECT sp.symbol, strftime(make_timestamp(a * 1000), '%Y-%m-%d') AS start, strftime(make_timestamp(b * 1000), '%Y-%m-%d') AS "end", n_bars, held AND early AS partial_holdout, h.n AS n_windows, round(h.m, 6) AS median_dev, round(h.mz, 6) AS median_z, round(h.p_holm, 6) AS p_holm, coalesce(fired, false) AS fired
+FROM sp LEFT JOIN fi USING (symbol) LEFT JOIN hm h ON h.symbol = sp.symbol AND h.q = 5""")
+def replication_report(spark, sf):
+    """The study on each instrument by itself: span, primary cell and whether the cascade fires."""
+    r = R.replication(panel(spark, sf), 60, (2, 5, 15), 5, 1998)
+    flat = r.select("symbol", "span.start", "span.end", "span.n_bars", "span.partial_holdout", F.col("primary.n").alias("n_windows"), "primary.median_dev", "primary.median_z", "primary.p_holm", "fired")
+    return rounded(flat, "median_dev", "median_z", "p_holm")
