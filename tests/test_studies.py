@@ -568,3 +568,24 @@ def test_store(spark, tmp_path):
         load_bars(spark, str(tmp_path / "bad"), "S", T0, T0 + year).collect()
     with pytest.raises(Exception, match="out of order"):
         assert_ordered(series(spark, [1, 2]).withColumn("ts", -F.col("ts"))).collect()
+
+
+def test_slope_of_change_is_refitted(spark):
+    from tidewright.operators import nulls
+    from tidewright.plans.simulation import _slope
+
+    rng = np.random.default_rng(3)
+    rows = [("S", i, float(a == 1), float(a == 2), float(c), float(1 + 0.5 * (a == 1) - 0.25 * c + rng.normal(0, 0.1))) for i, (a, c) in enumerate(zip(rng.integers(0, 3, 200), rng.integers(0, 2, 200)))]
+    d = spark.createDataFrame(rows, "symbol string, idx long, x1 double, x2 double, change double, y double")
+    r = nulls.bootstrap(d, ["y", "x1", "x2", "change"], _slope, block=5, reps=200).first()
+    x = np.array([[1.0, *t[2:5]] for t in rows])
+    assert r["point"] == pytest.approx(np.linalg.lstsq(x, np.array([t[5] for t in rows]), rcond=None)[0][3], abs=1e-9)
+    assert r["lo"] < r["point"] < r["hi"] and abs(r["point"] + 0.25) < 0.05 and 0.02 < r["hi"] - r["lo"] < 0.1
+
+
+def test_five_detectors_by_name(spark, walk):
+    from tidewright.operators import detectors
+
+    assert sorted(detectors.DETECTORS) == ["dynamic", "markov", "rolling_quantile", "static", "variance_ratio"]
+    d = detectors.detect("markov", series(spark, walk), vol=10, states=2, starts=2, steps=20)
+    assert {r["label"] for r in d.select("label").distinct().collect()} <= {-1, 0, 1}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import windows as W
+from . import markov, windows as W
 from .measures import exact_quantiles
 from .variance_ratio import rolling
 
@@ -87,7 +87,7 @@ def most_likely(probabilities: Column) -> Column:
 
 
 #: Detectors by name; DETECTORS[name](bars, **settings) has symbol, idx and label.
-DETECTORS: dict[str, Callable[..., DataFrame]] = {"rolling_quantile": rolling_states, "static": static, "dynamic": dynamic, "variance_ratio": variance_ratio_states}
+DETECTORS: dict[str, Callable[..., DataFrame]] = {"rolling_quantile": rolling_states, "static": static, "dynamic": dynamic, "variance_ratio": variance_ratio_states, "markov": markov.states}
 
 
 def detect(name: str, bars: DataFrame, **settings) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import information as I, injection as J, markov, nulls as N, signals as G, strategy as T, variance_ratio as VR, windows as W
+from ..operators import information as I, injection as J, markov, nulls as N, regress, signals as G, strategy as T, variance_ratio as VR, windows as W
 from ..sources.bars import MINUTE, PANEL_SQL, event_bars, panel
 from .common import query, rounded
 from .studies import returns
@@ -102,6 +102,23 @@ def bootstrap_information(spark, sf):
     return rounded(N.bootstrap(p, ["a", "b"], _sign_information, method="moving-block"), "point", "lo", "hi")
 
 
+def _slope(y, x1, x2, change):
+    """Coefficient of change in the least-squares fit of y on it and the states."""
+    import numpy as np
+
+    design = np.stack([np.ones(len(y)), x1, x2, change], 1)
+    return float(np.linalg.lstsq(design, y, rcond=None)[0][3])
+
+
+@query()
+def bootstrap_slope(spark, sf):
+    """Interval of what a change of state adds to volatility, refitted on every resample of rows."""
+    from .features import labels
+
+    d = regress.design(labels(spark, sf), "label", "rv", 20).select("symbol", "idx", "y", "x1", "x2", F.col("x5").alias("change"))
+    return rounded(N.bootstrap(d, ["y", "x1", "x2", "change"], _slope, block=4), "point", "lo", "hi")
+
+
 @query()
 def persistence_test(spark, sf):
     """Distance to the arcsine law against its block bootstrap: p is the plain share of replicates at least as far."""

@@ -6,6 +6,8 @@ high, low, close and volume. Undefined numbers are null.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,9 +54,10 @@ def upsert_bars(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def upsert_store(spark: SparkSession, path: str, new: DataFrame) -> None:
     """Adds bars to a store: years that new touches are read, merged and overwritten, no others. The merged years are written
-    beside the store first, as a table can't be overwritten while it is read."""
+    beside the store first, as a table can't be overwritten while it is read. A store that has several writers, or readers
+    meanwhile, is to be one of versions (versioned.upsert)."""
     new = new.select("symbol", year_of("ts").alias("year"), "ts", *OHLCV)
-    staging = path.rstrip("/") + "-staging"
+    staging = f"{path.rstrip('/')}-staging-{uuid.uuid4().hex}"
     old = spark.read.parquet(path)
     new = new.select(*[F.col(c).cast(old.schema[c].dataType).alias(c) for c in new.columns])
     merged = upsert_bars(old.join(new.select("symbol", "year").distinct(), ["symbol", "year"], "left_semi").select(new.columns), new)
