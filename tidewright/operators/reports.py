@@ -42,7 +42,10 @@ def information_intervals(long: DataFrame, cost_bps: float, reps: int = 500, per
     cells = materialize(good.groupBy("detector", "symbol", "label", F.signum("fwd").cast("int").alias("sign")).agg(F.count("*").alias("c")), "cells")
     whole = cells.groupBy("detector", "label", "sign").agg(F.sum("c").alias("c"))
     point = table_information(whole, "c", "detector")
-    drawn = cells.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("m", F.col("c") * poisson_weight("symbol", "rep"))
+    # a weight is drawn once a symbol and replicate, for all its cells
+    units = cells.groupBy("symbol").agg(F.collect_list(F.struct("detector", "label", "sign", "c")).alias("own"))
+    units = units.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("w", poisson_weight("symbol", "rep")).filter("w > 0")
+    drawn = units.select("rep", "w", F.explode("own").alias("x")).select("x.detector", "rep", "x.label", "x.sign", (F.col("x.c") * F.col("w")).alias("m"))
     boot = table_information(drawn.groupBy("detector", "rep", "label", "sign").agg(F.sum("m").alias("m")), "m", "detector", "rep")
     ends = boot.groupBy("detector").agg(F.percentile("mi", F.lit(alpha / 2)).alias("lo"), F.percentile("mi", F.lit(1 - alpha / 2)).alias("hi"))
     shares = 20
