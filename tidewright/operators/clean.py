@@ -56,8 +56,8 @@ def gap_fill(bars: DataFrame, step: int = MINUTE, max_gap: int = 10 * MINUTE, un
     silent = F.lit(step) if until is None else F.when(until - F.col("ts") > max_gap, until - F.col("ts")).otherwise(step)
     b = with_next(bars).withColumn("gap", F.coalesce(F.col("next_ts") - F.col("ts"), silent))
     gap = F.col("gap")
-    n = F.when(gap > step, F.floor(gap / step) - 1).otherwise(F.lit(0)).cast("int")
-    b = b.select("symbol", "ts", *OHLCV, "gap", F.explode(F.sequence(F.lit(0), n)).alias("k"))
+    n = F.when(gap > step, F.floor(gap / step) - 1).otherwise(F.lit(0)).cast("long")
+    b = b.select("symbol", "ts", *OHLCV, "gap", F.explode(F.sequence(F.lit(0).cast("long"), n)).alias("k"))
     own = F.col("k") == 0
     flat = lambda c: F.when(own, F.col(c)).otherwise(F.col("close")).alias(c)
     return b.select("symbol", (F.col("ts") + F.col("k") * step).alias("ts"), *[flat(c) for c in OHLCV[:4]], F.when(own, F.col("volume")).otherwise(0.0).alias("volume"), (~own & (F.col("gap") > max_gap)).alias("trading_disabled"))

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.bars import OHLCV, by_symbol
+from ..sources.bars import OHLCV, by_symbol, slot
 from .greedy import greedy_events
 
 
 def resample(bars: DataFrame, freq_ms: int) -> DataFrame:
     """Bars of freq_ms: first, max, min, last, sum; ts is the bucket's start; partial edges stay."""
-    b = bars.withColumn("b", F.floor(F.col("ts") / freq_ms) * freq_ms)
+    b = bars.withColumn("b", slot("ts", freq_ms) * freq_ms)
     return b.groupBy("symbol", "b").agg(F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").alias("volume")).withColumnRenamed("b", "ts")
 
 
