@@ -110,6 +110,14 @@ def significance(vr: DataFrame, *by: str, closed: float = 0.001) -> DataFrame:
     return s.withColumn("closed", F.col("median_dev") < closed)
 
 
+def departure(vr: DataFrame, name: str, *by: str) -> DataFrame:
+    """By q (and by, a few values): windows, and the median |VR - 1|, found without gathering them."""
+    from .measures import exact_quantiles
+
+    v = vr.filter("vr_dev IS NOT NULL").select(*by, F.col("q").cast("long").alias("q"), F.abs("vr_dev").alias("x"))
+    return exact_quantiles(materialize(v, "windows"), F.col("x"), {name: 0.5}, *by, "q")
+
+
 def vr_sql(w: int, horizons, source: str = "panel") -> str:
     """The same windows in DuckDB, as CTE vr."""
     qs = ", ".join(map(str, horizons))

@@ -179,8 +179,7 @@ ROLLED = f"""WITH {PANEL_SQL}, shifted AS (SELECT symbol * 100 + k AS symbol, id
 @query(ROLLED + " SELECT q::BIGINT AS q, count(*) AS n, round(median(abs(vr_dev)), 6) AS median_dev FROM vr GROUP BY q")
 def vr_profile(spark, sf):
     """Median |VR - 1| by horizon over the window that ends at every bar."""
-    v = VR.rolling(panel(spark, sf), 60, (2, 5)).filter("vr_dev IS NOT NULL")
-    return rounded(v.groupBy(F.col("q").cast("long").alias("q")).agg(F.count("*").alias("n"), F.percentile(F.abs("vr_dev"), F.lit(0.5)).alias("median_dev")), "median_dev")
+    return rounded(VR.departure(VR.rolling(panel(spark, sf), 60, (2, 5)), "median_dev"), "median_dev")
 
 
 @query(QUANT + f", {VR.vr_sql(60, (2, 5, 15))}" + """, ch AS (SELECT *, CASE WHEN label IS DISTINCT FROM lag(label) OVER (PARTITION BY symbol ORDER BY idx) THEN 1 ELSE 0 END AS c FROM l), ru AS (SELECT *, sum(c) OVER (PARTITION BY symbol ORDER BY idx) AS run FROM ch),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import two_sided_p, two_sided_p_sql
 from ..operators import joins, measures as M, variance_ratio as VR, windows as W
 from ..sources.bars import MINUTE, PANEL_SQL, by_symbol, event_bars, event_bars_sql, label_pair, panel
+from ..sources.shared import materialize
 from .common import query, rounded
 from .features import QUANT, RET, labels
 
@@ -89,7 +90,10 @@ def mutual_information(spark, sf):
 SELECT label, count(*) AS n, round(avg(fwd), 6) AS mean, round(median(fwd), 6) AS median, round(stddev_samp(fwd), 6) AS std, round(quantile_cont(fwd, 0.25), 6) AS q25, round(quantile_cont(fwd, 0.75), 6) AS q75 FROM f WHERE label >= 0 AND fwd IS NOT NULL GROUP BY label""")
 def conditional_returns(spark, sf):
     d = labels(spark, sf).withColumn("fwd", W.forward_return(5)).filter("label >= 0 AND fwd IS NOT NULL")
-    return rounded(d.groupBy("label").agg(F.count("*").alias("n"), F.avg("fwd").alias("mean"), F.percentile("fwd", F.lit(0.5)).alias("median"), F.stddev_samp("fwd").alias("std"), F.percentile("fwd", F.lit(0.25)).alias("q25"), F.percentile("fwd", F.lit(0.75)).alias("q75")), "mean", "median", "std", "q25", "q75")
+    d = materialize(d.select("label", "fwd"), "returns")  # quantiles read it several times
+    q = M.exact_quantiles(d, F.col("fwd"), {"median": 0.5, "q25": 0.25, "q75": 0.75}, "label").drop("n")
+    m = d.groupBy("label").agg(F.count("*").alias("n"), F.avg("fwd").alias("mean"), F.stddev_samp("fwd").alias("std"))
+    return rounded(m.join(q, "label").select("label", "n", "mean", "median", "std", "q25", "q75"), "mean", "median", "std", "q25", "q75")
 
 
 @query(QUANT + """, k AS (SELECT symbol, label, rv, 0 AS g FROM l WHERE label >= 0 AND idx >= 59 AND (idx - 59) % 60 = 0 AND rv IS NOT NULL), rk0 AS (SELECT *, rank() OVER (ORDER BY rv) + (count(*) OVER (PARTITION BY rv) - 1) / 2 AS rk, count(*) OVER () AS n FROM k),
