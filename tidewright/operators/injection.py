@@ -68,6 +68,39 @@ def calibrate(spark: SparkSession, phis, n: int = 500_000, w: int = 120, horizon
     return cells.mapInPandas(run, "phi double, q int, delta double")
 
 
+def calibrate_on(df: DataFrame, value: str, phis, w: int = 120, horizons=(2, 5, 15, 60), sigma: float = 1e-3, seed: int = 43, chunk: int = 16_384) -> DataFrame:
+    """As calibrate(), on the values of series: in a random order and with random signs they have no structure but their
+    sizes, which are scaled to a deviation of sigma, where phi is injected. symbol, phi, q, vr_dev, a row a window; a task holds a chunk of a
+    series, all phi of which share base and noise."""
+    kind = df.schema["symbol"].dataType.simpleString()
+    rows = df.filter(F.col(value).isNotNull()).groupBy("symbol", F.floor(F.col("idx") / chunk).alias("part")).agg(F.array_sort(F.collect_list(F.struct("idx", value))).alias("c"))
+
+    def run(batches):
+        import zlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            for row in range(b.num_rows):
+                symbol, part = b.column(0)[row].as_py(), b.column(1)[row].as_py()
+                key = [seed, zlib.crc32(str(symbol).encode()), part]
+                rng = np.random.default_rng(key)
+                x = rng.permutation(np.abs(b.column(2)[row].values.to_numpy(zero_copy_only=False))) * rng.choice([-1.0, 1.0], len(b.column(2)[row]))
+                k, out = len(x) // w, []
+                if not k or not x.std():
+                    continue
+                x *= sigma / x.std()
+                for phi in phis:
+                    close = np.exp(np.cumsum(inject(x, float(phi), [*key, 1], np.full(len(x), sigma))))[: k * w].reshape(-1, w)
+                    out += [(float(phi), q, kernel(close, q)[0]) for q in horizons]
+                v = np.concatenate([o[2] for o in out])
+                each = lambda i: np.repeat([o[i] for o in out], k)
+                yield pa.RecordBatch.from_arrays([pa.array([symbol] * len(v), b.column(0).type), pa.array(each(0)), pa.array(each(1).astype(np.int32)), pa.array(v, from_pandas=True)], ["symbol", "phi", "q", "vr_dev"])
+
+    return rows.select("symbol", "part", F.col(f"c.{value}").alias("x")).mapInArrow(run, f"symbol {kind}, phi double, q int, vr_dev double")
+
+
 def invert(delta: float, points: list[tuple[float, float]]) -> float:
     """phi for a departure, from (phi, delta) points: a monotone cubic through those that rise; below the first a line from
     the origin, above the last in proportion, at most 0.99."""
