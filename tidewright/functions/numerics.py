@@ -146,3 +146,24 @@ def pchip(xs: list[float], ys: list[float]):
         return ys[k] * (1 + 2 * t) * (1 - t) ** 2 + d[k] * h[k] * t * (1 - t) ** 2 + ys[k + 1] * t * t * (3 - 2 * t) + d[k + 1] * h[k] * t * t * (t - 1)
 
     return at
+
+
+def recurrence(a: float):
+    """A function of x and first: y_0 = first, y_t = a * y_{t-1} + x_t, by blocks of powers small enough not to vanish."""
+    import numpy as np
+
+    size = 256 if a == 0 or abs(a) > 0.2 else 64
+    p = a ** np.arange(size + 1)
+    lower = np.tril(p[np.subtract.outer(np.arange(size), np.arange(size)).clip(0)])
+
+    def solve(x, first: float):
+        y, last = np.empty(len(x)), first
+        y[0] = first
+        for s in range(1, len(x), size):
+            b = x[s : s + size]
+            m = len(b)
+            y[s : s + m] = lower[:m, :m] @ b + p[1 : m + 1] * last
+            last = y[s + m - 1]
+        return y
+
+    return solve

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .windows import CHUNK
+from .windows import CHUNK, over_groups
 
 #: A sum counts as having reached the step if only rounding is missing.
 ROUNDING = 1e-12
@@ -43,11 +43,11 @@ def chain(place, goal: float, step: float) -> list[int]:
     """Rows of a chunk's events."""
     import numpy as np
 
-    out = []
-    at = int(np.searchsorted(place, goal))
-    while at < len(place):
+    out, at, m = [], int(np.searchsorted(place, goal)), len(place)
+    after = np.searchsorted(place, place + step * (1 - ROUNDING)).tolist()
+    while at < m:
         out.append(at)
-        at = int(np.searchsorted(place, place[at] + step * (1 - ROUNDING)))
+        at = after[at]
     return out
 
 
@@ -59,16 +59,18 @@ def greedy_events(rows: DataFrame, step: float, amount: str | None = None, size:
     value = F.col(amount).cast("double") if amount else (F.col("idx") - F.col("__k") * size).cast("double")
     kind = rows.schema["symbol"].dataType.simpleString()
 
-    def places(pdf):
-        v = pdf["__v"].to_numpy(float)
+    def places(v):
         return v.cumsum() if amount else v
 
-    def table(pdf):
-        import pandas as pd
+    def table(t, bounds):
+        import numpy as np
 
-        place = places(pdf.sort_values("idx"))
-        upto, end, n = chain_table(place, step)
-        return pd.DataFrame([(pdf["symbol"].iloc[0], int(pdf["__k"].iloc[0]), float(place[-1]) if amount else float(size), upto, end, n)], columns=["symbol", "__k", "span", "upto", "end", "n"])
+        v, rows = t["__v"].to_numpy(), []
+        for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            place = places(v[a:z])
+            rows.append((float(place[-1]) if amount else float(size), *chain_table(place, step)))
+        first = t.take(np.asarray(bounds[:-1]))
+        return {"symbol": first["symbol"], "__k": first["__k"]} | {n: [r[j] for r in rows] for j, n in enumerate(("span", "upto", "end", "n"))}
 
     def compose(batches):
         """Chunks come in order of symbol and number; all that is carried is a goal and a count."""
@@ -93,18 +95,20 @@ def greedy_events(rows: DataFrame, step: float, amount: str | None = None, size:
                 k = number
             yield pd.DataFrame(out, columns=["symbol", "__k", "__goal", "__count"])
 
-    def mark(pdf):
+    def mark(t, bounds):
         import numpy as np
 
-        pdf = pdf.sort_values("idx")
-        event = np.zeros(len(pdf), bool)
-        event[chain(places(pdf), float(pdf["__goal"].iloc[0]), step)] = True
-        before = int(pdf["__count"].iloc[0]) + np.cumsum(event) - event
-        return pdf.assign(event=event, before=before).drop(columns=["__k", "__v", "__goal", "__count"])
+        v, goal, count = t["__v"].to_numpy(), t["__goal"].to_numpy(), t["__count"].to_numpy()
+        event, before = np.zeros(len(v), bool), np.empty(len(v), np.int64)
+        for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            event[a:z][chain(places(v[a:z]), float(goal[a]), step)] = True
+            before[a:z] = count[a] + np.cumsum(event[a:z]) - event[a:z]
+        return {c: t[c] for c in names} | {"event": event, "before": before}
 
+    names = rows.columns
     b = b.withColumn("__v", value)
-    tables = b.select("symbol", "idx", "__k", "__v").groupBy("symbol", "__k").applyInPandas(table, f"symbol {kind}, __k long, span double, upto array<double>, end array<double>, n array<long>")
+    tables = over_groups(b.select("symbol", "idx", "__k", "__v"), ["symbol", "__k"], table, f"symbol {kind}, __k long, span double, upto array<double>, end array<double>, n array<long>")
     ordered = tables.withColumnRenamed("__k", "chunk").repartition("symbol").sortWithinPartitions("symbol", "chunk")
     entry = ordered.mapInPandas(compose, f"symbol {kind}, __k long, __goal double, __count long")
     schema = T.StructType([*rows.schema.fields, T.StructField("event", T.BooleanType()), T.StructField("before", T.LongType())])
-    return b.join(entry, ["symbol", "__k"]).groupBy("symbol", "__k").applyInPandas(mark, schema)
+    return over_groups(b.join(entry, ["symbol", "__k"]), ["symbol", "__k"], mark, schema)

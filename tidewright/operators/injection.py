@@ -5,27 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.numerics import pchip
+from ..functions.numerics import pchip, recurrence
 from .measures import CRITICAL
 from .nulls import median_z
 from .variance_ratio import kernel
 
 
 def linear_recurrence(x, a: float, first: float):
-    """y_0 = first, y_t = a * y_{t-1} + x_t, by blocks of powers small enough not to vanish."""
-    import numpy as np
-
-    y, last = np.empty(len(x)), first
-    size = 256 if a == 0 or abs(a) > 0.2 else 64
-    p = a ** np.arange(size + 1)
-    lower = np.tril(p[np.subtract.outer(np.arange(size), np.arange(size)).clip(0)])
-    y[0] = first
-    for s in range(1, len(x), size):
-        b = x[s : s + size]
-        m = len(b)
-        y[s : s + m] = lower[:m, :m] @ b + p[1 : m + 1] * last
-        last = y[s + m - 1]
-    return y
+    """y_0 = first, y_t = a * y_{t-1} + x_t."""
+    return recurrence(a)(x, first)
 
 
 def ewma_sigma(returns, decay: float = 0.94):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..sources.shared import materialize
-from .windows import CHUNK
+from .windows import CHUNK, over_groups
 
 
 def value_edges(df: DataFrame, value: str, *by: str, size: int | None = None) -> DataFrame:
@@ -52,6 +52,33 @@ def expanding_quantile(bars: DataFrame, column: str, least: int, qs: dict[str, f
     those counts and knows for each quantile which part holds it, and the how-manieth of the part it is. Parts are answered by
     (symbol, part, chunk): the part's values up to the chunk, in order, grow by the chunk's own as the questions come."""
     size = size or CHUNK
+    names = list(qs)
+    columns = bars.columns
+    every = bars.withColumn("__long", F.max("idx").over(Window.partitionBy("symbol")) >= size)
+    schema = T.StructType([*bars.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
+
+    def short(t, bounds):
+        """Series of one chunk, each walked by itself."""
+        import numpy as np
+        import pandas as pd
+
+        x = np.asarray(t[column].cast("double").to_numpy(), float)
+        out = {n: np.full(len(x), np.nan) for n in names}
+        for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            e = pd.Series(x[a:z]).expanding(max(least, 1))
+            for n, q in qs.items():
+                out[n][a:z] = e.quantile(q).to_numpy()
+        return {c: t[c] for c in columns} | out
+
+    most = bars.agg(F.max("idx")).first()[0]
+    if most is None or most < size:
+        return over_groups(bars, ["symbol"], short, schema)
+    done = over_groups(every.filter("NOT __long").drop("__long"), ["symbol"], short, schema)
+    return done.unionByName(_long_quantile(every.filter("__long").drop("__long"), column, least, qs, size))
+
+
+def _long_quantile(bars: DataFrame, column: str, least: int, qs: dict[str, float], size: int) -> DataFrame:
+    """expanding_quantile of series of more than a chunk."""
     kind = bars.schema["symbol"].dataType.simpleString()
     names = list(qs)
     b = bars.withColumn("__k", F.floor(F.col("idx") / size))
