@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.neighbours import gaussian_pairs, ksg
 from ..sources.bars import by_symbol
+from .windows import over_groups
 
 MOST_PAIRS = 50_000
 
@@ -102,3 +103,35 @@ def estimator_bias(spark: SparkSession, sizes=(500, 2000), truths=(0.0, 0.05, 0.
             yield pd.DataFrame({"n": b["n"], "truth": b["truth"], "v": v})
 
     return rows.mapInPandas(run, "n int, truth double, v double").groupBy("n", "truth").agg((F.avg("v") - F.col("truth")).alias("bias"), F.stddev_samp("v").alias("se"))
+
+
+def estimator_bias_on(df: DataFrame, value: str, sizes=(500, 2000), truths=(0.0, 0.05, 0.2), k: int = 5, seed: int = 43) -> DataFrame:
+    """As estimator_bias(), on the values of series, each of which takes part once a size: rows of any series are dealt by hash to draws of
+    about size pairs (a table of fewer rows is one draw), in whose order values have no structure; a half's values give normal scores
+    by rank, so that the truth holds, and the halves are mixed to each truth."""
+    d = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(F.xxhash64(F.lit(seed), "symbol", "idx").alias("h"), F.col(value).alias("v"))
+    total = d.count()
+    deal = F.array(*[F.struct(F.lit(n).alias("n"), F.pmod(F.xxhash64("h"), F.lit(max(1, total // (2 * n)))).alias("draw")) for n in sizes])
+    rows = d.select("h", "v", F.explode(deal).alias("d")).select("d.*", "h", "v")
+
+    def run(t, bounds):
+        from statistics import NormalDist
+
+        import numpy as np
+
+        n, v, grids, out = t["n"].to_numpy(), t["v"].to_numpy(), {}, []
+        for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            m = (z - a) // 2
+            if m <= k:
+                continue
+            if m not in grids:
+                grids[m] = np.array([NormalDist().inv_cdf((i + 0.5) / m) for i in range(m)])
+            x, y = (grids[m][np.argsort(np.argsort(half, kind="stable"))] for half in (v[a : a + m], v[a + m : a + 2 * m]))
+            for truth in truths:
+                rho = np.sqrt(1 - np.exp(-2 * truth))
+                out.append((int(n[a]), float(truth), ksg(x, rho * x + np.sqrt(1 - rho * rho) * y, k)))
+        each = lambda j, kind: np.array([o[j] for o in out], kind)
+        return {"n": each(0, np.int32), "truth": each(1, float), "v": each(2, float)}
+
+    g = over_groups(rows, ["n", "draw"], run, "n int, truth double, v double", "h")
+    return g.groupBy("n", "truth").agg((F.avg("v") - F.col("truth")).alias("bias"), F.stddev_samp("v").alias("se"))
