@@ -80,7 +80,9 @@ def test_bootstrap_replicates(spark, lines):
 
 
 def test_power_draws_and_lengths(spark):
-    got = {r["phi"]: r for r in QUERIES["injection_power"](spark, None).collect()}
+    from tidewright.operators.resample import power_grid
+
+    got = {r["phi"]: r for r in power_grid(spark, (0.0, 0.3, 0.6)).collect()}
     assert {r["n"] for r in got.values()} == {200} and len(got) == 3
     fires = 0
     for draw in range(200):

@@ -110,3 +110,49 @@ def power_grid(spark: SparkSession, phis, n_mc: int = 200, n_bars: int = 50_000,
     bounds = {k: beta_interval(k, n_mc) for k in range(n_mc + 1)}
     table = spark.createDataFrame([(k, *v) for k, v in bounds.items()], "fires long, lo double, hi double")
     return d.join(table, "fires").select("phi", "n", "fires", (F.col("fires") / F.col("n")).alias("p_det"), "lo", "hi")
+
+
+def power_grid_on(df: DataFrame, value: str, phis, n_mc: int = 200, n_bars: int = 50_000, w: int = 120, sigma: float = 1e-3, horizons=(2, 5, 15, 60), seed: int = 43) -> DataFrame:
+    """As power_grid(), on the values of series: all rows are dealt by hash to n_mc draws of about n_bars; in a table of more rows the draws are
+    more, in one of fewer a row is dealt several times. In the order of hashes and with random signs values have no structure but their sizes,
+    which are scaled to a deviation of sigma: they are the innovations of the AR(1) path of each phi. A draw is a group, all phi of which share
+    its values."""
+    from ..functions.numerics import beta_interval, recurrence
+    from .windows import over_groups
+
+    d = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(F.xxhash64(F.lit(seed), "symbol", "idx").alias("h"), F.abs(value).alias("v"))
+    total = d.count()
+    draws = max(n_mc, total // n_bars)
+    copies = max(1, -(-draws * n_bars // max(1, total)))
+    d = d.withColumn("h", F.explode(F.transform(F.sequence(F.lit(0), F.lit(copies - 1)), lambda k: F.xxhash64("h", k))))
+    steps = [(float(p), recurrence(float(p))) for p in phis]
+
+    def run(t, bounds):
+        import numpy as np
+
+        v, draw, out = t["v"].to_numpy(), t["draw"].to_numpy(), []
+        for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            e = v[a:z] * np.random.default_rng([seed, int(draw[a])]).choice([-1.0, 1.0], z - a)
+            if z - a < w or not e.std():
+                continue
+            e *= sigma / e.std()
+            for phi, step in steps:
+                close = np.exp(np.cumsum(step(e, e[0])))[: (z - a) // w * w].reshape(-1, w)
+                m = sorted((float(np.nanmedian(kernel(close, q)[1])) for q in horizons), key=lambda x: -abs(x))
+                ok = False
+                for x, c in zip(m, CRITICAL):
+                    if abs(x) <= c:
+                        break
+                    ok |= x > 0
+                out.append((phi, ok))
+        return {"phi": np.array([o[0] for o in out], float), "fired": np.array([o[1] for o in out], bool)}
+
+    rows = d.select(F.pmod(F.xxhash64("h"), F.lit(draws)).alias("draw"), "h", "v")
+    g = over_groups(rows, ["draw"], run, "phi double, fired boolean", "h").groupBy("phi").agg(F.count("*").alias("n"), F.sum(F.col("fired").cast("long")).alias("fires"))
+
+    def bounds_of(batches):
+        for b in batches:
+            lo, hi = zip(*(beta_interval(int(k), int(n)) for k, n in zip(b["fires"], b["n"]))) if len(b) else ((), ())
+            yield b.assign(p_det=b["fires"] / b["n"], lo=lo, hi=hi)
+
+    return g.mapInPandas(bounds_of, "phi double, n long, fires long, p_det double, lo double, hi double")

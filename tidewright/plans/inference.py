@@ -212,9 +212,11 @@ def permutation_null(spark, sf):
 
 @query()
 def injection_power(spark, sf):
-    from ..operators.resample import power_grid
+    """Detection share of the cascade by phi, on paths made of the returns of all lines, whose structure is taken out."""
+    from ..operators.resample import power_grid_on
 
-    return power_grid(spark, (0.0, 0.3, 0.6))
+    b = panel(spark, sf).withColumn("r", W.log_return()).filter("idx > 0")
+    return power_grid_on(b, "r", (0.0, 0.3, 0.6))
 
 
 @query()
