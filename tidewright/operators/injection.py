@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numerics import pchip, recurrence
 from .measures import CRITICAL
-from .nulls import median_z
+from .nulls import medians_z
 from .variance_ratio import kernel
 
 
@@ -16,24 +16,25 @@ def linear_recurrence(x, a: float, first: float):
     return recurrence(a)(x, first)
 
 
-def ewma_sigma(returns, decay: float = 0.94):
-    """Volatility path of squared returns, each day's from the days before; it starts with the sample variance."""
+def ewma_sigma(returns, decay: float = 0.94, solve=None):
+    """Volatility path of squared returns, each day's from the days before; it starts with the sample variance. solve: recurrence(decay),
+    for many calls."""
     import numpy as np
 
     r = np.asarray(returns, float)
     squares = np.concatenate([[0.0], (1 - decay) * r[:-1] ** 2])
-    return np.sqrt(linear_recurrence(squares, decay, r.var()))
+    return np.sqrt((solve or recurrence(decay))(squares, r.var()))
 
 
-def inject(returns, phi: float, seed, sigma=None, negative: bool = False):
-    """returns plus sigma times a unit-variance AR(1) path of phi. At phi 0 the noise is still added."""
+def inject(returns, phi: float, seed, sigma=None, negative: bool = False, solve=None):
+    """returns plus sigma times a unit-variance AR(1) path of phi. At phi 0 the noise is still added. solve: recurrence(phi), for many calls."""
     import numpy as np
 
     if not (-1 < phi < 1 if negative else 0 <= phi < 1):
         raise ValueError("phi is out of range")
     r = np.asarray(returns, float)
     noise = np.random.default_rng(seed).normal(size=len(r))
-    path = linear_recurrence(np.sqrt(1 - phi * phi) * noise, phi, noise[0])
+    path = (solve or recurrence(phi))(np.sqrt(1 - phi * phi) * noise, noise[0])
     return r + (ewma_sigma(r) if sigma is None else sigma) * path
 
 
@@ -140,21 +141,24 @@ def cell_power(df: DataFrame, value: str, phis, n_mc: int = 200, w: int = 120, h
         import numpy as np
         import pandas as pd
 
+        volatility, solve = recurrence(0.94), {float(p): recurrence(float(p)) for p in phis}
         for b in batches:
             out = []
             for symbol, x, phi, share in b.itertuples(index=False):
                 x = np.asarray(x, float)
-                sigma = ewma_sigma(x)
-                for draw in range(share * 20, min(n_mc, share * 20 + 20)):
-                    path = inject(x, phi, [seed, zlib.crc32(str(symbol).encode()), int(abs(phi) * 1e6), draw], sigma, negative)
-                    z = [median_z(path, w, q) for q in horizons]
-                    fired = False
-                    if np.isfinite(z).all():
-                        for v, c in zip(sorted(z, key=lambda v: -abs(v)), CRITICAL[len(CRITICAL) - len(z) :]):
-                            if abs(v) <= c:
-                                break
-                            fired |= v > 0
-                    out.append((symbol, phi, fired, z[1]))
+                sigma, draws = ewma_sigma(x, 0.94, volatility), range(share * 20, min(n_mc, share * 20 + 20))
+                key, step = [seed, zlib.crc32(str(symbol).encode()), int(abs(phi) * 1e6)], max(1, (1 << 17) // max(1, len(x)))
+                for k in range(draws.start, draws.stop, step):
+                    some = range(k, min(draws.stop, k + step))
+                    paths = np.stack([inject(x, phi, [*key, draw], sigma, negative, solve[phi]) for draw in some])
+                    for z in zip(*(medians_z(paths, w, q).tolist() for q in horizons)):
+                        fired = False
+                        if np.isfinite(z).all():
+                            for v, c in zip(sorted(z, key=lambda v: -abs(v)), CRITICAL[len(CRITICAL) - len(z) :]):
+                                if abs(v) <= c:
+                                    break
+                                fired |= v > 0
+                        out.append((symbol, phi, fired, z[1]))
             yield pd.DataFrame(out, columns=["symbol", "phi", "fired", "z"])
 
     d = rows.mapInPandas(run, f"symbol {kind}, phi double, fired boolean, z double")
