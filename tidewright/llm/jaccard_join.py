@@ -5,8 +5,8 @@
 1. Survey. A set can only have a partner if at most n - ceil(threshold * n) of its shingles occur in no other set. Half
    of the shingles (by a bit of their hash) are counted over the whole corpus; sets with more unshared ones than that,
    nearly all, are alone. Shingles that recur in a batch are counted there and travel once a batch.
-2. Neighbourhoods. The others order their shingles by a common order (frequent ones, found in a sample, last) and list
-   the first n - ceil(threshold * n) + 1. Sets within r of each other share a listed shingle and differ in size by no
+2. Neighbourhoods. The others order their shingles by a common order (those that few of them hold first, by exact counts)
+   and list the first n - ceil(threshold * n) + 1. Sets within r of each other share a listed shingle and differ in size by no
    more than the threshold; sets that are connected so make a neighbourhood. Most documents are at distance 1 from any
    pivot, where triangle windows exclude nothing: neighbourhoods are where the metric tells documents apart.
 3. Regions. A neighbourhood is a metric join of its own: pivots, of different components, meet all members; a member
@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MASK64, arrow_rows, column_buffers, give_back, materialize, once_a_worker, sized_join, small_enough, slices, splitmix, text_key
+from .common import MASK64, arrow_rows, column_buffers, discard, give_back, materialize, once_a_worker, sized_join, small_enough, slices, splitmix, text_key, written
 
 WORDS, NUM, DEN = 5, 4, 5  # five words, threshold 4/5
 RADIUS, EPS = 1 - NUM / DEN, 1e-9
@@ -241,36 +241,51 @@ def survivors(listed: DataFrame) -> DataFrame:
 # Step 2
 
 
-def frequent(texts: DataFrame, sample: int = 12_000, least: int = 3, most: int = 200_000):
-    """Hashes, sorted, of shingles that several of about sample texts hold. They only set the order in which shingles are
-    listed, and so the size of neighbourhoods; results don't depend on it."""
-    import numpy as np
+#: A shingle of a set, by the set's row in the block, and in how many sets it is.
+HELD = [("h", "<u8"), ("row", "<u2")]
+COUNTED = [*HELD, ("sets", "<u4")]
+
 
-    n = texts.count()
-    part = texts.filter(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < min(1.0, sample / max(n, 1)) * 1_000_000).select("data")
+def counted(texts: DataFrame, buckets: int) -> DataFrame:
+    """Kind 0: (ref of a block, packed nodes and sizes of its sets). Kind 1: (bucket, ref, packed HELD), every shingle of every set."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
+        from pyspark import TaskContext
 
-        s, found = _shingler(), []
-        for b in batches:
-            data, offs = column_buffers(b.column(0))
-            for x, y in slices(offs, SLICE):
-                found.append(s.sets(data[offs[x] : offs[y]], offs[x : y + 1] - offs[x])[1])
-        h = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-        for bucket, p in enumerate(np.split(h, np.searchsorted(h, (np.arange(1, 8).astype(np.uint64) << np.uint64(61))))):
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([p.tobytes()], pa.binary())], ["bucket", "hashes"])
+        s, ref = _shingler(), TaskContext.get().partitionId() << 32
 
-    def count(pdf):
-        import pandas as pd
+        def block(nodes, sizes, shingles):
+            own = np.zeros(sum(map(len, nodes)), [("node", "<i8"), ("n", "<u4")])
+            own["node"], own["n"] = np.concatenate(nodes), np.concatenate(sizes)
+            e = np.zeros(own["n"].sum(), HELD)
+            e["h"], e["row"] = np.concatenate(shingles), np.repeat(np.arange(len(own)), own["n"])
+            bucket = (e["h"] >> np.uint64(20)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            e, cuts = e[order], np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
+            full = np.flatnonzero(np.diff(cuts)).tolist()
+            packed = [own.tobytes(), *(e[cuts[k] : cuts[k + 1]].tobytes() for k in full)]
+            return pa.RecordBatch.from_arrays([pa.array([0] + [1] * len(full), pa.int8()), pa.array([None, *full], pa.int32()), pa.array([ref] * len(packed), pa.int64()), pa.array(packed, pa.binary())], ["kind", "bucket", "ref", "packed"])
 
-        h, c = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in pdf["hashes"]]), return_counts=True)
-        h, c = h[c >= least], c[c >= least]
-        keep = np.argsort(-c, kind="stable")[: most // 8]
-        return pd.DataFrame({"hashes": [np.sort(h[keep]).tobytes()]})
+        nodes, sizes, shingles, rows, held = [], [], [], 0, 0
+        for b in batches:
+            node = b.column(0).to_numpy()
+            data, offs = column_buffers(b.column(1))
+            for x, y in slices(offs, SLICE):
+                t, h = s.sets(data[offs[x] : offs[y]], offs[x : y + 1] - offs[x])
+                nodes.append(node[x:y])
+                sizes.append(np.bincount(t, minlength=y - x))
+                shingles.append(h)
+                rows, held = rows + y - x, held + len(h)
+                if held > BLOCK or rows > 30_000:
+                    yield block(nodes, sizes, shingles)
+                    nodes, sizes, shingles, rows, held, ref = [], [], [], 0, 0, ref + 1
+        if rows:
+            yield block(nodes, sizes, shingles)
+        give_back()
 
-    rows = part.mapInArrow(run, "bucket int, hashes binary").groupBy("bucket").applyInPandas(count, "hashes binary").collect()
-    return np.sort(np.concatenate([np.frombuffer(r["hashes"], "<u8") for r in rows])) if rows else np.zeros(0, np.uint64)
+    return texts.select("node", "data").mapInArrow(run, "kind byte, bucket int, ref long, packed binary")
 
 
 #: A listed shingle, a set that lists it, and the least and largest size of the sets that it stands for.
@@ -294,49 +309,47 @@ def _chain(np, e):
 
 
 def neighbourhoods(texts: DataFrame, shingles: int) -> DataFrame:
-    """(node, comp) of all sets that have neighbours among texts (node, n, data), comp the neighbourhood."""
-    shared, buckets = texts.sparkSession.sparkContext.broadcast(frequent(texts)), max(12, shingles // (4 << 20))
+    """(node, comp) of all sets that have neighbours among texts (node, n, data), comp the neighbourhood. Sets list their rarest
+    shingles, by exact counts over texts: by those of a sample, what a growing corpus holds often enough would tie it together."""
+    buckets = max(12, shingles // (4 << 20))
+    asked, path = written(counted(texts, max(12, shingles >> 20)), "counted")
 
-    def run(batches):
+    def count(pdf):
         import numpy as np
-        import pyarrow as pa
+        import pandas as pd
 
-        s, heavy = _shingler(), shared.value
+        e = np.concatenate([np.frombuffer(x, HELD) for x in pdf["packed"]])
+        who = np.repeat(np.arange(len(pdf)), [len(x) // 10 for x in pdf["packed"]])
+        _, back, m = np.unique(e["h"], return_inverse=True, return_counts=True)
+        found = np.flatnonzero(m[back] > 1)  # what one set holds is in no intersection
+        out = np.zeros(len(found), COUNTED)
+        out["h"], out["row"], out["sets"] = e["h"][found], e["row"][found], m[back][found]
+        cuts = np.searchsorted(who[found], np.arange(len(pdf) + 1))
+        full = np.flatnonzero(np.diff(cuts))
+        return pd.DataFrame({"ref": pdf["ref"].to_numpy()[full], "kind": np.ones(len(full), np.int8), "packed": [out[cuts[k] : cuts[k + 1]].tobytes() for k in full]})
 
-        def block(found):
-            runs, pairs = _chain(np, np.concatenate(found))
-            bucket = (runs["h"] >> np.uint64(20)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            runs, cuts = runs[order], np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
-            full = np.flatnonzero(np.diff(cuts)).tolist()
-            return pa.RecordBatch.from_arrays([pa.array([*full, -1], pa.int32()), pa.array([*(runs[cuts[k] : cuts[k + 1]].tobytes() for k in full), pairs], pa.binary())], ["bucket", "packed"])
+    def choose(pdf):
+        import numpy as np
+        import pandas as pd
 
-        found, held = [], 0
-        for b in batches:
-            node = b.column(0).to_numpy()
-            data, offs = column_buffers(b.column(1))
-            for x, y in slices(offs, SLICE):
-                t, h = s.sets(data[offs[x] : offs[y]], offs[x : y + 1] - offs[x])
-                if not len(t):
-                    continue
-                n = np.bincount(t, minlength=y - x)
-                lead = np.cumsum(n) - n
-                if len(heavy):
-                    f = heavy[np.minimum(np.searchsorted(heavy, h), len(heavy) - 1)] == h
-                    order = np.lexsort((h, f, t))
-                    t, h = t[order], h[order]
-                use = np.arange(len(t)) - lead[t] < n[t] - (NUM * n[t] + DEN - 1) // DEN + 1
-                e = np.zeros(use.sum(), ENTRY)
-                e["h"], e["node"] = h[use], node[x + t[use]]
-                e["lo"] = e["hi"] = np.floor(64 * np.log2(n[t[use]])).astype(np.uint16)
-                found.append(e)
-                held += len(e)
-                if held > BLOCK:
-                    yield block(found)
-                    found, held = [], 0
-        if found:
-            yield block(found)
-        give_back()
+        own = np.frombuffer(pdf["packed"][pdf["kind"] == 0].iloc[0], [("node", "<i8"), ("n", "<u4")])
+        e = np.concatenate([np.zeros(0, COUNTED), *(np.frombuffer(x, COUNTED) for x in pdf["packed"][pdf["kind"] == 1])])
+        e = e[np.lexsort((e["h"], e["sets"], e["row"]))]
+        n, shared = own["n"].astype(np.int64), np.bincount(e["row"], minlength=len(own))
+        # those that no other set holds are listed first
+        most = n - (NUM * n + DEN - 1) // DEN + 1 - (n - shared)
+        e = e[np.arange(len(e)) - (np.cumsum(shared) - shared)[e["row"]] < most[e["row"]]]
+        if not len(e):
+            return pd.DataFrame({"bucket": np.zeros(0, np.int32), "packed": []})
+        listed = np.zeros(len(e), ENTRY)
+        listed["h"], listed["node"] = e["h"], own["node"][e["row"]]
+        listed["lo"] = listed["hi"] = np.floor(64 * np.log2(n[e["row"]])).astype(np.uint16)
+        runs, pairs = _chain(np, listed)
+        bucket = (runs["h"] >> np.uint64(20)) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        runs, cuts = runs[order], np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
+        full = np.flatnonzero(np.diff(cuts)).tolist()
+        return pd.DataFrame({"bucket": np.array([*full, -1], np.int32), "packed": [*(runs[cuts[k] : cuts[k + 1]].tobytes() for k in full), pairs]})
 
     def meet(pdf):
         import numpy as np
@@ -354,7 +367,10 @@ def neighbourhoods(texts: DataFrame, shingles: int) -> DataFrame:
             p = np.unique(p, axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
 
-    listed = materialize(texts.select("node", "data").mapInArrow(run, "bucket int, packed binary"), "listed")
+    replies = asked.filter("kind = 1").groupBy("bucket").applyInPandas(count, "ref long, kind byte, packed binary")
+    listed = asked.filter("kind = 0").select("ref", "kind", "packed").unionByName(replies).groupBy("ref").applyInPandas(choose, "bucket int, packed binary")
+    listed = materialize(listed, "listed")
+    discard(texts.sparkSession, path)
     pairs = listed.filter("bucket >= 0").groupBy("bucket").applyInPandas(meet, "a long, b long")
     return materialize(components(pairs.unionByName(listed.filter("bucket < 0").select("packed").mapInArrow(unpack, "a long, b long"))), "neighbourhoods")
 
@@ -624,12 +640,14 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFr
     docs = keyed(df, key, text)
     total = docs.agg(F.sum(F.octet_length("data")).alias("n")).first()["n"] or 0
     with arrow_rows(df.sparkSession, 2_500):
-        listed = materialize(survey(docs, max(12, total // (16 << 20))), "survey")
+        listed, path = written(survey(docs, max(12, total // (16 << 20))), "survey")
     rows = listed.filter("kind = 0").select("ref", "id", "k1", "k2", "n", "s1", "s2")
+    rows = materialize(rows, "rows")
     # the first ref of equal sets is their node
     nodes = rows.filter("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("ref", "k1", "k2", F.xxhash64("id").alias("rid"), "n")).alias("x"), F.min("id").alias("least"))
     nodes = materialize(nodes.select("s1", "s2", F.col("x.ref").alias("node"), "x.k1", "x.k2", "x.rid", "x.n", "least"), "nodes")
     may = materialize(nodes.join(survivors(listed).withColumnRenamed("ref", "node").hint("merge"), "node", "left_semi").select("node", "k1", "k2", "rid", "n"), "candidates")
+    discard(df.sparkSession, path)
     texts = sized_join(docs.withColumn("rid", F.xxhash64("id")), may, ["k1", "k2", "rid"], "inner", 64)
     texts = materialize(texts.groupBy("node").agg(F.first("n").alias("n"), F.first("data").alias("data")), "texts")
     with arrow_rows(df.sparkSession, 2_500):
