@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.bars import by_symbol
+from ..sources.shared import materialize
 from .measures import CRITICAL, joint
 from .variance_ratio import kernel
 
@@ -17,11 +18,41 @@ def seed_of(*parts) -> Column:
     return F.conv(F.substring(F.sha2(text, 256), 1, 16), 16, 10).cast("decimal(20,0)")
 
 
-def block_bootstrap_ci(df: DataFrame, value: str, block: int = 20, reps: int = 200, alpha: float = 0.05) -> DataFrame:
+def block_bootstrap_ci(df: DataFrame, value: str, block: int = 20, reps: int = 200, alpha: float = 0.05, whole: int = 100_000) -> DataFrame:
     """Circular block bootstrap of a mean, by symbol: n, reps, lo, hi; series shorter than two blocks have no interval. The
-    sums of all blocks are made once; a replicate is a sum of as many as it has blocks."""
-    d = df.filter(F.col(value).isNotNull()).withColumn("i", (F.row_number().over(by_symbol()) - 1).cast("long"))
+    sums of all blocks are made once; a replicate is a sum of as many as it has blocks. Series of up to whole rows draw from their own
+    array of sums, so that no drawn block moves; longer ones send their blocks to the sums."""
+    d = df.filter(F.col(value).isNotNull()).withColumn("i", (F.row_number().over(by_symbol()) - 1).cast("long")).select("symbol", "i", value)
+    d = materialize(d, "series")  # read for short and for long series
     n = d.groupBy("symbol").agg(F.count("*").alias("n"))
+    short = n.filter(F.col("n") <= whole)
+    m = _short_means(d.join(short, "symbol"), value, block, reps)
+    if not n.filter(F.col("n") > whole).isEmpty():
+        m = m.unionByName(_long_means(d, n.filter(F.col("n") > whole), value, block, reps))
+    m = m.withColumn("m", F.when(F.col("n") >= 2 * block, F.col("m")))
+    return m.groupBy("symbol", "n").agg(F.count("*").alias("reps"), F.percentile("m", F.lit(alpha / 2)).alias("lo"), F.percentile("m", F.lit(1 - alpha / 2)).alias("hi"))
+
+
+def _start(symbol: Column, rep: Column, blk: Column, n: Column) -> Column:
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", symbol, rep, blk), 256), 1, 15), 16, 10).cast("long") % n
+
+
+def _short_means(d: DataFrame, value: str, block: int, reps: int) -> DataFrame:
+    """symbol, n, rep, m of series (symbol, i, value, n), each an array of running sums over its ring."""
+    x = d.groupBy("symbol", "n").agg(F.array_sort(F.collect_list(F.struct("i", F.col(value).alias("v")))).alias("c")).select("symbol", "n", F.col("c.v").alias("v"))
+    # sums of a block, and of the rest that the last one gives, from each place of the ring
+    rest = (F.col("n") - 1) % block + 1
+    of = lambda m: F.transform(F.sequence(F.lit(1).cast("long"), F.col("n")), lambda i: F.aggregate(F.slice("ring", i.cast("int"), m.cast("int")), F.lit(0.0), lambda a, y: a + y))
+    x = x.withColumn("ring", F.concat("v", F.slice("v", 1, block))).select("symbol", "n", of(F.lit(block)).alias("full"), of(rest).alias("tail"))
+    x = x.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
+    last = F.floor((F.col("n") - 1) / block)
+    place = lambda k: (_start(F.col("symbol"), F.col("rep"), k, F.col("n")) + 1).cast("int")
+    heads = F.when(last > 0, F.aggregate(F.sequence(F.lit(0).cast("long"), F.greatest(last - 1, F.lit(0))), F.lit(0.0), lambda a, k: a + F.element_at("full", place(k)))).otherwise(0.0)
+    return x.select("symbol", "n", "rep", ((heads + F.element_at("tail", place(last))) / F.col("n")).alias("m"))
+
+
+def _long_means(d: DataFrame, n: DataFrame, value: str, block: int, reps: int) -> DataFrame:
+    """As _short_means(), blocks joined with the sums."""
     ring = d.select("symbol", "i", F.col(value).alias("v")).join(n, "symbol")
     ring = ring.unionByName(ring.filter(F.col("i") < block).withColumn("i", F.col("i") + F.col("n")))
     ahead = lambda m: F.sum("v").over(by_symbol("i").rowsBetween(0, m - 1))
@@ -29,11 +60,9 @@ def block_bootstrap_ci(df: DataFrame, value: str, block: int = 20, reps: int = 2
     tails = F.array(*[ahead(m) for m in range(1, block + 1)])
     sums = ring.select("symbol", F.col("i").alias("start"), "n", ahead(block).alias("full"), F.element_at(tails, rest.cast("int")).alias("tail")).filter(F.col("start") < F.col("n")).drop("n")
     s = n.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") + block - 1) / block) - 1)))
-    start = F.conv(F.substring(F.sha2(F.concat_ws("|", "symbol", "rep", "blk"), 256), 1, 15), 16, 10).cast("long") % F.col("n")
+    start = _start(F.col("symbol"), F.col("rep"), F.col("blk"), F.col("n"))
     last = F.col("blk") == F.floor((F.col("n") - 1) / block)
-    m = s.withColumn("start", start).join(sums, ["symbol", "start"]).groupBy("symbol", "n", "rep").agg((F.sum(F.when(last, F.col("tail")).otherwise(F.col("full"))) / F.first("n")).alias("m"))
-    m = m.withColumn("m", F.when(F.col("n") >= 2 * block, F.col("m")))
-    return m.groupBy("symbol", "n").agg(F.count("*").alias("reps"), F.percentile("m", F.lit(alpha / 2)).alias("lo"), F.percentile("m", F.lit(1 - alpha / 2)).alias("hi"))
+    return s.withColumn("start", start).join(sums, ["symbol", "start"]).groupBy("symbol", "n", "rep").agg((F.sum(F.when(last, F.col("tail")).otherwise(F.col("full"))) / F.first("n")).alias("m"))
 
 
 def permutation_p(df: DataFrame, x: str, y: str, reps: int = 1000, seed: int = 7) -> DataFrame:
