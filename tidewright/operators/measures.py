@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
 from .order_statistics import ranks
-from .windows import rank_average, table_ranks
+from .windows import group_ranks, rank_average, table_ranks
 
 
 def spearman(df: DataFrame, x: str, y: str, *by: str, least: int = 10, few: bool = False) -> DataFrame:
@@ -23,7 +23,10 @@ def spearman(df: DataFrame, x: str, y: str, *by: str, least: int = 10, few: bool
         ic = part("__x", "__y") / F.sqrt(part("__x", "__x") * part("__y", "__y"))
         out = pairs.groupBy(*by).agg(F.sum("__c").alias("n"), ic.alias("ic"))
     else:
-        d = d.withColumn("__x", rank_average(F.col(x), *by)).withColumn("__y", rank_average(F.col(y), *by))
+        if by:
+            d = group_ranks(d.select(*by, x, y), [*by], (x, y), ("__x", "__y"))
+        else:
+            d = d.withColumn("__x", rank_average(F.col(x))).withColumn("__y", rank_average(F.col(y)))
         out = d.groupBy(*by).agg(F.count("*").alias("n"), F.corr("__x", "__y").alias("ic"))
     return out.withColumn("ic", F.when(F.col("n") >= least, F.col("ic")))
 
