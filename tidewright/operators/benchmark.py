@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import two_sided_p, zero_filled
+from ..sources.shared import materialize
 from . import measures as M
 
 #: Fixed values, here and below: the names of statuses, reasons and verdicts.
@@ -39,7 +40,8 @@ def validity(counts: DataFrame, states: int, least: int, eligible: Column | None
 def agreement_of_pairs(streams: DataFrame, names: list[str]) -> DataFrame:
     """Agreement of each pair of label columns over the rows where every column has a label."""
     both = streams.filter(reduce(lambda a, b: a & b, (F.col(n) >= 0 for n in names)))
-    rows = [M.agreement(both, a, b).select(F.lit(f"{a}__{b}").alias("pair"), "*") for a, b in combinations(names, 2)]
+    counts = materialize(both.groupBy(*names).agg(F.count("*").alias("__c")), "labels")  # rows for sets of labels; every pair reads them
+    rows = [M.agreement(counts, a, b, "__c").select(F.lit(f"{a}__{b}").alias("pair"), "*") for a, b in combinations(names, 2)]
     return reduce(DataFrame.unionByName, rows)
 
 

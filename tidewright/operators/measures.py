@@ -55,9 +55,9 @@ def exact_quantiles(df: DataFrame, value: Column, ps: dict[str, float], *by: str
     return g.groupBy(*by, "n").agg(*[F.max(F.when(F.col("__k") == k, F.col("__q"))).alias(name) for k, name in enumerate(names)])
 
 
-def joint(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Counts of value pairs with their margins and total."""
-    j = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("n"))
+def joint(df: DataFrame, x: str, y: str, weight: str | None = None) -> DataFrame:
+    """Counts of value pairs with their margins and total; with weight, rows stand for so many."""
+    j = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg((F.sum(weight) if weight else F.count("*")).alias("n"))
     all_ = Window.partitionBy(F.lit(0))
     return j.withColumns({"nx": F.sum("n").over(Window.partitionBy("x")), "ny": F.sum("n").over(Window.partitionBy("y")), "total": F.sum("n").over(all_)})
 
@@ -72,9 +72,9 @@ def mutual_information(df: DataFrame, x: str, y: str) -> DataFrame:
     return j.agg(F.greatest(mi, F.lit(0.0)).alias("mi"), hx.alias("h_x"), hy.alias("h_y"), F.max("total").alias("n"))
 
 
-def agreement(df: DataFrame, x: str, y: str) -> DataFrame:
+def agreement(df: DataFrame, x: str, y: str, weight: str | None = None) -> DataFrame:
     """Cohen's kappa, variation of information, normalised mutual information, adjusted Rand index of two label streams."""
-    j = joint(df, x, y)
+    j = joint(df, x, y, weight)
     pairs = lambda c: c * (c - 1) / 2
     s = j.agg(
         F.max("total").alias("n"),
