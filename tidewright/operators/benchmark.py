@@ -18,9 +18,11 @@ VALID, FAILED, EXCLUDED = "valid", "instrument_failure", "excluded"
 
 def state_counts(df: DataFrame, states: int, stride: int, *by: str) -> DataFrame:
     """By by: labelled rows, and how many of the rows that lie whole strides after the first labelled one have each state."""
-    first = F.min(F.when(F.col("label") >= 0, F.col("idx"))).over(Window.partitionBy(*by))
+    first = F.min(F.when(F.col("label") >= 0, F.col("idx")))
+    # without by, a window would take the whole table to one task
+    df = df.withColumn("__first", first.over(Window.partitionBy(*by))) if by else df.crossJoin(F.broadcast(df.agg(first.alias("__first"))))
     on_grid = (F.col("idx") >= F.col("__first")) & ((F.col("idx") - F.col("__first")) % stride == 0)
-    d = df.withColumn("__first", first).withColumn("__l", F.when(on_grid, F.col("label")))
+    d = df.withColumn("__l", F.when(on_grid, F.col("label")))
     return d.groupBy(*by).agg(F.sum((F.col("label") >= 0).cast("long")).alias("n_valid"), *zero_filled(F.col("__l"), states))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import two_sided_p, two_sided_p_sql
 from ..operators import benchmark as B, detectors as D, measures as M, order_statistics as O, rebar, variance_ratio as VR, windows as W
 from ..sources.bars import PANEL_SQL, panel
+from ..sources.shared import materialize
 from .common import query, rounded
 from .features import QUANT, RET, labels
 
@@ -22,11 +23,10 @@ THREE = QUANT + RATIO + GLOBAL + ", t3 AS (SELECT symbol, idx, l.label AS quanti
 
 
 def three(spark, sf):
-    """Labels of three detectors side by side."""
-    q = labels(spark, sf).select("symbol", "idx", F.col("label").alias("quantile"))
-    r = D.static(panel(spark, sf), 20, 60, LOW, HIGH).select("symbol", "idx", F.col("label").alias("ratio"))
-    g = D.global_states(W.realized_vol(panel(spark, sf), 20), "rv").select("symbol", "idx", F.col("label").alias("spread"))
-    return q.join(r, ["symbol", "idx"]).join(g, ["symbol", "idx"])
+    """Labels of three detectors side by side, with the close. Each works on what the one before made of the bars."""
+    q = labels(spark, sf).select("symbol", "idx", "close", "rv", F.col("label").alias("quantile"))
+    r = D.static(q, 20, 60, LOW, HIGH).select("symbol", "idx", "close", "rv", "quantile", F.col("label").alias("ratio"))
+    return D.global_states(materialize(r, "labels"), "rv").select("symbol", "idx", "close", "quantile", "ratio", F.col("label").alias("spread"))
 
 
 @query(RET + RATIO + " SELECT symbol, idx, round(ratio, 6) AS ratio, label FROM st")

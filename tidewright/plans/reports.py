@@ -33,7 +33,7 @@ SELECT task, detector, n, n_0, n_1, up, stays, runs, longest, round(mi, 7) AS mi
 
 def reports_of(spark, sf):
     """The reports of both tasks."""
-    t = three(spark, sf).join(panel(spark, sf).select("symbol", "idx", W.forward_return(5, True).alias("fwd")), ["symbol", "idx"])
+    t = three(spark, sf).withColumn("fwd", W.forward_return(5, True))
     t = materialize(t.select("symbol", "idx", "fwd", *NAMES), "streams")  # both tasks read it
     two = t.withColumns({n: D.two_states(F.col(n)) for n in NAMES})
     return R.task_report(two, NAMES, "2-state", 2, 60, 1, 9.0, REPS).unionByName(R.task_report(t, NAMES, "3-state", 3, 60, 1, 9.0, REPS))
