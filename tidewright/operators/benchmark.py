@@ -60,10 +60,13 @@ def contingent_information(df: DataFrame, label: str, forward: str, states: int,
     by state the number, mean, median and positive share of forward returns."""
     f = F.col(forward)
     d = df.filter((F.col(label) >= 0) & (F.col(label) < states) & f.isNotNull() & ~F.isnan(f))
+    d = materialize(d.select(label, forward), "forward")  # read several times
     mi = M.mutual_information(d.withColumn("__s", F.signum(f)), label, "__s").select("n", "mi")
-    of = lambda k, x: F.when(F.col(label) == k, x)
-    parts = [c for k in range(states) for c in (F.count(of(k, f)).alias(f"n_{k}"), F.avg(of(k, f)).alias(f"mean_{k}"), F.percentile(of(k, f), F.lit(0.5)).alias(f"median_{k}"), F.avg(of(k, (f > 0).cast("double"))).alias(f"positive_{k}"))]
-    return mi.crossJoin(d.agg(*parts)).withColumns({"gross_bps": 1e4 * F.col("mi"), "net_bps": 1e4 * F.col("mi") - cost_bps})  # one row each
+    per = d.groupBy(label).agg(F.count("*").alias("n"), F.avg(f).alias("mean"), F.avg((f > 0).cast("double")).alias("positive"))
+    per = per.join(M.exact_quantiles(d, f, {"median": 0.5}, label).drop("n"), label)  # a row a state; no task gathers a state's returns
+    of = lambda k, c: F.max(F.when(F.col(label) == k, F.col(c)))
+    parts = [c for k in range(states) for c in (F.coalesce(of(k, "n"), F.lit(0)).alias(f"n_{k}"), *(of(k, x).alias(f"{x}_{k}") for x in ("mean", "median", "positive")))]
+    return mi.crossJoin(per.agg(*parts)).withColumns({"gross_bps": 1e4 * F.col("mi"), "net_bps": 1e4 * F.col("mi") - cost_bps})  # one row each
 
 
 def window_triggers(vr: DataFrame, target: int, horizons: int, alpha: float = 0.05) -> DataFrame:
