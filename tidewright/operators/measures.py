@@ -110,10 +110,15 @@ def zero_filled(counts: DataFrame, keys: dict[str, int], n: str = "n") -> DataFr
     return grid.join(counts, list(keys), "left").withColumn(n, F.coalesce(n, F.lit(0)))
 
 
-def degeneracy(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """Spread of a value in [0, 1]: std, coefficient of variation, interquartile range, shares at the rails."""
+def degeneracy(df: DataFrame, value: str, *by: str, few: bool = False) -> DataFrame:
+    """Spread of a value in [0, 1]: std, coefficient of variation, interquartile range, shares at the rails. few: the groups are
+    few and large, so that no task gathers the values of one."""
     v = F.col(value)
-    d = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), (F.percentile(v, F.lit(0.75)) - F.percentile(v, F.lit(0.25))).alias("iqr"), F.avg(F.when(v >= 0.95, 1.0).otherwise(0.0)).alias("rail"), F.avg(F.when(v <= 0.001, 1.0).otherwise(0.0)).alias("zero"))
+    iqr = F.lit(None).cast("double") if few else F.percentile(v, F.lit(0.75)) - F.percentile(v, F.lit(0.25))
+    d = df.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), iqr.alias("iqr"), F.avg(F.when(v >= 0.95, 1.0).otherwise(0.0)).alias("rail"), F.avg(F.when(v <= 0.001, 1.0).otherwise(0.0)).alias("zero"))
+    if few:
+        q = exact_quantiles(df, v, {"__q1": 0.25, "__q3": 0.75}, *by)
+        d = d.join(q.drop("n"), [*by], "left").withColumn("iqr", F.col("__q3") - F.col("__q1")).drop("__q1", "__q3")
     return d.withColumn("cv", F.try_divide(F.col("std"), F.col("mean")))
 
 

@@ -199,7 +199,8 @@ def gate_verdict(spark, sf):
     """By horizon: Kruskal-Wallis over the labels with p for two degrees of freedom, degeneracy and verdict."""
     v = VR.strided(panel(spark, sf), 60, (2, 5)).filter("vr_dev IS NOT NULL").select("symbol", F.col("end_idx").alias("idx"), "q", F.abs("vr_dev").alias("x"))
     v = v.join(labels(spark, sf).filter("label >= 0").select("symbol", "idx", "label"), ["symbol", "idx"])
-    d = M.degeneracy(v, "x", "q")
+    v = materialize(v, "windows")  # read by horizon, and for the quantiles
+    d = M.degeneracy(v, "x", "q", few=True)
     bad = (F.col("std") == 0) | (F.col("cv") < 0.05) | (F.col("iqr") < 0.001) | (F.col("rail") > 0.5)
     parts = None
     for q in (2, 5):
