@@ -10,7 +10,7 @@ from tidewright.plans.registry import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["markov_fits"])
+@pytest.mark.parametrize("name", ["markov_fits", "markov_states"])
 def test_markov_fits_take_all_starts(spark, monkeypatch, name):
     real, seen = markov.restarts, []
 
