@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import materialize
-from .order_statistics import ranks
+from .order_statistics import masked_ranks, ranks
 from .windows import group_ranks, rank_average, table_ranks
 
 
@@ -31,6 +31,21 @@ def spearman(df: DataFrame, x: str, y: str, *by: str, least: int = 10, few: bool
     return out.withColumn("ic", F.when(F.col("n") >= least, F.col("ic")))
 
 
+def spearman_by_mask(df: DataFrame, x: str, y: str, masks: dict[str, Column], least: int = 10) -> DataFrame:
+    """name, n, ic: spearman() of the rows that each of a few masks lets through. A row moves once for each of its two ranks, whatever the
+    number of masks; masks without a pair have no row."""
+    keep = {f"__m{k}": F.coalesce(m, F.lit(False)).cast("int") for k, m in enumerate(masks.values())}
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y)).select(F.col(x).alias("__x"), F.col(y).alias("__y"), *[m.alias(k) for k, m in keep.items()])
+    d = materialize(d.filter(F.greatest(*keep, F.lit(0)) > 0), "masked")
+    for v in ("__x", "__y"):
+        d = masked_ranks(d, v, {k: v + k for k in keep}).drop(v)
+    own = lambda v, k: F.when(F.col(k) == 1, F.col(v + k))
+    each = d.agg(*[F.sum(k).alias(f"n{k}") for k in keep], *[F.covar_pop(own("__x", k), own("__y", k)).alias(f"c{k}") for k in keep], *[F.sqrt(F.var_pop(own("__x", k)) * F.var_pop(own("__y", k))).alias(f"s{k}") for k in keep])
+    rows = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.col(f"n{k}").alias("n"), F.when(F.col(f"s{k}") > 0, F.col(f"c{k}") / F.col(f"s{k}")).otherwise(F.lit(float("nan"))).alias("ic")) for k, name in zip(keep, masks)]))
+    out = each.select(rows.alias("e")).select("e.*").filter("n > 0")
+    return out.withColumn("ic", F.when(F.col("n") >= least, F.col("ic")))
+
+
 def exact_quantiles(df: DataFrame, value: Column, ps: dict[str, float], *by: str, accuracy: int = 10_000) -> DataFrame:
     """By by, groups few and large: n, and the interpolated quantiles ps by name, exactly. A sketch of bounded size brackets
     each quantile; values below a bracket are counted, those inside are put in order, a few in ten thousand."""

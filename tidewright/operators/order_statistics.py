@@ -30,6 +30,14 @@ def value_edges(df: DataFrame, value: str, *by: str, size: int | None = None) ->
     return materialize(cut.select(*by, F.array_distinct(F.filter("e", lambda e, i: i % every == 0)).alias("edges")), "edges")
 
 
+def edges_below(edges, value):
+    """How many of the rising edges, an array column, lie below value: the largest steps first, so that their number hardly
+    costs anything; 0 for a null array."""
+    edges, value = (F.col(c) if isinstance(c, str) else c for c in (edges, value))
+    steps = F.transform(F.sequence(F.ceil(F.log2(F.size(edges) + 1)).cast("int"), F.lit(0), F.lit(-1)), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    return F.coalesce(F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(edges, at + s - 1) < value, at + s).otherwise(at)), F.lit(0))
+
+
 def _apart(df: DataFrame) -> DataFrame:
     """df with columns of its own, to meet another frame made of the same ones."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
@@ -151,7 +159,7 @@ def _long_quantile(bars: DataFrame, column: str, least: int, qs: dict[str, float
     wanted = both.select("symbol", "cell", "__k").distinct()
     placed = v.filter("__x IS NOT NULL").join(few, "symbol", "left")
     edge = F.coalesce("edges", F.array().cast("array<double>"))
-    under = F.size(F.filter(edge, lambda e: e < F.col("__x")))
+    under = edges_below(edge, "__x")
     placed = placed.select("symbol", "idx", "__x", F.col("__k").alias("own"), (2 * under + F.when(F.array_contains(edge, F.col("__x")), 1).otherwise(0)).cast("int").alias("cell"))
     # an edge's part is one value: no row of it has to come
     values = placed.filter(F.col("cell") % 2 == 0).join(wanted, ["symbol", "cell"]).filter(F.col("own") <= F.col("__k")).drop("own")
@@ -204,9 +212,25 @@ def ranks(df: DataFrame, value: str, *by: str, weight: str | None = None, size:
     edges = value_edges(counts, value, *by, size=size)
     few = F.broadcast(edges)  # at most rows / size numbers
     c = counts.join(few, [*by], "left") if by else counts.join(few, F.lit(True), "left")
-    c = c.withColumn("__b", F.coalesce(F.size(F.filter("edges", lambda e: e < F.col(value))), F.lit(0))).drop("edges")
+    c = c.withColumn("__b", edges_below("edges", value)).drop("edges")
     all_, group = Window.partitionBy(*(by or [F.lit(0)])), [*by]
     below = c.groupBy(*group, "__b").agg(F.sum("c").alias("__m"))  # a row a group and part
     below = below.withColumns({"__below": F.coalesce(F.sum("__m").over(all_.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "n": F.sum("__m").over(all_)}).drop("__m")
     upto = F.sum("c").over(Window.partitionBy(*group, "__b").orderBy(value))
     return c.join(below, [*group, "__b"]).select(*group, value, (F.col("__below") + upto - (F.col("c") - 1) / 2).alias("rank"), "n", "c")
+
+
+def masked_ranks(df: DataFrame, value: str, masks: dict[str, str], size: int | None = None) -> DataFrame:
+    """df, whose value is neither null nor NaN, with the rank of value among the rows of each mask, ties at their mean. masks: names of columns
+    of 0 or 1, and of the ranks. All masks share one order of the values, which is cut at edges; within a part rows are put in order."""
+    size = size or CHUNK
+    edges = value_edges(df, value, size=size).withColumnRenamed("edges", "__edges")
+    d = df.join(F.broadcast(edges), F.lit(True), "left").withColumn("__part", edges_below("__edges", value)).drop("__edges")  # a row at most
+    before = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    below = _apart(d).groupBy("__part").agg(*[F.sum(m).alias(r) for m, r in masks.items()])  # a row a part
+    below = below.select("__part", *[F.coalesce(F.sum(r).over(before), F.lit(0)).alias(f"__below_{r}") for r in masks.values()])
+    upto, same = Window.partitionBy("__part").orderBy(value), Window.partitionBy("__part", value)
+    d = d.withColumns({f"__upto_{r}": F.sum(m).over(upto) for m, r in masks.items()})
+    d = d.withColumns({r: F.col(f"__upto_{r}") - (F.sum(m).over(same) - 1) / 2 for m, r in masks.items()})
+    d = d.join(F.broadcast(below), "__part")
+    return d.select(*df.columns, *[(F.col(r) + F.col(f"__below_{r}")).alias(r) for r in masks.values()])
