@@ -2,9 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewright.operators import nulls
 from tidewright.operators.variance_ratio import kernel
+from tidewright.plans import simulation
+from tidewright.plans.registry import QUERIES
 
 SPECS = [("circular-block", 10), ("moving-block", 20), ("stationary-block", 20), ("wild", None), ("student-t", None), ("rank-sign", None)]
 
@@ -65,3 +68,15 @@ def test_a_series_moves_once_a_share(spark):
     assert len(rows) == len(SPECS) and all(r["count"] == 101 for r in rows)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and plan.count("Generate") == 2 and "size(" in plan
+
+
+def test_by_block_draws_what_has_a_block(spark, monkeypatch):
+    real, seen = nulls.programme, []
+    monkeypatch.setattr(nulls, "programme", lambda df, value, cells, specs, *a, **k: seen.extend(specs) or real(df, value, cells, specs, *a, **k))
+    sf = "/root/testdata/sf0.001"
+    got = sorted(map(tuple, QUERIES["null_by_block"](spark, sf).collect()))
+    assert seen == [("circular-block", 10), ("circular-block", 20), ("moving-block", 20), ("stationary-block", 20)]
+    monkeypatch.undo()
+    report = nulls.by_block(nulls.null_report(simulation.paths(spark, sf)))
+    want = report.select("symbol", "method", "W", "q", F.to_json("p_by_block"), F.to_json("holm_by_block"))
+    assert got == sorted(map(tuple, want.collect()))
