@@ -175,24 +175,29 @@ class Book:
 COLUMNS = ["symbol", "idx", "ts", "open", "high", "low", "close", "volume", "label", "deviation", "z", "upper", "lower", "allowed"]
 
 
-def _bars(pdf):
+def _series(t, bounds):
+    """The bars of each series of an Arrow table, as dicts."""
     names = ("open", "close", "label", "deviation", "z", "upper", "lower", "allowed")
-    return (dict(zip(names, row)) for row in zip(*(pdf[c].tolist() for c in names)))
+    columns = [t[c].to_numpy().tolist() for c in names]
+    for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        yield (dict(zip(names, row)) for row in zip(*(c[a:z] for c in columns)))
 
 
 def raw_signals(featured: DataFrame, rules: Rules | None = None) -> DataFrame:
     """symbol, idx, ts, open, close and signal: -1, 0 or 1 by the modules alone."""
     rules = rules or Rules()
 
-    def run(pdf):
-        pdf, walk, out = pdf.sort_values("idx").reset_index(drop=True), Walk(rules), []
-        for i, bar in enumerate(_bars(pdf)):
-            side = walk.wanted(i, bar)
-            walk.take(side, bar["close"])
-            out.append(side)
-        return pdf[["symbol", "idx", "ts", "open", "close"]].assign(signal=out)
+    def run(t, bounds):
+        out = []
+        for bars in _series(t, bounds):
+            walk = Walk(rules)
+            for i, bar in enumerate(bars):
+                side = walk.wanted(i, bar)
+                walk.take(side, bar["close"])
+                out.append(float(side))
+        return {c: t[c] for c in ("symbol", "idx", "ts", "open", "close")} | {"signal": out}
 
-    return featured.select(*COLUMNS).groupBy("symbol").applyInPandas(run, _schema(featured))
+    return W.over_groups(featured.select(*COLUMNS), ["symbol"], run, _schema(featured))
 
 
 def managed_signals(featured: DataFrame, mapping: str = "shipped", rules: Rules | None = None, limits: Limits | None = None) -> DataFrame:
@@ -203,22 +208,23 @@ def managed_signals(featured: DataFrame, mapping: str = "shipped", rules: Rules
     reversion, breakout = MAPS[mapping]
     rules, limits = replace(rules or Rules(), reversion=reversion, breakout=breakout), limits or Limits()
 
-    def run(pdf):
-        pdf = pdf.sort_values("idx").reset_index(drop=True)
-        walk, book, out, last = Walk(rules), Book(limits), [], None
-        for i, bar in enumerate(_bars(pdf)):
-            if last is not None:
-                book.mark(last, bar["open"], bar["close"])
-            barred, share = book.check(bar["label"])
-            tradable = not barred and bar["label"] not in (-1, 1)
-            side = walk.wanted(i, bar, bar["allowed"]) if tradable else 0.0
-            signal = side * SIZES.get(bar["label"], 1.0) * share
-            book.settle(walk.take(side, bar["close"]), barred, signal)
-            out.append(signal)
-            last = bar["close"]
-        return pdf[["symbol", "idx", "ts", "open", "close"]].assign(signal=out, limit_order=pdf["label"] == 0)
-
-    return featured.select(*COLUMNS).groupBy("symbol").applyInPandas(run, _schema(featured).add("limit_order", T.BooleanType()))
+    def run(t, bounds):
+        out = []
+        for bars in _series(t, bounds):
+            walk, book, last = Walk(rules), Book(limits), None
+            for i, bar in enumerate(bars):
+                if last is not None:
+                    book.mark(last, bar["open"], bar["close"])
+                barred, share = book.check(bar["label"])
+                tradable = not barred and bar["label"] not in (-1, 1)
+                side = walk.wanted(i, bar, bar["allowed"]) if tradable else 0.0
+                signal = side * SIZES.get(bar["label"], 1.0) * share
+                book.settle(walk.take(side, bar["close"]), barred, signal)
+                out.append(float(signal))
+                last = bar["close"]
+        return {c: t[c] for c in ("symbol", "idx", "ts", "open", "close")} | {"signal": out, "limit_order": t["label"].to_numpy() == 0}
+
+    return W.over_groups(featured.select(*COLUMNS), ["symbol"], run, _schema(featured).add("limit_order", T.BooleanType()))
 
 
 def _schema(df: DataFrame) -> T.StructType:
