@@ -12,20 +12,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
+PRICES = ("open", "high", "low", "close", "volume")
 FILLED = "symbol {kind}, ts long, open double, high double, low double, close double, volume double, trading_disabled boolean, late boolean"
 
 
 class _GapTimers(StatefulProcessor):
     """Bars wait until the watermark has passed them, so that they are taken in order of time; a silent symbol's flat bars
-    come from a timer. States: held (bars that wait), last (time and close of the last bar, flat bars made) and timer (the
-    earliest one set; one that is set anew leaves the later ones, which then find nothing to do)."""
+    come from a timer. States: held (bars that wait, packed, by slot of time and number of arrival), parts (the next such number),
+    last (time and close of the last bar, flat bars made) and timer (the earliest one set; one that is set anew leaves the later
+    ones, which then find nothing to do). A worker holds a batch of input, or a slot's bars, at a time."""
 
-    def __init__(self, step: int, most: int, forget: int | None):
-        self.step, self.most, self.forget = step, most, forget
+    def __init__(self, step: int, most: int, forget: int | None, slot: int):
+        self.step, self.most, self.forget, self.slot = step, most, forget, slot
 
     def init(self, handle):
         self.handle = handle
-        self.held = handle.getListState("held", "ts long, open double, high double, low double, close double, volume double")
+        self.held = handle.getMapState("held", "slot long, part long", "bars binary")
+        self.parts = handle.getValueState("parts", "n long")
         self.last = handle.getValueState("last", "ts long, close double, made long")
         self.timer = handle.getValueState("timer", "ts long")
 
@@ -35,55 +38,96 @@ class _GapTimers(StatefulProcessor):
             self.timer.update((ts,))
 
     def handleInputRows(self, key, rows, timerValues):
+        import numpy as np
         import pandas as pd
 
-        now, late = timerValues.getCurrentWatermarkInMs(), []
-        held = {r[0]: tuple(r) for r in self.held.get()} if self.held.exists() else {}
-        before = len(held)
+        now, least = timerValues.getCurrentWatermarkInMs(), None
+        n = self.parts.get()[0] if self.parts.exists() else 0
         for batch in rows:
-            for r in batch.itertuples(index=False):
-                bar = (int(r.ts), float(r.open), float(r.high), float(r.low), float(r.close), float(r.volume))
-                if r.ts <= now:
-                    late.append((key[0], *bar, False, True))
-                else:
-                    held.setdefault(bar[0], bar)
-        if len(held) > before:
-            self.held.put(list(held.values()))
-            self._set(min(held))
-        yield self._frame(pd, late)
+            ts = batch["ts"].to_numpy(np.int64)
+            late = ts <= now
+            if late.any():
+                yield self._frame(pd, [(key[0], *r, False, True) for r in zip(*(batch[c][late].tolist() for c in ("ts", *PRICES)))])
+            ts = ts[~late]
+            if not len(ts):
+                continue
+            bars = np.stack([ts.view(float), *(batch[c].to_numpy(float)[~late] for c in PRICES)], 1)
+            slot = ts // self.slot
+            order = np.argsort(slot, kind="stable")
+            bars, slot = bars[order], slot[order]
+            cuts = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
+            for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(slot)]):
+                self.held.updateValue((int(slot[a]), n), (bars[a:z].tobytes(),))
+            n, least = n + 1, int(ts.min()) if least is None else min(least, int(ts.min()))
+        if least is not None:
+            self.parts.update((n,))
+            self._set(least)
+        yield self._frame(pd, [])
+
+    def _waiting(self, keys):
+        """Times in order and prices of a slot's bars, the first to come of each time."""
+        import numpy as np
+
+        bars = np.concatenate([np.frombuffer(bytes(self.held.getValue(k)[0]), float).reshape(-1, 1 + len(PRICES)) for k in keys])
+        ts, first = np.unique(np.ascontiguousarray(bars[:, 0]).view(np.int64), return_index=True)
+        return ts, bars[first, 1:]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import numpy as np
         import pandas as pd
 
-        now, out, step = timerValues.getCurrentWatermarkInMs(), [], self.step
-        last = self.last.get() if self.last.exists() else None
-        held = sorted(tuple(r) for r in self.held.get()) if self.held.exists() else []
-        due, later = [r for r in held if r[0] <= now], [r for r in held if r[0] > now]
-        for ts, *bar in due:
-            if last is not None:
-                out += self._flat(key[0], last, (ts - last[0]) // step - 1, ts - last[0] > self.most)
-            out.append((key[0], ts, *bar, False, False))
-            last = (ts, bar[3], 0)
-        if due and later:
-            self.held.put(later)
-        elif due:
-            self.held.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        last = tuple(self.last.get()) if self.last.exists() else None
+        slots: dict[int, list] = {}
+        for k in sorted(tuple(k) for k in self.held.keys()):
+            slots.setdefault(k[0], []).append(k)
+        later = None
+        for slot, keys in slots.items():
+            ts, prices = self._waiting(keys)
+            due = int(np.searchsorted(ts, now, "right"))
+            if due:
+                yield self._filled(key[0], last, ts[:due], prices[:due])
+                last = (int(ts[due - 1]), float(prices[due - 1, 3]), 0)
+                for k in keys:
+                    self.held.removeKey(k)
+            if due < len(ts):
+                later = int(ts[due])
+                if due:
+                    self.held.updateValue(keys[0], (np.concatenate([ts[due:].view(float)[:, None], prices[due:]], 1).tobytes(),))
+                break
         self.timer.clear()
-        if later:
-            self._set(later[0][0])
+        if later is not None:
+            self._set(later)
+        out = []
         if last is not None:
             if now > last[0] + self.most:  # whatever comes next comes after a long gap
                 upto = now if self.forget is None else min(now, last[0] + self.forget)
-                made = self._flat(key[0], last, (upto - last[0]) // step - 1, True)
-                out += made
-                last = (last[0], last[1], last[2] + len(made))
+                out = self._flat(key[0], last, (upto - last[0]) // self.step - 1, True)
+                last = (last[0], last[1], last[2] + len(out))
             if self.forget is not None and now > last[0] + self.forget:
                 self.last.clear()
             else:
                 self.last.update(last)
-                self._set(max(last[0] + self.most + 1, last[0] + (last[2] + 2) * step, now + 1))
+                self._set(max(last[0] + self.most + 1, last[0] + (last[2] + 2) * self.step, now + 1))
         yield self._frame(pd, out)
 
+    def _filled(self, symbol, last, ts, prices):
+        """A slot's bars, each after the flat bars between it and the one before; of those after last, the ones made before are
+        left out."""
+        import numpy as np
+        import pandas as pd
+
+        known = last is not None
+        since = np.append(last[0] if known else ts[0], ts[:-1])
+        close, made = np.append(last[1] if known else 0.0, prices[:-1, 3]), np.append(last[2] if known else 0, np.zeros(len(ts) - 1, int))
+        flat = np.maximum((ts - since) // self.step - 1 - made, 0)
+        at = np.repeat(np.arange(len(ts)), flat + 1)
+        nth = np.arange(len(at)) - np.repeat(np.cumsum(flat + 1) - flat - 1, flat + 1)
+        own = nth == flat[at]
+        columns = [np.where(own, prices[at, k], close[at]) for k in range(4)] + [np.where(own, prices[at, 4], 0.0)]
+        time = np.where(own, ts[at], since[at] + (made[at] + nth + 1) * self.step)
+        return pd.DataFrame({"symbol": symbol, "ts": time, **dict(zip(PRICES, columns)), "trading_disabled": ~own & (ts - since > self.most)[at], "late": False})
+
     @staticmethod
     def _flat_row(symbol, ts, close, disabled):
         return (symbol, ts, close, close, close, close, 0.0, disabled, False)
@@ -100,14 +144,15 @@ class _GapTimers(StatefulProcessor):
         pass
 
 
-def fill_gaps_timed(bars: DataFrame, step_ms: int = 60_000, most_ms: int = 300_000, late: str = "10 minutes", forget_ms: int | None = None) -> DataFrame:
+def fill_gaps_timed(bars: DataFrame, step_ms: int = 60_000, most_ms: int = 300_000, late: str = "10 minutes", forget_ms: int | None = None, slot_ms: int = 3_600_000) -> DataFrame:
     """Bars of a stream (symbol, time timestamp, open, high, low, close, volume) in order of time, with flat bars where they
     are missing, as clean.gap_fill makes them; of bars with one time the first stays. A gap's flat bars come with the next bar
     or, once the watermark shows that the gap is longer than most_ms, by themselves, step by step. Bars that the watermark
-    has passed come out as they are with late set. A symbol that is silent for forget_ms is forgotten."""
+    has passed come out as they are with late set. A symbol that is silent for forget_ms is forgotten. Bars that wait lie
+    in slots of slot_ms, of which a worker holds one at a time."""
     b = bars.withWatermark("time", late).select("symbol", F.unix_millis("time").alias("ts"), "open", "high", "low", "close", "volume")
     kind = b.schema["symbol"].dataType.simpleString()
-    return b.groupBy("symbol").transformWithStateInPandas(_GapTimers(step_ms, most_ms, forget_ms), FILLED.format(kind=kind), "append", "eventTime")
+    return b.groupBy("symbol").transformWithStateInPandas(_GapTimers(step_ms, most_ms, forget_ms, slot_ms), FILLED.format(kind=kind), "append", "eventTime")
 
 
 class Extreme:
